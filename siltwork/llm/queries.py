@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import mixing, ngram_join, packing, quality, suffix_tree, toxicity
+from .labelled import remainder
 from .oracles import OP2
 
 
@@ -12,9 +15,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(_table(spark, sf_dir, "documents")).taken()
+
+
+def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+
+
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)
+    model = toxicity.train(documents, _table(spark, sf_dir, "labels"), fold_of=4, fold=2)
+    return toxicity.score(documents, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", remainder(5) == 0)
+    net = quality.train(documents, _table(spark, sf_dir, "labels"), fold_of=5, fold=0)
+    return quality.score(documents, net, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix_tree_score, op2_ngram_jaccard_join, op5_source_mix, op6_cost_balanced_packing, op7_toxicity_grammar, op9_attention_quality)
+}
 ORACLES = {"op2_ngram_jaccard_join": OP2}
