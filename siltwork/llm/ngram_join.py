@@ -221,8 +221,29 @@ def shared_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
     return written(back.mapInArrow(_gathered(percent), _SETS), "sets")
 
 
-def _long_enough(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _possible(a: str, b: str, percent: int) -> Column:
+    """The length and positional filters for two members of a prefix n-gram's group.
+
+    ``own`` n-grams of no other document come first in a set's order, ``at`` counts
+    its shared ones before this one: the sets have at most the lesser ``at`` in
+    common before it, it, and the lesser rest after it.
+    """
+    n = [F.col(f"{x}n") for x in (a, b)]
+    at = [F.col(f"{x}at") for x in (a, b)]
+    rest = [F.col(f"{x}n") - F.col(f"{x}own") - F.col(f"{x}at") - 1 for x in (a, b)]
+    most = F.least(*at) + 1 + F.least(*rest)
+    return (100 * F.least(*n) >= percent * F.greatest(*n)) & ((100 + percent) * most >= percent * (n[0] + n[1]))
+
+
+def _alike(a: str, b: str, total: Column, percent: int) -> Column:
+    """The suffix filter: class by class, sets cannot share more n-grams than the lesser has."""
+    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return (100 + percent) * most >= percent * total
+
+
+def _first() -> Column:
+    """What sorts the row that names a class first: known doc_ids by value, then row numbers."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,14 +252,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"), F.col("sig").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     total = F.col("na") + F.col("nb")
-    suffix = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    both = both.where((100 + percent) * suffix >= percent * total)
+    both = both.where(_alike("sa", "sb", total, percent))
     common = F.size(F.array_intersect("ka", "kb"))
     return both.where(100 * common >= percent * (total - common)).select("a", "b")
 
 
 def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of documents (doc_id, text): doc_id, n_shingles, component_id.
+    """Per row of documents (doc_id, text): doc_id, n_shingles, component_id, uid (the row's number in its partition), keep (one row of a class).
 
     Two rows link when ``100 * |A and B| >= percent * |A or B|`` for their sets of
     word n-grams; component_id is the smallest doc_id reachable. A null or empty
@@ -247,40 +267,55 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     A null doc_id links like any other but never names a component (null if alone).
     """
     every = shared_sets(documents, width, percent)
-    copies = every.where("keys IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("least"), F.min("uid").alias("id"))
+    copies = every.where("keys IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min(_first()).alias("first"), F.min("uid").alias("id"))
     copies = written(copies, "copies")
     sets = written(copies.select("id").join(every.select(F.col("uid").alias("id"), F.col("n_shingles").alias("n"), "keys", "sig"), "id"), "reps")
 
     own = F.col("n") - F.size("keys")
     need = F.ceil(F.col("n") * percent / 100).cast("long")
     prefix = (F.col("n") - need + 1 - own).cast("int")
-    pref = sets.select("id", "n", own.alias("own"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("at", "key")).select("id", "n", "key", (F.col("own") + F.col("at")).alias("pos"))
-    centres = pref.groupBy("key").agg(F.min(F.struct("n", "id")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("cn"))
+    pref = sets.select("id", "n", own.alias("own"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("at", "key"))
+    # the member with the fewest n-grams of its own is the likeliest original of a group of copies
+    centres = pref.groupBy("key").agg(F.min(F.struct("own", "n", "id", "at")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("centre"), *(F.col(f"c.{k}").alias(f"c_{k}") for k in ("n", "own", "at")))
     pref = written(pref.join(centres, "key"), "prefix")
 
-    tries = pref.where((F.col("id") != F.col("centre")) & _long_enough(F.col("n"), F.col("cn"), percent)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    tries = pref.where((F.col("id") != F.col("centre")) & _possible("", "c_", percent)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     first = written(_verified(tries, sets, percent), "stars")
     roots = components(first)
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
     centre_of = roots.select(F.col("node").alias("centre"), F.col("root").alias("ccomp"))
-    pref = pref.join(known, "id", "left").join(centre_of, "centre", "left").select("key", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("ccomp", "centre")).alias("apart"))
+    pref = pref.join(known, "id", "left").join(centre_of, "centre", "left").select("key", "id", "n", "own", "at", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("ccomp", "centre")).alias("apart"))
     pref = written(pref, "labelled")
-    x = pref.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "comp")))
-    y = pref.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "comp", "apart")))
+    x = pref.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "own", "at", "comp")))
+    y = pref.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "own", "at", "comp", "apart")))
     once = (~F.col("y_apart")) | (F.col("x_id") < F.col("y_id"))
-    near = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & once & _long_enough(F.col("x_n"), F.col("y_n"), percent))
+    near = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_", "y_", percent))
     swap = F.col("x_id") > F.col("y_id")
-    pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), *(F.when(swap, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"{c}_a") for c in ("n", "pos")), *(F.when(swap, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"{c}_b") for c in ("n", "pos")))
-    met = pairs.distinct().groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"))
-    most = F.col("c") + F.least(F.col("n_a") - F.col("pa") - 1, F.col("n_b") - F.col("pb") - 1)
-    met = met.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
-    second = written(_verified(met.select("a", "b"), sets, percent), "rest")
+    pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    second = written(_verified(pairs, sets, percent), "rest")
     if not second.isEmpty():
         roots = components(first.unionByName(second))
 
     classes = copies.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = classes.groupBy("root").agg(F.min("least").alias("component"))
+    names = classes.groupBy("root").agg(F.min("first").alias("component"))
     named = written(classes.join(names, "root").select("n_shingles", "h1", "h2", "component"), "classes")
-    alone = every.where("keys IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = every.where("keys IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = every.where("keys IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "uid", F.lit(True).alias("keep"))
+    linked = every.where("keys IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2", "uid").join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", F.col("component.doc_id").alias("component_id"), "uid", (F.col("component.uid") == F.col("uid")).alias("keep"))
     return alone.unionByName(linked)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    uid = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], ["__uid", *batch.schema.names])
+        uid += batch.num_rows
+
+
+def one_of_each(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of documents of which each class of near copies keeps one, that of the smallest doc_id.
+
+    ``documents`` must read the same rows in the same order each time, as written tables do.
+    """
+    fields = ", ".join(["__uid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
+    gone = jaccard_classes(documents, width, percent).where("NOT keep").select(F.col("uid").alias("__uid"))
+    return documents.mapInArrow(_numbered, fields).join(gone, "__uid", "left_anti").select(*documents.columns)
