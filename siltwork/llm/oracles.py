@@ -6,7 +6,8 @@ WITH RECURSIVE words AS (
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
-grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+every AS (SELECT doc_id, unnest(s) AS g FROM sets),
+grams AS (SELECT doc_id, g FROM (SELECT doc_id, g, count(*) OVER (PARTITION BY g) AS df FROM every) WHERE df > 1),
 links AS (
   SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id
   JOIN sets sx ON sx.doc_id = x.doc_id JOIN sets sy ON sy.doc_id = y.doc_id
@@ -15,3 +16,29 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM r
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
+
+OP4 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(w)) AS average FROM words),
+terms AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM words) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM terms GROUP BY t),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(ln((s.n - f.df + 0.5) / (f.df + 0.5) + 1) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len(x.w) / s.average))), 6) AS score
+  FROM terms q JOIN df f ON f.t = q.t JOIN terms d ON d.t = q.t JOIN words x ON x.doc_id = d.doc_id CROSS JOIN stats s
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP10 = """
+WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.v, y.v) >= 0.93 * sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v))),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT n.a AS vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, n.component_id, n.a = n.component_id AS kept
+FROM named n LEFT JOIN counted c ON c.a = n.a
+"""

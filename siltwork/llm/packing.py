@@ -105,7 +105,8 @@ def _packed(vocabulary: str, capacity: int, window: int, with_ids: bool):
                 crc = [zlib.crc32(ids[d][s : s + n].tobytes()) for d, s, n, _, _ in part]
                 out = [pa.array([docs[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array([len(ids[d]) for d in doc], pa.int64()), pa.array(first + sequence), pa.array(offset)]
                 if with_ids:
-                    out.append(pa.array([ids[d][s : s + n].tolist() for d, s, n, _, _ in part], pa.list_(pa.int32())))
+                    flat = np.concatenate([ids[d][s : s + n] for d, s, n, _, _ in part]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids)
             first += max(p[3] for p in pieces) + 1
             docs.clear()

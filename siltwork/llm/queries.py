@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, quality, suffix_tree, toxicity
+from . import chat, cover_tree, mixing, ngram_join, packing, pii, quality, search, suffix_tree, toxicity
 from .labelled import remainder
-from .oracles import OP2
+from .oracles import OP2, OP4, OP10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,19 @@ def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(documents, pii.train(documents))
+    count = [F.expr(f"CAST(size(filter(__base, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    every = F.expr(pii.text_of("concat(__base, __added)"))
+    return found.select("doc_id", *count, F.sha2(F.expr(pii.text_of("__base")), 256).alias("base_sha256"), every.alias("spans"), F.expr("CAST(size(__added) AS BIGINT)").alias("n_added"))
+
+
+def op4_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +49,34 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op8_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.repaired(_table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "seg", "pos", "sub", "turn", "role", "action", "step_cost", "cost", "rendered")
+
+
 def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").withColumn("held_out", remainder(5) == 0)
     net = quality.train(documents, _table(spark, sf_dir, "labels"), fold_of=5, fold=0)
     return quality.score(documents, net, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_tree_score, op2_ngram_jaccard_join, op5_source_mix, op6_cost_balanced_packing, op7_toxicity_grammar, op9_attention_quality)
+    for f in (
+        op1_suffix_tree_score,
+        op2_ngram_jaccard_join,
+        op3_pii_boosted_spans,
+        op4_block_max_search,
+        op5_source_mix,
+        op6_cost_balanced_packing,
+        op7_toxicity_grammar,
+        op8_chat_role_repair,
+        op9_attention_quality,
+        op10_cover_tree_links,
+    )
 }
-ORACLES = {"op2_ngram_jaccard_join": OP2}
+ORACLES = {"op2_ngram_jaccard_join": OP2, "op4_block_max_search": OP4, "op10_cover_tree_links": OP10}

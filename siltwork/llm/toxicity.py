@@ -284,6 +284,23 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 4, fold: int =
     return Model(lexicon, w, b)
 
 
+def kept(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores below the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = Matcher(shared.value.lexicon)
+        w, b = shared.value.weights, shared.value.bias
+        for batch in batches:
+            x = np.array([m.features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The named columns of documents, and the text's score between 0 and 1; null and empty texts score as texts without a hit."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
