@@ -1,17 +1,16 @@
-"""All named queries of the library, gathered from the modules of this folder."""
+"""All named queries of the library."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from . import quality  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-Query = Callable[[SparkSession, str], DataFrame]
 
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
