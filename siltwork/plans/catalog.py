@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import aggregates, joins, quality  # noqa: F401
+from . import aggregates, clusters, joins, quality, stories  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
