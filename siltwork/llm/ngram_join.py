@@ -34,7 +34,7 @@ from .scratch import plan_bytes, written
 LOW_BITS = 40
 FLUSH_SHINGLES = 1 << 20
 FLUSH_ROWS = 60_000
-SIGNATURE = 16
+SIGNATURE = 32  # counts of a set's shared n-grams by hash class, an upper bound of any overlap
 
 _BLOCKS = "part int, base long, keys binary, docs binary, dfs binary, ids binary, nulls binary, sizes binary, h1 binary, h2 binary"
 _BLOCK_NAMES = [x.split()[0] for x in _BLOCKS.split(", ")]
@@ -274,7 +274,7 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     own = F.col("n") - F.size("keys")
     need = F.ceil(F.col("n") * percent / 100).cast("long")
     prefix = (F.col("n") - need + 1 - own).cast("int")
-    pref = sets.select("id", "n", own.alias("own"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("at", "key"))
+    pref = sets.select("id", "n", "sig", own.alias("own"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("at", "key"))
     # the member with the fewest n-grams of its own is the likeliest original of a group of copies
     centres = pref.groupBy("key").agg(F.min(F.struct("own", "n", "id", "at")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("centre"), *(F.col(f"c.{k}").alias(f"c_{k}") for k in ("n", "own", "at")))
     pref = written(pref.join(centres, "key"), "prefix")
@@ -284,12 +284,12 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     roots = components(first)
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
     centre_of = roots.select(F.col("node").alias("centre"), F.col("root").alias("ccomp"))
-    pref = pref.join(known, "id", "left").join(centre_of, "centre", "left").select("key", "id", "n", "own", "at", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("ccomp", "centre")).alias("apart"))
+    pref = pref.join(known, "id", "left").join(centre_of, "centre", "left").select("key", "id", "n", "own", "at", "sig", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("ccomp", "centre")).alias("apart"))
     pref = written(pref, "labelled")
-    x = pref.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "own", "at", "comp")))
-    y = pref.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "own", "at", "comp", "apart")))
+    x = pref.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "own", "at", "sig", "comp")))
+    y = pref.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "own", "at", "sig", "comp", "apart")))
     once = (~F.col("y_apart")) | (F.col("x_id") < F.col("y_id"))
-    near = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_", "y_", percent))
+    near = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_", "y_", percent) & _alike("x_sig", "y_sig", F.col("x_n") + F.col("y_n"), percent))
     swap = F.col("x_id") > F.col("y_id")
     pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     second = written(_verified(pairs, sets, percent), "rest")
