@@ -158,7 +158,7 @@ def nms(rows: list[dict]) -> list[dict]:
     """Boxes by confidence times area, kept if they overlap no kept box by more than 0.35."""
     kept = []
     area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-    for b in sorted(rows, key=lambda b: (-b["conf"] * area(b), b["seq"])):
+    for b in sorted(rows, key=lambda b: (-b["conf"] * area(b), b["seq"], b["x0"], b["y0"])):
         both = [max(0.0, min(b["x1"], k["x1"]) - max(b["x0"], k["x0"])) * max(0.0, min(b["y1"], k["y1"]) - max(b["y0"], k["y0"])) for k in kept]
         if all(i / (area(b) + area(k) - i) <= 0.35 for i, k in zip(both, kept, strict=True)):
             kept.append(b)
