@@ -29,6 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(spark: SparkSession, path: str) -> str:
+    """Has the path removed when the driver ends."""
+    _written.append((spark, path))
+    return path
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size of the input in bytes; counted rows where it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
