@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import aggregates, clusters, functions, joins, layouts, quality, state, stories, streams  # noqa: F401
+from . import aggregates, clusters, functions, joins, layouts, pictures, quality, state, stories, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
