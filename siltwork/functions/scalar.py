@@ -87,6 +87,6 @@ def register(spark: SparkSession) -> None:
     """Makes ``hamming64`` and ``haversine_km`` callable from SQL, as SQL functions that the optimizer inlines."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hamming64(a BIGINT, b BIGINT) RETURNS INT RETURN IF(a IS NULL OR b IS NULL, 99, bit_count(a ^ b))")
     spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN coalesce(12742D * asin(least(1D, sqrt(
-        pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))), 0D)"""
+        """CREATE OR REPLACE TEMPORARY FUNCTION haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN CASE WHEN a + b + c + d IS NULL THEN 0D ELSE 12742D * asin(least(1D, sqrt(
+        pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))) END"""
     )
