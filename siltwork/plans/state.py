@@ -128,3 +128,19 @@ def q_presign_ceiling(spark, d):
 def q_job_progress(spark, d):
     n = F.count("*")
     return table(spark, d, "events").groupBy("user_id").agg(F.when(n >= 60, 100).when(n >= 50, 70).when(n >= 40, 45).when(n >= 20, 20).otherwise(10).alias("progress"))
+
+
+@query("SELECT event_type, user_id, max(event_id) AS event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY event_type, user_id")
+def q_ttl_cache(spark, d):
+    """What a cache still holds: the newest entry of each key within its time to live."""
+    e = table(spark, d, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    fresh = e.where(F.col("ts") > F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"))
+    return fresh.groupBy("event_type", "user_id").agg(F.max("event_id").alias("event_id"))
+
+
+@query("SELECT user_id, count(DISTINCT event_id // 40) AS chunks, max(event_id // 40) + 1 >= 240 AS final FROM events GROUP BY user_id")
+def q_chunk_status(spark, d):
+    """A session is complete when its last chunk has come; replays of a chunk change nothing."""
+    chunk = F.floor(F.col("event_id") / 40)
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_distinct(chunk).alias("chunks"), (F.max(chunk) + 1 >= 240).alias("final"))
