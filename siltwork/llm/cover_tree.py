@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import written
 
-BLOCK = 4096
+BLOCK = 8192
+CHUNK = 512  # rows of a distance matrix that are held at once
 LEAF = 24
 MOST_PIVOTS = 4096  # of all labels together; what is broadcast is at most so many vectors
 SAMPLE_A_PIVOT = 8
@@ -156,28 +157,22 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
             whole(p, q)
         elif not p.children and not q.children or len(p.members) * len(q.members) <= LEAF * LEAF:
             compare(p, q)
-        elif twin:
-            points, cover = np.array([c.point for c in p.children]), np.array([c.cover for c in p.children])
-            d = _distances(x, points, x, points)
-            i, j = np.nonzero(np.triu(d - cover[:, None] - cover[None, :] <= reach + SLACK))
-            together = d[i, j] + cover[i] + cover[j] <= reach - SLACK
-            for u, v, t in zip(i, j, together, strict=True):
-                if t and u != v:
-                    whole(p.children[u], p.children[v])
-                else:
-                    stack.append((p.children[u], p.children[v]))
         else:
-            ps = p.children if p.children and (p.cover >= q.cover or not q.children) else [p]
-            qs = q.children if q.children and (q.cover >= p.cover or not p.children) else [q]
-            pc, qc = np.array([c.cover for c in ps]), np.array([c.cover for c in qs])
-            d = _distances(x, np.array([c.point for c in ps]), y, np.array([c.point for c in qs]))
-            i, j = np.nonzero(d - pc[:, None] - qc[None, :] <= reach + SLACK)
-            together = d[i, j] + pc[i] + qc[j] <= reach - SLACK
-            for u, v, t in zip(i, j, together, strict=True):
-                if t:
-                    whole(ps[u], qs[v])
-                else:
-                    stack.append((ps[u], qs[v]))
+            ps = p.children if twin or p.children and (p.cover >= q.cover or not q.children) else [p]
+            qs = ps if twin else q.children if q.children and (q.cover >= p.cover or not p.children) else [q]
+            pp, pc = np.array([c.point for c in ps]), np.array([c.cover for c in ps])
+            qp, qc = np.array([c.point for c in qs]), np.array([c.cover for c in qs])
+            for at in range(0, len(ps), CHUNK):
+                d = _distances(x, pp[at : at + CHUNK], y, qp)
+                i, j = np.nonzero(d - pc[at : at + CHUNK, None] - qc[None, :] <= reach + SLACK)
+                together = d[i, j] + pc[at + i] + qc[j] <= reach - SLACK
+                for u, v, t in zip((i + at).tolist(), j.tolist(), together.tolist(), strict=True):
+                    if twin and u > v:
+                        continue
+                    if t and not (twin and u == v):
+                        whole(ps[u], qs[v])
+                    else:
+                        stack.append((ps[u], qs[v]))
     if same:
         nx, ny = nx + ny, nx
     return nx, ny, forest
