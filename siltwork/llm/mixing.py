@@ -161,13 +161,14 @@ class Mix:
         stop = F.least("size", (F.col("block") + 1) * BLOCK - F.col("at"))
         cut = cut.select("s", "block", "uid", begin.alias("begin"), (stop - begin).alias("words"))
         takes = self.slots.groupBy("s", "block").agg(F.count("*").alias("takes"))
-        self.pieces = cut.join(takes, ["s", "block"]).select("uid", "block", "begin", "words", "takes")
+        # the plan's few rows hide how many slots they expand to, so no estimate may choose a broadcast here
+        self.pieces = cut.join(takes.hint("merge"), ["s", "block"]).select("uid", "block", "begin", "words", "takes")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every row."""
         got = self.pieces.groupBy("uid").agg(F.sum(F.col("words") * F.col("takes")).alias("taken"))
         want = self.want.select(F.col("source").alias("src"), "source_size", "target")
-        rows = self.sized.join(got, "uid", "left").join(F.broadcast(want), F.col("source").eqNullSafe(F.col("src")))
+        rows = self.sized.join(got.hint("merge"), "uid", "left").join(F.broadcast(want), F.col("source").eqNullSafe(F.col("src")))
         return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -212,5 +213,5 @@ def mixed_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     fields = ", ".join(["__uid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
     rows = documents.mapInArrow(_numbered, fields)
     parts = mix.pieces.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("begin", "words", "takes")).alias("__parts"))
-    out = rows.join(parts, "__uid").select(*columns, "__parts").mapInPandas(_texts(columns), documents.schema)
+    out = rows.join(parts.hint("merge"), "__uid").select(*columns, "__parts").mapInPandas(_texts(columns), documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
