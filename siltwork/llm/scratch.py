@@ -1,46 +1,7 @@
-"""Written intermediate tables in the folder that driver and executors share.
-
-``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset
-(tests, local runs) a local one is used. Tables written here cut lineage and
-survive the loss of an executor. They are removed when the driver ends.
-"""
+"""Written intermediate tables and plan sizes, as the library has them."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-LOCAL_FALLBACK = "/tmp/checkpoints"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the input in bytes; counted rows where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
-    return size if size < 1 << 55 else df.count() * 4096
-
+from ..sources.scratch import plan_bytes, shared_dir, written
 
-@atexit.register
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already
-            return
+__all__ = ["plan_bytes", "shared_dir", "written"]
