@@ -109,9 +109,11 @@ def _slots(seed: int):
 def _draws(want: np.ndarray, seed: int) -> pd.DataFrame:
     """How many slots each shard draws of each source, and which: at most ``want`` a source, the missing ones in a last shard."""
     total = int(want.sum())
+    if not total:
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("shard", "s", "first", "n")})
     shards = max(1, min(SHARDS, PLAN_ROWS // max(1, len(want)), -(-total // SHARDS)))
     sizes = np.diff(np.linspace(0, total, shards + 1).astype(np.int64))
-    share = want / max(1, total)
+    share = want / total
     drawn = np.array([np.random.default_rng((seed, j)).multinomial(n, share) for j, n in enumerate(sizes)] + [np.zeros(len(want), np.int64)])
     upto = np.minimum(np.cumsum(drawn, axis=0), want)
     upto[-1] = want
@@ -145,12 +147,12 @@ class Mix:
         rows = [(s, k, int(size[k]), float(wanted[k])) for k, s in enumerate(order)]
         self.want = spark.createDataFrame(rows, "source string, s int, source_size long, target double")
         plan = _draws(want, seed)
-        plan["blocks"] = blocks[plan["s"].to_numpy(int)] if len(plan) else []
+        plan["blocks"] = blocks[plan["s"].to_numpy(int)]
         plan = spark.createDataFrame(plan[["shard", "s", "blocks", "first", "n"]].astype("int64"), "shard long, s long, blocks long, first long, n long")
         tasks = max(spark.sparkContext.defaultParallelism, int(want.sum()) >> 20)
         self.slots = plan.repartition(tasks).mapInArrow(_slots(seed), "shard long, s long, slot long, turn long, block long")
 
-        parts = max(16, -(-sum(r for _, r in sums.values()) // DOCS_A_BUCKET))
+        parts = max(256, -(-sum(r for _, r in sums.values()) // DOCS_A_BUCKET))
         keyed = self.sized.where("size > 0").join(F.broadcast(self.want.select(F.col("source").alias("src"), "s")), F.col("source").eqNullSafe(F.col("src"))).select("uid", F.col("s").cast("long").alias("s"), "doc_id", "size", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).alias("bucket"))
         ahead = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         heads = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("sum")).select("s", "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("head"))
