@@ -152,15 +152,16 @@ def _traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         first, last, closes, cost = held[0][6:]
         steps = traced([r[4] for r in held], first, last)
-        out = []
+        out: list[tuple] = []
+        head = lambda r: f"{'' if first == START and not out else chr(10)}<|{ROLES[r]}|>\n"
         for (conv, seg, pos, turn, _, text, *_), (inserted, role, action, c) in zip(held, steps, strict=True):
             for k, r in enumerate(inserted):
-                out.append((conv, seg, pos, k, None, ROLES[r], "insert", INSERT, cost, f"<|{ROLES[r]}|>\n"))
+                out.append((conv, seg, pos, k, None, ROLES[r], "insert", INSERT, cost, head(r)))
             body = text or ""
-            out.append((conv, seg, pos, len(inserted), turn, ROLES[role], action, c - INSERT * len(inserted), cost, f"\n{body}" if action.endswith("merge") else f"<|{ROLES[role]}|>\n{body}"))
+            out.append((conv, seg, pos, len(inserted), turn, ROLES[role], action, c - INSERT * len(inserted), cost, f"\n{body}" if action.endswith("merge") else f"{head(role)}{body}"))
         if closes:
             for k, r in enumerate(CLOSING[last]):
-                out.append((held[-1][0], held[-1][1], held[-1][2], 10 + k, None, ROLES[r], "insert", INSERT, cost, f"<|{ROLES[r]}|>\n"))
+                out.append((held[-1][0], held[-1][1], held[-1][2], 10 + k, None, ROLES[r], "insert", INSERT, cost, head(r)))
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in _REPAIRED.split(", ")])
 
