@@ -27,7 +27,7 @@ from .components import components
 from .scratch import written
 
 BLOCK = 8192
-CHUNK = 512  # rows of a distance matrix that are held at once
+CHUNK, STRIP = 512, 1 << 16  # rows of a distance matrix, and pairs of leaf members, that are held at once
 LEAF = 24
 MOST_PIVOTS = 4096  # of all labels together; what is broadcast is at most so many vectors
 SAMPLE_A_PIVOT = 8
@@ -150,6 +150,27 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
         for i, j in zip(*np.nonzero(hit), strict=True):
             forest.join(int(p.members[i]), int(q.members[j]) + shift)
 
+    def compare_leaves(ps: list[Node], i: np.ndarray, qs: list[Node], j: np.ndarray) -> None:
+        """Many pairs of different leaves at once."""
+        if not len(i):
+            return
+        mp, mq = (np.concatenate([c.members for c in side]) for side in (ps, qs))
+        np_, nq = (np.array([len(c.members) for c in side]) for side in (ps, qs))
+        op, oq = np.cumsum(np_) - np_, np.cumsum(nq) - nq
+        ends = np.cumsum(np_[i] * nq[j])
+        for part in np.split(np.arange(len(i)), np.unique(np.searchsorted(ends, np.arange(STRIP, ends[-1], STRIP)))):
+            u, v = i[part], j[part]
+            n = np_[u] * nq[v]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat(nq[v], n)
+            a, b = mp[np.repeat(op[u], n) + k // wide], mq[np.repeat(oq[v], n) + k % wide]
+            hit = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
+            a, b = a[hit], b[hit]
+            np.add.at(nx, a, wy[b])
+            np.add.at(ny, b, wx[a])
+            for u, v in zip(a.tolist(), b.tolist(), strict=True):
+                forest.join(u, v + shift)
+
     while stack:
         p, q = stack.pop()
         twin = same and p is q
@@ -162,14 +183,19 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
             qs = ps if twin else q.children if q.children and (q.cover >= p.cover or not p.children) else [q]
             pp, pc = np.array([c.point for c in ps]), np.array([c.cover for c in ps])
             qp, qc = np.array([c.point for c in qs]), np.array([c.cover for c in qs])
+            leaves = np.array([not c.children for c in ps]), np.array([not c.children for c in qs])
             for at in range(0, len(ps), CHUNK):
                 d = _distances(x, pp[at : at + CHUNK], y, qp)
                 i, j = np.nonzero(d - pc[at : at + CHUNK, None] - qc[None, :] <= reach + SLACK)
+                if twin:
+                    i, j = i[i + at <= j], j[i + at <= j]
                 together = d[i, j] + pc[at + i] + qc[j] <= reach - SLACK
-                for u, v, t in zip((i + at).tolist(), j.tolist(), together.tolist(), strict=True):
-                    if twin and u > v:
-                        continue
-                    if t and not (twin and u == v):
+                i += at
+                apart = ~(twin & (i == j))
+                small = leaves[0][i] & leaves[1][j] & apart & ~together
+                compare_leaves(ps, i[small], qs, j[small])
+                for u, v, t in zip(i[~small].tolist(), j[~small].tolist(), (together & apart)[~small].tolist(), strict=True):
+                    if t:
                         whole(ps[u], qs[v])
                     else:
                         stack.append((ps[u], qs[v]))
