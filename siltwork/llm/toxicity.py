@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,21 +198,24 @@ def _stems(text: str) -> set[str]:
     return out
 
 
-def _count_stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text, label: how many toxic and how many clean texts have each stem."""
     pos, neg = Counter(), Counter()
 
-    def rows() -> pd.DataFrame:
+    def rows() -> Iterator[pa.RecordBatch]:
         every = sorted(pos.keys() | neg.keys())
-        return pd.DataFrame({"stem": every, "pos": [pos[s] for s in every], "neg": [neg[s] for s in every]})
-
-    for frame in frames:
-        for text, label in zip(frame["text"], frame["label"], strict=True):
-            (pos if label else neg).update(_stems(text or ""))
+        for i in range(0, len(every), 20_000):
+            some = every[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([pos[s] for s in some], pa.int64()), pa.array([neg[s] for s in some], pa.int64())], ["stem", "pos", "neg"])
+        pos.clear()
+        neg.clear()
+
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            (pos if label else neg).update(_stems(text.as_py() or ""))
             if len(pos) + len(neg) > 500_000:
-                yield rows()
-                pos.clear()
-                neg.clear()
-    yield rows()
+                yield from rows()
+    yield from rows()
 
 
 def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: float = 0.004, most_stems: int = 20_000) -> Lexicon:
@@ -221,7 +224,7 @@ def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: fl
     if not n.p or not n.n:
         return Lexicon({})
     ratio = ((F.col("pos") + 0.5) / (n.p + 1)) / ((F.col("neg") + 0.5) / (n.n + 1))
-    counted = sampled.mapInPandas(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = sampled.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = counted.where((F.col("pos") >= max(4, least_share * n.p)) & (ratio >= least_ratio)).select("stem", "pos", ratio.alias("ratio")).orderBy(F.desc("pos"), "stem").limit(most_stems).collect()
     count = {r.stem: r.pos for r in found}
     weight = {r.stem: float(np.log(r.ratio)) for r in found}
@@ -272,12 +275,12 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 4, fold: int =
     sc = documents.sparkSession.sparkContext
     shared = sc.broadcast(lexicon)
 
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(shared.value)
-        for f in frames:
-            yield pd.DataFrame({"x": [m.features(t) for t in f["text"]], "label": f["label"]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([m.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
-    rows = sampled.mapInPandas(features, "x array<double>, label int").toPandas()
+    rows = sampled.mapInArrow(features, "x array<double>, label int").toPandas()
     if not len(rows) or rows["label"].nunique() < 2:
         return Model(lexicon, np.zeros(FEATURES), float(np.log(0.05)))
     w, b = fit_logistic(np.array(rows["x"].tolist()), rows["label"].to_numpy(float))
@@ -290,8 +293,6 @@ def kept(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     at = documents.columns.index("text")
 
     def run(batches):
-        import pyarrow as pa
-
         m = Matcher(shared.value.lexicon)
         w, b = shared.value.weights, shared.value.bias
         for batch in batches:
@@ -308,8 +309,6 @@ def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     schema = rows.select(*columns).schema.add("score", "double")
 
     def run(frames):
-        import pyarrow as pa
-
         m = Matcher(shared.value.lexicon)
         w, b = shared.value.weights, shared.value.bias
         for batch in frames:
