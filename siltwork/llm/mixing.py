@@ -177,23 +177,28 @@ class Mix:
 def _texts(columns: list[str]):
     at, kept = columns.index("text"), len(columns)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                spans = [m.span() for m in WORD.finditer(row[at])]
-                parts = sorted((p["begin"], p["words"], p["takes"]) for p in row[kept])
-                for turn in range(1, MOST + 1):
-                    runs: list[list[int]] = []
-                    for begin, n, takes in parts:
-                        if takes >= turn:
-                            if runs and runs[-1][1] == begin:
-                                runs[-1][1] += n
-                            else:
-                                runs.append([begin, begin + n])
-                    if runs:
-                        rows.append((*row[:at], "\n".join(row[at][spans[a][0] : spans[b - 1][1]] for a, b in runs), *row[at + 1 : kept]))
-            yield pd.DataFrame(rows, columns=columns).astype(frame.dtypes[columns].to_dict())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                rows, texts = [], []
+                for k, (text, parts) in enumerate(zip(some.column(at).to_pylist(), some.column(kept).to_pylist(), strict=True)):
+                    spans = [m.span() for m in WORD.finditer(text)]
+                    parts.sort(key=lambda p: p["begin"])
+                    for turn in range(1, MOST + 1):
+                        runs: list[list[int]] = []
+                        for p in parts:
+                            if p["takes"] >= turn:
+                                if runs and runs[-1][1] == p["begin"]:
+                                    runs[-1][1] += p["words"]
+                                else:
+                                    runs.append([p["begin"], p["begin"] + p["words"]])
+                        if runs:
+                            rows.append(k)
+                            texts.append("\n".join(text[spans[x][0] : spans[y - 1][1]] for x, y in runs))
+                out = [c.take(pa.array(rows, pa.int64())) for c in some.columns[:kept]]
+                out[at] = pa.array(texts, some.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(out, columns)
 
     return run
 
@@ -215,5 +220,5 @@ def mixed_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     fields = ", ".join(["__uid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
     rows = documents.mapInArrow(_numbered, fields)
     parts = mix.pieces.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("begin", "words", "takes")).alias("__parts"))
-    out = rows.join(parts.hint("merge"), "__uid").select(*columns, "__parts").mapInPandas(_texts(columns), documents.schema)
+    out = rows.join(parts.hint("merge"), "__uid").select(*columns, "__parts").mapInArrow(_texts(columns), documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
