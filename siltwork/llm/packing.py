@@ -25,6 +25,7 @@ CAPACITY = 1024
 WINDOW = 1 << 22
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n
 BOUNDARY = 0
+ADDED = {"<|endoftext|>": 50256}  # the vocabulary's added token, which a tokenizer finds inside texts too
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[str, object] = {}
@@ -38,7 +39,7 @@ def encoder(vocabulary: str):
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[vocabulary] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encoders[vocabulary]
 
 
@@ -115,7 +116,7 @@ def _packed(vocabulary: str, capacity: int, window: int, with_ids: bool):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.append(encode(text.as_py() or "", disallowed_special=()), BOUNDARY).astype("<u4")
+                own = np.append(encode(text.as_py() or "", allowed_special="all"), BOUNDARY).astype("<u4")
                 docs.append(doc_id)
                 ids.append(own)
                 held += len(own)
@@ -130,8 +131,8 @@ def _packed(vocabulary: str, capacity: int, window: int, with_ids: bool):
 def pack(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """A row for each piece of documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
-    Special strings in a text are ordinary text; a null or empty text has its one
-    boundary id. Rows with equal (or null) doc_ids are packed as documents of their
+    An added token's string in a text becomes its one id, as ``tokenizers`` encodes it
+    with ``add_special_tokens=False``; a null or empty text has its one boundary id. Rows with equal (or null) doc_ids are packed as documents of their
     own. ``sequence_id`` is unique over tasks. ``vocabulary``: path of a rank file.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

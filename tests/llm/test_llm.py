@@ -296,6 +296,19 @@ def test_packing(documents, corpus, window):
             assert [x for r in rs for x in r.ids] == list(next(k for k in whole if k[0] == d)[1])
 
 
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|", "x <|ENDOFTEXT|> y"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()
+    ids = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.start):
+        ids[r.doc_id] += r.ids
+    assert [ids[i] for i in range(len(texts))] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert 50256 in ids[0]
+
+
 def test_assignment_balances_cost():
     rng = random.Random(0)
     sizes = [rng.randint(1, 900) for _ in range(300)]
