@@ -190,7 +190,7 @@ def spans(documents: DataFrame, model: Booster) -> DataFrame:
     good = f"filter(flatten(array({loose})), x -> coalesce(x.ok, true) AND " + _let(f"named_struct({features})", "f", f"{model.sql()} >= CASE f.kind {cuts} ELSE double('Infinity') END") + ")"
     bare = f"transform({good}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))"
     apart = "filter(cand, (x, i) -> NOT exists(__base, b -> b.s < x.e AND x.s < b.e) AND NOT exists(slice(cand, 1, i), b -> b.s < x.e AND x.s < b.e))"
-    return out.withColumn("__added", F.expr(f"CAST(IF(__t rlike '[0-9@(]', {_let(bare, 'cand', apart)}, array()) AS {spot})")).drop("__t")
+    return out.withColumn("__added", F.expr(f"CAST({_let(bare, 'cand', apart)} AS {spot})")).drop("__t")
 
 
 def text_of(column: str) -> str:

@@ -171,6 +171,15 @@ def test_added_spans_overlap_nothing(personal):
     assert found[14] == "email:0:24" and found[25] == "phone:0:14"
 
 
+def test_spans_in_texts_without_digits(spark):
+    texts = ["write to anna [at] posta [dot] example", "ask anna [AT] posta.example", "host ab:cd:ef:ab:cd:ef:ab:cd up", "anna (at) posta (dot) example", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    eager = pii.Booster([], 5.0, [0.0] * 4)
+    got = {r.doc_id: r.a for r in pii.spans(docs, eager).select("doc_id", F.expr(pii.text_of("__added")).alias("a")).collect()}
+    assert got == {0: "email:9:38", 1: "email:4:27", 2: "ip:5:28", 3: "email:0:29", 4: ""}
+    assert {r.doc_id: r.text for r in pii.redact(docs, eager).collect()}[0] == "write to <email>"
+
+
 def test_redaction(personal):
     got = {r.doc_id: r.text for r in pii.redact(personal, pii.Booster([], 0.0, [float("inf")] * 4)).collect()}
     for i, t in enumerate(PERSONAL):
