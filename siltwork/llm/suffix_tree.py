@@ -2,23 +2,22 @@
 
 Tokens are words and one end per text. The root's distribution is the smoothed
 unigram ``(c + 0.1) / (N + 0.1 * (V + 1))``, in which all unknown words are one
-symbol. A token's candidate context is the shortest run of words before it (up to
-``DEPTH``, the text's start among them) that begins with a word rarer than
-``hot_share`` of all tokens (or than ``hot_least`` occurrences, where that is more):
-one word where that word is rare, more after frequent words. So no context holds
-more than that and no task a large part of all tokens.
+symbol. Contexts are all runs of 1 to ``DEPTH`` words before a token, the text's
+start among them, and every symbol is counted in each.
 
 A context is retained when its next-symbol distribution diverges from its suffix's:
-the leave-one-out log likelihood that it gains over the root on its own training
-tokens must exceed ``log(count + 1)`` (pruned suffixes between a context and the
-root pass on the root's distribution). Retained contexts' distributions are
-interpolated with the root's by Witten-Bell weights, and a token is scored in its
-longest retained suffix state. Tokens predicted from contexts are the ``head_words``
-most frequent words and the end; other words are scored at the root.
-
-Everything is counted over all training texts. Occurrences travel as packed blocks
-dealt by context hash, counts and judgement happen where a context's occurrences
-meet, and only what retained contexts add to a text's score travels back.
+the leave-one-out log likelihood that it gains over the state of its own suffix (the
+longest retained one) on its training tokens must exceed ``log(count + 1)``. Its
+distribution is interpolated with that state's by Witten-Bell weights, so each sums
+to one, and a token is scored in its longest retained suffix.
+
+Everything is counted over all training texts. An occurrence travels once, packed,
+to the range of its shortest context that is not hot (more than ``hot_share`` of all
+tokens and ``hot_least`` occurrences); all longer ones meet there too, so its chain
+is judged in place. Hot contexts' (context, symbol) counts are added up before they
+are exchanged and judged level by level. The likeliest ``head_words`` symbols of the
+root and pairs of each hot level are looked up where the text is read, all others
+by a join; no result depends on these limits.
 """
 
 from __future__ import annotations
@@ -38,8 +37,7 @@ from .scratch import plan_bytes, written
 DEPTH = 3
 MERGE_WORDS = 1 << 19
 FLUSH_TOKENS, FLUSH_ROWS = 1 << 20, 30_000
-HELD = 1 << 15  # marks a held-out text's number in a block
-START = np.uint64(0x7A3D5F1C9B24E861)
+START, END = np.uint64(0x7A3D5F1C9B24E861), np.uint64(0x2C9E7B5A41D8F36D)
 CONTEXT_BYTES = 5
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -102,7 +100,7 @@ def _texts(head):
     """A row for each text with what its frequent words add to the root's score, and one for each of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, train, _ = head.value
+        hashes, train = head.value
         find = _Head(hashes)
         log_c = np.log10(train + 0.1)
         uid = TaskContext.get().partitionId() << 40
@@ -130,74 +128,135 @@ def _texts(head):
 
 # --- contexts -------------------------------------------------------------------
 
-_BLOCKS = "part int, base long, keys binary, said binary, docs binary"
-_BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("keys", pa.binary()), ("said", pa.binary()), ("docs", pa.binary())])
+_BLOCKS = "part int, base long, keys binary, said binary, low binary, flags binary, docs binary"
+_BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in ("keys", "said", "low", "flags", "docs"))])
+_RARE = "uid long, learn boolean, more int, a0 long, a1 long, a2 long, ctx long, s long"
+_RARE_ARROW = pa.schema([("uid", pa.int64()), ("learn", pa.bool_()), ("more", pa.int32()), *((c, pa.int64()) for c in ("a0", "a1", "a2", "ctx", "s"))])
+KEY_BYTES = (CONTEXT_BYTES, 4, 4)
+MORE, LEARN, WHOLE = 3, 4, 8  # bits of an occurrence's flags: contexts beyond the given state, training text, its whole score is due
 
 
 def _narrow(x: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
-def _wide(data: list[bytes], width: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, width)
+def _wide(flat: np.ndarray) -> np.ndarray:
     out = np.zeros((len(flat), 8), dtype=np.uint8)
-    out[:, :width] = flat
+    out[:, : flat.shape[1]] = flat
     return out.view("<u8").ravel()
 
 
-def context_tokens(w: textscan.Words, find: _Head, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, context hash, symbol) of the tokens that have a candidate context; the symbol past all words is the end."""
+def extended(key, word, k: int):
+    """The key of the context of ``k`` words that has one more word before the context ``key``."""
+    return textscan.mix((key ^ word) * _ORDER[k - 1] + np.uint64(k))
+
+
+def pair_key(ctx: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return textscan.mix(ctx ^ textscan.mix(s))
+
+
+def chains(w: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, symbol, keys of the contexts of 1 to DEPTH words, how many of them exist) of every token, ends among them."""
     rows = len(w.per_row)
     size = w.per_row + 2
     first = np.cumsum(size) - size
     n = int(size.sum())
     h = np.full(n, START, dtype=np.uint64)
-    symbol = np.full(n, -1)
-    often = np.ones(n, dtype=bool)
-    place = first[w.row] + 1 + np.arange(len(w.hash)) - textscan.rows_of(w.per_row)[:-1][w.row]
-    h[place] = w.hash
-    symbol[place] = found = find.find(w.hash)
-    often[place] = (found >= 0) & hot[found] if len(hot) else False
-    symbol[first + size - 1] = len(find.h)
-    row = np.repeat(np.arange(rows), size)
+    h[first[w.row] + 1 + np.arange(len(w.hash)) - textscan.rows_of(w.per_row)[:-1][w.row]] = w.hash
+    h[first + size - 1] = END
     at = np.arange(n) - np.repeat(first, size)
-    key, open_, has = np.zeros(n, dtype=np.uint64), at > 0, np.zeros(n, dtype=bool)
+    keys, key = np.zeros((DEPTH, n), dtype=np.uint64), np.zeros(n, dtype=np.uint64)
     for k in range(1, DEPTH + 1):
-        inside = np.flatnonzero(open_ & (at >= k))
-        key[inside] = textscan.mix((key[inside] ^ h[inside - k]) * _ORDER[k - 1] + np.uint64(k))
-        rare = ~often[inside - k]
-        has[inside[rare]] = True
-        open_ = np.zeros(n, dtype=bool)
-        open_[inside[~rare]] = True
-    use = np.flatnonzero(has & (symbol >= 0))
-    return row[use], key[use], symbol[use]
+        inside = np.flatnonzero(at >= k)
+        key[inside] = extended(key[inside], h[inside - k], k)
+        keys[k - 1, inside] = key[inside]
+    use = np.flatnonzero(at > 0)
+    return np.repeat(np.arange(rows), size)[use], h[use], keys[:, use], np.minimum(at[use], DEPTH)
+
 
+def _state(finds: list, keys: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The number of words of each token's longest hot context; every suffix of a hot context is hot."""
+    d = np.zeros(len(m), dtype=np.int64)
+    for k, find in enumerate(finds):
+        open_ = np.flatnonzero((d == k) & (m > k))
+        d[open_[find.find(keys[k, open_]) >= 0]] = k + 1
+    return d
 
-def _occurrences(head, bits: int):
-    """Packed, sorted (context, symbol, text) of each flush by range of contexts."""
+
+def _hot_pairs(hot, level: int):
+    """Columns held_out, text: counts of (hot context of ``level`` words, symbol), added up over many tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, _, hot = head.value
-        find = _Head(hashes)
+        find = _Head(hot.value)
+        held: list[tuple] = []
+
+        def merge() -> pa.RecordBatch:
+            ctx, s, t, e = (np.concatenate([x[k] for x in held]) for k in range(4))
+            held.clear()
+            order = np.lexsort((s, ctx))
+            ctx, s = ctx[order], s[order]
+            new = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (s[1:] != s[:-1]))))
+            t, e = (np.add.reduceat(x[order], new) for x in (t, e))
+            return pa.RecordBatch.from_arrays([pa.array(ctx[new].view(np.int64)), pa.array(s[new].view(np.int64)), pa.array(t), pa.array(e)], ["ctx", "s", "train", "every"])
+
+        for batch in batches:
+            learn = ~np.asarray(batch.column(0))
+            offsets, data = textscan.string_bytes(batch.column(1))
+            for i, j in textscan.slices(offsets):
+                row, s, keys, m = chains(textscan.words(offsets, data, i, j))
+                own = np.flatnonzero(m >= level)
+                own = own[find.find(keys[level - 1, own]) >= 0]
+                if len(own):
+                    held.append((keys[level - 1, own], s[own], learn[i:j][row[own]].astype(np.int64), np.ones(len(own), dtype=np.int64)))
+                if sum(len(x[0]) for x in held) > FLUSH_TOKENS:
+                    yield merge()
+        if held:
+            yield merge()
+
+    return run
+
+
+def _cut(part: np.ndarray, a: np.ndarray, s: np.ndarray, low: np.ndarray, flags: np.ndarray, docs: np.ndarray, base: int) -> pa.RecordBatch:
+    """One packed row for each range of contexts."""
+    order = np.argsort(part, kind="stable")
+    some, edge = np.unique(part[order], return_index=True)
+    edge = np.append(edge, len(part))
+    keys = np.concatenate([_narrow(a[k, order], n) for k, n in enumerate(KEY_BYTES)], axis=1)
+    columns = keys, _narrow(s[order], 4), low[order].astype("<f4"), flags[order].astype(np.uint8), docs[order]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), base)), *(pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in columns)], schema=_BLOCKS_ARROW)
+
+
+def _part(a0: np.ndarray, bits: int) -> np.ndarray:
+    return (a0 >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _occurrences(shared, bits: int, rare: bool):
+    """Packed occurrences of each flush by range of contexts, and the flush's sums of known scores; or, ``rare``, the rest, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, pairs, known = shared.value
+        finds, find = [_Head(h) for h in hot], _Head(pairs)
         base = TaskContext.get().partitionId() << 40
         n_docs = n_tokens = 0
         held: list[tuple] = []
+        sums = np.zeros(FLUSH_ROWS)
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base, n_docs, n_tokens
-            doc, key, said = (np.concatenate([x[k] for x in held]) for k in range(3))
-            key >>= np.uint64(64 - bits - 8 * CONTEXT_BYTES)
-            order = np.argsort(key, kind="stable")
-            key, doc, said = key[order], doc[order].astype("<u2"), _narrow(said[order], 3)
-            edge = np.searchsorted(key >> np.uint64(8 * CONTEXT_BYTES), np.arange((1 << bits) + 1, dtype=np.uint64))
-            low = _narrow(key, CONTEXT_BYTES)
-            some = np.flatnonzero(edge[1:] > edge[:-1])
-            cut = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())
-            out = pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), base)), cut(low), cut(said), cut(doc)], schema=_BLOCKS_ARROW)
+            if rare:
+                doc, s, a, more, learn, ctx = (np.concatenate([x[k] for x in held], axis=-1) for k in range(6))
+                yield pa.RecordBatch.from_arrays([pa.array(base + doc), pa.array(learn), pa.array(more.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*a, ctx, s))], schema=_RARE_ARROW)
+            else:
+                doc, s, a, more, learn, low = (np.concatenate([x[k] for x in held], axis=-1) for k in range(6))
+                if len(doc):
+                    yield _cut(_part(a[0], bits), _within(a, bits), s, low, more + LEARN * learn, doc.astype("<u2"), base)
+                total = np.arange(n_docs).astype("<u2").tobytes()
+                part = int(textscan.mix(np.array([base], dtype=np.uint64))[0] >> np.uint64(64 - bits))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([base]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([sums[:n_docs].astype("<f8").tobytes()]), pa.array([None], pa.binary()), pa.array([total])], schema=_BLOCKS_ARROW)
             base += n_docs
             n_docs = n_tokens = 0
+            sums[:] = 0
             held.clear()
-            return out
 
         for batch in batches:
             apart = np.asarray(batch.column(0))
@@ -205,14 +264,57 @@ def _occurrences(head, bits: int):
             for i, j in textscan.slices(offsets):
                 while i < j:
                     k = min(j, i + FLUSH_ROWS - n_docs)
-                    row, key, said = context_tokens(textscan.words(offsets, data, i, k), find, hot)
-                    held.append((row + n_docs + HELD * apart[i:k][row], key, said))
+                    row, s, keys, m = chains(textscan.words(offsets, data, i, k))
+                    d = _state(finds, keys, m)
+                    ctx = np.where(d > 0, keys[np.maximum(d - 1, 0), np.arange(len(d))], np.uint64(0))
+                    at = find.find(pair_key(ctx, s))
+                    if not rare:
+                        hit = at >= 0
+                        sums[:] += np.bincount(row[hit] + n_docs, np.log10(known[at[hit]]), minlength=FLUSH_ROWS)
+                    use = np.flatnonzero(at < 0 if rare else (at >= 0) & (m > d))
+                    a = np.zeros((DEPTH, len(use)), dtype=np.uint64)
+                    for x in range(DEPTH):
+                        to = d[use] + x
+                        a[x] = np.where(to < m[use], keys[np.minimum(to, DEPTH - 1), use], np.uint64(0))
+                    if rare:
+                        a[0] = np.where(m[use] > d[use], a[0], pair_key(ctx[use], s[use]))
+                    held.append((row[use] + n_docs, s[use], a, (m - d)[use], ~apart[i:k][row[use]], ctx[use] if rare else known[at[use]]))
                     n_docs += k - i
-                    n_tokens += len(key)
+                    n_tokens += len(use)
                     i = k
                     if n_docs >= FLUSH_ROWS or n_tokens >= FLUSH_TOKENS:
-                        yield flush()
+                        yield from flush()
         if n_docs:
+            yield from flush()
+
+    return run
+
+
+def _within(a: np.ndarray, bits: int) -> np.ndarray:
+    """Keys as kept inside a range: the first one's bits below the range's."""
+    a = a.copy()
+    a[0] = (a[0] << np.uint64(bits)) >> np.uint64(64 - 8 * CONTEXT_BYTES)
+    return a
+
+
+def _rare_blocks(bits: int):
+    """Rows of rare occurrences with ``low``, packed; ``docs`` holds whole uids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            get = lambda c: t.column(c).to_numpy()
+            a = np.array([get(c).view(np.uint64) for c in ("a0", "a1", "a2")])
+            return _cut(_part(a[0], bits), _within(a, bits), get("s").view(np.uint64), get("low"), get("more") + LEARN * get("learn") + WHOLE, get("uid").astype("<i8"), -1)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(len(b) for b in held) > FLUSH_TOKENS >> 1:
+                yield flush()
+        if sum(len(b) for b in held):
             yield flush()
 
     return run
@@ -223,6 +325,11 @@ def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray
 
     ``root``: the symbols' root probabilities. All occurrences of a context are here.
     """
+    return judge_against(key, said, learn, root[said])
+
+
+def judge_against(key: np.ndarray, said: np.ndarray, learn: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """As ``judge``, with the probability ``low`` of each occurrence's symbol in the state of its context's suffix."""
     order = np.lexsort((said, key))
     k, s, t = key[order], said[order], learn[order].astype(float)
     new_k = np.concatenate(([True], k[1:] != k[:-1]))
@@ -232,7 +339,7 @@ def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray
     c = np.bincount(pair, t)
     n = np.bincount(ctx, t)
     kinds = np.bincount(of, c > 0)
-    p0 = root[s[new]]
+    p0 = low[order][new]
     a = np.maximum(kinds[of], 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         one_out = c * (np.log((np.maximum(c - 1, 0) + a * p0) / np.maximum(n[of] - 1 + a, 1e-9)) - np.log(p0))
@@ -244,39 +351,69 @@ def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray
     return out
 
 
-def _judged(head, total: int, kinds: int, ends: int):
-    """Rows come sorted by range: what the range's retained contexts add, by flush."""
+def climb(a: np.ndarray, said: np.ndarray, learn: np.ndarray, more: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What each occurrence's contexts ``a[0]``, ``a[1]``, ... (``more`` of them exist) add to log10 ``low``, each judged against its own suffix's state."""
+    add = np.zeros(len(said))
+    for k in range(DEPTH):
+        use = np.flatnonzero(more > k)
+        if len(use):
+            key = a[0, use]
+            for x in range(1, k + 1):  # a longer context is known within its suffix
+                key = textscan.mix(key ^ (a[x, use] + np.uint64(x) * _ORDER[0]))
+            add[use] += judge_against(key, said[use], learn[use], low[use] * 10.0 ** add[use])
+    return add
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, train, _ = head.value
-        root = (np.append(train, ends) + 0.1) / (total + 0.1 * (kinds + 1))
-        part, held = None, []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            docs = np.concatenate([np.frombuffer(r["docs"], "<u2") for r in held])
-            add = judge(_wide([r["keys"] for r in held], CONTEXT_BYTES), _wide([r["said"] for r in held], 3).astype(np.int64), docs < HELD, root)
-            bases, doc_parts, add_parts, at = [], [], [], 0
-            for r in held:
-                n = len(r["docs"]) // 2
-                own = np.flatnonzero(add[at : at + n])
-                if len(own):
-                    bases.append(r["base"])
-                    doc_parts.append((docs[at : at + n][own] & (HELD - 1)).tobytes())
-                    add_parts.append(add[at : at + n][own].astype("<f4").tobytes())
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(doc_parts, pa.binary()), pa.array(add_parts, pa.binary())], ["base", "docs", "adds"])
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["part"] != part:
-                    yield from finish()
-                    part, held = r["part"], []
-                held.append(r)
-        yield from finish()
+_GRID = 14  # rare occurrences' texts are named by their number's leading bits
 
-    return run
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by range: what the range's occurrences add, by flush."""
+    part, held = None, []
+
+    def out(bases: list, docs: list, adds: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(docs, pa.binary()), pa.array(adds, pa.binary())], ["base", "docs", "adds"])
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        join = lambda c, t: np.frombuffer(b"".join(r[c] for r in held), t)
+        keys, flags, low = join("keys", np.uint8).reshape(-1, sum(KEY_BYTES)), join("flags", np.uint8), join("low", "<f4").astype(float)
+        edge = np.cumsum((0, *KEY_BYTES))
+        a = np.array([_wide(keys[:, i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)])
+        add = climb(a, join("said", "<u4"), (flags & LEARN) > 0, flags & MORE, low)
+        add += np.where(flags & WHOLE, np.log10(low), 0.0)
+        bases, doc_parts, add_parts, at = [], [], [], 0
+        for r in held:
+            n = len(r["flags"])
+            own = np.flatnonzero(add[at : at + n])
+            docs, sums = np.frombuffer(r["docs"], "<u2" if r["base"] >= 0 else "<i8")[own], add[at : at + n][own]
+            at += n
+            if not len(docs):
+                continue
+            if r["base"] >= 0:
+                grid = np.full(len(docs), r["base"])
+            else:
+                grid = docs >> _GRID << _GRID
+                order = np.argsort(grid, kind="stable")
+                grid, sums, docs = grid[order], sums[order], (docs - grid)[order]
+            some, first = np.unique(grid, return_index=True)
+            for b, i, j in zip(some, first, np.append(first[1:], len(docs)), strict=True):
+                bases.append(int(b))
+                doc_parts.append(docs[i:j].astype("<u2").tobytes())
+                add_parts.append(sums[i:j].astype("<f4").tobytes())
+        yield out(bases, doc_parts, add_parts)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["keys"] is None:
+                yield out([r["base"]], [r["docs"]], [r["low"]])
+                continue
+            if r["part"] != part:
+                yield from finish()
+                part, held = r["part"], []
+            held.append(r)
+    yield from finish()
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,10 +430,32 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["base"] != base:
                 yield from finish()
                 base, total = r["base"], np.zeros(FLUSH_ROWS)
-            total += np.bincount(np.frombuffer(r["docs"], "<u2"), np.frombuffer(r["adds"], "<f4"), minlength=FLUSH_ROWS)
+            docs = np.frombuffer(r["docs"], "<u2")
+            total += np.bincount(docs, np.frombuffer(r["adds"], "<f8" if len(r["adds"]) == 8 * len(docs) else "<f4"), minlength=FLUSH_ROWS)
     yield from finish()
 
 
+def _most(rows: DataFrame, by: str, limit: int) -> DataFrame:
+    """Whole levels of the largest counts, at most ``limit`` rows: counts by level are a small table at any size."""
+    level = F.floor(F.log2(F.col(by) + 1) * 8).cast("int")
+    left, least = limit, None
+    for r in sorted(rows.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return rows.where(level >= least if least is not None else F.lit(False))
+
+
+def _key(name: tuple) -> list[np.uint64]:
+    """Keys of the suffixes of a context given by its words' hashes, oldest first."""
+    out, key = [], np.zeros(1, dtype=np.uint64)
+    for k, word in enumerate(reversed(name), 1):
+        key = extended(key, np.uint64(word), k)
+        out.append(key[0])
+    return out
+
+
 def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1 << 18, hot_share: float = 1e-4, hot_least: int = 1 << 14) -> DataFrame:
     """Per row of documents (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -315,25 +474,56 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
     ends = docs.where("NOT held_out").count()
     total, kinds = sums.train + ends, sums.kinds + (ends > 0)
 
-    level = F.floor(F.log2("every") * 8).cast("int")  # counts by level are a small table at any size
-    left, least = head_words, None
-    for r in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
-    top = vocabulary.where(level >= least if least is not None else F.lit(False)).toPandas()
+    top = _most(vocabulary, "train", head_words).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    head = sc.broadcast((h[order], top["train"].to_numpy(np.int64)[order], top["every"].to_numpy(np.int64)[order] > max(hot_least, hot_share * sums.every)))  # at most head_words rows
+    h, train = h[order], top["train"].to_numpy(np.int64)[order]
+    head = sc.broadcast((h, train))  # at most head_words rows
 
     seen = written(docs.mapInArrow(_texts(head), _SEEN), "seen")
     other = seen.where("h IS NOT NULL").select("uid", "h", "n").join(vocabulary.select("h", "train"), "h").groupBy("uid").agg(F.sum(F.when(F.col("train") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10(F.col("train") + F.lit(0.1))).alias("b"))
 
+    floor, scale = 0.1, total + 0.1 * (kinds + 1)
+    lower = vocabulary.select(F.lit(0).cast("long").alias("ctx"), F.col("h").alias("s"), ((F.col("train") + floor) / scale).alias("low"))
+    end = docs.sparkSession.createDataFrame([(0, int(END.view(np.int64)), float((ends + floor) / scale))], "ctx long, s long, low double")
+    lower = least = lower.unionByName(end)
+    hot_over = max(hot_least, hot_share * sums.every)
+    hot: list[np.ndarray] = []
+    pairs, known = [pair_key(np.zeros(len(h) + 1, dtype=np.uint64), np.append(h, END))], [(np.append(train, ends) + floor) / scale]
+    n_docs = docs.count()
+    names = {(int(np.int64(r.h).view(np.uint64)),): None for r in vocabulary.where(F.col("every") > hot_over).select("h").collect()}  # at most 1 / hot_share rows
+    names |= {(int(START),): None} if n_docs > hot_over else {}
+    for level in range(1, DEPTH + 1):
+        keyed = {int(_key(name)[-1]): name for name in names}
+        if not keyed:
+            break
+        hot.append(np.sort(np.array(list(keyed), dtype=np.uint64)))
+        counts = docs.select("held_out", "text").mapInArrow(_hot_pairs(sc.broadcast(hot[-1]), level), "ctx long, s long, train long, every long").groupBy("ctx", "s").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
+        counts = written(counts, f"hot{level}")
+        signed = lambda x: int(np.uint64(x).view(np.int64))
+        suffix = docs.sparkSession.createDataFrame([(signed(k), signed(_key(n)[-2]) if level > 1 else 0) for k, n in keyed.items()], "ctx long, suffix long")
+        seen_of = counts.groupBy("ctx").agg(F.sum("train").alias("n"), F.greatest(F.count_if(F.col("train") > 0), F.lit(1)).alias("a"))
+        judged = counts.join(F.broadcast(suffix), "ctx").join(least.select(F.col("ctx").alias("suffix"), "s", F.col("low").alias("p")), ["suffix", "s"]).join(F.broadcast(seen_of), "ctx")
+        judged = written(judged, f"judged{level}")
+        one_out = F.col("train") * (F.log((F.greatest(F.col("train") - 1, F.lit(0)) + F.col("a") * F.col("p")) / F.greatest(F.col("n") - 1 + F.col("a"), F.lit(1e-9))) - F.log("p"))
+        stay = judged.groupBy("ctx", "n").agg(F.sum(F.when(F.col("train") > 0, one_out).otherwise(0.0)).alias("gain")).select("ctx", (F.col("gain") > F.log(F.col("n") + 1)).alias("stay"))
+        least = written(judged.join(F.broadcast(stay), "ctx").select("ctx", "s", "every", F.when(F.col("stay"), (F.col("train") + F.col("a") * F.col("p")) / (F.col("n") + F.col("a"))).otherwise(F.col("p")).alias("low")), f"lower{level}")
+        lower = lower.unionByName(least.select("ctx", "s", "low"))
+        often = _most(least, "every", head_words).toPandas()
+        pairs.append(pair_key(*(often[c].to_numpy(np.int64).view(np.uint64) for c in ("ctx", "s"))))
+        known.append(often["low"].to_numpy(float))
+        longer = counts.where((F.col("every") > hot_over) & (F.col("s") != signed(END))).select("ctx", "s").collect()
+        names = {(*keyed[int(np.int64(r.ctx).view(np.uint64))], int(np.int64(r.s).view(np.uint64))): None for r in longer}
+    pairs, known = np.concatenate(pairs), np.concatenate(known)
+    order = np.argsort(pairs)
+    shared = sc.broadcast((hot, pairs[order], known[order]))
+
     bits = min(24, max(4, (max(1, plan_bytes(docs)) >> 20).bit_length()))
-    blocks = docs.select("held_out", "text").mapInArrow(_occurrences(head, bits), _BLOCKS).repartition("part").sortWithinPartitions("part")
-    back = blocks.mapInArrow(_judged(head, total, kinds, ends), "base long, docs binary, adds binary").repartition("base").sortWithinPartitions("base")
-    gains = back.mapInArrow(_added, "uid long, gain double")
+    text = docs.select("held_out", "text")
+    rare = text.mapInArrow(_occurrences(shared, bits, rare=True), _RARE).join(lower, ["ctx", "s"]).select("uid", "learn", "more", "a0", "a1", "a2", "s", "low")
+    blocks = text.mapInArrow(_occurrences(shared, bits, rare=False), _BLOCKS).unionByName(rare.mapInArrow(_rare_blocks(bits), _BLOCKS)).repartition("part").sortWithinPartitions("part")
+    back = blocks.mapInArrow(_judged, "base long, docs binary, adds binary").repartition("base").sortWithinPartitions("base")
+    scores = back.mapInArrow(_added, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
 
     tokens = F.col("n") + 1
     base = F.col("base") + F.coalesce("b", F.lit(0.0)) + float(np.log10(ends + 0.1)) - tokens * float(np.log10(total + 0.1 * (kinds + 1)))
@@ -341,7 +531,7 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
         seen.where("h IS NULL")
         .drop("h")
         .join(other, "uid", "left")
-        .join(gains, "uid", "left")
+        .join(scores, "uid", "left")
         .select(
             "doc_id",
             "held_out",
@@ -349,6 +539,6 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
             (F.col("known") + F.coalesce("k", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"),
             base.alias("base_score"),
-            (base + F.coalesce("gain", F.lit(0.0))).alias("score"),
+            F.coalesce("gain", F.lit(0.0)).alias("score"),
         )
     )

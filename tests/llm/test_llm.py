@@ -79,6 +79,59 @@ def test_judge_equals_a_loop():
             assert np.allclose(add[(key == k) & (said == s)], want)
 
 
+def tree_scores(tok):
+    """log10 scores of (learn, words and end) by all contexts of 1 to 3 words, and the retained contexts' distributions."""
+    c = Counter(w for learn, t in tok if learn for w in t)
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    nexts = defaultdict(Counter)
+    for learn, t in tok:
+        full = ["<start>", *t]
+        for i in range(1, len(full)):
+            for k in range(1, min(3, i) + 1):
+                nexts[tuple(full[i - k : i])][full[i]] += learn
+
+    state = {}
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        if context not in state:
+            own = +nexts[context]
+            m, kinds = sum(own.values()), max(1, len(own))
+            gain = sum(x * (math.log((x - 1 + kinds * p(context[1:], s)) / max(m - 1 + kinds, 1e-9)) - math.log(p(context[1:], s))) for s, x in own.items())
+            state[context] = (own, m, kinds) if gain > math.log(m + 1) else None
+        if state[context] is None:
+            return p(context[1:], w)
+        own, m, kinds = state[context]
+        return (own[w] + kinds * p(context[1:], w)) / (m + kinds)
+
+    scores = []
+    for _, t in tok:
+        full = ["<start>", *t]
+        scores.append(sum(math.log10(p(tuple(full[max(0, i - 3) : i]), full[i])) for i in range(1, len(full))))
+    for context in [x for x, kept in state.items() if kept][:20]:
+        assert math.isclose(sum(p(context, w) for w in c) + p(context, "<unknown>"), 1)
+    return scores, Counter(len(x) for x, kept in state.items() if kept)
+
+
+@pytest.mark.parametrize(("head_words", "hot_share", "hot_least"), [(1 << 18, 1e-4, 1 << 14), (30, 0.0, 40), (0, 0.0, 3)])
+def test_lm_scores_in_the_longest_retained_suffix(spark, words, tmp_path, head_words, hot_share, hot_least):
+    rng = random.Random(4)
+    line = "of the one and of the two and then of the end".split()
+    texts = []
+    for i in range(160):
+        t = [rng.choice(["of", "the", "and", "in", *(f"w{rng.randrange(40)}" for _ in range(3))]) for _ in range(rng.randrange(30))]
+        texts.append(" ".join([*line, *t, "in the", f"once{i}"] if i % 2 else ["of of of", *t, "the the and", *line[3:]]))
+    texts += ["", None, "of", "of the of", "never seen of the"]
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    want, kept = tree_scores([(held(i, 10) != 0, [*words(t), "\n"]) for i, t in enumerate(texts)])
+    assert all(kept[k] for k in (1, 2, 3))
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.read.parquet(path), head_words=head_words, hot_share=hot_share, hot_least=hot_least).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5, atol=1e-5)
+
+
 # --- op2 --------------------------------------------------------------------------
 
 
