@@ -79,6 +79,13 @@ def test_judge_equals_a_loop():
             assert np.allclose(add[(key == k) & (said == s)], want)
 
 
+def test_lm_score_is_the_same_for_any_head(documents):
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
+    a = sorted(suffix_tree.score_texts(documents).collect(), key=key)
+    b = sorted(suffix_tree.score_texts(documents, head_words=50).collect(), key=key)
+    assert np.allclose([r.score for r in a], [r.score for r in b], rtol=1e-5)
+
+
 def tree_scores(tok):
     """log10 scores of (learn, words and end) by all contexts of 1 to 3 words, and the retained contexts' distributions."""
     c = Counter(w for learn, t in tok if learn for w in t)
