@@ -135,6 +135,13 @@ def q_cover_select(spark, d):
     return op.select_covers(full, "grp")
 
 
+@query()
+def q_cover_select_all(spark, d):
+    """Covers of all books; those of fewer than 7 photos are padded, which the SQL of q_cover_select leaves out."""
+    p = quality.with_hero(photos(spark, d)).withColumn("grp", F.concat("session_id", F.expr("CAST(photo_id div 200 AS STRING)")))
+    return op.select_covers(p, "grp")
+
+
 @query(f"{WITH}, h AS (SELECT *, {HERO} AS hero FROM photos) SELECT session_id, burst_epoch // 5 AS burst, arg_max(photo_id, struct_pack(s := hero * 2 + blur + contrast * 1.5::DOUBLE, p := -photo_id)) AS best FROM h GROUP BY ALL")
 def q_burst_best(spark, d):
     score = F.col("hero") * 2 + F.col("blur") + F.col("contrast") * 1.5

@@ -143,6 +143,30 @@ def test_covers_pad_a_short_pool(spark):
     assert len(set(ids)) == 7
 
 
+def test_covers_of_all_books(spark, monkeypatch):
+    from siltwork.plans import catalog
+    from siltwork.plans import stories as plan
+
+    data, view = "/root/testdata/sf0.001", plan.photos
+    photos = lambda spark, d: view(spark, d).where("photo_id % 200 < 20 OR photo_id < 200")
+    monkeypatch.setattr(plan, "photos", photos)
+    books, got = {}, {}
+    for r in quality.with_hero(photos(spark, data)).collect():
+        books.setdefault(f"{r.session_id}{r.photo_id // 200}", []).append(r)
+    for r in catalog.queries()["q_cover_select_all"](spark, data).collect():
+        got.setdefault((r.grp, r.style), []).append((r["rank"], r.photo_id))
+    for grp, rows in books.items():
+        overall, used = sorted(rows, key=lambda r: (-r.hero, -r.faces, r.photo_id)), set()
+        for style, n, likes in stories.COVER_STYLES:
+            bonus = {r.photo_id: 8.0 if likes == "ANY" else 15.0 if r.aspect >= 1.35 else 5.0 if r.aspect >= 1.0 else 0.0 for r in rows}
+            want = sorted((r for r in overall if r.photo_id not in used), key=lambda r: (-(r.hero + bonus[r.photo_id]), -r.faces, r.photo_id))[:n]
+            want = [r.photo_id for r in want]
+            want += [overall[k % len(overall)].photo_id for k in range(n - len(want))]
+            used |= set(want)
+            assert sorted(got.pop((grp, style))) == list(enumerate(want, 1))
+    assert not got and any(len(rows) < 7 for rows in books.values())
+
+
 def boxes_overlap(a, b):
     return min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]) > 1e-3 and min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]) > 1e-3
 
