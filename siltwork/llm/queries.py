@@ -46,7 +46,7 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").withColumn("held_out", remainder(4) == 2)
     model = toxicity.train(documents, _table(spark, sf_dir, "labels"), fold_of=4, fold=2)
-    return toxicity.score(documents, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return toxicity.score(documents, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= toxicity.TOXIC).cast("int"))
 
 
 def op8_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

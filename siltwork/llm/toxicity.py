@@ -287,8 +287,11 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 4, fold: int =
     return Model(lexicon, w, b)
 
 
-def kept(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows whose text scores below the threshold."""
+TOXIC = 0.3  # from this score on a text counts as toxic
+
+
+def kept(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataFrame:
+    """The rows whose text scores below the threshold, by default those that op7 does not predict as toxic."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 

@@ -435,6 +435,13 @@ def test_toxicity_on_held_out_texts(judged, spark):
     assert {900, 901, 1} <= kept and sum(i % 5 == 0 for i in kept if i < 600) <= 2
 
 
+def test_stage_rejects_what_the_operator_predicts(spark):
+    docs = spark.createDataFrame([(0, "plain words"), (1, None)], "doc_id long, text string")
+    for p, stays in ((0.2, 2), (0.4, 0), (0.6, 0)):
+        model = toxicity.Model(toxicity.Lexicon({}), np.zeros(toxicity.FEATURES), math.log(p / (1 - p)))
+        assert toxicity.kept(docs, model).count() == stays
+
+
 # --- op8 --------------------------------------------------------------------------
 
 
