@@ -101,9 +101,11 @@ class Net:
 def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int = 300, batch: int = 512, seed: int = 3) -> Net:
     """Adam on shuffled batches of whole bags."""
     rng = np.random.default_rng(seed)
-    scale = x.std(axis=0)
+    centre = x.mean(axis=0, dtype=float)
+    parts = (x[i : i + (1 << 16)] for i in range(0, len(x), 1 << 16))
+    scale = np.sqrt(sum(((part - centre) ** 2).sum(axis=0) for part in parts) / len(x))
     shape = {"E": (INPUTS, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, ATTENTION), "U": (HIDDEN, ATTENTION), "w": (ATTENTION,), "o": (HIDDEN,), "c": ()}
-    net = Net(x.mean(axis=0), np.where(scale > 1e-6, scale, 1.0), {k: rng.normal(0, 0.3, s) * (k not in "ec") for k, s in shape.items()})
+    net = Net(centre, np.where(scale > 1e-6, scale, 1.0), {k: rng.normal(0, 0.3, s) * (k not in "ec") for k, s in shape.items()})
     first = np.searchsorted(row, np.arange(len(y) + 1))
     m1, m2 = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
     order, at = rng.permutation(len(y)), 0
@@ -113,15 +115,15 @@ def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, rounds: int = 300, batch:
         bags = np.sort(order[at : at + batch])
         at += batch
         pick = np.concatenate([np.arange(first[b], first[b + 1]) for b in bags])
-        for k, g in net.gradient(x[pick], row[pick], y[bags]).items():
+        for k, g in net.gradient(x[pick].astype(float), row[pick], y[bags]).items():
             g = g + 1e-4 * net.p[k]
             m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
             net.p[k] = net.p[k] - 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-def train(documents: DataFrame, labels: DataFrame, fold_of: int = 5, fold: int = 0, most_rows: int = 8_000, most_passages: int = 64) -> Net | None:
-    """Learns from about ``most_rows`` labelled rows at most outside the held-out fold, of each ``most_passages`` evenly spaced passages at most."""
+def train(documents: DataFrame, labels: DataFrame, fold_of: int = 5, fold: int = 0, most_rows: int = 8_000) -> Net | None:
+    """Learns from all passages of about ``most_rows`` labelled rows at most outside the held-out fold."""
     sampled = sample(documents, labels, "quality", remainder(fold_of) != fold, most_rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +133,14 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 5, fold: int =
             for i, j in textscan.slices(offsets):
                 x, row = passages(offsets, data, i, j)
                 first = np.searchsorted(row, np.arange(j - i + 1))
-                out = []
-                for k in range(j - i):
-                    n = first[k + 1] - first[k]
-                    pick = first[k] + (np.arange(n) if n <= most_passages else np.linspace(0, n - 1, most_passages).astype(int))
-                    out.append(x[pick].astype(np.float32).tobytes())
+                out = [x[first[k] : first[k + 1]].astype(np.float32).tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(y[i:j])], ["x", "label"])
 
     got = sampled.mapInArrow(encode, "x binary, label int").toPandas()
     if not len(got) or got["label"].nunique() < 2:
         return None
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, INPUTS) for b in got["x"]]
-    return fit(np.concatenate(bags).astype(float), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), got["label"].to_numpy(float))
+    return fit(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), got["label"].to_numpy(float))
 
 
 def score(documents: DataFrame, net: Net | None, columns: list[str]) -> DataFrame:

@@ -531,6 +531,15 @@ def test_gradient():
         assert math.isclose((a - b) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def test_training_sees_every_passage(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda x, row, y: seen.update(n=np.bincount(row)))
+    texts = ["word " * 24_000, "short text", "other " * 2_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int"), fold_of=5, fold=9)
+    assert sorted(seen["n"].tolist()) == [1, 20, 200]
+
+
 def test_no_labels(judged, spark):
     docs, labels = judged
     assert quality.train(docs, labels.limit(0)) is None
