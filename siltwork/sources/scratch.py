@@ -1,32 +1,70 @@
 """Written intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset
-(tests, local runs) a local one is used. Tables written here cut lineage and
-survive the loss of an executor. They are removed when the driver ends.
+``spark.checkpoint.dir`` names that folder on a cluster; only a local master, which
+has no other machines, may do without it. Tables written here cut lineage and survive
+the loss of an executor. ``released`` removes one that is read no more; the rest goes
+when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# no checksum files beside tables in a local folder, which nothing but this job reads
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "compression": "zstd"}
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or LOCAL_FALLBACK
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there."""
+    """The same rows, written to the shared folder and read from there; shuffle files that made them go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.options(**_PLAIN).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Removes tables that ``written`` returned and nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "scratch_path", None) if t is not None else None
+        if path and (t.sparkSession, path) in _written:
+            _remove(t.sparkSession, path)
+            _written.remove((t.sparkSession, path))
 
 
 def temporary(spark: SparkSession, path: str) -> str:
@@ -45,8 +83,6 @@ def plan_bytes(df: DataFrame) -> int:
 def _clear() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone already
             return
