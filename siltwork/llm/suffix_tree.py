@@ -7,17 +7,22 @@ start among them, and every symbol is counted in each.
 
 A context is retained when its next-symbol distribution diverges from its suffix's:
 the leave-one-out log likelihood that it gains over the state of its own suffix (the
-longest retained one) on its training tokens must exceed ``log(count + 1)``. Its
-distribution is interpolated with that state's by Witten-Bell weights, so each sums
-to one, and a token is scored in its longest retained suffix.
-
-Everything is counted over all training texts. An occurrence travels once, packed,
-to the range of its shortest context that is not hot (more than ``hot_share`` of all
-tokens and ``hot_least`` occurrences); all longer ones meet there too, so its chain
-is judged in place. Hot contexts' (context, symbol) counts are added up before they
-are exchanged and judged level by level. The likeliest ``head_words`` symbols of the
-root and pairs of each hot level are looked up where the text is read, all others
-by a join; no result depends on these limits.
+longest retained one) on its training tokens must exceed ``log(count + 1)``; no
+context of one training token can. Its distribution is interpolated with that state's
+by Witten-Bell weights, so each sums to one, and a token is scored in its longest
+retained suffix.
+
+Everything is counted over all training texts. The texts are read twice, for the
+vocabulary and to be written as numbers; all later passes read those. An occurrence
+travels once, packed in about 13 bytes, to the range of its shortest context that is
+not hot; all longer ones meet there too, so its chain is judged in place, and a sum
+for each text and range travels back. Ranges are worked off in ``ROUNDS`` rounds, which
+bounds the disk that is taken at once. A context with more than ``hot`` occurrences
+(at least one in ten million tokens, so there are at most 10^7 a level) is hot: its
+(context, symbol) counts are added up before they are exchanged and judged level by
+level. The likeliest ``head_words`` symbols of the root and pairs of each hot level
+are looked up where tokens are read, all others by a join; no result depends on
+these limits.
 """
 
 from __future__ import annotations
@@ -32,14 +37,15 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .labelled import remainder
-from .scratch import plan_bytes, written
+from ..sources.scratch import plan_bytes, released, written
 
 DEPTH = 3
+ROUNDS = 2
 MERGE_WORDS = 1 << 19
 FLUSH_TOKENS, FLUSH_ROWS = 1 << 20, 30_000
 START, END = np.uint64(0x7A3D5F1C9B24E861), np.uint64(0x2C9E7B5A41D8F36D)
-CONTEXT_BYTES = 5
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+NONE = 0xFFFFFF  # of three bytes: a number that names nothing
 
 
 # --- words ----------------------------------------------------------------------
@@ -70,80 +76,87 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class _Head:
-    """Looks frequent words up by hash: a direct table of the leading bits, then a short walk."""
+    """Looks hashes up: a direct table of the leading bits, then a short walk."""
 
     BITS = 20
 
     def __init__(self, h: np.ndarray):
         self.h = h
         self.first = np.searchsorted(h >> np.uint64(64 - self.BITS), np.arange((1 << self.BITS) + 1, dtype=np.uint64))
-        self.walk = int(np.diff(self.first).max(initial=0))
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
         out = np.full(len(x), -1)
-        if not len(self.h):
-            return out
-        at = self.first[(x >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        for k in range(self.walk):
-            place = np.minimum(at + k, len(self.h) - 1)
-            hit = self.h[place] == x
-            out[hit] = place[hit]
+        lead = (x >> np.uint64(64 - self.BITS)).astype(np.int64)
+        open_ = np.flatnonzero(self.first[lead] < self.first[lead + 1])
+        at, stop = self.first[lead[open_]], self.first[lead[open_] + 1]
+        while len(open_):
+            hit = self.h[at] == x[open_]
+            out[open_[hit]] = at[hit]
+            on = ~hit & (at + 1 < stop)
+            open_, at, stop = open_[on], at[on] + 1, stop[on]
         return out
 
 
-_SEEN = "uid long, doc_id long, held_out boolean, n long, known long, base double, h long"
-_SEEN_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("h", pa.int64())])
+# --- texts as numbers -----------------------------------------------------------
 
 
-def _texts(head):
-    """A row for each text with what its frequent words add to the root's score, and one for each of its other words."""
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of numbers, plane by plane."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, train = head.value
-        find = _Head(hashes)
-        log_c = np.log10(train + 0.1)
-        uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            offsets, data = textscan.string_bytes(batch.column(2))
-            for i, j in textscan.slices(offsets):
-                w = textscan.words(offsets, data, i, j)
-                at = find.find(w.hash)
-                hit = at >= 0
-                row, at = w.row[hit], at[hit]
-                ids = uid + np.arange(j - i)
-                uid += j - i
-                known = np.bincount(row, train[at] > 0, minlength=j - i).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(w.per_row.astype(np.int64)), pa.array(known), pa.array(np.bincount(row, log_c[at], minlength=j - i)), pa.nulls(j - i, pa.int64())], schema=_SEEN_ARROW)
-                other, hs = w.row[~hit], w.hash[~hit]
-                if len(hs):
-                    order = np.lexsort((hs, other))
-                    other, hs = other[order], hs[order]
-                    new = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (other[1:] != other[:-1]))))
-                    gone = [pa.nulls(len(new), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[other[new]]), *gone[:2], pa.array(np.diff(new, append=len(hs))), *gone[2:], pa.array(hs[new].view(np.int64))], schema=_SEEN_ARROW)
 
-    return run
+def _wide(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
 
 
-# --- contexts -------------------------------------------------------------------
+_TOKENS = "base long, ids binary, nulls binary, held binary, sizes binary, codes binary, rare binary"
 
-_BLOCKS = "part int, base long, keys binary, said binary, low binary, flags binary, docs binary"
-_BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in ("keys", "said", "low", "flags", "docs"))])
-_RARE = "uid long, learn boolean, more int, a0 long, a1 long, a2 long, ctx long, s long"
-_RARE_ARROW = pa.schema([("uid", pa.int64()), ("learn", pa.bool_()), ("more", pa.int32()), *((c, pa.int64()) for c in ("a0", "a1", "a2", "ctx", "s"))])
-KEY_BYTES = (CONTEXT_BYTES, 4, 4)
-MORE, LEARN, WHOLE = 3, 4, 8  # bits of an occurrence's flags: contexts beyond the given state, training text, its whole score is due
 
+def _record(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[t]) for n, t in fields], [n for n, _ in fields])
 
-def _narrow(x: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
+def _tokenised(head):
+    """Columns doc_id, held_out, text: a row for each flush of texts; frequent words by number, the others by hash."""
 
-def _wide(flat: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(flat), 8), dtype=np.uint8)
-    out[:, : flat.shape[1]] = flat
-    return out.view("<u8").ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _Head(head.value)
+        base = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal base
+            ids, nulls, out, sizes, codes, rare = (np.concatenate([x[k] for x in held]) for k in range(6))
+            held.clear()
+            row = {"base": base, "ids": ids.tobytes(), "nulls": nulls.tobytes(), "held": out.tobytes(), "sizes": sizes.astype("<u4").tobytes(), "codes": _narrow(codes, 3), "rare": rare.tobytes()}
+            base += len(ids)
+            return _record(_TOKENS, [row])
+
+        n_docs = n_tokens = 0
+        for batch in batches:
+            known = np.asarray(batch.column(0).is_valid())
+            ids, out = np.asarray(batch.column(0).fill_null(0)).astype(np.int64), np.asarray(batch.column(1))
+            offsets, data = textscan.string_bytes(batch.column(2))
+            for i, j in textscan.slices(offsets):
+                while i < j:
+                    k = min(j, i + FLUSH_ROWS - n_docs)
+                    w = textscan.words(offsets, data, i, k)
+                    at = find.find(w.hash)
+                    held.append((ids[i:k], ~known[i:k], out[i:k], w.per_row, np.where(at < 0, NONE, at), w.hash[at < 0]))
+                    n_docs, n_tokens, i = n_docs + k - i, n_tokens + len(at), k
+                    if n_docs >= FLUSH_ROWS or n_tokens >= FLUSH_TOKENS:
+                        yield flush()
+                        n_docs = n_tokens = 0
+        if held:
+            yield flush()
+
+    return run
 
 
 def extended(key, word, k: int):
@@ -155,39 +168,104 @@ def pair_key(ctx: np.ndarray, s: np.ndarray) -> np.ndarray:
     return textscan.mix(ctx ^ textscan.mix(s))
 
 
-def chains(w: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, symbol, keys of the contexts of 1 to DEPTH words, how many of them exist) of every token, ends among them."""
-    rows = len(w.per_row)
-    size = w.per_row + 2
-    first = np.cumsum(size) - size
-    n = int(size.sum())
-    h = np.full(n, START, dtype=np.uint64)
-    h[first[w.row] + 1 + np.arange(len(w.hash)) - textscan.rows_of(w.per_row)[:-1][w.row]] = w.hash
-    h[first + size - 1] = END
-    at = np.arange(n) - np.repeat(first, size)
-    keys, key = np.zeros((DEPTH, n), dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    for k in range(1, DEPTH + 1):
-        inside = np.flatnonzero(at >= k)
-        key[inside] = extended(key[inside], h[inside - k], k)
-        keys[k - 1, inside] = key[inside]
-    use = np.flatnonzero(at > 0)
-    return np.repeat(np.arange(rows), size)[use], h[use], keys[:, use], np.minimum(at[use], DEPTH)
-
-
-def _state(finds: list, keys: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The number of words of each token's longest hot context; every suffix of a hot context is hot."""
-    d = np.zeros(len(m), dtype=np.int64)
-    for k, find in enumerate(finds):
-        open_ = np.flatnonzero((d == k) & (m > k))
-        d[open_[find.find(keys[k, open_]) >= 0]] = k + 1
-    return d
-
-
-def _hot_pairs(hot, level: int):
-    """Columns held_out, text: counts of (hot context of ``level`` words, symbol), added up over many tokens."""
+class Flush:
+    """The tokens of a flush, ends among them: text, symbol, keys of the contexts of 1 to DEPTH words and how many of them exist.
+
+    ``often`` tells which words occur twice in training; a context ends before one that does not.
+    """
+
+    def __init__(self, row: dict, head: np.ndarray, start_often: bool = True, often=None):
+        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        self.learn = ~np.frombuffer(row["held"], bool)
+        self.code = _wide(row["codes"], 3).astype(np.int64)
+        self.rare = self.code == NONE
+        self.word = head[np.where(self.rare, 0, self.code)] if len(head) else np.zeros(len(self.code), np.uint64)
+        self.word[self.rare] = np.frombuffer(row["rare"], np.uint64)
+        size = self.sizes + 2
+        first = np.cumsum(size) - size
+        n = int(size.sum())
+        inner = np.ones(n, dtype=bool)
+        inner[first] = inner[first + size - 1] = False
+        h = np.full(n, START, dtype=np.uint64)
+        h[inner], h[first + size - 1] = self.word, END
+        good = np.full(n, start_often)
+        good[inner] = True if often is None else often(self)
+        use = np.ones(n, dtype=bool)
+        use[first] = False
+        self.doc = np.repeat(np.arange(len(size)), self.sizes + 1)
+        self.inner = inner[use]  # tokens that are words
+        use = np.flatnonzero(use)
+        self.s = h[use]
+        left = np.arange(n)[use] - np.repeat(first, self.sizes + 1)
+        self.keys, self.m = np.zeros((DEPTH, len(use)), dtype=np.uint64), np.zeros(len(use), dtype=np.int64)
+        live = np.arange(len(use))
+        for k in range(1, DEPTH + 1):
+            live = live[left[live] >= k]
+            live = live[good[use[live] - k]]
+            self.keys[k - 1, live] = extended(self.keys[k - 2, live] if k > 1 else np.zeros(len(live), np.uint64), h[use[live] - k], k)
+            self.m[live] = k
+
+    def state(self, finds: list[_Head]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, key) of each token's longest hot context; every suffix of a hot context is hot."""
+        d, live = np.zeros(len(self.m), dtype=np.int64), np.arange(len(self.m))
+        ctx = np.zeros(len(self.m), dtype=np.uint64)
+        for k, find in enumerate(finds):
+            live = live[self.m[live] > k]
+            live = live[find.find(self.keys[k, live]) >= 0]
+            d[live], ctx[live] = k + 1, self.keys[k, live]
+        return d, ctx
+
+
+class Shared:
+    """What is broadcast, ready for look-ups: frequent words, hot contexts and the likeliest (state, symbol) pairs with their probabilities."""
+
+    def __init__(self, value: tuple):
+        self.head, hot, self.pairs, self.known, self.floor, self.start_often = value
+        self.hot, self.find = [_Head(h) for h in hot], _Head(self.pairs)
+        self.root = self.find.find(pair_key(np.zeros(len(self.head), np.uint64), self.head))
+        self.end = self.find.find(pair_key(np.zeros(1, np.uint64), np.array([END])))[0]
+
+    def flush(self, row: dict) -> Flush:
+        """The tokens with ``low`` (their state's probability of them), ``place`` (its pair, or -1), ``root`` and ``counted`` of words."""
+        rest = np.frombuffer(row["keys"] or b"", np.uint64), np.frombuffer(row["lows"] or b"", np.float64)
+        look = lambda key: rest[1][np.searchsorted(rest[0], key)]
+
+        def often(f: Flush) -> np.ndarray:
+            f.root = np.empty(len(f.word))
+            f.root[~f.rare] = self.known[self.root[f.code[~f.rare]]]
+            f.root[f.rare] = look(pair_key(np.zeros(f.rare.sum(), np.uint64), f.word[f.rare]))
+            return f.root > self.floor * 15  # (2 + 0.1) / 0.1 is 21, (1 + 0.1) / 0.1 is 11
+
+        f = Flush(row, self.head, self.start_often, often)
+        self._place(f)
+        f.low = self.known[f.place]
+        miss = f.place < 0
+        f.low[miss] = look(pair_key(f.ctx[miss], f.s[miss]))
+        return f
+
+    def _place(self, f: Flush) -> None:
+        f.d, f.ctx = f.state(self.hot)
+        f.place = np.full(len(f.s), self.end)
+        f.place[f.inner] = np.where(f.rare, -1, self.root[np.where(f.rare, 0, f.code)]) if len(self.head) else -1
+        deep = np.flatnonzero(f.d)
+        f.place[deep] = self.find.find(pair_key(f.ctx[deep], f.s[deep]))
+
+    def missing(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (state, symbol) whose probabilities must be joined: all that ``flush`` may look up."""
+        f = Flush(row, self.head)
+        self._place(f)
+        miss = f.place < 0
+        ctx, s = np.concatenate((f.ctx[miss], np.zeros(f.rare.sum(), np.uint64))), np.concatenate((f.s[miss], f.word[f.rare]))
+        _, pick = np.unique(pair_key(ctx, s), return_index=True)
+        return ctx[pick], s[pick]
+
+
+def _hot_pairs(shared, level: int):
+    """Counts of (hot context of ``level`` words, symbol), added up over many tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Head(hot.value)
+        head, hot = shared.value
+        finds = [_Head(h) for h in hot]
         held: list[tuple] = []
 
         def merge() -> pa.RecordBatch:
@@ -200,14 +278,12 @@ def _hot_pairs(hot, level: int):
             return pa.RecordBatch.from_arrays([pa.array(ctx[new].view(np.int64)), pa.array(s[new].view(np.int64)), pa.array(t), pa.array(e)], ["ctx", "s", "train", "every"])
 
         for batch in batches:
-            learn = ~np.asarray(batch.column(0))
-            offsets, data = textscan.string_bytes(batch.column(1))
-            for i, j in textscan.slices(offsets):
-                row, s, keys, m = chains(textscan.words(offsets, data, i, j))
-                own = np.flatnonzero(m >= level)
-                own = own[find.find(keys[level - 1, own]) >= 0]
+            for row in batch.to_pylist():
+                f = Flush(row, head)
+                d, ctx = f.state(finds)
+                own = np.flatnonzero(d == level)
                 if len(own):
-                    held.append((keys[level - 1, own], s[own], learn[i:j][row[own]].astype(np.int64), np.ones(len(own), dtype=np.int64)))
+                    held.append((ctx[own], f.s[own], f.learn[f.doc[own]].astype(np.int64), np.ones(len(own), dtype=np.int64)))
                 if sum(len(x[0]) for x in held) > FLUSH_TOKENS:
                     yield merge()
         if held:
@@ -216,223 +292,208 @@ def _hot_pairs(hot, level: int):
     return run
 
 
-def _cut(part: np.ndarray, a: np.ndarray, s: np.ndarray, low: np.ndarray, flags: np.ndarray, docs: np.ndarray, base: int) -> pa.RecordBatch:
-    """One packed row for each range of contexts."""
-    order = np.argsort(part, kind="stable")
-    some, edge = np.unique(part[order], return_index=True)
-    edge = np.append(edge, len(part))
-    keys = np.concatenate([_narrow(a[k, order], n) for k, n in enumerate(KEY_BYTES)], axis=1)
-    columns = keys, _narrow(s[order], 4), low[order].astype("<f4"), flags[order].astype(np.uint8), docs[order]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), base)), *(pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in columns)], schema=_BLOCKS_ARROW)
-
+def _missing(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Shared(shared.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                ctx, s = look.missing(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), row["base"])), pa.array(ctx.view(np.int64)), pa.array(s.view(np.int64))], ["base", "ctx", "s"])
 
-def _part(a0: np.ndarray, bits: int) -> np.ndarray:
-    return (a0 >> np.uint64(64 - bits)).astype(np.int64)
+    return run
 
 
-def _occurrences(shared, bits: int, rare: bool):
-    """Packed occurrences of each flush by range of contexts, and the flush's sums of known scores; or, ``rare``, the rest, a row each."""
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by flush: its (state, symbol) pairs' keys, ascending, and probabilities."""
+    last, held = None, []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, pairs, known = shared.value
-        finds, find = [_Head(h) for h in hot], _Head(pairs)
-        base = TaskContext.get().partitionId() << 40
-        n_docs = n_tokens = 0
-        held: list[tuple] = []
-        sums = np.zeros(FLUSH_ROWS)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal base, n_docs, n_tokens
-            if rare:
-                doc, s, a, more, learn, ctx = (np.concatenate([x[k] for x in held], axis=-1) for k in range(6))
-                yield pa.RecordBatch.from_arrays([pa.array(base + doc), pa.array(learn), pa.array(more.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*a, ctx, s))], schema=_RARE_ARROW)
-            else:
-                doc, s, a, more, learn, low = (np.concatenate([x[k] for x in held], axis=-1) for k in range(6))
-                if len(doc):
-                    yield _cut(_part(a[0], bits), _within(a, bits), s, low, more + LEARN * learn, doc.astype("<u2"), base)
-                total = np.arange(n_docs).astype("<u2").tobytes()
-                part = int(textscan.mix(np.array([base], dtype=np.uint64))[0] >> np.uint64(64 - bits))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([base]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([sums[:n_docs].astype("<f8").tobytes()]), pa.array([None], pa.binary()), pa.array([total])], schema=_BLOCKS_ARROW)
-            base += n_docs
-            n_docs = n_tokens = 0
-            sums[:] = 0
-            held.clear()
+    def emit() -> pa.RecordBatch:
+        ctx, s, low = (np.concatenate([x[k] for x in held]) for k in range(3))
+        key = pair_key(ctx.view(np.uint64), s.view(np.uint64))
+        order = np.argsort(key)
+        held.clear()
+        return _record("base long, keys binary, lows binary", [{"base": last, "keys": key[order].tobytes(), "lows": low[order].tobytes()}])
 
-        for batch in batches:
-            apart = np.asarray(batch.column(0))
-            offsets, data = textscan.string_bytes(batch.column(1))
-            for i, j in textscan.slices(offsets):
-                while i < j:
-                    k = min(j, i + FLUSH_ROWS - n_docs)
-                    row, s, keys, m = chains(textscan.words(offsets, data, i, k))
-                    d = _state(finds, keys, m)
-                    ctx = np.where(d > 0, keys[np.maximum(d - 1, 0), np.arange(len(d))], np.uint64(0))
-                    at = find.find(pair_key(ctx, s))
-                    if not rare:
-                        hit = at >= 0
-                        sums[:] += np.bincount(row[hit] + n_docs, np.log10(known[at[hit]]), minlength=FLUSH_ROWS)
-                    use = np.flatnonzero(at < 0 if rare else (at >= 0) & (m > d))
-                    a = np.zeros((DEPTH, len(use)), dtype=np.uint64)
-                    for x in range(DEPTH):
-                        to = d[use] + x
-                        a[x] = np.where(to < m[use], keys[np.minimum(to, DEPTH - 1), use], np.uint64(0))
-                    if rare:
-                        a[0] = np.where(m[use] > d[use], a[0], pair_key(ctx[use], s[use]))
-                    held.append((row[use] + n_docs, s[use], a, (m - d)[use], ~apart[i:k][row[use]], ctx[use] if rare else known[at[use]]))
-                    n_docs += k - i
-                    n_tokens += len(use)
-                    i = k
-                    if n_docs >= FLUSH_ROWS or n_tokens >= FLUSH_TOKENS:
-                        yield from flush()
-        if n_docs:
-            yield from flush()
+    for batch in batches:
+        base, *rest = (np.array(c) for c in batch.columns)
+        for part in np.split(np.arange(len(base)), np.flatnonzero(base[1:] != base[:-1]) + 1):
+            if not len(part):
+                continue
+            if held and base[part[0]] != last:
+                yield emit()
+            last = int(base[part[0]])
+            held.append([x[part] for x in rest])
+    if held:
+        yield emit()
 
-    return run
 
+# --- contexts -------------------------------------------------------------------
 
-def _within(a: np.ndarray, bits: int) -> np.ndarray:
-    """Keys as kept inside a range: the first one's bits below the range's."""
-    a = a.copy()
-    a[0] = (a[0] << np.uint64(bits)) >> np.uint64(64 - 8 * CONTEXT_BYTES)
-    return a
+_BLOCKS = "part int, base long, a0 binary, a1 binary, a2 binary, said binary, extra binary, lows binary, learn binary, docs binary"
+_SUMS = "base long, ids binary, nulls binary, held binary, sizes binary, known binary, root binary, docs binary, sums binary"
 
 
-def _rare_blocks(bits: int):
-    """Rows of rare occurrences with ``low``, packed; ``docs`` holds whole uids."""
+def _occurrences(shared, bits: int, turn: int):
+    """Packed occurrences of each flush by range of contexts, of this round's ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            get = lambda c: t.column(c).to_numpy()
-            a = np.array([get(c).view(np.uint64) for c in ("a0", "a1", "a2")])
-            return _cut(_part(a[0], bits), _within(a, bits), get("s").view(np.uint64), get("low"), get("more") + LEARN * get("learn") + WHOLE, get("uid").astype("<i8"), -1)
-
+        look = Shared(shared.value)
         for batch in batches:
-            held.append(batch)
-            if sum(len(b) for b in held) > FLUSH_TOKENS >> 1:
-                yield flush()
-        if sum(len(b) for b in held):
-            yield flush()
+            for row in batch.to_pylist():
+                f = look.flush(row)
+                use = np.flatnonzero(f.m > f.d)
+                a0 = f.keys[f.d[use], use]
+                part = (a0 >> np.uint64(64 - bits)).astype(np.int64)
+                own = np.flatnonzero(part % ROUNDS == turn)
+                own = own[np.argsort(part[own].astype(np.uint32), kind="stable")]
+                use, part = use[own], part[own]
+                a = [a0[own] << np.uint64(bits) >> np.uint64(32)]
+                for x in range(1, DEPTH):
+                    at = f.d[use] + x
+                    a.append(np.where(at < f.m[use], f.keys[np.minimum(at, DEPTH - 1), use] % np.uint64(NONE) + np.uint64(1), np.uint64(0)))
+                said, doc, learn = f.place[use], f.doc[use], f.learn[f.doc[use]]
+                some, edge = np.unique(part, return_index=True)
+                out = []
+                for p, i, j in zip(some.tolist(), edge, np.append(edge[1:], len(use)), strict=True):
+                    far = use[i:j][said[i:j] < 0]
+                    packed = {"said": _narrow(np.where(said[i:j] < 0, NONE, said[i:j]), 3), "extra": f.s[far].astype("<u4").tobytes(), "lows": f.low[far].astype("<f4").tobytes(), "learn": np.packbits(learn[i:j]).tobytes(), "docs": doc[i:j].astype("<u2").tobytes()}
+                    out.append({"part": p, "base": row["base"], **{f"a{x}": _narrow(a[x][i:j], 4 if x == 0 else 3) for x in range(DEPTH)}, **packed})
+                if out:
+                    yield _record(_BLOCKS, out)
 
     return run
 
 
-def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """What each occurrence adds to its text's log10 score: 0 where its context is not retained.
+def _roots(shared):
+    """What each flush's texts score in their hot states, and the root's sums."""
 
-    ``root``: the symbols' root probabilities. All occurrences of a context are here.
-    """
-    return judge_against(key, said, learn, root[said])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Shared(shared.value)
+        end = look.known[look.end]
+        for batch in batches:
+            for row in batch.to_pylist():
+                f = look.flush(row)
+                n = len(f.sizes)
+                doc = f.doc[f.inner]
+                root = np.bincount(doc, np.log10(f.root), minlength=n) + np.log10(end)
+                known = np.bincount(doc, f.root > look.floor * 5, minlength=n) + (end > look.floor * 5)
+                sums = np.bincount(f.doc, np.log10(f.low), minlength=n)
+                yield _record(_SUMS, [{**{c: row[c] for c in ("base", "ids", "nulls", "held", "sizes")}, "known": known.astype(np.int64).tobytes(), "root": root.tobytes(), "docs": np.arange(n).astype("<u2").tobytes(), "sums": sums.tobytes()}])
+
+    return run
 
 
-def judge_against(key: np.ndarray, said: np.ndarray, learn: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """As ``judge``, with the probability ``low`` of each occurrence's symbol in the state of its context's suffix."""
-    order = np.lexsort((said, key))
-    k, s, t = key[order], said[order], learn[order].astype(float)
-    new_k = np.concatenate(([True], k[1:] != k[:-1]))
-    new = new_k | np.concatenate(([True], s[1:] != s[:-1]))
-    pair, ctx = np.cumsum(new) - 1, np.cumsum(new_k) - 1
-    of = ctx[new]
+def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """What each occurrence of the contexts ``key`` adds to its text's log10 score, given the symbols' probabilities in the suffix's state."""
+    low = root[said]
+    return np.log10(_in_state(np.unique(key, return_inverse=True)[1], said.astype(np.uint64), learn, low)) - np.log10(low)
+
+
+def _in_state(ctx: np.ndarray, said: np.ndarray, learn: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The probability of each occurrence in the state of its context (numbered) where that is retained, else ``low``, that of its suffix's state."""
+    key = ctx.astype(np.uint64) << np.uint64(32) | said
+    order = np.argsort(key)
+    key, t = key[order], learn[order].astype(float)
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    pair, of = np.cumsum(new) - 1, ctx[order][new]
     c = np.bincount(pair, t)
-    n = np.bincount(ctx, t)
-    kinds = np.bincount(of, c > 0)
-    p0 = low[order][new]
-    a = np.maximum(kinds[of], 1)
+    n, kinds = np.bincount(of, c), np.bincount(of, c > 0)
+    p0, a = low[order][new], np.maximum(kinds[of], 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         one_out = c * (np.log((np.maximum(c - 1, 0) + a * p0) / np.maximum(n[of] - 1 + a, 1e-9)) - np.log(p0))
-    gain = np.bincount(of, np.where(c > 0, one_out, 0.0))
-    stay = gain > np.log(n + 1)
-    add = np.where(stay[of], np.log10((c + a * p0) / (n[of] + a)) - np.log10(p0), 0.0)
+    stay = np.bincount(of, np.where(c > 0, one_out, 0.0)) > np.log(n + 1)
     out = np.empty(len(key))
-    out[order] = add[pair]
+    out[order] = np.where(stay[of], (c + a * p0) / (n[of] + a), p0)[pair]
     return out
 
 
-def climb(a: np.ndarray, said: np.ndarray, learn: np.ndarray, more: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """What each occurrence's contexts ``a[0]``, ``a[1]``, ... (``more`` of them exist) add to log10 ``low``, each judged against its own suffix's state."""
-    add = np.zeros(len(said))
-    for k in range(DEPTH):
-        use = np.flatnonzero(more > k)
-        if len(use):
-            key = a[0, use]
-            for x in range(1, k + 1):  # a longer context is known within its suffix
-                key = textscan.mix(key ^ (a[x, use] + np.uint64(x) * _ORDER[0]))
-            add[use] += judge_against(key, said[use], learn[use], low[use] * 10.0 ** add[use])
-    return add
-
-
-_GRID = 14  # rare occurrences' texts are named by their number's leading bits
-
-
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range: what the range's occurrences add, by flush."""
-    part, held = None, []
-
-    def out(bases: list, docs: list, adds: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(docs, pa.binary()), pa.array(adds, pa.binary())], ["base", "docs", "adds"])
-
-    def finish() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        join = lambda c, t: np.frombuffer(b"".join(r[c] for r in held), t)
-        keys, flags, low = join("keys", np.uint8).reshape(-1, sum(KEY_BYTES)), join("flags", np.uint8), join("low", "<f4").astype(float)
-        edge = np.cumsum((0, *KEY_BYTES))
-        a = np.array([_wide(keys[:, i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)])
-        add = climb(a, join("said", "<u4"), (flags & LEARN) > 0, flags & MORE, low)
-        add += np.where(flags & WHOLE, np.log10(low), 0.0)
-        bases, doc_parts, add_parts, at = [], [], [], 0
-        for r in held:
-            n = len(r["flags"])
-            own = np.flatnonzero(add[at : at + n])
-            docs, sums = np.frombuffer(r["docs"], "<u2" if r["base"] >= 0 else "<i8")[own], add[at : at + n][own]
-            at += n
-            if not len(docs):
-                continue
-            if r["base"] >= 0:
-                grid = np.full(len(docs), r["base"])
-            else:
-                grid = docs >> _GRID << _GRID
-                order = np.argsort(grid, kind="stable")
-                grid, sums, docs = grid[order], sums[order], (docs - grid)[order]
-            some, first = np.unique(grid, return_index=True)
-            for b, i, j in zip(some, first, np.append(first[1:], len(docs)), strict=True):
-                bases.append(int(b))
-                doc_parts.append(docs[i:j].astype("<u2").tobytes())
-                add_parts.append(sums[i:j].astype("<f4").tobytes())
-        yield out(bases, doc_parts, add_parts)
+def climb(a: list[np.ndarray], said: np.ndarray, learn: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What the contexts ``a[0]``, ``a[1]``, ... of each occurrence (0: none from here on) add to log10 ``low``, each judged against its own suffix's state.
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["keys"] is None:
-                yield out([r["base"]], [r["docs"]], [r["low"]])
-                continue
-            if r["part"] != part:
-                yield from finish()
-                part, held = r["part"], []
-            held.append(r)
-    yield from finish()
+    A longer context is known within its suffix; one with fewer than two training occurrences cannot be retained, nor can those that it is the suffix of.
+    """
+    p, live, key = low.copy(), np.arange(len(said)), a[0]
+    for x in range(DEPTH):
+        if not len(live):
+            break
+        order = np.argsort(key)
+        ctx = np.cumsum(np.concatenate(([False], np.diff(key[order]) != 0)))
+        twice = (np.bincount(ctx, learn[live[order]]) >= 2)[ctx]
+        live, ctx = live[order][twice], ctx[twice]
+        if not len(live):
+            break
+        p[live] = _in_state(ctx, said[live], learn[live], p[live])
+        if x + 1 < DEPTH:
+            on = a[x + 1][live] > 0
+            live, key = live[on], ctx[on].astype(np.uint64) << np.uint64(24) | a[x + 1][live[on]]
+    return np.log10(p) - np.log10(low)
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by flush: (uid, sum)."""
-    base, total = None, np.zeros(FLUSH_ROWS)
+def _judged(shared):
+    """Rows come sorted by range: what the range's occurrences add to each text of each flush."""
 
-    def finish() -> Iterator[pa.RecordBatch]:
-        if base is not None:
-            own = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(base + own), pa.array(total[own])], ["uid", "gain"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[3]
+        part, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            a = [np.concatenate([_wide(r[f"a{x}"], 4 if x == 0 else 3) for r in held]) for x in range(DEPTH)]
+            said = np.concatenate([_wide(r["said"], 3) for r in held])
+            count = [len(r["docs"]) // 2 for r in held]
+            learn = np.concatenate([np.unpackbits(np.frombuffer(r["learn"], np.uint8), count=n) for r, n in zip(held, count, strict=True)]) > 0
+            far = said == NONE
+            low = known[np.where(far, 0, said).astype(np.int64)]
+            low[far] = np.frombuffer(b"".join(r["lows"] for r in held), "<f4")
+            said[far] = np.frombuffer(b"".join(r["extra"] for r in held), "<u4") | np.uint64(1 << 31)
+            add = climb(a, said, learn, low)
+            out, at = [], 0
+            for r, n in zip(held, count, strict=True):
+                docs, own = np.frombuffer(r["docs"], "<u2"), add[at : at + n]
+                at += n
+                some = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))  # a block's texts ascend
+                out.append({"base": r["base"], "docs": docs[some].tobytes(), "sums": np.add.reduceat(own, some).tobytes()})
+            yield _record(_SUMS, out)
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["base"] != base:
-                yield from finish()
-                base, total = r["base"], np.zeros(FLUSH_ROWS)
-            docs = np.frombuffer(r["docs"], "<u2")
-            total += np.bincount(docs, np.frombuffer(r["adds"], "<f8" if len(r["adds"]) == 8 * len(docs) else "<f4"), minlength=FLUSH_ROWS)
-    yield from finish()
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part:
+                    yield from finish()
+                    part, held = r["part"], []
+                held.append(r)
+        yield from finish()
+
+    return run
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _added(total: int):
+    """Rows come sorted by flush: its texts with their sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, info, sums = None, None, np.zeros(FLUSH_ROWS)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if info is not None:
+                ids, known, root = (np.frombuffer(info[c], t) for c, t in (("ids", np.int64), ("known", np.int64), ("root", np.float64)))
+                held, nulls = (np.frombuffer(info[c], bool) for c in ("held", "nulls"))
+                n = np.frombuffer(info["sizes"], "<u4").astype(np.int64) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(ids), total)), pa.array(root), pa.array(sums[: len(ids)])], [x.split()[0] for x in _SCORES.split(", ")])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["base"] != base:
+                    yield from finish()
+                    base, info, sums = r["base"], None, np.zeros(FLUSH_ROWS)
+                if r["ids"] is not None:
+                    info = r
+                sums[np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], np.float64)
+        yield from finish()
+
+    return run
 
 
 def _most(rows: DataFrame, by: str, limit: int) -> DataFrame:
@@ -456,89 +517,78 @@ def _key(name: tuple) -> list[np.uint64]:
     return out
 
 
-def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1 << 18, hot_share: float = 1e-4, hot_least: int = 1 << 14) -> DataFrame:
+def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1 << 18, hot_share: float = 1e-7, hot_least: int = 1 << 17) -> DataFrame:
     """Per row of documents (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose ``crc32(doc_id as text) % held_out_of`` is not 0; a null
     doc_id counts as the empty text, so it is held out. A null text is empty and has
     one token, its end. ``base_score`` is the root's log10 probability of the text,
     ``score`` the tree's. Without training texts both are 0 tokens' worth of counts
-    (every token is unknown). Rows with equal doc_ids stay rows of their own.
-    ``documents`` must read the same rows in the same order each time, as files do.
+    (every token is unknown). Rows with equal doc_ids stay rows of their own; other
+    columns are not looked at. Texts of any length are scored whole.
     """
-    sc = documents.sparkSession.sparkContext
+    spark = documents.sparkSession
+    sc = spark.sparkContext
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(held_out_of) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     words = docs.select("held_out", "text").mapInArrow(_counted_words, "h long, train long, every long").groupBy("h").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
     vocabulary = written(words, "vocabulary")
     sums = vocabulary.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train", "every")), F.count_if(F.col("train") > 0).alias("kinds")).first()
-    ends = docs.where("NOT held_out").count()
+    texts = docs.agg(F.count_if(~F.col("held_out")).alias("ends"), F.count("*").alias("every")).first()
+    ends = texts.ends
     total, kinds = sums.train + ends, sums.kinds + (ends > 0)
 
     top = _most(vocabulary, "train", head_words).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, train = h[order], top["train"].to_numpy(np.int64)[order]
-    head = sc.broadcast((h, train))  # at most head_words rows
-
-    seen = written(docs.mapInArrow(_texts(head), _SEEN), "seen")
-    other = seen.where("h IS NOT NULL").select("uid", "h", "n").join(vocabulary.select("h", "train"), "h").groupBy("uid").agg(F.sum(F.when(F.col("train") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10(F.col("train") + F.lit(0.1))).alias("b"))
+    tokens = written(docs.mapInArrow(_tokenised(sc.broadcast(h)), _TOKENS), "tokens")  # the broadcast: at most head_words numbers
 
     floor, scale = 0.1, total + 0.1 * (kinds + 1)
     lower = vocabulary.select(F.lit(0).cast("long").alias("ctx"), F.col("h").alias("s"), ((F.col("train") + floor) / scale).alias("low"))
-    end = docs.sparkSession.createDataFrame([(0, int(END.view(np.int64)), float((ends + floor) / scale))], "ctx long, s long, low double")
+    end = spark.createDataFrame([(0, int(END.view(np.int64)), float((ends + floor) / scale))], "ctx long, s long, low double")
     lower = least = lower.unionByName(end)
     hot_over = max(hot_least, hot_share * sums.every)
     hot: list[np.ndarray] = []
     pairs, known = [pair_key(np.zeros(len(h) + 1, dtype=np.uint64), np.append(h, END))], [(np.append(train, ends) + floor) / scale]
-    n_docs = docs.count()
+    tables = [vocabulary]
     names = {(int(np.int64(r.h).view(np.uint64)),): None for r in vocabulary.where(F.col("every") > hot_over).select("h").collect()}  # at most 1 / hot_share rows
-    names |= {(int(START),): None} if n_docs > hot_over else {}
+    names |= {(int(START),): None} if texts.every > hot_over else {}
     for level in range(1, DEPTH + 1):
         keyed = {int(_key(name)[-1]): name for name in names}
         if not keyed:
             break
         hot.append(np.sort(np.array(list(keyed), dtype=np.uint64)))
-        counts = docs.select("held_out", "text").mapInArrow(_hot_pairs(sc.broadcast(hot[-1]), level), "ctx long, s long, train long, every long").groupBy("ctx", "s").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
+        counts = tokens.mapInArrow(_hot_pairs(sc.broadcast((h, hot)), level), "ctx long, s long, train long, every long").groupBy("ctx", "s").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
         counts = written(counts, f"hot{level}")
         signed = lambda x: int(np.uint64(x).view(np.int64))
-        suffix = docs.sparkSession.createDataFrame([(signed(k), signed(_key(n)[-2]) if level > 1 else 0) for k, n in keyed.items()], "ctx long, suffix long")
+        suffix = spark.createDataFrame([(signed(k), signed(_key(n)[-2]) if level > 1 else 0) for k, n in keyed.items()], "ctx long, suffix long")
         seen_of = counts.groupBy("ctx").agg(F.sum("train").alias("n"), F.greatest(F.count_if(F.col("train") > 0), F.lit(1)).alias("a"))
         judged = counts.join(F.broadcast(suffix), "ctx").join(least.select(F.col("ctx").alias("suffix"), "s", F.col("low").alias("p")), ["suffix", "s"]).join(F.broadcast(seen_of), "ctx")
         judged = written(judged, f"judged{level}")
         one_out = F.col("train") * (F.log((F.greatest(F.col("train") - 1, F.lit(0)) + F.col("a") * F.col("p")) / F.greatest(F.col("n") - 1 + F.col("a"), F.lit(1e-9))) - F.log("p"))
         stay = judged.groupBy("ctx", "n").agg(F.sum(F.when(F.col("train") > 0, one_out).otherwise(0.0)).alias("gain")).select("ctx", (F.col("gain") > F.log(F.col("n") + 1)).alias("stay"))
         least = written(judged.join(F.broadcast(stay), "ctx").select("ctx", "s", "every", F.when(F.col("stay"), (F.col("train") + F.col("a") * F.col("p")) / (F.col("n") + F.col("a"))).otherwise(F.col("p")).alias("low")), f"lower{level}")
+        tables.append(least)
         lower = lower.unionByName(least.select("ctx", "s", "low"))
         often = _most(least, "every", head_words).toPandas()
         pairs.append(pair_key(*(often[c].to_numpy(np.int64).view(np.uint64) for c in ("ctx", "s"))))
         known.append(often["low"].to_numpy(float))
         longer = counts.where((F.col("every") > hot_over) & (F.col("s") != signed(END))).select("ctx", "s").collect()
         names = {(*keyed[int(np.int64(r.ctx).view(np.uint64))], int(np.int64(r.s).view(np.uint64))): None for r in longer}
+        released(judged, counts)
     pairs, known = np.concatenate(pairs), np.concatenate(known)
     order = np.argsort(pairs)
-    shared = sc.broadcast((hot, pairs[order], known[order]))
-
-    bits = min(24, max(4, (max(1, plan_bytes(docs)) >> 20).bit_length()))
-    text = docs.select("held_out", "text")
-    rare = text.mapInArrow(_occurrences(shared, bits, rare=True), _RARE).join(lower, ["ctx", "s"]).select("uid", "learn", "more", "a0", "a1", "a2", "s", "low")
-    blocks = text.mapInArrow(_occurrences(shared, bits, rare=False), _BLOCKS).unionByName(rare.mapInArrow(_rare_blocks(bits), _BLOCKS)).repartition("part").sortWithinPartitions("part")
-    back = blocks.mapInArrow(_judged, "base long, docs binary, adds binary").repartition("base").sortWithinPartitions("base")
-    scores = back.mapInArrow(_added, "uid long, gain double").groupBy("uid").agg(F.sum("gain").alias("gain"))
-
-    tokens = F.col("n") + 1
-    base = F.col("base") + F.coalesce("b", F.lit(0.0)) + float(np.log10(ends + 0.1)) - tokens * float(np.log10(total + 0.1 * (kinds + 1)))
-    return (
-        seen.where("h IS NULL")
-        .drop("h")
-        .join(other, "uid", "left")
-        .join(scores, "uid", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            tokens.alias("n_tokens"),
-            (F.col("known") + F.coalesce("k", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            base.alias("base_score"),
-            F.coalesce("gain", F.lit(0.0)).alias("score"),
-        )
-    )
+    shared = sc.broadcast((h, hot, pairs[order], known[order], floor / scale, ends >= 2))
+
+    missing = tokens.mapInArrow(_missing(shared), "base long, ctx long, s long").join(lower, ["ctx", "s"]).select("base", "ctx", "s", "low")
+    found = missing.repartition("base").sortWithinPartitions("base").mapInArrow(_looked_up, "base long, keys binary, lows binary")
+    numbers = written(tokens.join(found, "base", "left"), "numbers")
+    released(tokens, *tables)
+
+    bits = min(20, max(6, (max(1, plan_bytes(docs)) >> 20).bit_length()))
+    sums = written(numbers.mapInArrow(_roots(shared), _SUMS), "sums")
+    for turn in range(ROUNDS):
+        blocks = numbers.mapInArrow(_occurrences(shared, bits, turn), _BLOCKS).repartition("part").sortWithinPartitions("part")
+        sums = sums.unionByName(written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}"))
+    released(numbers)
+    return sums.repartition("base").sortWithinPartitions("base").mapInArrow(_added(total), _SCORES)
