@@ -17,10 +17,10 @@ vocabulary and to be written as numbers; all later passes read those. An occurre
 travels once, packed in about 13 bytes, to the range of its shortest context that is
 not hot; all longer ones meet there too, so its chain is judged in place, and a sum
 for each text and range travels back. Ranges are worked off in ``ROUNDS`` rounds, which
-bounds the disk that is taken at once. A context with more than ``hot`` occurrences
-(at least one in ten million tokens, so there are at most 10^7 a level) is hot: its
-(context, symbol) counts are added up before they are exchanged and judged level by
-level. The likeliest ``head_words`` symbols of the root and pairs of each hot level
+bounds the disk that is taken at once. A context with more occurrences than one task
+should hold (``hot_share`` of all tokens, at most ``hot_most``, but never less than one
+in ten million, so there are at most 10^7 a level) is hot: its (context, symbol) counts
+are added up before they are exchanged and judged level by level. The likeliest ``head_words`` symbols of the root and pairs of each hot level
 are looked up where tokens are read, all others by a join; no result depends on
 these limits.
 """
@@ -42,7 +42,7 @@ from ..sources.scratch import plan_bytes, released, written
 DEPTH = 3
 ROUNDS = 2
 MERGE_WORDS = 1 << 19
-FLUSH_TOKENS, FLUSH_ROWS = 1 << 20, 30_000
+FLUSH_TOKENS, FLUSH_ROWS = 1 << 19, 30_000
 START, END = np.uint64(0x7A3D5F1C9B24E861), np.uint64(0x2C9E7B5A41D8F36D)
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 NONE = 0xFFFFFF  # of three bytes: a number that names nothing
@@ -75,7 +75,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield merge()
 
 
-class _Head:
+class Head:
     """Looks hashes up: a direct table of the leading bits, then a short walk."""
 
     BITS = 20
@@ -126,7 +126,7 @@ def _tokenised(head):
     """Columns doc_id, held_out, text: a row for each flush of texts; frequent words by number, the others by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Head(head.value)
+        find = Head(head.value)
         base = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
 
@@ -205,7 +205,7 @@ class Flush:
             self.keys[k - 1, live] = extended(self.keys[k - 2, live] if k > 1 else np.zeros(len(live), np.uint64), h[use[live] - k], k)
             self.m[live] = k
 
-    def state(self, finds: list[_Head]) -> tuple[np.ndarray, np.ndarray]:
+    def state(self, finds: list[Head]) -> tuple[np.ndarray, np.ndarray]:
         """(words, key) of each token's longest hot context; every suffix of a hot context is hot."""
         d, live = np.zeros(len(self.m), dtype=np.int64), np.arange(len(self.m))
         ctx = np.zeros(len(self.m), dtype=np.uint64)
@@ -221,7 +221,7 @@ class Shared:
 
     def __init__(self, value: tuple):
         self.head, hot, self.pairs, self.known, self.floor, self.start_often = value
-        self.hot, self.find = [_Head(h) for h in hot], _Head(self.pairs)
+        self.hot, self.find = [Head(h) for h in hot], Head(self.pairs)
         self.root = self.find.find(pair_key(np.zeros(len(self.head), np.uint64), self.head))
         self.end = self.find.find(pair_key(np.zeros(1, np.uint64), np.array([END])))[0]
 
@@ -265,7 +265,7 @@ def _hot_pairs(shared, level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, hot = shared.value
-        finds = [_Head(h) for h in hot]
+        finds = [Head(h) for h in hot]
         held: list[tuple] = []
 
         def merge() -> pa.RecordBatch:
@@ -329,15 +329,25 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- contexts -------------------------------------------------------------------
 
-_BLOCKS = "part int, base long, a0 binary, a1 binary, a2 binary, said binary, extra binary, lows binary, learn binary, docs binary"
 _SUMS = "base long, ids binary, nulls binary, held binary, sizes binary, known binary, root binary, docs binary, sums binary"
+_BLOCKS = "part int, a0 binary, a1 binary, a2 binary, said binary, extra binary, lows binary, learn binary, " + _SUMS
 
 
 def _occurrences(shared, bits: int, turn: int):
-    """Packed occurrences of each flush by range of contexts, of this round's ranges."""
+    """Packed occurrences of each flush by range of contexts, of this round's ranges; in the first round also what its texts score in their hot states, and the root's sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Shared(shared.value)
+        end = look.known[look.end]
+
+        def summed(row: dict, f: Flush) -> dict:
+            n, doc = len(f.sizes), f.doc[f.inner]
+            root = np.bincount(doc, np.log10(f.root), minlength=n) + np.log10(end)
+            known = np.bincount(doc, f.root > look.floor * 5, minlength=n) + (end > look.floor * 5)
+            sums = np.bincount(f.doc, np.log10(f.low), minlength=n)
+            part = int(textscan.mix(np.array([row["base"]], np.uint64))[0] >> np.uint64(64 - bits))
+            return {"part": part, **{c: row[c] for c in ("base", "ids", "nulls", "held", "sizes")}, "known": known.astype(np.int64).tobytes(), "root": root.tobytes(), "docs": np.arange(n).astype("<u2").tobytes(), "sums": sums.tobytes()}
+
         for batch in batches:
             for row in batch.to_pylist():
                 f = look.flush(row)
@@ -358,31 +368,14 @@ def _occurrences(shared, bits: int, turn: int):
                     far = use[i:j][said[i:j] < 0]
                     packed = {"said": _narrow(np.where(said[i:j] < 0, NONE, said[i:j]), 3), "extra": f.s[far].astype("<u4").tobytes(), "lows": f.low[far].astype("<f4").tobytes(), "learn": np.packbits(learn[i:j]).tobytes(), "docs": doc[i:j].astype("<u2").tobytes()}
                     out.append({"part": p, "base": row["base"], **{f"a{x}": _narrow(a[x][i:j], 4 if x == 0 else 3) for x in range(DEPTH)}, **packed})
+                if not turn:
+                    out.append(summed(row, f))
                 if out:
                     yield _record(_BLOCKS, out)
 
     return run
 
 
-def _roots(shared):
-    """What each flush's texts score in their hot states, and the root's sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Shared(shared.value)
-        end = look.known[look.end]
-        for batch in batches:
-            for row in batch.to_pylist():
-                f = look.flush(row)
-                n = len(f.sizes)
-                doc = f.doc[f.inner]
-                root = np.bincount(doc, np.log10(f.root), minlength=n) + np.log10(end)
-                known = np.bincount(doc, f.root > look.floor * 5, minlength=n) + (end > look.floor * 5)
-                sums = np.bincount(f.doc, np.log10(f.low), minlength=n)
-                yield _record(_SUMS, [{**{c: row[c] for c in ("base", "ids", "nulls", "held", "sizes")}, "known": known.astype(np.int64).tobytes(), "root": root.tobytes(), "docs": np.arange(n).astype("<u2").tobytes(), "sums": sums.tobytes()}])
-
-    return run
-
-
 def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray) -> np.ndarray:
     """What each occurrence of the contexts ``key`` adds to its text's log10 score, given the symbols' probabilities in the suffix's state."""
     low = root[said]
@@ -458,6 +451,9 @@ def _judged(shared):
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["a0"] is None:
+                    yield _record(_SUMS, [r])
+                    continue
                 if r["part"] != part:
                     yield from finish()
                     part, held = r["part"], []
@@ -517,7 +513,7 @@ def _key(name: tuple) -> list[np.uint64]:
     return out
 
 
-def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1 << 18, hot_share: float = 1e-7, hot_least: int = 1 << 17) -> DataFrame:
+def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1 << 18, hot_share: float = 1 / 256, hot_least: int = 1 << 14, hot_most: int = 1 << 20) -> DataFrame:
     """Per row of documents (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose ``crc32(doc_id as text) % held_out_of`` is not 0; a null
@@ -547,11 +543,11 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
     lower = vocabulary.select(F.lit(0).cast("long").alias("ctx"), F.col("h").alias("s"), ((F.col("train") + floor) / scale).alias("low"))
     end = spark.createDataFrame([(0, int(END.view(np.int64)), float((ends + floor) / scale))], "ctx long, s long, low double")
     lower = least = lower.unionByName(end)
-    hot_over = max(hot_least, hot_share * sums.every)
+    hot_over = max(min(hot_most, max(hot_least, hot_share * sums.every)), 1e-7 * sums.every)
     hot: list[np.ndarray] = []
     pairs, known = [pair_key(np.zeros(len(h) + 1, dtype=np.uint64), np.append(h, END))], [(np.append(train, ends) + floor) / scale]
     tables = [vocabulary]
-    names = {(int(np.int64(r.h).view(np.uint64)),): None for r in vocabulary.where(F.col("every") > hot_over).select("h").collect()}  # at most 1 / hot_share rows
+    names = {(int(np.int64(r.h).view(np.uint64)),): None for r in vocabulary.where(F.col("every") > hot_over).select("h").collect()}  # at most 10^7 rows
     names |= {(int(START),): None} if texts.every > hot_over else {}
     for level in range(1, DEPTH + 1):
         keyed = {int(_key(name)[-1]): name for name in names}
@@ -586,9 +582,10 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
     released(tokens, *tables)
 
     bits = min(20, max(6, (max(1, plan_bytes(docs)) >> 20).bit_length()))
-    sums = written(numbers.mapInArrow(_roots(shared), _SUMS), "sums")
+    sums = None
     for turn in range(ROUNDS):
         blocks = numbers.mapInArrow(_occurrences(shared, bits, turn), _BLOCKS).repartition("part").sortWithinPartitions("part")
-        sums = sums.unionByName(written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}"))
+        part = written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}")
+        sums = part if sums is None else sums.unionByName(part)
     released(numbers)
     return sums.repartition("base").sortWithinPartitions("base").mapInArrow(_added(total), _SCORES)
