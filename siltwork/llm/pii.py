@@ -1,38 +1,51 @@
-r"""PII spans by candidate gradient boosting, in DataFrame and SQL functions only.
-
-Generators propose spans of four kinds. Strict ones are the base patterns with
-their checks (octets, Luhn, digit counts); loose ones find spelled-out addresses,
-phones without ``+``, IPv6 and shorter cards, and may overlap the others. Every
-proposal gets format features and features of what stands around it. Boosted
-trees learn from the strict proposals, which of them pass their checks; proposals
-are first counted by feature vector, so what reaches the driver is bounded by the
-number of vectors, not by the data. A threshold by kind is calibrated on proposals
-of held-out texts; a kind that cannot reach the wanted precision adds nothing. Base
-spans always stay; loose proposals above their threshold that overlap none are added.
-
-Positions come from the pieces between matches: ``split`` and
-``regexp_extract_all`` see the same matches. Patterns are written with possessive
-loops and left boundaries, which match the same spans as the plain ones but take
-linear time on any text. Nothing is exchanged but the counts.
+r"""Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
+
+Generators propose spans of five kinds. Strict ones are the base patterns with their
+checks (octets, Luhn, digit counts); loose ones find spelled-out addresses, phones
+without ``+``, IPv6, shorter cards and secrets (values after a secret's name, runs of
+mixed letters and digits), and may overlap the others. Every proposal gets features of
+its format and of the text before and after it, and boosted trees score it.
+
+What the trees learn from, all of it read off the texts themselves: strict proposals by
+their checks; loose forms of verified spans, made by altering texts (an address spelled
+out, a phone without its ``+``); loose proposals inside a verified span of another kind,
+which are none of their own; a secret's value by its format where its name tells what it
+is, and by its name where its format does. Proposals are first counted by feature vector,
+so what reaches the driver is bounded by the number of vectors, not by the data.
+
+A threshold by loose generator is calibrated on the proposals of held-out texts (half
+of them, by hash); a generator that cannot reach the wanted precision adds nothing.
+Base spans always stay. Loose proposals above their threshold that overlap no base span
+are scored against each other: of overlapping ones only the one furthest above its
+threshold is added.
+
+A null text is empty and has no spans. Texts of any length are read whole: positions
+come from the pieces between matches (``split`` and ``regexp_extract_all`` see the same
+matches), patterns have possessive loops and left boundaries, and running maxima and
+cuts go by blocks, so time is near linear in the text and its spans. Rows with equal
+doc_ids stay rows of their own, other columns stay as they are. Nothing is exchanged
+but the counts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
-# name: (kind, quick test that any match implies, pattern, SQL of the check of a match v, base pattern?)
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _DIGITS = "regexp_replace(v, '[^0-9]', '')"
 _LUHN = f"""transform(array(reverse({_DIGITS})), d -> aggregate(sequence(1, length(d)), 0, (s, i) -> s +
   CASE WHEN i % 2 = 1 THEN CAST(substr(d, i, 1) AS INT) WHEN CAST(substr(d, i, 1) AS INT) > 4 THEN CAST(substr(d, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(d, i, 1) AS INT) * 2 END) % 10 = 0)[0]"""
 _RUN = "(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9])"
+_NAMED = """(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)["']? {0,2}[=:] {0,2}["']?"""
+_BEFORE, _AFTER = 32, 16  # characters of context that features see
+# name: (kind, quick test that any match implies, pattern, SQL of what is known of a match v with b before it, base pattern?)
 GENERATORS = {
     "email": (0, "@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++", "true", True),
     "ip": (1, r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", f"v rlike '^{_OCTET}([.]{_OCTET}){{3}}$'", True),
@@ -40,10 +53,18 @@ GENERATORS = {
     "phone": (3, r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15", True),
     "bare_email": (0, "@", rf"(?<!{_LOCAL}){_LOCAL}++@{_HOST}++(?![.]{_HOST})", "false", False),
     "spelled_email": (0, r"[(\[] ?(?:at|AT) ?[)\]]", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[(\[] ?(?:at|AT) ?[)\]] ?{_HOST}{{1,63}}(?: ?[(\[] ?(?:dot|DOT) ?[)\]] ?{_HOST}{{1,63}}|\.{_HOST}{{1,63}})+", "null", False),
-    "ipv6": (1, "[0-9A-Fa-f]:[0-9A-Fa-f]", "(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "null", False),
+    "ipv6": (1, "[0-9A-Fa-f]:[0-9A-Fa-f]", "(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "true", False),
     "short_card": (2, "[0-9][0-9 -]{11}", _RUN + "{12,14}+(?![ -]?[0-9])", f"CASE WHEN NOT {_LUHN} THEN false END", False),
     "bare_phone": (3, "[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+(.-])(?<![0-9][ ])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9.-])", "null", False),
+    "named_secret": (4, _NAMED, rf"""(?<={_NAMED})[^\s"'<>,;]{{6,}}+""", "CASE WHEN v rlike '[0-9]' AND v rlike '[A-Za-z]' AND length(v) >= 12 THEN true WHEN v rlike '^[A-Za-z]+$' OR length(v) < 8 THEN false END", False),
+    "mixed_run": (4, "[0-9][A-Za-z]", "(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?:[A-Za-z][0-9]|[0-9][A-Za-z]))[A-Za-z0-9_-]{16,}+", "CASE WHEN b rlike NAMED THEN true WHEN b rlike '[A-Za-z0-9.,] $' THEN false END", False),
 }
+LOOSE = [g for g, x in GENERATORS.items() if not x[4]]
+# how verified spans are altered for training: (pattern, replacement)
+ALTERED = (
+    (r"\+[0-9]{1,3}[ .-]?(\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})(?![0-9])", "$1"),
+    (rf"(?<!{_LOCAL})({_LOCAL}++)@({_HOST}++)\.({_HOST}++)", "$1 (at) $2 (dot) $3"),
+)
 _CUES = "mail|phone|tel[.:]|call|fax|card|visa|server|host|address|contact|kontakt|correo"
 
 
@@ -60,32 +81,58 @@ def _sum(array: str) -> str:
     return f"aggregate({array}, 0L, (su, el) -> su + el)"
 
 
-def _running(array: str) -> str:
-    """Running sums of an array, in blocks so that many matches cost little more than few."""
+def _most(array: str) -> str:
+    return f"coalesce(array_max({array}), 0L)"
+
+
+def _running(array: str, of=_sum, inclusive: bool = True) -> str:
+    """Running sums (or maxima of numbers not below 0) of an array, in blocks so that many matches cost little more than few."""
     blocks = "transform(sequence(0, greatest(0, (size(dd) - 1) div 64)), bb -> slice(dd, bb * 64 + 1, 64))"
-    inner = f"flatten(transform(bl, (b1, i1) -> transform(b1, (v1, j1) -> bo[i1] + {_sum('slice(b1, 1, j1 + 1)')})))"
-    return _let(array, "dd", _let(blocks, "bl", _let(f"transform(bl, b2 -> {_sum('b2')})", "bs", _let(f"transform(bs, (v3, i3) -> {_sum('slice(bs, 1, i3)')})", "bo", inner))))
+    both = (lambda x, y: f"{x} + {y}") if of is _sum else (lambda x, y: f"greatest({x}, {y})")
+    inner = f"flatten(transform(bl, (b1, i1) -> transform(b1, (v1, j1) -> {both('bo[i1]', of(f'slice(b1, 1, j1 + {int(inclusive)})'))})))"
+    return _let(array, "dd", _let(blocks, "bl", _let(f"transform(bl, b2 -> {of('b2')})", "bs", _let(f"transform(bs, (v3, i3) -> {of('slice(bs, 1, i3)')})", "bo", inner))))
 
 
 def _proposals(generator: str, t: str = "t") -> str:
     """SQL: the array of a generator's proposals in column ``t``."""
     kind, quick, pattern, check, _ = GENERATORS[generator]
     r = _literal(pattern)
+    before = f"right(get(mp.p, i), {_BEFORE})"
+    known = check.replace("b rlike NAMED", f"{before} rlike {_literal(_NAMED + '$')}").replace("b rlike", f"{before} rlike")
     gaps = "transform(mp.m, (v0, i0) -> CAST(length(get(mp.p, i0)) + IF(i0 > 0, length(get(mp.m, i0 - 1)), 0) AS BIGINT))"
-    one = f"""transform(mp.m, (v, i) -> named_struct('kind', {kind}, 's', get(st, i), 'e', get(st, i) + length(v), 'v', v, 'ok', CAST({check} AS BOOLEAN),
-      'before', right(get(mp.p, i), 16), 'after', left(get(mp.p, i + 1), 1)))"""
+    one = f"""transform(mp.m, (v, i) -> named_struct('kind', {kind}, 'gen', {list(GENERATORS).index(generator)}, 's', get(st, i), 'e', get(st, i) + length(v), 'v', v, 'ok', CAST({known} AS BOOLEAN),
+      'before', {before}, 'after', left(get(mp.p, i + 1), {_AFTER})))"""
     found = _let(f"named_struct('m', regexp_extract_all({t}, {r}, 0), 'p', split({t}, {r}, -1))", "mp", _let(_running(gaps), "st", one))
     return f"CASE WHEN {t} rlike {_literal(quick)} THEN {found} END"
 
 
+def _all(generators, t: str = "t") -> str:
+    """SQL: the proposals of several generators in one array."""
+    return f"flatten(array({', '.join(f'coalesce({_proposals(g, t)}, array())' for g in generators)}))"
+
+
+def _touched(spans: str, by: str) -> str:
+    """SQL: ``spans`` (structs with s, e), sorted by s, with ``hit``: whether one of the spans ``by`` overlaps it."""
+    rows = f"array_sort(concat(transform({spans}, z1 -> named_struct('s', z1.s, 'own', 1, 'e', z1.e, 'x', z1)), transform({by}, z2 -> named_struct('s', z2.s, 'own', 0, 'e', z2.e, 'x', get({spans}, 0)))))"
+    ends = _running("transform(rw, z3 -> IF(z3.own = 0, z3.e, 0L))", _most, False)
+    far = 1 << 62  # starts after a span, counted down from here, so that their least is a running maximum from the end
+    starts = f"reverse({_running(f'transform(reverse(rw), z4 -> IF(z4.own = 0, {far}L - z4.s, 0L))', _most, False)})"
+    marked = _let(ends, "pe", _let(starts, "ps", f"transform(rw, (z5, i5) -> named_struct('own', z5.own, 'x', z5.x, 'hit', pe[i5] > z5.s OR ps[i5] > {far}L - z5.e))"))
+    return _let(rows, "rw", f"filter({marked}, z6 -> z6.own = 1)")
+
+
 FEATURES = {
-    "kind": "x.kind",
+    "gen": "x.gen",
     "digits": "least(length(regexp_replace(x.v, '[^0-9]', '')), 20)",
     "marks": "least(length(regexp_replace(x.v, '[A-Za-z0-9]', '')), 8)",
-    "letters": "least(length(regexp_replace(x.v, '[^A-Za-z]', '')) div 4, 4)",
+    "letters": "least(length(regexp_replace(x.v, '[^A-Za-z]', '')) div 4, 6)",
+    "length": "least(length(x.v) div 4, 12)",
+    "turns": "least(length(regexp_replace(x.v, '(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])', '#')) - length(x.v), 6)",
     "left": "CASE WHEN x.before rlike '[A-Za-z0-9]$' THEN 2 WHEN x.before rlike '[^ \\\\s]$' THEN 1 ELSE 0 END",
     "right": "CASE WHEN x.after rlike '^[A-Za-z0-9]' THEN 2 WHEN x.after rlike '^[^ \\\\s]' THEN 1 ELSE 0 END",
     "cue": f"IF(lower(x.before) rlike {_literal(_CUES)}, 1, 0)",
+    "named": f"CASE WHEN x.before rlike {_literal(_NAMED + '$')} THEN 2 WHEN x.before rlike {_literal('(?i:pass|pwd|secret|token|key)')} THEN 1 ELSE 0 END",
+    "near": "least(length(regexp_replace(concat(x.before, x.after), '[^0-9]', '')) div 3, 4)",
     "bracket": "IF(x.v rlike '[(]', 1, 0)",
     "dull": "IF(regexp_replace(x.v, '[^0-9]', '') rlike '^([0-9])\\\\1+$', 1, 0)",
 }
@@ -93,11 +140,19 @@ FEATURES = {
 
 @dataclass
 class Booster:
-    """Trees of depth two over small integer features: (feature, cut, left leaf, right branch...) and thresholds by kind."""
+    """Trees of depth two over small integer features: (feature, cut, low branch, high branch) or a leaf.
+
+    ``by_generator`` has the calibrated thresholds; any other loose generator's is its kind's, infinite where it adds nothing.
+    """
 
     trees: list[tuple]
     bias: float
     thresholds: list[float]
+    by_generator: dict[str, float] = field(default_factory=dict)
+
+    def threshold(self, generator: str) -> float:
+        kind = GENERATORS[generator][0]
+        return self.by_generator.get(generator, self.thresholds[kind] if kind < len(self.thresholds) else float("inf"))
 
     def sql(self) -> str:
         """Log odds of a proposal's feature struct ``f``."""
@@ -148,49 +203,98 @@ def boost(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 40, rate: f
     return trees, bias
 
 
+def labelled(documents: DataFrame) -> DataFrame:
+    """The proposals of all texts that something is known of: aside (held out for the thresholds), ok and x, a proposal.
+
+    Strict proposals and loose ones whose format or name tells; loose ones that a
+    verified span of another kind overlaps (not ok); loose forms in altered texts
+    that had none of the kind before (ok).
+    """
+    t = documents.select(F.col("text").cast("string").alias("t")).where(F.expr("t IS NOT NULL AND t rlike '[0-9@(\\\\[=:]'"))
+    aside = F.expr("pmod(xxhash64(t), 2) = 0").alias("aside")
+    strict = [g for g, x in GENERATORS.items() if x[4]]
+    found = t.select("t", aside, F.expr(_all(strict)).alias("strict"), F.expr(_all(LOOSE)).alias("loose"))
+    found = found.where("size(strict) + size(loose) > 0")
+    known = found.select("aside", F.explode(F.expr("filter(concat(strict, loose), x -> x.ok IS NOT NULL)")).alias("x")).select("aside", F.col("x.ok").alias("ok"), "x")
+    parts = [known]
+    for kind in range(len(KINDS)):
+        own = f"filter(loose, x -> x.kind = {kind} AND x.ok IS NULL)"
+        other = f"filter(strict, x -> x.kind <> {kind} AND x.ok)"
+        rows = found.where(F.expr(f"size({own}) > 0 AND size({other}) > 0")).select("aside", F.expr(own).alias("own"), F.expr(other).alias("other"))
+        if any(GENERATORS[g][0] == kind for g in LOOSE):
+            parts.append(rows.select("aside", F.explode(F.expr(_touched("own", "other"))).alias("r")).where("r.hit").select("aside", F.lit(False).alias("ok"), F.col("r.x").alias("x")))
+    forms = ["spelled_email", "bare_phone"]
+    changed = "t"
+    for pattern, to in ALTERED:
+        changed = f"regexp_replace({changed}, {_literal(pattern)}, {_literal(to)})"
+    numbers = ", ".join(str(list(GENERATORS).index(g)) for g in forms)
+    new = found.where(F.expr(f"exists(strict, x -> x.ok AND x.kind IN (0, 3)) AND NOT exists(loose, x -> x.gen IN ({numbers}) AND x.kind = 0)")).select("aside", F.expr(changed).alias("t"))
+    parts.append(new.select("aside", F.lit(True).alias("ok"), F.explode(F.expr(_all(forms))).alias("x")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def train(documents: DataFrame, precision: float = 0.99, least: int = 20) -> Booster:
-    """Counts the strict proposals of all texts by features, fits the trees and calibrates the kinds' thresholds on every fourth text by hash."""
-    t = documents.select(F.col("text").cast("string").alias("t")).where("t IS NOT NULL AND t rlike '[0-9@]'")
-    every = ", ".join(f"coalesce({_proposals(g)}, array())" for g, (*_, base) in GENERATORS.items() if base or g in ("bare_email", "short_card"))
-    x = t.select(F.expr("pmod(xxhash64(t), 4) = 0").alias("aside"), F.explode(F.expr(f"flatten(array({every}))")).alias("x")).where("x.ok IS NOT NULL")
-    counted = x.select("aside", F.expr("CAST(x.ok AS INT)").alias("y"), *(F.expr(f"CAST({sql} AS INT)").alias(f"f_{name}") for name, sql in FEATURES.items())).groupBy("aside", "y", *(f"f_{n}" for n in FEATURES)).count().collect()
-    never = [float("inf")] * len(KINDS)
-    if not counted:
-        return Booster([], 0.0, never)
+    """Counts the labelled proposals of all texts by features, fits the trees on one half of the texts and calibrates the loose generators' thresholds on the other."""
+    counted = labelled(documents).select("aside", F.expr("CAST(ok AS INT)").alias("y"), *(F.expr(f"CAST({sql} AS INT)").alias(f"f_{name}") for name, sql in FEATURES.items())).groupBy("aside", "y", *(f"f_{n}" for n in FEATURES)).count().collect()
+    never = [float("inf")] * 4
     counted = sorted(counted, key=tuple)
-    a = np.array([list(r) for r in counted], dtype=float)
-    learn = a[:, 0] == 0
+    a = np.array([list(r) for r in counted], dtype=float).reshape(len(counted), len(FEATURES) + 3)
+    learn = a[:, 0] == 0 if len(a) else np.zeros(0, bool)
     if not learn.any() or len(set(a[learn, 1])) < 2:
         return Booster([], 0.0, never)
     trees, bias = boost(a[learn, 2:-1], a[learn, 1], a[learn, -1])
     model = Booster(trees, bias, never)
     s = model.score(a[:, 2:-1])
-    for kind in range(len(KINDS)):
-        own = (a[:, 2] == kind) & ~learn
-        for cut in sorted(set(s[own])):
+    for g, name in enumerate(GENERATORS):
+        own = (a[:, 2] == g) & ~learn
+        for cut in sorted(set(s[own])) if name in LOOSE else ():
             above = own & (s >= cut)
             good, all_ = a[above & (a[:, 1] == 1), -1].sum(), a[above, -1].sum()
             if all_ >= least and good >= precision * all_:
-                model.thresholds[kind] = float(cut)
+                model.by_generator[name] = float(cut)
                 break
     return model
 
 
-def spans(documents: DataFrame, model: Booster) -> DataFrame:
-    """All columns of documents with ``__base`` and ``__added``: arrays of (kind, s, e) by kind, then start, in code points, end exclusive."""
-    base = ", ".join(f"transform(filter(coalesce({_proposals(g, '__t')}, array()), x -> x.ok), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))" for g, (*_, b) in GENERATORS.items() if b)
-    cuts = " ".join(f"WHEN {k} THEN {c!r}D" for k, c in enumerate(model.thresholds) if np.isfinite(c))
-    out = documents.withColumn("__t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spot = "ARRAY<STRUCT<kind: INT, s: BIGINT, e: BIGINT>>"
-    out = out.withColumn("__base", F.expr(f"CAST(IF(__t rlike '[0-9@]', flatten(array({base})), array()) AS {spot})"))
-    if not cuts:
-        return out.withColumn("__added", F.expr(f"CAST(array() AS {spot})")).drop("__t")
-    loose = ", ".join(f"coalesce({_proposals(g, '__t')}, array())" for g, (*_, check, b) in GENERATORS.items() if not b and check != "false")
+_SPOTS = "ARRAY<STRUCT<kind: INT, s: BIGINT, e: BIGINT>>"
+
+
+def _marked(documents: DataFrame, model: Booster, name: str) -> DataFrame:
+    """The documents with a struct of ``base`` and ``added`` spans; no column's name may begin with ``name``."""
+    t, base, cand, free = (f"{name}_{k}" for k in ("text", "base", "cand", "free"))
+    bare = "transform({}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))"
+    strict = [g for g, x in GENERATORS.items() if x[4]]
+    out = documents.withColumn(t, F.expr("coalesce(CAST(text AS STRING), '')"))
+    out = out.withColumn(base, F.expr(f"CAST(IF({t} rlike '[0-9@]', {bare.format(f'filter({_all(strict, t)}, x -> x.ok)')}, array()) AS {_SPOTS})"))
+    open_ = [g for g in LOOSE if np.isfinite(model.threshold(g))]
+    if not open_:
+        return out.withColumn(name, F.expr(f"named_struct('base', {base}, 'added', CAST(array() AS {_SPOTS}))")).drop(t, base)
+    cuts = " ".join(f"WHEN {k} THEN {model.threshold(g)!r}D" for k, g in enumerate(GENERATORS) if g in open_)
     features = ", ".join(f"'{n}', {sql}" for n, sql in FEATURES.items())
-    good = f"filter(flatten(array({loose})), x -> coalesce(x.ok, true) AND " + _let(f"named_struct({features})", "f", f"{model.sql()} >= CASE f.kind {cuts} ELSE double('Infinity') END") + ")"
-    bare = f"transform({good}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))"
-    apart = "filter(cand, (x, i) -> NOT exists(__base, b -> b.s < x.e AND x.s < b.e) AND NOT exists(slice(cand, 1, i), b -> b.s < x.e AND x.s < b.e))"
-    return out.withColumn("__added", F.expr(f"CAST({_let(bare, 'cand', apart)} AS {spot})")).drop("__t")
+    margin = _let(f"named_struct({features})", "f", f"{model.sql()} - CASE f.gen {cuts} ELSE double('Infinity') END")
+    out = out.withColumn(cand, F.expr(f"filter({_all(open_, t)}, x -> coalesce(x.ok, true))"))
+    out = out.withColumn(cand, F.expr(f"filter(transform({cand}, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'm', {margin})), x -> x.m >= 0)"))
+    out = out.withColumn(free, F.expr(f"IF(size({cand}) = 0, {cand}, transform(filter({_touched(cand, base)}, x -> NOT x.hit), x -> x.x))"))
+    better = "y.s < x.e AND x.s < y.e AND (y.m > x.m OR y.m = x.m AND (y.s < x.s OR y.s = x.s AND (y.e > x.e OR y.e = x.e AND y.kind < x.kind)))"
+    best = f"filter({free}, (x, i) -> NOT exists(slice({free}, greatest(1, i - 15), 32), y -> {better}))"
+    return out.withColumn(name, F.expr(f"named_struct('base', {base}, 'added', CAST(array_sort({bare.format(best)}) AS {_SPOTS}))")).drop(t, base, cand, free)
+
+
+def _free(documents: DataFrame) -> str:
+    """A name that no column of documents begins with."""
+    name = "__pii"
+    while any(c.lower().startswith(name) for c in documents.columns):
+        name += "x"
+    return name
+
+
+def spans(documents: DataFrame, model: Booster) -> DataFrame:
+    """All columns of documents with ``__base`` and ``__added`` (in place of columns that have these names): arrays of (kind, s, e) by kind, then start, in code points, end exclusive."""
+    name = _free(documents)
+    return _marked(documents, model, name).withColumns({"__base": F.col(f"{name}.base"), "__added": F.col(f"{name}.added")}).drop(name)
 
 
 def text_of(column: str) -> str:
@@ -199,14 +303,26 @@ def text_of(column: str) -> str:
     return f"array_join(transform(array_sort({column}), x -> concat(element_at(array({names}), x.kind + 1), ':', x.s, ':', x.e)), ',')"
 
 
+CUT = 1024  # texts are cut at so many code points, so that a place is found without a walk from the text's start
+
+
+def _between(ch: str, a: str, b: str) -> str:
+    """SQL: the code points from ``a`` to ``b`` of the text whose cuts are ``ch``."""
+    i, j = f"CAST({a} div {CUT} AS INT)", f"CAST(({b} - 1) div {CUT} AS INT)"
+    first = f"substr(get({ch}, {i}), CAST({a} % {CUT} + 1 AS INT)"
+    return f"""CASE WHEN {b} <= {a} THEN '' WHEN {i} = {j} THEN {first}, CAST({b} - {a} AS INT))
+      ELSE concat({first}), array_join(slice({ch}, {i} + 2, {j} - {i} - 1), ''), substr(get({ch}, {j}), 1, CAST(({b} - 1) % {CUT} + 1 AS INT))) END"""
+
+
 def redact(documents: DataFrame, model: Booster) -> DataFrame:
     """The documents with every span's text replaced by its kind in angle brackets; overlapping spans give one mark, of the first."""
-    marked = spans(documents, model)
-    at = "array_sort(transform(concat(__base, __added), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"
+    name = _free(documents)
+    sp, far, ch = (f"{name}_{k}" for k in ("spans", "far", "cuts"))
+    out = _marked(documents, model, name)
+    out = out.withColumn(sp, F.expr(f"array_sort(transform(concat({name}.base, {name}.added), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"))
+    out = out.withColumn(far, F.expr(_running(f"transform({sp}, x -> x.e)", _most, False))).withColumn(ch, F.expr(f"IF(size({sp}) = 0, array(), regexp_extract_all(text, '(?s).{{1,{CUT}}}', 0))"))
     names = ", ".join(f"'<{k}>'" for k in KINDS)
-    ends = _let(at, "sp", "transform(sp, (x, i) -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'far', coalesce(array_max(transform(slice(sp, 1, i), y -> y.e)), 0L)))")
-    done = _let(ends, "sq", f"""concat(array_join(transform(sq, x -> concat(
-      IF(x.s >= x.far, substr(text, CAST(x.far + 1 AS INT), CAST(x.s - x.far AS INT)), ''), IF(x.s >= x.far, element_at(array({names}), x.kind + 1), ''))), ''),
-      substr(text, CAST(coalesce(array_max(transform(sq, x -> x.e)), 0L) + 1 AS INT)))""")
-    out = marked.withColumn("text", F.expr(f"IF(size(__base) + size(__added) = 0, text, {done})")).drop("__base", "__added")
+    gaps = f"transform({sp}, (x, i) -> IF(x.s >= {far}[i], concat({_between(ch, f'{far}[i]', 'x.s')}, element_at(array({names}), x.kind + 1)), ''))"
+    last = _let(_most(f"transform({sp}, x -> x.e)"), "la", _let("CAST(length(text) AS BIGINT)", "n", _between(ch, "la", "n")))
+    out = out.withColumn("text", F.expr(f"IF(size({sp}) = 0, text, concat(array_join({gaps}, ''), {last}))")).drop(name, sp, far, ch)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*documents.columns) if "n_chars" in documents.columns else out.select(*documents.columns)

@@ -268,6 +268,71 @@ def test_training_on_texts(documents, personal, nothing):
     assert pii.spans(documents, pii.train(personal)).count() == documents.count()
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    """(doc_id, text) with verified spans, loose forms and secrets in prose, and what must be found of the last."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join(rng.choice(["the", "re", "onan", "house", "e1r", "i2n", "of", "then"]) for _ in range(n))
+    code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)) + "a1"
+    phone = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows, secrets = [], {}
+    for i in range(900):
+        a, b, kind = prose(rng.randint(3, 30)) + " ", " " + prose(rng.randint(3, 30)), i % 9
+        value = [f"u{i}@mail{i % 7}.example.com", "+1 " + phone(), phone(), f"u{i} (at) mail (dot) org", code(18), code(38), f"10.{i % 256}.3.4", "plain", code(24)][kind]
+        if kind in (4, 5):
+            lead = "password=" if kind == 4 else 'token = "'
+            rows.append((i, a + lead + value + ('"' if kind == 5 else "") + b))
+            secrets[i] = f"secret:{len(a + lead)}:{len(a + lead + value)}"
+        else:
+            rows.append((i, a + value + b))
+    return spark.createDataFrame(rows, "doc_id long, text string"), secrets
+
+
+def test_added_spans_on_planted_texts(planted):
+    docs, secrets = planted
+    model = pii.train(docs)
+    got = {r.doc_id: r.a for r in pii.spans(docs, model).select("doc_id", F.expr(pii.text_of("__added")).alias("a")).collect()}
+    found = {i for i, a in got.items() if a}
+    assert all(got[i] == a for i, a in secrets.items())  # recall of named secrets
+    assert sum(i % 9 in (2, 3, 4, 5) for i in found) >= 0.99 * len(found)  # precision; loose phones and addresses are none of the base's
+    assert sum(i % 9 in (2, 3) for i in found) >= 0.95 * 200
+
+
+def test_sql_scores_equal_the_trees(planted):
+    docs, _ = planted
+    model = pii.train(docs)
+    features = ", ".join(f"'{n}', {sql}" for n, sql in pii.FEATURES.items())
+    rows = pii.labelled(docs).select(F.expr(f"named_struct({features})").alias("f")).select("f", F.expr(model.sql()).alias("s")).collect()
+    assert len(rows) > 500 and len(model.trees) == 40
+    assert np.allclose(model.score(np.array([list(r.f) for r in rows], dtype=float)), [r.s for r in rows])
+
+
+def test_overlap_with_many_spans(spark):
+    rng = random.Random(3)
+    for _ in range(6):
+        make = lambda n: sorted((a := rng.randrange(900), a + rng.randint(1, 9)) for _ in range(n))
+        x, y = make(rng.choice([0, 5, 200])), make(rng.choice([0, 7, 150]))
+        df = spark.createDataFrame([([{"s": a, "e": b} for a, b in x], [{"s": a, "e": b} for a, b in y])], "x array<struct<s: long, e: long>>, y array<struct<s: long, e: long>>")
+        got = df.select(F.expr(pii._touched("x", "y")).alias("r")).first().r
+        assert [(r.x.s, r.x.e, r.hit) for r in got] == [(a, b, any(c < b and a < d for c, d in y)) for a, b in x]
+
+
+def test_a_text_of_100000_spans(spark):
+    import time
+
+    text = " ".join(f"m{i}@h.org or (at) {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.redact(docs, pii.Booster([], 5.0, [0.0] * 4)).first().text
+    assert got == " ".join(f"<email> or (at) {i}" for i in range(100_000)) and time.time() - began < 60
+
+
+def test_personal_data_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x a@b.cc", 7, "b"), (1, "x a@b.cc", 7, "b"), (None, None, None, None)], "doc_id long, text string, __pii int, __base string")
+    out = pii.redact(docs, pii.Booster([], 0.0, [float("inf")] * 4))
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, [r if r.text is None else type(r)(**(r.asDict() | {"text": "x <email>"})) for r in docs.collect()]))
+
+
 def test_digest_is_of_the_base_spans():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
