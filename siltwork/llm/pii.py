@@ -211,29 +211,25 @@ def labelled(documents: DataFrame) -> DataFrame:
     that had none of the kind before (ok).
     """
     t = documents.select(F.col("text").cast("string").alias("t")).where(F.expr("t IS NOT NULL AND t rlike '[0-9@(\\\\[=:]'"))
-    aside = F.expr("pmod(xxhash64(t), 2) = 0").alias("aside")
     strict = [g for g, x in GENERATORS.items() if x[4]]
-    found = t.select("t", aside, F.expr(_all(strict)).alias("strict"), F.expr(_all(LOOSE)).alias("loose"))
+    found = t.select("t", F.expr("pmod(xxhash64(t), 2) = 0").alias("aside"), F.expr(_all(strict)).alias("strict"), F.expr(_all(LOOSE)).alias("loose"))
     found = found.where("size(strict) + size(loose) > 0")
-    known = found.select("aside", F.explode(F.expr("filter(concat(strict, loose), x -> x.ok IS NOT NULL)")).alias("x")).select("aside", F.col("x.ok").alias("ok"), "x")
-    parts = [known]
-    for kind in range(len(KINDS)):
-        own = f"filter(loose, x -> x.kind = {kind} AND x.ok IS NULL)"
-        other = f"filter(strict, x -> x.kind <> {kind} AND x.ok)"
-        rows = found.where(F.expr(f"size({own}) > 0 AND size({other}) > 0")).select("aside", F.expr(own).alias("own"), F.expr(other).alias("other"))
-        if any(GENERATORS[g][0] == kind for g in LOOSE):
-            parts.append(rows.select("aside", F.explode(F.expr(_touched("own", "other"))).alias("r")).where("r.hit").select("aside", F.lit(False).alias("ok"), F.col("r.x").alias("x")))
+    parts = ["transform(filter(concat(strict, loose), x -> x.ok IS NOT NULL), x -> named_struct('ok', x.ok, 'x', x))"]
+    for kind in sorted({GENERATORS[g][0] for g in LOOSE}):
+        found = found.withColumn(f"own{kind}", F.expr(f"filter(loose, x -> x.kind = {kind} AND x.ok IS NULL)"))
+        found = found.withColumn(f"other{kind}", F.expr(f"IF(size(own{kind}) = 0, array(), filter(strict, x -> x.kind <> {kind} AND x.ok))"))
+        inside = f"transform(filter({_touched(f'own{kind}', f'other{kind}')}, x -> x.hit), x -> named_struct('ok', false, 'x', x.x))"
+        found = found.withColumn(f"inside{kind}", F.expr(f"CASE WHEN size(other{kind}) > 0 THEN {inside} END"))
+        parts.append(f"coalesce(inside{kind}, array())")
     forms = ["spelled_email", "bare_phone"]
     changed = "t"
     for pattern, to in ALTERED:
         changed = f"regexp_replace({changed}, {_literal(pattern)}, {_literal(to)})"
     numbers = ", ".join(str(list(GENERATORS).index(g)) for g in forms)
-    new = found.where(F.expr(f"exists(strict, x -> x.ok AND x.kind IN (0, 3)) AND NOT exists(loose, x -> x.gen IN ({numbers}) AND x.kind = 0)")).select("aside", F.expr(changed).alias("t"))
-    parts.append(new.select("aside", F.lit(True).alias("ok"), F.explode(F.expr(_all(forms))).alias("x")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fresh = f"exists(strict, x -> x.ok AND x.kind IN (0, 3)) AND NOT exists(loose, x -> x.gen IN ({numbers}) AND x.kind = 0)"
+    found = found.withColumn("altered", F.expr(f"CASE WHEN {fresh} THEN {changed} END"))
+    parts.append(f"IF(altered IS NULL, array(), transform({_all(forms, 'altered')}, x -> named_struct('ok', true, 'x', x)))")
+    return found.select("aside", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("r")).select("aside", "r.ok", "r.x")
 
 
 def train(documents: DataFrame, precision: float = 0.99, least: int = 20) -> Booster:
