@@ -1,15 +1,16 @@
 """Exact cosine links among embeddings by dual traversal of cover trees.
 
 Unit vectors at distance d have cosine ``1 - d * d / 2``, so a cosine threshold is
-a distance. Equal vectors of a label first become one with a count. A top level of
-pivots, a net of a bounded sample, splits a label into cells; a vector is sent to
-another cell only if the triangle inequality lets it link there (covering radius
-and hyperplane bounds). Cells are split into blocks of at most about ``BLOCK``
-vectors, whatever their size, and each pair of blocks is one task's work: both
-blocks' cover trees (nested levels, halving radii) are traversed together, node
-pairs are dropped when their covering radii keep them apart and taken whole when
-they keep them together; only the rest is compared, in double precision. A task
-gives link counts and a spanning forest of its links, never the pairs.
+a distance. Equal vectors of a label first become one with a count. A label's vectors
+are dealt to blocks of at most about ``BLOCK``; each pair of blocks is one task's work.
+The largest labels have a net of pivots, of a bounded sample, as their top level: a
+vector's cell is its nearest pivot's, neighbouring cells form a block, and a vector is
+sent to another block only if the triangle inequality lets it link in one of its cells
+(covering radius and hyperplane bounds). Labels beyond that number, and small ones, are
+split by hash alone. Both blocks' cover trees (nested levels, halving radii) are then
+traversed together, node pairs are dropped when their covering radii keep them apart
+and taken whole when they keep them together; only the rest is compared, in double
+precision. A task gives link counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .scratch import written
+from ..operators.graph import components
+from ..sources.scratch import released, written
 
 BLOCK = 8192
 CHUNK, STRIP = 512, 1 << 16  # rows of a distance matrix, and pairs of leaf members, that are held at once
 LEAF = 24
-MOST_PIVOTS = 4096  # of all labels together; what is broadcast is at most so many vectors
-SAMPLE_A_PIVOT = 8
+MOST_SPACES, MOST_PIVOTS = 256, 8192  # labels that have pivots, the largest ones, and pivots of all together: what is broadcast is at most so many vectors
+CELL = 64  # vectors of a cell, where pivots last
+SAMPLE_A_PIVOT = 4
 SLACK = 1e-7  # room for rounding in bounds; links themselves are decided by their cosine
 
 
@@ -95,21 +97,34 @@ def build(x: np.ndarray) -> Node | None:
 
 
 class Forest:
-    """Union-find over local numbers."""
+    """Components over local numbers, named by their least; links come in arrays."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
-
-    def find(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = self.up[self.up[a]]
-            a = self.up[a]
-        return int(a)
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        self.late: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_late = 0
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.late.append((a, b))
+        self.n_late += len(a)
+        if self.n_late > 1 << 20:
+            self.roots()
+
+    def roots(self) -> np.ndarray:
+        """The least member of each one's component, by hooking and pointer jumping."""
+        if self.late:
+            a, b = (np.concatenate([x[k] for x in self.late]) for k in (0, 1))
+            self.late, self.n_late = [], 0
+            while True:
+                x, y = self.up[a], self.up[b]
+                apart = x != y
+                if not apart.any():
+                    break
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
+                while (self.up[self.up] != self.up).any():
+                    self.up = self.up[self.up]
+        return self.up
 
 
 def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, Forest]:
@@ -128,12 +143,10 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
 
     def whole(p: Node, q: Node) -> None:
         nx[p.members] += wy[q.members].sum()
-        for m in p.members:
-            forest.join(int(m), q.point + shift)
+        forest.join(p.members, np.full(len(p.members), q.point + shift))
         if p is not q or not same:
             ny[q.members] += wx[p.members].sum()
-            for m in q.members:
-                forest.join(p.point, int(m) + shift)
+            forest.join(np.full(len(q.members), p.point), q.members + shift)
         else:
             nx[p.members] -= wx[p.members]
 
@@ -147,8 +160,8 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
         nx[p.members] += hit @ wy[q.members]
         if hit_y is not None:
             ny[q.members] += hit_y @ wx[p.members]
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            forest.join(int(p.members[i]), int(q.members[j]) + shift)
+        i, j = np.nonzero(hit)
+        forest.join(p.members[i], q.members[j] + shift)
 
     def compare_leaves(ps: list[Node], i: np.ndarray, qs: list[Node], j: np.ndarray) -> None:
         """Many pairs of different leaves at once."""
@@ -168,8 +181,7 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
             a, b = a[hit], b[hit]
             np.add.at(nx, a, wy[b])
             np.add.at(ny, b, wx[a])
-            for u, v in zip(a.tolist(), b.tolist(), strict=True):
-                forest.join(u, v + shift)
+            forest.join(a, b + shift)
 
     while stack:
         p, q = stack.pop()
@@ -228,11 +240,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(space, rows, unit vectors) of a batch with columns rid, space, m, vec."""
+    """(space, rows, unit vectors) of a batch with columns rid, space, m, vec, at most a strip's distances at once."""
     space = np.asarray(batch.column(1))
     for s in np.unique(space):
-        rows = np.flatnonzero(space == s)
-        yield int(s), rows, _unit(_matrix(batch.column(3).take(pa.array(rows))))
+        every = np.flatnonzero(space == s)
+        for i in range(0, len(every), 2048):
+            rows = every[i : i + 2048]
+            yield int(s), rows, _unit(_matrix(batch.column(3).take(pa.array(rows))))
+
+
+def _from(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ c.T)))
 
 
 def _housed(pivots):
@@ -240,34 +258,57 @@ def _housed(pivots):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for space, rows, x in _by_space(batch):
-                c = pivots.value[space]
-                d = np.linalg.norm(x[:, None, :] - c[None], axis=2) if len(c) <= 8 else np.sqrt(np.maximum(0.0, 2 - 2 * (x @ c.T)))
-                cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), space)), pa.array(cell), pa.array(d.min(axis=1))], ["rid", "space", "cell", "d"])
+            for space, _, x in _by_space(batch):
+                d = _from(x, pivots.value[space])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), space)), pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], ["space", "cell", "d"])
 
     return run
 
 
-def _sent(pivots, cells, reach: float):
+@dataclass
+class Cells:
+    """A space's top level: pivots with their cells' covering radii, each cell's group, and each group's blocks."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    group: np.ndarray
+    blocks: np.ndarray
+    first: np.ndarray
+
+    def can(self, d: np.ndarray, reach: float) -> np.ndarray:
+        """Which groups (columns) may hold a link of vectors with distances ``d`` from the pivots."""
+        near = d.min(axis=1, keepdims=True)
+        cell = (d <= self.radius + reach + SLACK) & (d <= near + 2 * reach + SLACK) & (self.radius >= 0)
+        order = np.argsort(self.group, kind="stable")
+        return np.logical_or.reduceat(cell[:, order], np.searchsorted(self.group[order], np.arange(len(self.blocks))), axis=1)
+
+
+def _cells(pivots: np.ndarray, n: np.ndarray, radius: np.ndarray) -> Cells:
+    """Cells of ``n`` vectors in groups: each goes to the nearest of the net's first pivots, about one for each half a block."""
+    heads = pivots[: max(1, min(len(pivots), int(2 * n.sum()) // BLOCK))]
+    _, group = np.unique(_from(pivots, heads).argmin(axis=1), return_inverse=True)
+    size = np.bincount(group, n)
+    blocks = np.maximum(1, -(-size.astype(np.int64) // BLOCK))
+    return Cells(pivots, np.where(n > 0, radius, -1.0), group, blocks, np.cumsum(blocks) - blocks)
+
+
+def _sent(cells, reach: float):
     """Each vector to every pair of blocks in which it can have a link; ``side`` 0 is the lesser block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for space, rows, x in _by_space(batch):
-                c = pivots.value[space]
-                radius, blocks, first = cells.value[space]
+                c = cells.value[space]
                 rid = np.asarray(batch.column(0))[rows]
-                d = np.linalg.norm(x[:, None, :] - c[None], axis=2) if len(c) <= 8 else np.sqrt(np.maximum(0.0, 2 - 2 * (x @ c.T)))
-                home = d.argmin(axis=1)
-                near = d.min(axis=1)
-                can = (d <= radius[None, :] + reach + SLACK) & (d <= near[:, None] + 2 * reach + SLACK)
+                d = _from(x, c.pivots)
+                home = c.group[d.argmin(axis=1)]
+                can = c.can(d, reach)
                 can[np.arange(len(rows)), home] = True
-                own = first[home] + (rid * 2654435761 % 4294967291) % blocks[home]
-                at, cell = np.nonzero(can)
-                to = [first[j] + np.arange(blocks[j]) for j in cell]
-                at = np.repeat(at, [len(t) for t in to])
-                other = np.concatenate(to) if to else np.zeros(0, np.int64)
+                own = c.first[home] + (rid * 2654435761 % 4294967291) % c.blocks[home]
+                at, group = np.nonzero(can)
+                size = c.blocks[group]
+                other = np.repeat(c.first[group] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                at = np.repeat(at, size)
                 low, high = np.minimum(own[at], other), np.maximum(own[at], other)
                 take = pa.array(rows[at])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), space)), pa.array(low), pa.array(high), pa.array((own[at] > other).astype(np.int32)), *(batch.column(k).take(take) for k in (0, 2, 3))], ["space", "low", "high", "side", "rid", "m", "vec"])
@@ -287,13 +328,51 @@ def _compared(cosine: float):
             a, b = side == 0, side == 1
             na, nb, forest = links(x[a], m[a], x[b], m[b], cosine)
             n, rid = np.concatenate((na, nb)), np.concatenate((rid[a], rid[b]))
-        root = rid[[forest.find(i) for i in range(len(rid))]] if len(rid) else rid
+        root = rid[forest.roots()] if len(rid) else rid
         use = n > 0
         return pd.DataFrame({"rid": rid[use], "n": n[use].astype(np.int64), "root": root[use]})
 
     return run
 
 
+def _routed(reps: DataFrame, reach: float) -> DataFrame:
+    """space, low, high, side, rid, m, vec: every vector for each pair of blocks in which it can have a link. A space is a label and a length."""
+    spark = reps.sparkSession
+    counts = reps.groupBy("label", F.size("vec").alias("dim")).count()
+    spaces = written(counts.withColumn("space", F.monotonically_increasing_id()), "spaces")
+    sized = reps.withColumn("dim", F.size("vec")).join(spaces, ["label", "dim"]).select("rid", "space", "m", "vec", "count")
+    large = spaces.where(F.col("count") > BLOCK).orderBy(F.desc("count"), "space").limit(MOST_SPACES).select("space", "dim", "count").collect()
+    known = [r.space for r in large]
+
+    # without pivots: blocks by hash, one where that is enough
+    blocks = F.ceil(F.col("count") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("rid"), blocks)
+    plain = sized.where(~F.col("space").isin(known)) if known else sized
+    plain = plain.select("space", "rid", "m", "vec", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    plain = plain.select("space", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "m", "vec")
+    if not known:
+        return plain
+
+    total = sum(r["count"] for r in large)
+    wanted = {r.space: max(1, min(r["count"] // CELL, MOST_PIVOTS * r["count"] // total)) for r in large}
+    chance = spark.createDataFrame([(r.space, min(1 << 30, (SAMPLE_A_PIVOT * wanted[r.space] << 30) // r["count"]) + 1) for r in large], "space long, below long")
+    flat = sized.where(F.col("space").isin(known)).select("rid", "space", "m", "vec")
+    sampled = flat.join(F.broadcast(chance), "space").where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < F.col("below")).select("space", "vec").toPandas()  # about SAMPLE_A_PIVOT * MOST_PIVOTS vectors
+    pivots = {}
+    for r in large:
+        some = sampled.loc[sampled["space"] == r.space, "vec"].tolist()
+        pivots[r.space] = _net(_unit(np.array(sorted(map(tuple, some)))), wanted[r.space]) if some else np.eye(1, r.dim)
+    housed = flat.mapInArrow(_housed(spark.sparkContext.broadcast(pivots)), "space long, cell long, d double").groupBy("space", "cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).toPandas()  # at most a row a pivot
+    cells = {}
+    for space, c in pivots.items():
+        mine = housed[housed["space"] == space]
+        n, radius = np.zeros(len(c), dtype=np.int64), np.zeros(len(c))
+        n[mine["cell"]], radius[mine["cell"]] = mine["n"], mine["r"]
+        cells[space] = _cells(c, n, radius)
+    sent = flat.mapInArrow(_sent(spark.sparkContext.broadcast(cells), reach), "space long, low long, high long, side int, rid long, m long, vec array<double>")
+    return plain.unionByName(sent)
+
+
 def embedding_links(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     """Per row of embeddings (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -301,55 +380,23 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
     is null, empty, zero or holds null or non-finite components links with nothing,
     as does one without a label. Equal vectors link with each other, rows with equal
     vec_ids stay rows. A null vec_id counts as a link but never names a component.
+    Other columns are not looked at.
     """
-    spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("label"))
     sound = "label IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND forall(vec, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')) AND exists(vec, v -> v <> 0)"
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
     same = rows.where("sound").groupBy("label", "vec").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"))
     reps = written(same.withColumn("rid", F.monotonically_increasing_id()), "vectors")
-
-    # one row for each label and length: what the caller enumerates as labels
-    spaces = reps.groupBy("label", F.size("vec").alias("dim")).count().orderBy("label", "dim").collect()
-    index = spark.createDataFrame([(i, r["label"], r["dim"]) for i, r in enumerate(spaces)], f"space int, label {dict(reps.dtypes)['label']}, dim int")
-    flat = reps.join(F.broadcast(index), (reps["label"] == index["label"]) & (F.size("vec") == F.col("dim"))).select("rid", F.col("space").cast("long").alias("space"), "m", "vec")
-    total = sum(r["count"] for r in spaces)
-    wanted = [max(1, min(-(-r["count"] // BLOCK), MOST_PIVOTS * r["count"] // max(1, total))) for r in spaces]
-    share = {i: min(1.0, SAMPLE_A_PIVOT * k / r["count"]) for i, (k, r) in enumerate(zip(wanted, spaces, strict=True))}
-    chance = spark.createDataFrame([(i, int(s * (1 << 30)) + 1) for i, s in share.items()], "space long, below long")
-    sampled = flat.join(F.broadcast(chance), "space").where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < F.col("below")).select("space", "vec").toPandas()
-    pivots = {}
-    for i, k in enumerate(wanted):
-        own = sampled.loc[sampled["space"] == i, "vec"].tolist()
-        pivots[i] = _net(_unit(np.array(sorted(map(tuple, own)))), k) if own else np.eye(1, spaces[i]["dim"])
-    shared = spark.sparkContext.broadcast(pivots)
-
-    housed = flat.mapInArrow(_housed(shared), "rid long, space long, cell long, d double").groupBy("space", "cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()  # at most a row a pivot
-    cells = {}
-    for i, c in pivots.items():
-        n, r = np.zeros(len(c), dtype=np.int64), np.zeros(len(c))
-        for h in housed:
-            if h["space"] == i:
-                n[h["cell"]], r[h["cell"]] = h["n"], h["r"]
-        blocks = np.maximum(1, -(-n // BLOCK))
-        cells[i] = (r, blocks, np.cumsum(blocks) - blocks)
     reach = float(np.sqrt(2 - 2 * cosine))
-    sent = flat.mapInArrow(_sent(shared, spark.sparkContext.broadcast(cells), reach), "space long, low long, high long, side int, rid long, m long, vec array<double>")
-    found = written(sent.groupBy("space", "low", "high").applyInPandas(_compared(cosine), "rid long, n long, root long"), "links")
+    found = written(_routed(reps, reach).groupBy("space", "low", "high").applyInPandas(_compared(cosine), "rid long, n long, root long"), "links")
 
     roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     n = found.groupBy("rid").agg(F.sum("n").alias("n"))
     full = reps.join(n, "rid", "left").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("label", "vec", "m", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "rid").alias("root"))
     full = written(full, "full")
+    released(reps, found)
     names = full.groupBy("root").agg(F.min("least").alias("component_id"))
     known = full.join(names, "root").select("label", "vec", (F.col("n") + F.col("m") - 1).alias("n_links"), "component_id")
     out = rows.where("sound").join(known, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def near_copies_dropped(embeddings: DataFrame, cosine: float = 0.93) -> DataFrame:
-    """The rows of embeddings that stay when each component keeps its least vec_id."""
-    keep = embedding_links(embeddings, cosine).where("kept").select("vec_id").distinct()
-    first = Window.partitionBy("vec_id").orderBy(F.monotonically_increasing_id())
-    return embeddings.join(keep, "vec_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")

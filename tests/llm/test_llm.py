@@ -641,6 +641,35 @@ def test_embedding_links(spark, block, monkeypatch):
     assert got == sorted(want)
 
 
+def test_many_labels_and_clashing_columns(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) + 9 * (i % 2)).tolist(), f"label{i // 2}", 1, 2) for i in range(3000)]
+    rows += [(3000 + i, rows[0][1], "label0", 1, 2) for i in range(3)]
+    got = cover_tree.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, space int, rid int"))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    by = {r.vec_id: r for r in got.collect()}
+    assert len(by) == 3003 and all(by[3000 + i].component_id == 0 and by[3000 + i].n_links >= 3 for i in range(3))
+    for i in range(2, 3000, 2):
+        a, b = (np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in (i, i + 1))
+        assert by[i].n_links == by[i + 1].n_links == int(a @ b >= 0.93)
+
+
+def test_vectors_are_sent_where_they_can_link(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 256)
+    monkeypatch.setattr(cover_tree, "CELL", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    x = np.concatenate([centres[i % 60] + rng.normal(size=(1, 32)) * 0.12 for i in range(6000)])
+    reps = spark.createDataFrame([(i, v.tolist(), "a", 1) for i, v in enumerate(x)], "rid long, vec array<double>, label string, m long")
+    sent = cover_tree._routed(reps, float(np.sqrt(2 - 2 * 0.93))).groupBy("low", "high").count().collect()
+    total = sum(r["count"] for r in sent)
+    assert total < 0.2 * 6000 * 6000 / 256  # all pairs of blocks would be that many
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = cover_tree.embedding_links(reps.select(F.col("rid").alias("vec_id"), F.col("vec").alias("embedding"), "label")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
+
+
 def test_no_vectors(spark):
     assert cover_tree.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
