@@ -22,6 +22,7 @@ def text_colour(r: Column, g: Column, b: Column) -> Column:
     return F.when((r * 299 + g * 587 + b * 114) / 1000 >= 128, "#121212").otherwise("#FFFFFF")
 
 
+# Fixed value: how a date and time stand in file names.
 FILE_DATE = r"(20\d{2})[-_]?([01]\d)[-_]?([0-3]\d)[-_]?([0-2]\d)?([0-5]\d)?([0-5]\d)?"
 
 

@@ -1,7 +1,11 @@
-"""Order-dependent greedy operators: one fold a group, where a closed form does not exist.
-
-Groups are the documented scopes (an ingest chunk of 40, a chapter of at most 24,
-an image's faces), so each fold sees a bounded group whatever the table's size.
+"""Order-dependent greedy operators.
+
+Scopes that are bounded by their rules (an upload chunk of 40, a chapter of at most
+24, an image's faces) become one row with an array of their members. Which members go
+together is said by the library's pair expressions over that array; the greedy choice
+is then an ``aggregate`` over lists of positions, so it stays in the JVM. Scopes without
+a bound (a key's hits, a session's uploads) are streamed in order with a state of fixed
+size.
 """
 
 from __future__ import annotations
@@ -9,173 +13,206 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .aggregates import pearson
+from .joins import duplicate, iou
+from .quality import hamming
+
+NO_POSITIONS = "CAST(array() AS ARRAY<INT>)"
+
+
+def members(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """One row a group: ``by`` and ``ps``, its rows as structs in order; for groups of bounded size."""
+    held = F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order))))
+    return rows.groupBy(*by).agg(held.alias("ps"))
 
 
-def _bits(a, b) -> int:
-    return 99 if a is None or b is None else bin((int(a) ^ int(b)) & (1 << 64) - 1).count("1")
+def _positions(first: Column, last: Column) -> Column:
+    """Array positions from ``first`` up to, not including, ``last``."""
+    return F.when(first < last, F.sequence(first.cast("int"), (last - 1).cast("int"))).otherwise(F.expr(NO_POSITIONS))
 
 
-def per_group(rows: DataFrame, by: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """The fold's rows for each group's rows in order of ``seq``.
+def _pair(a: Column, b: Column, **names: str) -> Callable[[str], Column]:
+    """How pair expressions see two members: ``a_shell`` is the first one's ``shell``."""
+    return lambda name: (a if name.startswith("a_") else b)[names.get(name[2:], name[2:])]
 
-    Groups are dealt by key and sorted by Spark, then streamed as Arrow batches, so a
-    task holds one group at a time and pays nothing for each small group.
+
+def leaders(ps: Column, rule: Callable[[Callable[[str], Column], Column], Column]) -> Column:
+    """For each member the position of the first leader before it that ``rule`` pairs it with, or its own: then it leads."""
+    before = F.transform(ps, lambda b, j: F.filter(_positions(F.lit(0), j), lambda i: rule(_pair(ps[i], b), F.abs(ps[i]["moment"] - b["moment"]))))
+    first = lambda got, own: F.coalesce(F.get(F.filter(own, lambda i: F.get(got, i) == i), F.lit(0)), F.size(got))
+    return F.aggregate(before, F.expr(NO_POSITIONS), lambda got, own: F.concat(got, F.array(first(got, own))))
+
+
+def burst_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, photo_id, leader (a photo_id) and survives: of a burst all stay if it has a good face, else its best photo.
+
+    ``rows`` has by, seq, photo_id, moment, shell, core, faces, face_quality, hero, blur, contrast.
     """
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    wanted = ["photo_id", "moment", "shell", "core", "faces", "face_quality", "hero", "blur", "contrast"]
+    g = members(rows, by, ["seq"], wanted).withColumn("lead", leaders(F.col("ps"), lambda at, dt: duplicate(dt, at)))
+    value = lambda p: p["hero"] * 2 + p["blur"] + p["contrast"] * 1.5
+    of = lambda k: F.filter("ps", lambda _, i: F.get(F.col("lead"), i) == k)
+    best = F.transform("ps", lambda _, k: F.array_max(F.transform(of(k), lambda p: F.struct(value(p).alias("v"), (-p["seq"]).alias("s"))))["s"])
+    kept = F.transform("ps", lambda _, k: F.exists(of(k), lambda p: (p["faces"] >= 1) & (p["face_quality"] >= 0.75)))
+    g = g.withColumn("best", best).withColumn("kept", kept)
+    out = g.select(*by, "ps", "lead", "best", "kept", F.posexplode("ps").alias("i", "p"))
+    lead = F.get("lead", F.col("i"))
+    return out.select(*by, "p.photo_id", F.get("ps", lead)["photo_id"].alias("leader"), (F.get("kept", lead) | (F.get("best", lead) == -F.col("p.seq"))).alias("survives"))
+
+
+# --- layout groups --------------------------------------------------------------
+
+TRIPTYCH = "BURST_TRIPTYCH_GROUP"
+KINDS = {2: "COMPANION_PAIR", 3: "THEME_TRIPTYCH_GROUP", 4: "THEME_QUAD_GROUP"}
+
+
+def _moving(a: Column, b: Column) -> Column:
+    """The same place, another pose."""
+    at = _pair(a, b)
+    return (hamming(at("a_shell"), at("b_shell")) <= 8) & (hamming(at("a_core"), at("b_core")) >= 4)
+
+
+def triptych_starts(ps: Column) -> Column:
+    """Positions at which three consecutive portraits of a moving subject within 45 s begin, left to right, no photo in two."""
+    p = lambda i: F.get(ps, i)
+    hit = lambda i: (p(i + 2)["moment"] - p(i)["moment"] <= 45) & (F.greatest(*(p(i + k)["aspect"] for k in range(3))) < 0.85) & _moving(p(i), p(i + 1)) & _moving(p(i + 1), p(i + 2))
+    hits = F.filter(_positions(F.lit(0), F.size(ps) - 2), hit)
+    return F.aggregate(hits, F.expr(NO_POSITIONS), lambda got, i: F.when(F.coalesce(F.element_at(F.concat(F.array(F.lit(-3)), got), -1), F.lit(-3)) + 3 <= i, F.concat(got, F.array(i))).otherwise(got))
+
+
+def _scene(ps: Column, first: Column, last: Column, j: Column) -> Column:
+    """Whether a photo goes on with a chain: near its last and first photo's place, or the first's with its colours."""
+    near = hamming(F.get(ps, first)["shell"], F.get(ps, j)["shell"])
+    step = hamming(F.get(ps, last)["shell"], F.get(ps, j)["shell"])
+    alike = (near <= 14) & (pearson(F.get(ps, first)["hist"], F.get(ps, j)["hist"]) >= 0.65)
+    return ((step <= 10) & (near <= 12)) | alike
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
 
-        def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=_arrow(schema))
+def layout_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, group_id, kind, photo_id, pos: triptychs first, then chains of one scene among photos that are in no group yet.
 
+    A chain spans five minutes and holds at most four photos, two if its first has no
+    face. ``rows`` has by, seq, photo_id, moment, shell, core, faces, aspect, hist.
+    """
+    ps = F.col("ps")
+    g = members(rows, by, ["seq"], ["photo_id", "moment", "shell", "core", "faces", "aspect", "hist"])
+    g = g.withColumn("starts", triptych_starts(ps)).withColumn("used", F.flatten(F.transform("starts", lambda i: F.sequence(i, i + 2))))
+    late = lambda i, j: F.get(ps, j)["moment"] - F.get(ps, i)["moment"] > 300
+
+    def grown(used: Column, i: Column) -> Column:
+        most = F.when(F.get(ps, i)["faces"] == 0, 2).otherwise(4)
+        free = F.filter(_positions(i + 1, F.size(ps)), lambda j: ~F.array_contains(used, j))
+        stop = F.coalesce(F.array_min(F.filter(free, lambda j: late(i, j))), F.size(ps))
+        one_more = lambda chain, j: F.when((j < stop) & (F.size(chain) < most) & _scene(ps, i, F.element_at(chain, -1), j), F.concat(chain, F.array(j))).otherwise(chain)
+        return F.aggregate(free, F.array(i), one_more)
+
+    # the state is one array of chains; what they hold is used
+    def step(chains: Column, i: Column) -> Column:
+        used = F.flatten(chains)
+        chain = grown(used, i)
+        return F.when(F.array_contains(used, i), chains).otherwise(F.concat(chains, F.filter(F.array(chain), lambda c: F.size(c) > 1)))
+
+    chains = F.aggregate(_positions(F.lit(0), F.size(ps)), F.array(F.col("used")), step)
+    g = g.withColumn("themes", F.slice(chains, 2, F.size(ps)))
+    kind = F.element_at(F.create_map(*(F.lit(x) for k in KINDS.items() for x in k)), F.size("c"))
+    parts = [
+        g.select(*by, "ps", F.explode(F.transform("starts", lambda i: F.sequence(i, i + 2))).alias("c"), F.lit(TRIPTYCH).alias("kind")),
+        g.select(*by, "ps", F.explode("themes").alias("c")).withColumn("kind", kind),
+    ]
+    every = parts[0].unionByName(parts[1])
+    named = every.withColumn("group_id", F.get("ps", F.col("c")[0])["photo_id"]).select(*by, "ps", "kind", "group_id", F.posexplode("c").alias("pos", "i"))
+    return named.select(*by, "group_id", "kind", F.get("ps", F.col("i"))["photo_id"].alias("photo_id"), "pos")
+
+
+# --- spreads and boxes ----------------------------------------------------------
+
+
+def affinity(at: Callable[[str], Column]) -> Column:
+    """How well two photos of a chapter go on one spread."""
+    shell, core = hamming(at("a_shell"), at("b_shell")), hamming(at("a_core"), at("b_core"))
+    return F.when(shell <= 8, (10 - shell) * 2).otherwise(0) + F.when(core >= 4, 5).otherwise(0) + F.when(F.abs(at("a_aspect") - at("b_aspect")) < 0.25, 6).otherwise(0)
+
+
+def spread_chunks(rows: DataFrame, by: list[str], size: int) -> DataFrame:
+    """by, spread, pos, photo_id: each photo not yet placed takes the most akin of the next eight, until its spread is full.
+
+    A chapter that fits one spread is one; one of at most four photos has smaller
+    spreads. ``rows`` has by, seq, photo_id, shell, core, aspect.
+    """
+    ps = F.col("ps")
+    g = members(rows, by, ["seq"], ["photo_id", "shell", "core", "aspect"])
+    room = F.when(F.size(ps) <= 4, max(2, size - 1)).otherwise(size)
+    ranked = F.transform(ps, lambda a, i: F.transform(F.array_sort(F.transform(_positions(i + 1, F.least(F.size(ps), i + 9)), lambda j: F.struct((-affinity(_pair(a, F.get(ps, j)))).alias("less"), j.alias("j")))), lambda x: x["j"]))
+    g = g.withColumn("akin", ranked).withColumn("room", room)
+
+    def step(spreads: Column, i: Column) -> Column:
+        used = F.flatten(spreads)
+        more = F.slice(F.filter(F.get("akin", i), lambda j: ~F.array_contains(used, j)), F.lit(1), F.col("room") - 1)
+        return F.when(F.array_contains(used, i), spreads).otherwise(F.concat(spreads, F.array(F.concat(F.array(i), more))))
+
+    none = F.expr("CAST(array() AS ARRAY<ARRAY<INT>>)")
+    every = _positions(F.lit(0), F.size(ps))
+    spreads = F.when(F.size(ps) <= F.col("room"), F.array(every)).otherwise(F.aggregate(every, none, step))
+    out = g.withColumn("s", spreads).select(*by, "ps", F.posexplode("s").alias("spread", "c")).select(*by, "ps", "spread", F.posexplode("c").alias("pos", "i"))
+    return out.select(*by, "spread", "pos", F.get("ps", F.col("i"))["photo_id"].alias("photo_id"))
+
+
+def without_overlaps(boxes: DataFrame, by: list[str], most: float = 0.35) -> DataFrame:
+    """by and box: an image's boxes by confidence times area, without those that overlap a better kept one too much."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    g = members(boxes.withColumn("less", -F.col("conf") * area), by, ["less", "seq", "x0", "y0"], ["x1", "y1"])
+    clear = lambda kept, b: F.forall(kept, lambda k: iou(_pair(k, b)) <= most)
+    kept = F.aggregate("ps", F.slice("ps", 1, 0), lambda got, b: F.when(clear(got, b), F.concat(got, F.array(b))).otherwise(got))
+    return g.select(*by, F.explode(kept).alias("b")).select(*by, F.col("b.seq").alias("box"))
+
+
+# --- streams --------------------------------------------------------------------
+
+
+def streamed(rows: DataFrame, by: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict], schema: str) -> DataFrame:
+    """``step(state, row)``'s row for every row of a group in order; a task holds one group's state and one batch."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    kinds = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in schema.split(","))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in by)
                 if own != key:
-                    if group:
-                        out += fold(group)
-                    key, group = own, []
-                    if len(out) >= 5000:
-                        yield emit()
-                        out = []
-                group.append(row)
-        if group:
-            out += fold(group)
-        if out:
-            yield emit()
+                    key, state = own, start()
+                out.append(step(state, row))
+            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], schema=kinds)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInArrow(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def _arrow(schema: str) -> pa.Schema:
-    return pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in schema.split(","))])
-
-
-def burst_dedup(rows: list[dict]) -> list[dict]:
-    """A leader absorbs later likenesses of itself; of a group all stay if a face is good, else the best one."""
-    out, taken = [], set()
-    for i, a in enumerate(rows):
-        if i in taken:
-            continue
-        group = [a]
-        for j in range(i + 1, len(rows)):
-            b = rows[j]
-            if j in taken:
-                continue
-            dt, shell, core = abs(a["moment"] - b["moment"]), _bits(a["shell"], b["shell"]), _bits(a["core"], b["core"])
-            alike = shell <= 7 and core <= 5
-            same = alike and (dt <= 5 or (a["faces"] >= 2 and b["faces"] >= 2 and dt <= 180))
-            if same and not (shell <= 8 and core >= 5 and dt <= 45):
-                group.append(b)
-                taken.add(j)
-        good_face = any(p["faces"] >= 1 and p["face_quality"] >= 0.75 for p in group)
-        best = max(group, key=lambda p: (p["hero"] * 2 + p["blur"] + p["contrast"] * 1.5, -p["seq"]))
-        for p in group:
-            out.append({"session_id": p["session_id"], "photo_id": p["photo_id"], "leader": a["photo_id"], "survives": len(group) == 1 or good_face or p is best})
-    return out
-
-
-def triptychs(rows: list[dict]) -> list[dict]:
-    """Three consecutive portraits of one place within 45 s in which the subject moves, left to right, each photo once."""
-    out, i = [], 0
-    while i + 2 < len(rows):
-        a, b, c = rows[i : i + 3]
-        still = all(_bits(x["shell"], y["shell"]) <= 8 and _bits(x["core"], y["core"]) >= 4 for x, y in ((a, b), (b, c)))
-        if c["moment"] - a["moment"] <= 45 and all(p["aspect"] < 0.85 for p in (a, b, c)) and still:
-            out += [{"session_id": p["session_id"], "group_id": a["photo_id"], "photo_id": p["photo_id"], "pos": k} for k, p in enumerate((a, b, c))]
-            i += 3
-        else:
-            i += 1
-    return out
-
-
-def _correlation(a, b) -> float:
-    if a is None or b is None or len(a) != len(b) or not len(a):
-        return 0.0
-    ma, mb = sum(a) / len(a), sum(b) / len(b)
-    va, vb = sum((x - ma) ** 2 for x in a), sum((y - mb) ** 2 for y in b)
-    return sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / (va * vb) ** 0.5 if va > 0 and vb > 0 else 0.0
-
-
-def theme_groups(rows: list[dict]) -> list[dict]:
-    """Chains of one scene within five minutes, of at most four photos, or two if the first has no face."""
-    out, used = [], set()
-    for i, a in enumerate(rows):
-        if i in used:
-            continue
-        chain, most = [i], 2 if a["faces"] == 0 else 4
-        for j in range(i + 1, len(rows)):
-            b = rows[j]
-            if j in used:
-                continue
-            if b["moment"] - a["moment"] > 300:
-                break
-            step, anchor = _bits(rows[chain[-1]]["shell"], b["shell"]), _bits(a["shell"], b["shell"])
-            if (step <= 10 and anchor <= 12) or (anchor <= 14 and _correlation(a.get("hist"), b.get("hist")) >= 0.65):
-                chain.append(j)
-                if len(chain) == most:
-                    break
-        if len(chain) > 1:
-            used.update(chain)
-            kind = {4: "THEME_QUAD_GROUP", 3: "THEME_TRIPTYCH_GROUP", 2: "COMPANION_PAIR"}[len(chain)]
-            out += [{"session_id": a["session_id"], "group_id": a["photo_id"], "kind": kind, "photo_id": rows[k]["photo_id"], "pos": p} for p, k in enumerate(chain)]
-    return out
-
-
-def spread_chunks(size: int) -> Callable[[list[dict]], list[dict]]:
-    """An anchor takes the most akin of the next eight photos, until the chapter is used up."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        chunk = max(2, size - 1) if len(rows) <= 4 else size
-        if len(rows) <= chunk:
-            spreads = [list(range(len(rows)))]
-        else:
-            spreads, used = [], set()
-            for i, a in enumerate(rows):
-                if i in used:
-                    continue
-                used.add(i)
-                akin = []
-                for j in range(i + 1, min(len(rows), i + 9)):
-                    if j not in used:
-                        b, shell = rows[j], _bits(a["shell"], rows[j]["shell"])
-                        akin.append(((10 - shell) * 2 * (shell <= 8) + 5 * (_bits(a["core"], b["core"]) >= 4) + 6 * (abs(a["aspect"] - b["aspect"]) < 0.25), j))
-                akin.sort(key=lambda x: -x[0])
-                more = [j for _, j in akin[: chunk - 1]]
-                used.update(more)
-                spreads.append([i, *more])
-        return [{"session_id": rows[k]["session_id"], "chapter": rows[k]["chapter"], "spread": s, "pos": p, "photo_id": rows[k]["photo_id"]} for s, ks in enumerate(spreads) for p, k in enumerate(ks)]
-
-    return fold
-
-
-def nms(rows: list[dict]) -> list[dict]:
-    """Boxes by confidence times area, kept if they overlap no kept box by more than 0.35."""
-    kept = []
-    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-    for b in sorted(rows, key=lambda b: (-b["conf"] * area(b), b["seq"], b["x0"], b["y0"])):
-        both = [max(0.0, min(b["x1"], k["x1"]) - max(b["x0"], k["x0"])) * max(0.0, min(b["y1"], k["y1"]) - max(b["y0"], k["y0"])) for k in kept]
-        if all(i / (area(b) + area(k) - i) <= 0.35 for i, k in zip(both, kept, strict=True)):
-            kept.append(b)
-    return [{"img": b["img"], "box": b["seq"]} for b in kept]
-
-
-def rate_limited(limit: int, seconds: float) -> Callable[[list[dict]], list[dict]]:
-    """At most ``limit`` admitted hits in any trailing window; refused hits do not count."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        admitted, out = [], []
-        for r in rows:
-            admitted = [t for t in admitted if t > r["at"] - seconds]
-            ok = len(admitted) < limit
-            if ok:
-                admitted.append(r["at"])
-            out.append({"key": r["key"], "hit": r["seq"], "allowed": ok})
-        return out
-
-    return fold
+def rate_limited(limit: int, seconds: float) -> tuple[Callable, Callable]:
+    """At most ``limit`` admitted hits in any trailing window; refused hits do not count. The state is the last admitted times."""
+
+    def step(times: list[float], row: dict) -> dict:
+        ok = len(times) < limit or times[0] <= row["at"] - seconds
+        if ok:
+            times.append(row["at"])
+            del times[:-limit]
+        return {"key": row["key"], "hit": row["seq"], "allowed": ok}
+
+    return list, step
+
+
+def within_quota(most: int) -> tuple[Callable, Callable]:
+    """Uploads that still fit; refused ones take no room. The state is the room taken."""
+
+    def step(taken: list[int], row: dict) -> dict:
+        ok = taken[0] + row["bytes"] <= most
+        taken[0] += row["bytes"] if ok else 0
+        return {"photo_id": row["photo_id"], "code": 200 if ok else 413}
+
+    return (lambda: [0]), step

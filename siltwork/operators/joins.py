@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import plan_bytes
 from .quality import hamming
 
 
-def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A hint to broadcast, given only to a side counted to be small; otherwise the plan's own choice stands."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small_side(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """A hint to broadcast, given only to a side that the plan's statistics bound; otherwise the plan's own choice stands. No job runs."""
+    return F.broadcast(df) if plan_bytes(df, counted=False) <= most_bytes else df
 
 
 def with_metadata(photos: DataFrame, metadata: DataFrame, key: str = "photo_id") -> DataFrame:
@@ -41,11 +44,14 @@ def range_pairs(rows: DataFrame, at: str, width: float, by: list[str], keep: Col
     return left.join(right, [*by, "cell"]).where((F.col("a_seq") < F.col("b_seq")) & (F.abs(F.col(f"a_{at}") - F.col(f"b_{at}")) <= width) & keep).drop("cell")
 
 
-def duplicate(dt: Column) -> Column:
-    """The burst rule: close in time and looks, or a group shot within minutes; alike but moving subjects are kept."""
-    shell, core = hamming("a_shell", "b_shell"), hamming("a_core", "b_core")
+def duplicate(dt: Column, at: Callable[[str], Column] = F.col) -> Column:
+    """The burst rule: close in time and looks, or a group shot within minutes; alike but moving subjects are kept.
+
+    ``at`` gives the pair's values by name.
+    """
+    shell, core = hamming(at("a_shell"), at("b_shell")), hamming(at("a_core"), at("b_core"))
     alike = (shell <= 7) & (core <= 5)
-    group = (F.col("a_faces") >= 2) & (F.col("b_faces") >= 2) & (dt <= 180)
+    group = (at("a_faces") >= 2) & (at("b_faces") >= 2) & (dt <= 180)
     moving = (shell <= 8) & (core >= 5) & (dt <= 45)
     return alike & ((dt <= 5) | group) & ~moving
 
@@ -64,9 +70,9 @@ def space_time(time: str = "epoch", seconds: float = 2700.0, km: float = 5.0) ->
     return F.sqrt(t * t + g * g)
 
 
-def iou(a: str = "a", b: str = "b") -> Column:
-    """Intersection over union of boxes given as {a}_x0, _y0, _x1, _y1."""
-    w = F.greatest(F.lit(0.0), F.least(f"{a}_x1", f"{b}_x1") - F.greatest(f"{a}_x0", f"{b}_x0"))
-    h = F.greatest(F.lit(0.0), F.least(f"{a}_y1", f"{b}_y1") - F.greatest(f"{a}_y0", f"{b}_y0"))
-    area = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))
-    return w * h / (area(a) + area(b) - w * h)
+def iou(at: Callable[[str], Column] = F.col) -> Column:
+    """Intersection over union of boxes given as a_x0, a_y0, a_x1, a_y1 and b's; ``at`` gives values by name."""
+    side = lambda k: F.greatest(F.lit(0.0), F.least(at(f"a_{k}1"), at(f"b_{k}1")) - F.greatest(at(f"a_{k}0"), at(f"b_{k}0")))
+    both = side("x") * side("y")
+    area = lambda s: (at(f"{s}_x1") - at(f"{s}_x0")) * (at(f"{s}_y1") - at(f"{s}_y0"))
+    return both / (area("a") + area("b") - both)

@@ -48,9 +48,10 @@ def with_role(photos: DataFrame) -> DataFrame:
     return photos.withColumn("layout_role", F.expr(ROLE))
 
 
-def hamming(a: str, b: str) -> Column:
+def hamming(a: str | Column, b: str | Column) -> Column:
     """Differing bits of two 64-bit hashes; 99 where one is unknown."""
-    return F.when(F.col(a).isNull() | F.col(b).isNull(), 99).otherwise(F.bit_count(F.col(a).bitwiseXOR(F.col(b))))
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(99))
 
 
 def entropy(histogram: Column) -> Column:

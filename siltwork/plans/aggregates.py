@@ -75,7 +75,7 @@ def q_data_contract(spark, d):
 
 @query("SELECT event_type, s[CAST(round_even(0.95::DOUBLE * (len(s) - 1), 0) AS INTEGER) + 1] AS p95, s[CAST(round_even(0.5::DOUBLE * (len(s) - 1), 0) AS INTEGER) + 1] AS p50 FROM (SELECT event_type, list_sort(list(value)) AS s FROM events GROUP BY event_type)")
 def q_percentile(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(op.nearest_rank(F.col("value"), 95.0).alias("p95"), op.nearest_rank(F.col("value"), 50.0).alias("p50"))
+    return op.nearest_ranks(table(spark, d, "events").select("event_type", "value"), "event_type", "value", p95=95.0, p50=50.0)
 
 
 @query("SELECT event_type, median(value) AS middle, count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) AS per_us FROM events GROUP BY event_type")

@@ -43,14 +43,15 @@ def _pairs(spark, d):
 @query(f"{WITH}, {_PAIRS} SELECT photo_id, CASE WHEN beside THEN 'side' ELSE 'stack' END AS mode, CASE WHEN beside THEN s.b1.w ELSE s.a1.w END AS w1, CASE WHEN beside THEN s.b1.h ELSE s.a1.h END AS h1, CASE WHEN beside THEN s.b2.w ELSE s.a2.w END AS w2, CASE WHEN beside THEN s.b2.h ELSE s.a2.h END AS h2 FROM chosen")
 def q_page_layout(spark, d):
     """Two photos on a left page with text."""
-    (x1, y1, w1, h1), (_, y2, w2, h2) = op.two_photos(F.col("a"), F.col("b"), True, True)
-    return _pairs(spark, d).select("photo_id", F.when(y1 == y2, "side").otherwise("stack").alias("mode"), *(c.alias(n) for c, n in zip((w1, h1, w2, h2), ("w1", "h1", "w2", "h2"), strict=True)))
+    p = _pairs(spark, d).select("photo_id", op.page(F.array("a", "b"), op.area_of(True, True, False)).alias("p"))
+    one, two = F.col("p")[0], F.col("p")[1]
+    return p.select("photo_id", F.when(one["y"] == two["y"], "side").otherwise("stack").alias("mode"), one["w"].alias("w1"), one["h"].alias("h1"), two["w"].alias("w2"), two["h"].alias("h2"))
 
 
 @query(f"{WITH}, {_PAIRS} SELECT photo_id, round(CASE WHEN beside THEN s.b1.w * s.b1.h + s.b2.w * s.b2.h ELSE s.a1.w * s.a1.h + s.a2.w * s.a2.h END, 5) AS area FROM chosen")
 def q_slot_area(spark, d):
-    boxes = op.two_photos(F.col("a"), F.col("b"), True, True)
-    return _pairs(spark, d).select("photo_id", F.round(boxes[0][2] * boxes[0][3] + boxes[1][2] * boxes[1][3], 5).alias("area"))
+    p = _pairs(spark, d).select("photo_id", op.page(F.array("a", "b"), op.area_of(True, True, False)).alias("p"))
+    return p.select("photo_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, b: s + b["w"] * b["h"]), 5).alias("area"))
 
 
 def _spread2_sql() -> str:
@@ -66,7 +67,7 @@ def _spread2_sql() -> str:
 def q_best_split(spark, d):
     """Which of two photos goes left on a spread with text."""
     rows = _pairs(spark, d).withColumn("ars", F.array("a", "b"))
-    return op.best_split(rows, 2, True).select("photo_id", "best", F.round("score", 6).alias("score"))
+    return op.best_split(rows, True).select("photo_id", "best", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -111,7 +112,7 @@ def q_template_match(spark, d):
     return c.select("c_custkey", best["t"].alias("template"))
 
 
-_THEMES = dim.values([(c, *([*t.split(), "Minimal", "Editorial"][:3])) for c, t in dim.THEMES.items()], "category, t1, t2, t3")
+_THEMES = dim.values([(c, *([*t, "Minimal", "Editorial"][:3])) for c, t in dim.THEMES.items()], "category, t1, t2, t3")
 _FONTS = dim.values([(c, *f) for c, f in dim.FONTS.items()], "category, heading, body")
 
 
@@ -131,6 +132,24 @@ def q_theme_batch(spark, d):
     return v.select("c_custkey", "category", "variation", "theme", F.coalesce("heading", F.lit("Merriweather")).alias("heading"), title.alias("cover_title"))
 
 
+_PALETTES = dim.values([(t, *c) for t, c in dim.PALETTES.items()], "theme, background, surface, main, accent, ink")
+
+
+@query(
+    f"""WITH t AS (SELECT category, unnest([t1, t2, t3]) AS theme, unnest([1, 2, 3]) AS variation FROM {_THEMES}), p AS (SELECT * FROM {_PALETTES}), c AS (SELECT c_custkey, ['Memories', 'Celebration', 'Travel', 'Portraits', 'Milestones', 'Family'][CAST(c_custkey % 6 AS INTEGER) + 1] AS category FROM customer)
+    SELECT c_custkey, variation, t.theme, background, main, CASE WHEN list_sum([('0x' || substr(background, 2 + 2 * k, 2))::INTEGER * [299, 587, 114][k + 1] FOR k IN [0, 1, 2]]) / 1000 >= 128 THEN '#121212' ELSE '#FFFFFF' END AS ink FROM c JOIN t USING (category) JOIN p USING (theme)"""
+)
+def q_variation_palettes(spark, d):
+    """The colours of a customer's three variations, and the text colour that reads on their background."""
+    cats = ["Memories", "Celebration", "Travel", "Portraits", "Milestones", "Family"]
+    c = table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, cats)), (F.col("c_custkey") % 6 + 1).cast("int")).alias("category"))
+    three = F.slice(F.concat("themes", F.array(F.lit("Minimal"), F.lit("Editorial"))), 1, 3)
+    v = c.join(F.broadcast(dim.themes(spark)), "category").select("c_custkey", F.posexplode(three).alias("k", "theme"))
+    v = v.join(F.broadcast(dim.palettes(spark)), "theme")
+    part = lambda at: F.conv(F.substring("background", at, 2), 16, 10).cast("int")
+    return v.select("c_custkey", (F.col("k") + 1).alias("variation"), "theme", "background", F.col("primary").alias("main"), fn.text_colour(part(2), part(4), part(6)).alias("ink"))
+
+
 @query("SELECT l_suppkey, count(DISTINCT sig) AS structures FROM (SELECT l_suppkey, l_partkey, list(l_linenumber ORDER BY l_orderkey, l_linenumber) AS sig FROM lineitem GROUP BY l_suppkey, l_partkey) GROUP BY l_suppkey")
 def q_signature(spark, d):
     """Distinct structures: the ordered counts of each group as one value."""

@@ -102,11 +102,11 @@ def q_chunking(spark, d):
     return photos(spark, d).select("photo_id", "session_id", F.floor(rn / 40).alias("chunk"), (rn % 40).cast("long").alias("pos"))
 
 
-@query(f"{WITH} SELECT photo_id, pos FROM (SELECT photo_id, row_number() OVER (PARTITION BY session_id ORDER BY photo_id) - 1 AS pos FROM photos WHERE session_id = 'view') WHERE pos BETWEEN 18 AND 33")
+@query(f"{WITH} SELECT photo_id, pos FROM (SELECT photo_id, row_number() OVER (PARTITION BY session_id ORDER BY photo_id) - 1 AS pos FROM photos WHERE session_id = 'view-0') WHERE pos BETWEEN 18 AND 33")
 def q_viewport_slice(spark, d):
     """Rows 20 to 31 of a session with two rows of margin."""
     rn = (F.row_number().over(Window.partitionBy("session_id").orderBy("photo_id")) - 1).cast("long")
-    return photos(spark, d).where("session_id = 'view'").select("photo_id", rn.alias("pos")).where("pos BETWEEN 18 AND 33")
+    return photos(spark, d).where("session_id = 'view-0'").select("photo_id", rn.alias("pos")).where("pos BETWEEN 18 AND 33")
 
 
 _CAPTIONS = ["FIRST LIGHT", "BLUE SKIES", "TOGETHER", "FOREVER"]

@@ -1,6 +1,7 @@
 """The photo view: a library of photos read off the events table, for Spark and, as SQL text, for DuckDB.
 
-A session is an event type, a photo an event. Quality signals are fixed functions
+A photo is an event, a session the events of one type among 4,000
+consecutive ones, so that no session grows with the table. Quality signals are fixed functions
 of the event number, perceptual hashes come in bursts of four similar ones. Raw
 tables are read with all pruning left to Catalyst.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 # name: (Spark expression, DuckDB expression); one text where both agree
 _COLUMNS = {
     "photo_id": "event_id",
-    "session_id": "event_type",
+    "session_id": ("concat(event_type, '-', event_id div 4000)", "concat(event_type, '-', event_id // 4000)"),
     "taken_at": ("unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D", "epoch_us(ts) / 1000000.0::DOUBLE"),
     "epoch": ("CASE WHEN event_id % 50 = 0 THEN 0D ELSE unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D END", "CASE WHEN event_id % 50 = 0 THEN 0::DOUBLE ELSE epoch_us(ts) / 1000000.0::DOUBLE END"),
     "burst_epoch": ("unix_micros(CAST(ts AS TIMESTAMP)) div 120000000", "epoch_us(ts) // 120000000"),

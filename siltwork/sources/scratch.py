@@ -73,10 +73,10 @@ def temporary(spark: SparkSession, path: str) -> str:
     return path
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the input in bytes; counted rows where it has none."""
+def plan_bytes(df: DataFrame, counted: bool = True) -> int:
+    """Catalyst's size of the input in bytes; where it has none, by counted rows if ``counted``."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
-    return size if size < 1 << 55 else df.count() * 4096
+    return size if size < 1 << 55 or not counted else df.count() * 4096
 
 
 @atexit.register

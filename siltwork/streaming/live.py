@@ -30,22 +30,24 @@ def rolling_metrics(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return e.groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")).select("event_type", F.col("w.start").alias("starts"), "n", "cents")
 
 
-def limited(events: DataFrame, limit: int = 3, seconds: float = 7200.0) -> DataFrame:
-    """Admitted hits per key; the state holds only the admitted times still inside the window."""
+def limited(events: DataFrame, limit: int = 3, seconds: float = 7200.0, late: str = "2 hours") -> DataFrame:
+    """Admitted hits per key; the state holds a key's last admitted times and goes when the watermark is past their window."""
+    start, admit = rate_limited(limit, seconds)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("hit")
-        held = list(state.get[0]) if state.exists else []
-        past = [{"key": key[0], "seq": -1, "at": t} for t in held]
-        new = [{"key": key[0], "seq": int(h), "at": float(t)} for h, t in zip(rows["hit"], rows["at"], strict=True)]
-        out = rate_limited(limit, seconds)(past + new)[len(past) :]
-        ok = held + [r["at"] for r, o in zip(new, out, strict=True) if o["allowed"]]
-        newest = new[-1]["at"] if new else 0.0
-        state.update(([t for t in ok if t > newest - seconds],))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["at", "hit"])
+        times = list(state.get[0]) if state.exists else start()
+        out = [admit(times, {"key": key[0], "seq": int(h), "at": float(t)}) for h, t in zip(rows["hit"], rows["at"], strict=True)]
+        state.update((times,))
+        state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "hit", "allowed"])
 
-    e = events.selectExpr("concat(event_type, '-', user_id % 20) AS key", "event_id AS hit", "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000D AS at")
-    return e.groupBy("key").applyInPandasWithState(step, "key string, hit long, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    e = events.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", late)
+    e = e.selectExpr("concat(event_type, '-', user_id % 20) AS key", "event_id AS hit", "unix_micros(time) / 1000000D AS at", "time")
+    return e.groupBy("key").applyInPandasWithState(step, "key string, hit long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_into(path: str, key: str, at: list[str]):

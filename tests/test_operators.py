@@ -8,8 +8,6 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltwork.functions import scalar as fn
@@ -65,68 +63,120 @@ def test_components_of_nothing(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+PHOTO = "session_id string, chunk long, seq long, photo_id long, moment double, shell long, core long, faces int, face_quality double, hero double, blur double, contrast double, aspect double, hist array<double>"
+
+
 def photo(i, **k):
-    return {"session_id": "s", "chapter": 1, "seq": i, "photo_id": i, "moment": float(i), "shell": 0, "core": 0, "faces": 0, "face_quality": 0.0, "hero": 50.0, "blur": 10.0, "contrast": 5.0, "aspect": 0.7, "hist": None} | k
+    own = {"session_id": "s", "chunk": 0, "seq": i, "photo_id": i, "moment": float(i), "shell": 0, "core": 0, "faces": 0, "face_quality": 0.0, "hero": 50.0, "blur": 10.0, "contrast": 5.0, "aspect": 0.7, "hist": None} | k
+    return tuple(own[x.split()[0]] for x in PHOTO.split(", "))
+
+
+@pytest.fixture
+def bursts(spark):
+    def run(*photos):
+        rows = folds.burst_groups(spark.createDataFrame(list(photos), PHOTO), ["session_id", "chunk"]).collect()
+        return sorted((r.photo_id, r.leader, r.survives) for r in rows)
+
+    return run
+
+
+def test_burst_keeps_the_best_or_all_with_a_good_face(bursts):
+    assert bursts(photo(0), photo(1, hero=60.0), photo(2, shell=255)) == [(0, 0, False), (1, 0, True), (2, 2, True)]
+    assert all(r[2] for r in bursts(photo(0), photo(1, faces=1, face_quality=0.75)))
 
 
-def test_burst_keeps_the_best_or_all_with_a_good_face():
-    out = folds.burst_dedup([photo(0), photo(1, hero=60.0), photo(2, shell=255)])
-    assert [(r["photo_id"], r["leader"], r["survives"]) for r in out] == [(0, 0, False), (1, 0, True), (2, 2, True)]
-    assert all(r["survives"] for r in folds.burst_dedup([photo(0), photo(1, faces=1, face_quality=0.75)]))
+def test_moving_subject_is_no_duplicate(bursts):
+    assert all(r[2] for r in bursts(photo(0), photo(1, core=31)))
 
 
-def test_moving_subject_is_no_duplicate():
-    assert all(r["survives"] for r in folds.burst_dedup([photo(0), photo(1, core=31)]))
+def test_group_portrait_within_three_minutes(bursts):
+    assert [r[1] for r in bursts(photo(0, faces=2), photo(1, faces=2, moment=180.0))] == [0, 0]
+    assert [r[1] for r in bursts(photo(0, faces=2), photo(1, faces=2, moment=181.0))] == [0, 1]
 
 
-def test_group_portrait_within_three_minutes():
-    a, b = photo(0, faces=2), photo(1, faces=2, moment=180.0)
-    assert [r["leader"] for r in folds.burst_dedup([a, b])] == [0, 0]
-    assert [r["leader"] for r in folds.burst_dedup([a, b | {"moment": 181.0}])] == [0, 1]
+@pytest.fixture
+def groups(spark):
+    def run(*photos):
+        rows = folds.layout_groups(spark.createDataFrame(list(photos), PHOTO), ["session_id", "chunk"]).collect()
+        return sorted((r.group_id, r.pos, r.photo_id, r.kind) for r in rows)
 
+    return run
 
-def test_triptychs_do_not_overlap():
-    rows = [photo(i, core=(0xF << (4 * i))) for i in range(7)]
-    out = folds.triptychs(rows)
-    assert [r["photo_id"] for r in out] == [0, 1, 2, 3, 4, 5]
 
+def test_triptychs_do_not_overlap(groups):
+    got = groups(*(photo(i, core=(0xF << (4 * i)), moment=float(i), shell=0xFFFF * (i == 6)) for i in range(7)))
+    assert [r[2] for r in got] == [0, 1, 2, 3, 4, 5] and {r[3] for r in got} == {folds.TRIPTYCH}
 
-def test_theme_groups_use_a_photo_once():
-    out = folds.theme_groups([photo(i, faces=1) for i in range(9)])
-    ids = [r["photo_id"] for r in out]
-    assert len(ids) == len(set(ids)) and {r["kind"] for r in out} == {"THEME_QUAD_GROUP"}
-    assert {r["kind"] for r in folds.theme_groups([photo(i) for i in range(4)])} == {"COMPANION_PAIR"}
 
+def test_theme_groups_use_a_photo_once(groups):
+    got = groups(*(photo(i, faces=1) for i in range(9)))
+    ids = [r[2] for r in got]
+    assert len(ids) == len(set(ids)) and {r[3] for r in got} == {"THEME_QUAD_GROUP"}
+    assert {r[3] for r in groups(*(photo(i) for i in range(4)))} == {"COMPANION_PAIR"}
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2**20), st.floats(0.4, 2.5)), min_size=1, max_size=24), st.sampled_from([2, 3, 4]))
-def test_spread_chunks_partition_a_chapter(photos, size):
-    rows = [photo(i, shell=s, core=s, aspect=a) for i, (s, a) in enumerate(photos)]
-    out = folds.spread_chunks(size)(rows)
-    assert sorted(r["photo_id"] for r in out) == list(range(len(rows)))
-    assert max(np.bincount([r["spread"] for r in out])) <= size
 
+def test_a_triptychs_photos_are_in_no_theme(groups):
+    moving = [photo(i, core=(0xF << (4 * i)), faces=1) for i in range(3)]
+    got = groups(*moving, photo(3, core=0xF << 8, faces=1), photo(4, core=0xF << 8, faces=1))
+    assert {(r[3], r[2]) for r in got} == {(folds.TRIPTYCH, 0), (folds.TRIPTYCH, 1), (folds.TRIPTYCH, 2), ("COMPANION_PAIR", 3), ("COMPANION_PAIR", 4)}
 
-def test_nms_keeps_no_heavy_overlap():
+
+def test_theme_chains_by_time_and_colours(groups):
+    apart = [0, 0x1FFF]  # 13 bits from each other
+    colours = {"hist": [1.0, 2.0, 3.0]}
+    assert not groups(photo(0, faces=1, shell=apart[0]), photo(1, faces=1, shell=apart[1]))
+    assert len(groups(photo(0, faces=1, shell=apart[0], **colours), photo(1, faces=1, shell=apart[1], **colours))) == 2
+    assert not groups(photo(0, faces=1), photo(1, faces=1, moment=301.0))
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_spread_chunks_partition_a_chapter(spark, size):
+    rng = random.Random(size)
+    rows = [(f"c{c}", i, 100 * c + i, rng.getrandbits(20) & rng.getrandbits(20), rng.getrandbits(20) & rng.getrandbits(20), rng.uniform(0.4, 2.5)) for c in range(40) for i in range(rng.randint(1, 24))]
+    df = spark.createDataFrame(rows, "chapter string, seq long, photo_id long, shell long, core long, aspect double")
+    out = folds.spread_chunks(df, ["chapter"], size).collect()
+    assert sorted(r.photo_id for r in out) == sorted(r[2] for r in rows)
+    members = {}
+    for r in sorted(out, key=lambda r: r.pos):
+        members.setdefault((r.chapter, r.spread), []).append(r.photo_id)
+    assert max(map(len, members.values())) <= size
+    assert all(p[0] == min(p) and max(p) - p[0] <= 8 for p in members.values())
+
+
+def test_nms_keeps_no_heavy_overlap(spark):
     rng = random.Random(1)
-    rows = [{"img": 1, "seq": i, "x0": (x := rng.random() * 50), "y0": (y := rng.random() * 50), "x1": x + 20, "y1": y + 20, "conf": rng.random()} for i in range(40)]
-    kept = [rows[r["box"]] for r in folds.nms(rows)]
-    for a, b in combinations(kept, 2):
-        i = max(0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * max(0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
-        assert i / (800 - i) <= 0.35
+    rows = [(1, i, x := rng.random() * 50, y := rng.random() * 50, x + 20, y + 20, rng.random()) for i in range(40)]
+    df = spark.createDataFrame(rows, "img long, seq int, x0 double, y0 double, x1 double, y1 double, conf double")
+    kept = {r.box for r in folds.without_overlaps(df, ["img"]).collect()}
+
+    def over(a, b):
+        i = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        return i / (800 - i) > 0.35
+
+    for a, b in combinations([r for r in rows if r[1] in kept], 2):
+        assert not over(a, b)
+    for a in rows:  # what is gone overlaps a better kept one
+        assert a[1] in kept or any(over(a, b) and b[6] >= a[6] for b in rows if b[1] in kept)
 
 
 def test_refused_hits_do_not_count():
-    rows = [{"key": "k", "seq": i, "at": float(t)} for i, t in enumerate([0, 1, 2, 30, 61, 62])]
-    assert [r["allowed"] for r in folds.rate_limited(3, 60.0)(rows)] == [True, True, True, False, True, True]
+    start, admit = folds.rate_limited(3, 60.0)
+    times = start()
+    assert [admit(times, {"key": "k", "seq": i, "at": float(t)})["allowed"] for i, t in enumerate([0, 1, 2, 30, 61, 62])] == [True, True, True, False, True, True]
+
+
+def test_refused_uploads_take_no_room():
+    start, admit = folds.within_quota(10)
+    taken = start()
+    assert [admit(taken, {"photo_id": i, "bytes": b})["code"] for i, b in enumerate([6, 5, 4, 1])] == [200, 413, 200, 413]
 
 
 def test_folds_do_not_depend_on_partitions(spark):
-    rows = [{k: v for k, v in photo(i, shell=i * 7 % 64).items() if k != "hist"} | {"session_id": f"s{i % 3}", "chunk": 0} for i in range(90)]
-    df = spark.createDataFrame(rows)
+    rows = [photo(i, shell=i * 7 % 64, session_id=f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, PHOTO)
     want = None
     for n in (1, 4, 16):
-        got = sorted(map(tuple, folds.per_group(df.repartition(n), ["session_id", "chunk"], folds.burst_dedup, "session_id string, photo_id long, leader long, survives boolean").collect()))
+        got = sorted(map(tuple, folds.burst_groups(df.repartition(n), ["session_id", "chunk"]).collect()))
         assert want is None or got == want
         want = got
 
@@ -171,38 +221,54 @@ def boxes_overlap(a, b):
     return min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]) > 1e-3 and min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]) > 1e-3
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0.4, 2.6), min_size=1, max_size=4), st.booleans(), st.booleans(), st.booleans())
-def test_spreads_stay_on_the_page(ars, text, left, right):
-    out = layouts.solved_spread(ars, text, left, right)
-    assert sorted(k for _, _, k, _ in out) == list(range(len(ars)))
-    for _, _, k, (x, y, w, h) in out:
-        assert -1e-9 <= x and x + w <= 1 + 1e-9 and -1e-9 <= y and y + h <= 1 + 1e-9
-        assert math.isclose(2 * w / h, ars[k], rel_tol=1e-9)
-    for side in ("left", "right"):
-        own = [b for s, _, _, b in out if s == side]
-        assert not any(boxes_overlap(a, b) for a, b in combinations(own, 2)) or len(own) == 2
-
-
-def test_expressions_equal_the_solver(spark):
-    rng = random.Random(2)
-    rows = [tuple(rng.uniform(0.4, 2.5) for _ in range(3)) for _ in range(60)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    for n in (1, 2, 3):
-        for dominant in (False, True):
-            cols = [F.array(*box) for box in layouts.page([F.col(x) for x in "abc"[:n]], True, True, dominant)]
-            for r in df.select("a", "b", "c", F.array(*cols).alias("p")).collect():
-                want = layouts.solved_page([r.a, r.b, r.c][:n], True, True, dominant)
-                assert np.allclose(r.p, want)
-    ars = df.withColumn("ars", F.array("a", "b", "c"))
-    for r in layouts.best_split(ars, 3, True).collect():
-        want = layouts.solved_spread(list(r.ars), True, False, False)
-        assert sorted(k for s, _, k, _ in want if s == "left") == list(layouts.splits(3)[r.best][0])
-
-
-def test_more_than_three_photos_on_a_page():
-    with pytest.raises(ValueError):
-        layouts.page([F.lit] * 4, True, True)
+def flat(spark, rows):
+    """One row a spread of up to four aspects, with its flags."""
+    return spark.createDataFrame(rows, "i int, ars array<double>, text boolean, left boolean, right boolean")
+
+
+@pytest.fixture(scope="module")
+def spreads():
+    rng = random.Random(9)
+    return [(i, [rng.uniform(0.4, 2.6) for _ in range(rng.randint(1, 4))], rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.5) for i in range(250)]
+
+
+def test_spreads_stay_on_the_page(spark, spreads):
+    top = layouts.laid_out(F.col("ars"), F.col("text"), F.col("left"), F.col("right"))
+    for r in flat(spark, spreads).select("ars", top.alias("t")).collect():
+        out = [("left", k, tuple(b)) for k, b in zip(r.t.left, r.t.lefts, strict=True)] + [("right", k, tuple(b)) for k, b in zip(r.t.right, r.t.rights, strict=True)]
+        assert sorted(k for _, k, _ in out) == list(range(len(r.ars)))
+        for _, k, (x, y, w, h) in out:
+            assert -1e-9 <= x and x + w <= 1 + 1e-9 and -1e-9 <= y and y + h <= 1 + 1e-9
+            assert math.isclose(2 * w / h, r.ars[k], rel_tol=1e-9)
+        for side in ("left", "right"):
+            own = [b for s, _, b in out if s == side]
+            assert not any(boxes_overlap(a, b) for a, b in combinations(own, 2)) or len(own) == 2
+            assert all(x >= 0.5 if side == "right" else x + w <= 0.5 for x, _, w, _ in own)
+
+
+def test_the_best_split_covers_most(spark, spreads):
+    """Every split laid out page by page, against the one chosen."""
+    options = [(i, k, [a[x] for x in le], [a[x] for x in ri], t, bl, br) for i, a, t, bl, br in spreads for k, (le, ri) in enumerate(layouts.splits(len(a)))]
+    df = spark.createDataFrame(options, "i int, k int, le array<double>, ri array<double>, text boolean, bl boolean, br boolean")
+    area = lambda p: F.aggregate(p, F.lit(0.0), lambda s, b: s + b["w"] * b["h"])
+    pages = layouts.page(F.col("le"), layouts.area_of(True, F.col("text"), F.col("bl"))), layouts.page(F.col("ri"), layouts.area_of(False, False, F.col("br")))
+    best = {}
+    for r in df.select("i", "k", "le", "ri", (area(pages[0]) + area(pages[1])).alias("v")).collect():
+        calm = len(r.le) == len(r.ri) == 1 and min(r.le[0], r.ri[0]) <= 0.95 and max(r.le[0], r.ri[0]) >= 1.1
+        best.setdefault(r.i, []).append((r.v + 0.25 * calm, -r.k))
+    got = {r.i: (r.score, -r.best) for r in layouts.best_split(flat(spark, spreads), F.col("text"), F.col("left"), F.col("right")).collect()}
+    assert all(math.isclose(got[i][0], max(v)[0]) and math.isclose(dict((b, a) for a, b in v)[got[i][1]], max(v)[0]) for i, v in best.items())
+
+
+def test_dominant_photos_get_more_room(spark):
+    df = flat(spark, [(0, [1.5, 1.5, 1.5], False, True, False), (1, [1.5, 1.5, 1.5], False, False, False)])
+    got = {r.i: r.p for r in df.select("i", layouts.page(F.col("ars"), layouts.area_of(True, F.col("text"), F.col("left"))).alias("p")).collect()}
+    assert got[0][0].w > got[0][1].w and got[0][1].y == got[0][2].y and math.isclose(got[1][0].w, got[1][2].w)
+
+
+def test_more_than_three_photos_on_a_page(spark):
+    with pytest.raises(Exception, match="at most three"):
+        flat(spark, [(0, [1.0] * 4, False, False, False)]).select(layouts.page(F.col("ars"), layouts.area_of(True, True, False))).collect()
 
 
 def test_dpi_badges(spark):
@@ -254,8 +320,9 @@ def test_upserts(spark):
 
 
 def test_nearest_rank_rounds_half_to_even(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(6)], "v double")
-    assert df.agg(aggregates.nearest_rank(F.col("v"), 50.0)).first()[0] == 2.0
+    df = spark.createDataFrame([("a", float(i)) for i in range(6)] + [("b", 1.0)] * 9 + [("b", 5.0), ("b", None)], "g string, v double")
+    got = {r.g: (r.half, r.top) for r in aggregates.nearest_ranks(df, "g", "v", half=50.0, top=100.0).collect()}
+    assert got == {"a": (2.0, 5.0), "b": (1.0, 5.0)}
 
 
 def test_gate_thresholds(spark):
