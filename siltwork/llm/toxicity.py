@@ -1,13 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words fall into classes: insult, threat, target, negation, report. Insult stems
-are learned from labels as word beginnings (or whole words) that toxic texts have
-and clean ones do not; the other classes are short fixed lists. Three transducers
-over class symbols (negation scope, reported speech, target) are composed into one
-machine. It runs over each clause that holds an insult or threat, rewrites the hits
-to labels (plain, negated, reported, aimed and their combinations) and adds their
-weights. A clause's weight is the sum of its hits', and a text's score is a logistic
-function of its clauses by label, fitted on the labelled sample.
+Words fall into classes: insult, threat, target, negation, report. Insult stems are
+learned from labels as word beginnings (or whole words) that toxic texts have and clean
+ones do not; the other classes are closed ones, as function words and verbs of saying
+are in any language, and stand here as short lists. Four transducers over class symbols
+(naming of hits, negation scope, reported speech, target) are composed into one machine.
+It runs over each clause that holds an insult or threat, rewrites the hits to labels
+(plain, negated, reported, aimed, threatening and their combinations) and adds the
+weights of their arcs. The arcs' weights are fitted to labels around a prior, and a
+text's score is a logistic function of its clauses' weights and of its hits by label,
+fitted on the same labelled sample.
+
+A null or empty text, or one without a hit, scores as such texts do. Texts of any length
+are read whole, in time linear in their length. Repeated rows stay rows of their own.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ THREATS = "kill hurt destroy attack beat shoot burn töten umbringen verletzen t
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 CLAUSE_END = re.compile(r"[.!?;:\n]")
-TOKEN = re.compile(r"[^\W\d_][\w']*")
+TOKEN = re.compile(r"(?<!\w)[^\W\d_][\w']*")
 STEM_FROM, STEM_TO = 4, 12
 
 
@@ -65,54 +70,60 @@ SYMBOLS = range(HIT + 16)
 NEGATION_SCOPE, AIM_SCOPE = 3, 4
 
 
-def _hits() -> Transducer:
-    """Names hits."""
-    out = {INSULT: HIT, THREAT: HIT | THREATENS << 0}
-    return Transducer(1, {(0, s): (0, HIT + THREATENS if s == THREAT else out.get(s, s), 0.0) for s in SYMBOLS})
+@dataclass
+class Arcs:
+    """Weights of the machine's arcs: what a hit weighs, and what is added where it is negated, reported, aimed or a threat."""
+
+    hit: float = 1.0
+    negated: float = -0.7
+    reported: float = -0.4
+    aimed: float = 0.5
+    threat: float = -0.5
+
+    def prior(self) -> np.ndarray:
+        return np.array([self.hit, self.negated, self.reported, self.aimed, self.threat])
+
+
+def _hits(arcs: Arcs) -> Transducer:
+    """Names hits and weighs them."""
+    step = {(0, s): (0, s, 0.0) for s in SYMBOLS}
+    step[0, INSULT] = (0, HIT, arcs.hit)
+    step[0, THREAT] = (0, HIT + THREATENS, arcs.hit + arcs.threat)
+    return Transducer(1, step)
 
 
-def _negation(weight: float = -0.7) -> Transducer:
-    """A hit in the scope of a negation is marked and loses weight."""
+def _scoped(trigger: int, bit: int, weight: float, scope: int) -> Transducer:
+    """Marks and weighs hits within ``scope`` words after a trigger."""
     step = {}
-    for k in range(NEGATION_SCOPE + 1):
+    for k in range(scope + 1):
         for s in SYMBOLS:
-            if s == NEGATION:
-                step[k, s] = (NEGATION_SCOPE, s, 0.0)
+            if s == trigger:
+                step[k, s] = (scope, s, 0.0)
             elif s >= HIT:
-                step[k, s] = (max(0, k - 1), HIT + (s - HIT | NEGATED) if k else s, weight if k else 0.0)
+                step[k, s] = (max(0, k - 1), HIT + (s - HIT | bit) if k else s, weight if k else 0.0)
             else:
                 step[k, s] = (max(0, k - 1), s, 0.0)
-    return Transducer(NEGATION_SCOPE + 1, step)
+    return Transducer(scope + 1, step)
 
 
-def _reported(weight: float = -0.4) -> Transducer:
+def _reported(weight: float) -> Transducer:
     """After a verb of saying, hits of the clause are someone else's."""
     return Transducer(2, {(k, s): (1 if s == REPORT else k, HIT + (s - HIT | REPORTED) if k and s >= HIT else s, weight if k and s >= HIT else 0.0) for k in (0, 1) for s in SYMBOLS})
 
 
-def _aimed(insult: float = 1.0, bonus: float = 0.5) -> Transducer:
-    """A hit soon after a target is aimed at it; threats count only if aimed."""
-    step = {}
-    for k in range(AIM_SCOPE + 1):
-        for s in SYMBOLS:
-            if s == TARGET:
-                step[k, s] = (AIM_SCOPE, s, 0.0)
-            elif s >= HIT:
-                threat = s - HIT & THREATENS
-                step[k, s] = (max(0, k - 1), HIT + (s - HIT | AIMED) if k else s, (insult + bonus if k else 0.0 if threat else insult))
-            else:
-                step[k, s] = (max(0, k - 1), s, 0.0)
-    return Transducer(AIM_SCOPE + 1, step)
+def parts(arcs: Arcs) -> list[Transducer]:
+    return [_hits(arcs), _scoped(NEGATION, NEGATED, arcs.negated, NEGATION_SCOPE), _reported(arcs.reported), _scoped(TARGET, AIMED, arcs.aimed, AIM_SCOPE)]
 
 
-def grammar() -> Transducer:
-    machine = _hits()
-    for part in (_negation(), _reported(), _aimed()):
+def grammar(arcs: Arcs | None = None) -> Transducer:
+    machine, *rest = parts(arcs or Arcs())
+    for part in rest:
         machine = compose(machine, part, SYMBOLS)
     return machine
 
 
-FEATURES = 12
+LABELS = 16
+FEATURES = LABELS + 4
 
 
 @dataclass
@@ -120,6 +131,7 @@ class Lexicon:
     """Insult stems with their weight (log likelihood ratio); a stem that ends in ``$`` is a whole word."""
 
     weights: dict[str, float]
+    arcs: Arcs = field(default_factory=Arcs)
     classes: dict[str, int] = field(default_factory=lambda: {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws})
 
     def insult(self, token: str) -> float:
@@ -138,7 +150,7 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         import ahocorasick
 
-        self.lexicon, self.machine = lexicon, grammar().step
+        self.lexicon, self.machine = lexicon, grammar(lexicon.arcs).step
         self.finder = ahocorasick.Automaton()
         for stem in [*lexicon.weights, *(f"{t}$" for t in THREATS)]:
             word = stem.rstrip("$")
@@ -154,36 +166,37 @@ class Matcher:
             stem = self.lexicon.insult(token)
             symbol = INSULT if stem else self.lexicon.classes.get(token, OTHER)
             state, said, weight = self.machine[state, symbol]
-            if said >= HIT and weight:
-                out.append((said - HIT, weight, stem or 1.0))
+            bits = said - HIT
+            if said >= HIT and (bits & AIMED or not bits & THREATENS):  # a threat is one only if aimed
+                out.append((bits, weight, stem or 1.0))
         return out
 
     def clauses(self, text: str) -> list[tuple[int, int, list[tuple[int, float, float]]]]:
         """(start, end, hits) of the clauses with hits, in the lower-cased text."""
-        low, out, upto = text.lower(), [], -1
+        low, out, upto = text.lower(), [], 0
         if self.empty:
             return out
         for end, (n, whole) in self.finder.iter(low):
             begin = end - n + 1
             if end < upto or begin and (low[begin - 1].isalnum() or low[begin - 1] == "_") or whole and end + 1 < len(low) and low[end + 1].isalnum():
                 continue
-            stop = CLAUSE_END.search(low, end + 1)
+            stop, done = CLAUSE_END.search(low, end + 1), upto
             upto = stop.start() if stop else len(low)
-            start = max(low.rfind(c, 0, begin) for c in ".!?;:\n") + 1
-            hits = self.clause(low[start:upto])
+            start = max(low.rfind(c, done, begin) for c in ".!?;:\n") + 1  # no clause's text is looked at twice
+            hits = self.clause(low[max(start, done) : upto])
             if hits:
-                out.append((start, upto, hits))
+                out.append((max(start, done), upto, hits))
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """Hits by label (log counts), the clauses' summed and largest weights, and the strongest stem."""
-        count, best, total, stem = [0] * 8, 0.0, 0.0, 0.0
+        """Hits by label (log counts), the clauses' summed and largest weights, the strongest stem, and whether any clause weighs more than nothing."""
+        count, best, total, stem = [0] * LABELS, 0.0, 0.0, 0.0
         for _, _, hits in self.clauses(text or ""):
             weight = sum(w * s for _, w, s in hits)
             best, total = max(best, weight), total + max(0.0, weight)
             stem = max([stem, *(s for _, _, s in hits)])
             for bits, _, _ in hits:
-                count[(bits & 7)] += 1
+                count[bits] += 1
         return [*(np.log1p(c) for c in count), np.log1p(best), np.log1p(total), stem, float(best > 0)]
 
 
@@ -218,14 +231,18 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: float = 0.004, most_stems: int = 20_000) -> Lexicon:
-    """Word beginnings that toxic texts have at least ``least_ratio`` times as often as clean ones."""
+def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: float = 0.004) -> Lexicon:
+    """Word beginnings that toxic texts have at least ``least_ratio`` times as often as clean ones.
+
+    A stem must be in ``least_share`` of the sample's toxic texts, so there are at most
+    1 / least_share times as many as a text has on average.
+    """
     n = sampled.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
     if not n.p or not n.n:
         return Lexicon({})
     ratio = ((F.col("pos") + 0.5) / (n.p + 1)) / ((F.col("neg") + 0.5) / (n.n + 1))
     counted = sampled.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counted.where((F.col("pos") >= max(4, least_share * n.p)) & (ratio >= least_ratio)).select("stem", "pos", ratio.alias("ratio")).orderBy(F.desc("pos"), "stem").limit(most_stems).collect()
+    found = counted.where((F.col("pos") >= max(4, least_share * n.p)) & (ratio >= least_ratio)).select("stem", "pos", ratio.alias("ratio")).orderBy(F.desc("pos"), "stem").collect()
     count = {r.stem: r.pos for r in found}
     weight = {r.stem: float(np.log(r.ratio)) for r in found}
     longer: dict[str, list[str]] = {}
@@ -247,17 +264,26 @@ def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: fl
     return Lexicon(chosen)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, prior: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps, with a ridge around ``prior`` (zero)."""
     a = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(a.shape[1])
+    centre = np.append(np.zeros(x.shape[1]) if prior is None else prior, 0.0)
+    w = centre.copy()
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * penalty @ (w - centre) ** 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + penalty * w
+        g = a.T @ (p - y) + penalty * (w - centre)
         h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
-        w = w - np.linalg.solve(h, g)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     return w[:-1], float(w[-1])
 
 
@@ -272,21 +298,37 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 4, fold: int =
     """Learns from at most about ``most_rows`` labelled rows outside the held-out fold."""
     sampled = sample(documents, labels, "toxic", remainder(fold_of) != fold, most_rows)
     lexicon = learn_lexicon(sampled)
-    sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast(lexicon)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Matcher(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([m.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+    def seen(lexicon: Lexicon):
+        shared = documents.sparkSession.sparkContext.broadcast(lexicon)
 
-    rows = sampled.mapInArrow(features, "x array<double>, label int").toPandas()
-    if not len(rows) or rows["label"].nunique() < 2:
+        def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = Matcher(shared.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([m.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+
+        rows = sampled.mapInArrow(features, "x array<double>, label int").toPandas()
+        return np.array(rows["x"].tolist()).reshape(len(rows), FEATURES), rows["label"].to_numpy(float)
+
+    x, y = seen(lexicon)
+    if len(set(y)) < 2:
         return Model(lexicon, np.zeros(FEATURES), float(np.log(0.05)))
-    w, b = fit_logistic(np.array(rows["x"].tolist()), rows["label"].to_numpy(float))
+    lexicon.arcs = fit_arcs(x, y)
+    x, y = seen(lexicon)
+    w, b = fit_logistic(x, y)
     return Model(lexicon, w, b)
 
 
+def fit_arcs(x: np.ndarray, y: np.ndarray) -> Arcs:
+    """Arc weights from texts' hits by label: what each mark adds to a hit's weight, near the prior where few hits have it."""
+    count = np.expm1(x[:, :LABELS])
+    marked = [count[:, [k for k in range(LABELS) if k & bit]].sum(axis=1) for bit in (NEGATED, REPORTED, AIMED, THREATENS)]
+    hits = count.sum(axis=1)
+    scale = max(fit_logistic(hits[:, None], y, ridge=1e-2)[0][0], 0.1)
+    w, _ = fit_logistic(np.column_stack([hits, *marked]), y, prior=scale * Arcs().prior())
+    return Arcs(1.0, *np.clip(w[1:] / max(w[0], 0.1), -1.5, 1.5).tolist())  # a plain hit weighs one
+
+
 TOXIC = 0.3  # from this score on a text counts as toxic
 
 
