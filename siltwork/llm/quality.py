@@ -1,9 +1,11 @@
 """Quality by attention-based multiple-instance learning.
 
 A text is a bag of passages of ``PASSAGE`` bytes. Each passage is encoded from its
-shares of byte kinds and of repeated words; gated attention weighs the passages and
+shares of byte kinds, of repeated words, and of its words and word pairs by hash, so
+that both the words and their order count; gated attention weighs the passages and
 a logistic layer scores their weighted sum. All weights are learned from labels of
 whole texts, on a bounded sample; every passage of every text is encoded and scored.
+A null or empty text has one empty passage. Repeated rows stay rows of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[32, 9]], _KIND[0x80:0xC0], _KI
 for _k, _b in enumerate(_OWN):
     _KIND[_b] = 7 + _k
 KINDS = 7 + len(_OWN)
-INPUTS = KINDS + 5
+WORDS, PAIRS = 96, 64  # hash classes
+LEXICAL = KINDS + 5
+INPUTS = LEXICAL + WORDS + PAIRS
 HIDDEN, ATTENTION = 16, 8
 
 
@@ -60,6 +64,10 @@ def passages(offsets: np.ndarray, data: np.ndarray, i: int, j: int) -> tuple[np.
         x[:, KINDS + 1] = np.bincount(ps, new, minlength=n) / some
         x[:, KINDS + 2] = np.log1p(np.bincount(p, w.end - w.start, minlength=n) / some)
         x[:, KINDS + 3] = np.log1p(count) / 5
+        x[:, LEXICAL : LEXICAL + WORDS] = np.bincount(p * WORDS + (w.hash % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS) / some[:, None]
+        two = np.flatnonzero(p[1:] == p[:-1])
+        pair = (textscan.mix(w.hash[two] * np.uint64(3) + w.hash[two + 1]) % np.uint64(PAIRS)).astype(np.int64)
+        x[:, LEXICAL + WORDS :] = np.bincount(p[two] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / some[:, None]
     x[:, KINDS + 4] = np.log1p(length) / 7
     return x, row
 
@@ -144,7 +152,7 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 5, fold: int =
 
 
 def score(documents: DataFrame, net: Net | None, columns: list[str]) -> DataFrame:
-    """The named columns, the text's score between 0 and 1, and its most attended passage; without a net all score 0.5."""
+    """The named columns, the text's score between 0 and 1, and its most attended passage; without a net all score 0.5. A null text is empty."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
     rows = documents.select(*columns, F.col("text").cast("string").alias("__text"))
     schema = rows.select(*columns).schema.add("score", "double").add("passage", "long")
