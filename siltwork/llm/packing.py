@@ -1,7 +1,8 @@
 """Cost-balanced packing of token ids into sequences of fixed capacity.
 
-Each task tokenises its rows once and packs windows of about ``WINDOW`` tokens as
-they come, so nothing is exchanged and memory is bounded by the window. In a
+Each task tokenises its rows once and packs windows of about ``WINDOW`` tokens, or of
+``MOST_DOCS`` documents, as they come, so nothing is exchanged and memory is bounded by
+the window. In a
 window, whole multiples of the capacity are sequences of their own; what remains
 of each document, in descending order of length, goes to the sequence of lowest
 estimated cost (linear plus quadratic attention cost of its pieces) that still has
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-WINDOW = 1 << 22
+WINDOW, MOST_DOCS = 1 << 22, 1 << 16
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n
 BOUNDARY = 0
 ADDED = {"<|endoftext|>": 50256}  # the vocabulary's added token, which a tokenizer finds inside texts too
@@ -120,7 +121,7 @@ def _packed(vocabulary: str, capacity: int, window: int, with_ids: bool):
                 docs.append(doc_id)
                 ids.append(own)
                 held += len(own)
-                if held >= window:
+                if held >= window or len(ids) >= MOST_DOCS:
                     yield from flush()
         if ids:
             yield from flush()
