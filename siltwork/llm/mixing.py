@@ -153,7 +153,7 @@ class Mix:
         self.slots = plan.repartition(tasks).mapInArrow(_slots(seed), "shard long, s long, slot long, turn long, block long")
 
         parts = max(256, -(-sum(r for _, r in sums.values()) // DOCS_A_BUCKET))
-        keyed = self.sized.where("size > 0").join(F.broadcast(self.want.select(F.col("source").alias("src"), "s")), F.col("source").eqNullSafe(F.col("src"))).select("uid", F.col("s").cast("long").alias("s"), "doc_id", "size", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).alias("bucket"))
+        keyed = self.sized.where("size > 0").join(F.broadcast(self.want.select(F.col("source").alias("src"), "s")), F.col("source").eqNullSafe(F.col("src"))).select("uid", F.col("s").cast("long").alias("s"), "doc_id", "size", F.pmod(F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("uid")), F.lit(seed)), F.lit(parts)).alias("bucket"))
         ahead = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         heads = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("sum")).select("s", "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("head"))
         inner = Window.partitionBy("s", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
