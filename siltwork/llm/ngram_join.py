@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .components import components
-from .scratch import plan_bytes, written
+from ..operators.graph import components
+from ..sources.scratch import plan_bytes, released, written
 
 LOW_BITS = 40
 FLUSH_SHINGLES = 1 << 20
 FLUSH_ROWS = 60_000
+SALTS = 16
 SIGNATURE = 32  # counts of a set's shared n-grams by hash class, an upper bound of any overlap
 
 _BLOCKS = "part int, base long, keys binary, docs binary, dfs binary, ids binary, nulls binary, sizes binary, h1 binary, h2 binary"
@@ -92,9 +93,10 @@ def _split(bits: int, width: int):
             part = (key >> np.uint64(LOW_BITS)).astype(np.int64)
             low = np.frombuffer(_low(key), dtype=np.uint8).reshape(-1, LOW_BITS // 8)
             docs = rs.astype("<u2")
-            edge = np.searchsorted(part, np.arange((1 << bits) + 1))
+            parts, edge = np.unique(part, return_index=True)
+            edge = np.append(edge, len(part))
             out = [{"part": base % 1000003 % (1 << bits), "base": base, "ids": np.concatenate(ids).tobytes(), "nulls": np.concatenate(nulls).tobytes(), "sizes": sizes.tobytes(), "h1": sums[0].tobytes(), "h2": sums[1].tobytes()}]
-            out += [{"part": p, "base": base, "keys": low[edge[p] : edge[p + 1]].tobytes(), "docs": docs[edge[p] : edge[p + 1]].tobytes()} for p in range(1 << bits) if edge[p] < edge[p + 1]]
+            out += [{"part": p, "base": base, "keys": low[i:j].tobytes(), "docs": docs[i:j].tobytes()} for p, i, j in zip(parts.tolist(), edge[:-1], edge[1:], strict=True)]
             done += n_docs
             n_docs = n_hashes = 0
             for x in (ids, nulls, rows, hashes):
@@ -277,28 +279,34 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     pref = sets.select("id", "n", "sig", own.alias("own"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("at", "key"))
     # the member with the fewest n-grams of its own is the likeliest original of a group of copies
     centres = pref.groupBy("key").agg(F.min(F.struct("own", "n", "id", "at")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("centre"), *(F.col(f"c.{k}").alias(f"c_{k}") for k in ("n", "own", "at")))
-    pref = written(pref.join(centres, "key"), "prefix")
+    pref = star = written(pref.join(centres, "key"), "prefix")
 
     tries = pref.where((F.col("id") != F.col("centre")) & _possible("", "c_", percent)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    tries = written(tries, "tries")
     first = written(_verified(tries, sets, percent), "stars")
     roots = components(first)
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
     centre_of = roots.select(F.col("node").alias("centre"), F.col("root").alias("ccomp"))
     pref = pref.join(known, "id", "left").join(centre_of, "centre", "left").select("key", "id", "n", "own", "at", "sig", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("ccomp", "centre")).alias("apart"))
     pref = written(pref, "labelled")
+    released(star)
     x = pref.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "own", "at", "sig", "comp")))
     y = pref.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "own", "at", "sig", "comp", "apart")))
     once = (~F.col("y_apart")) | (F.col("x_id") < F.col("y_id"))
     near = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_", "y_", percent) & _alike("x_sig", "y_sig", F.col("x_n") + F.col("y_n"), percent))
     swap = F.col("x_id") > F.col("y_id")
-    pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(tries, ["a", "b"], "left_anti")
     second = written(_verified(pairs, sets, percent), "rest")
     if not second.isEmpty():
         roots = components(first.unionByName(second))
-
-    classes = copies.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = classes.groupBy("root").agg(F.min("first").alias("component"))
-    named = written(classes.join(names, "root").select("n_shingles", "h1", "h2", "component"), "classes")
+    released(pref, tries, sets)
+
+    classes = copies.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    # a component of very many classes is dealt over several tasks
+    linked = classes.where("root IS NOT NULL").withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    names = linked.groupBy("root").agg(F.min("first").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.join(names, ["root", "salt"]).select("n_shingles", "h1", "h2", "component")
+    named = written(named.unionByName(classes.where("root IS NULL").select("n_shingles", "h1", "h2", F.col("first").alias("component"))), "classes")
     alone = every.where("keys IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "uid", F.lit(True).alias("keep"))
     linked = every.where("keys IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2", "uid").join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", F.col("component.doc_id").alias("component_id"), "uid", (F.col("component.uid") == F.col("uid")).alias("keep"))
     return alone.unionByName(linked)

@@ -14,7 +14,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from siltwork.llm import chat, components, cover_tree, mixing, ngram_join, packing, pii, quality, search, suffix_tree, textscan, toxicity
+from siltwork.llm import chat, cover_tree, mixing, ngram_join, packing, pii, quality, search, suffix_tree, textscan, toxicity
+from siltwork.operators import graph
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -756,7 +757,7 @@ def test_no_vectors(spark):
 
 
 def test_components_chain(spark):
-    got = {r.node: r.root for r in components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)}
 
 
