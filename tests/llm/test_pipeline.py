@@ -46,3 +46,30 @@ def test_stages(spark, words):
     assert all(n <= 3 * size[d] for d, n in mixed.items()) and abs(sum(mixed.values()) - sum(size.values())) < 0.05 * sum(size.values())
     assert Counter(r.doc_id for r in seen["packing"] if r.start == 0) == Counter(r.doc_id for r in seen["source mix"])
     assert cp.run(spark, DATA).count() == len(seen["packing"])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_rows_go_through(spark, tmp_path, empty):
+    """Nulls in any column, empty, long and repeated texts, extra columns with clashing names, and an empty table."""
+    import corpus_pipeline as cp
+
+    prose = lambda k: " ".join(f"word{i * k % 97} of{k} the {i % 13}" for i in range(200))
+    rows = [(i, prose(i + 1), "en", f"s{i % 2}", 5, 1.0, "x") for i in range(30)]
+    rows += [(100, None, None, None, None, None, None), (None, None, "en", "s0", 0, 1.0, "x"), (101, "", "en", None, 0, 1.0, "x"), (102, " \n ", "en", "s1", 3, 1.0, "x"), (103, "mail a@b.cc now", "en", "s1", 15, 1.0, "x")]
+    rows += [(104, "x" * 300_000, "en", "s1", 1, 1.0, "x"), (105, prose(200) * 60, "en", "s1", 1, 1.0, "x"), (None, prose(300), "en", "s0", 1, 1.0, "x"), (7, rows[7][1], "en", "s1", 5, 1.0, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
+    docs = spark.createDataFrame([] if empty else rows, schema)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0), (None, 1, None), (100, None, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        now = written(stage(spark, now, str(tmp_path)), "stage")
+        assert now.columns == docs.columns
+        if name == "near copies" and not empty:
+            kept = Counter(r.doc_id for r in now.collect())
+            assert kept[7] == 1 and {100, 101, 102, 103, 104, 105} <= set(kept) and kept[None] == 2
+        if name == "personal data" and not empty:
+            assert {r.text for r in now.where("doc_id = 103").collect()} == {"mail <email> now"}
+            assert now.where("text IS NULL").count() == 2
+    out = cp.run(spark, str(tmp_path)).collect()
+    assert (not out) if empty else {r.doc_id for r in out} >= {0, 103, 105}
