@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # The thresholds of the gates.
 BAD_EXPOSURE = "black_share > 0.92 AND std_light < 12 AND mean_light < 10 OR white_share > 0.92 AND std_light < 12 AND mean_light > 248"
 BLURRY = "laplacian < CASE WHEN mean_light < 65 AND std_light >= 25 THEN 18 ELSE 30 END AND tenengrad < 120"
+MONOCHROME = "mono < 20"  # the channels' mean differences, summed
 JUNK = """CASE WHEN has_qr THEN 'QR_CODE' WHEN contours >= 3 THEN 'NESTED_MARKS'
   WHEN white_share > 0.60 AND edge_share > 0.22 AND entropy < 3.9 THEN 'DOCUMENT' WHEN faces > 0 THEN 'OK'
   WHEN entropy < 3.8 AND (NOT is_mono OR white_share > 0.65) AND edge_share > 0.18 THEN 'SCREENSHOT'

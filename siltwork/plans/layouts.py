@@ -10,6 +10,7 @@ from ..operators import quality
 from ..operators import layouts as op
 from ..operators import stories as st
 from . import dimensions as dim
+from . import stories as st_plan
 from .clusters import spread_rows
 from .functions import fit_sql
 from .registry import query
@@ -198,7 +199,7 @@ def q_reshuffle(spark, d):
     return op.spread_pages(s, op.FAMILIES[7 % 3], seed=7)
 
 
-@query()
+@query(f"SELECT grp AS session_id, style, rank, photo_id FROM ({st_plan.covers_sql('session_id')})")
 def q_book_covers(spark, d):
     p = quality.with_hero(photos(spark, d))
     return st.select_covers(p, "session_id")

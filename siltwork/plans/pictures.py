@@ -21,7 +21,7 @@ def album(spark) -> str:
     for k in range(4):
         noise = rng.integers(60, 200, (96, 128, 3))
         images.put(spark, f"{folder}/sharp_{k}.png", images.png(np.where(((x % 24 == k) | (y % 24 == 0))[..., None], 255, noise)))
-        images.put(spark, f"{folder}/soft_{k}.png", images.png(np.stack([(x + y * k) % 200 // 2 + 50] * 3, axis=-1)))
+        images.put(spark, f"{folder}/soft_{k}.png", images.png(np.stack([(x + y * k) // 4 + 50] * 3, axis=-1)))
         images.put(spark, f"{folder}/dark_{k}.png", images.png(np.full((96, 128, 3), k)))
         images.put(spark, f"{folder}/blown_{k}.png", images.png(np.full((96, 128, 3), 255 - k // 2)))
         images.put(spark, f"{folder}/flag_{k}.png", images.png(np.where((x < 80)[..., None], np.array([200, 30 * k, 20]), np.array([20, 40, 220]))))
@@ -45,7 +45,7 @@ def q_directory_scan(spark, d):
 def q_sharpness(spark, d):
     f = images.features(images.scan(spark, album(spark)))
     blurry = F.expr(quality.BLURRY)
-    return f.select(F.substring_index("path", "/", -1).alias("name"), "ok", "laplacian", "tenengrad", blurry.alias("blurry"), F.expr(quality.double_literals(quality.BAD_EXPOSURE)).alias("bad_exposure"))
+    return f.select(F.substring_index("path", "/", -1).alias("name"), "ok", "laplacian", "tenengrad", blurry.alias("blurry"), F.expr(quality.double_literals(quality.BAD_EXPOSURE)).alias("bad_exposure"), F.expr(quality.MONOCHROME).alias("mono"))
 
 
 @query()

@@ -118,6 +118,21 @@ def q_caption_cycle(spark, d):
     return s.select("session_id", "chapter", F.element_at(F.array(*map(F.lit, _CAPTIONS)), (F.pmod(F.col("chapter") - 1, F.lit(4)) + 1).cast("int")).alias("caption"))
 
 
+def covers_sql(grp: str) -> str:
+    """SQL: covers of every book ``grp``; where fewer photos are left than a style needs, the overall ranking goes round."""
+    wide = D("CASE WHEN aspect >= 1.35 THEN 15.0 WHEN aspect >= 1.0 THEN 5.0 ELSE 0.0 END")
+    top = lambda rest, bonus: f"SELECT grp, photo_id, row_number() OVER (PARTITION BY grp ORDER BY hero + {bonus} DESC, faces DESC, photo_id) AS rank FROM b{rest}"
+    return f"""{WITH}, b AS (SELECT {grp} AS grp, photo_id, faces, aspect, {HERO} AS hero FROM photos),
+    c1 AS (SELECT * FROM ({top('', wide)}) WHERE rank <= 2),
+    c2 AS (SELECT * FROM ({top(' WHERE photo_id NOT IN (SELECT photo_id FROM c1)', wide)}) WHERE rank <= 1),
+    c3 AS (SELECT * FROM ({top(' WHERE photo_id NOT IN (SELECT photo_id FROM c1 UNION ALL SELECT photo_id FROM c2)', D('8.0'))}) WHERE rank <= 4),
+    overall AS (SELECT grp, photo_id, row_number() OVER (PARTITION BY grp ORDER BY hero DESC, faces DESC, photo_id) AS o, count(*) OVER (PARTITION BY grp) AS pool FROM b),
+    short AS (SELECT grp, style, least(n, greatest(0, pool - used)) AS had, n, pool FROM (SELECT DISTINCT grp, pool FROM overall), (VALUES ('SPLIT_BANNER', 2, 0), ('HERO_BAND', 1, 2), ('COLLAGE_2X2', 4, 3)) t(style, n, used)),
+    slots AS (SELECT grp, style, had, pool, unnest(range(n - had)) AS slot FROM short)
+    SELECT grp, 'SPLIT_BANNER' AS style, rank, photo_id FROM c1 UNION ALL SELECT grp, 'HERO_BAND', rank, photo_id FROM c2 UNION ALL SELECT grp, 'COLLAGE_2X2', rank, photo_id FROM c3
+    UNION ALL SELECT s.grp, style, had + slot + 1, photo_id FROM slots s JOIN overall o ON o.grp = s.grp AND o.o = slot % s.pool + 1"""
+
+
 @query(
     f"""{WITH}, h AS (SELECT session_id, photo_id, faces, aspect, {HERO} AS hero, photo_id // 200 AS book FROM photos), b AS (SELECT *, session_id || book AS grp FROM h),
     s1 AS (SELECT grp, photo_id, row_number() OVER (PARTITION BY grp ORDER BY hero + {D('CASE WHEN aspect >= 1.35 THEN 15.0 WHEN aspect >= 1.0 THEN 5.0 ELSE 0.0 END')} DESC, faces DESC, photo_id) AS rank FROM b),
@@ -135,7 +150,7 @@ def q_cover_select(spark, d):
     return op.select_covers(full, "grp")
 
 
-@query()
+@query(covers_sql("session_id || (photo_id // 200)"))
 def q_cover_select_all(spark, d):
     """Covers of all books; those of fewer than 7 photos are padded, which the SQL of q_cover_select leaves out."""
     p = quality.with_hero(photos(spark, d)).withColumn("grp", F.concat("session_id", F.expr("CAST(photo_id div 200 AS STRING)")))

@@ -113,11 +113,20 @@ def dominant(rgb: np.ndarray, k: int = 3, rounds: int = 10, seed: int = 7) -> li
     return ["#%02x%02x%02x" % tuple(int(round(v)) for v in c[j]) for j in np.argsort(-n, kind="stable")]
 
 
-def _one(path: str, h: int, w: int, channels: int, data: bytes) -> dict:
+def upright(x: np.ndarray, orientation: int | None) -> np.ndarray:
+    """A picture as it was seen: orientations 2, 4, 5 and 7 are mirrored, 5 to 8 lie on their side."""
+    o = orientation or 1
+    if o in (2, 4, 5, 7):
+        x = x[:, ::-1]
+    return np.rot90(x, {3: 2, 4: 2, 6: 3, 7: 3, 8: 1, 5: 1}.get(o, 0))
+
+
+def _one(path: str, h: int, w: int, channels: int, data: bytes, orientation: int | None = 1) -> dict:
     if h is None or h <= 0:
         return {"path": path, "ok": False}
     bgr = np.frombuffer(data, np.uint8).reshape(h, w, channels)[..., :3]
-    rgb = bgr[..., ::-1] if bgr.shape[-1] == 3 else np.repeat(bgr, 3, axis=-1)
+    rgb = upright(bgr[..., ::-1] if bgr.shape[-1] == 3 else np.repeat(bgr, 3, axis=-1), orientation)
+    h, w = rgb.shape[:2]
     shrink = SIDE / max(h, w)
     if shrink < 1:
         rgb = _resized(rgb.astype(float), max(1, int(h * shrink)), max(1, int(w * shrink))).astype(np.uint8)
@@ -141,8 +150,8 @@ def _one(path: str, h: int, w: int, channels: int, data: bytes) -> dict:
     }
 
 
-def features(pictures: DataFrame) -> DataFrame:
-    """One row of features a picture; ``ok`` is false where it could not be decoded."""
+def features(pictures: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """One row of features a picture, turned upright as ``metadata`` (path, orientation) says; ``ok`` is false where it could not be decoded."""
     kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in FEATURES.split(", "))])
 
@@ -151,4 +160,7 @@ def features(pictures: DataFrame) -> DataFrame:
             rows = [_one(*(v.as_py() for v in row)) for row in zip(*batch.columns, strict=True)]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
-    return pictures.select("origin", "height", "width", "nChannels", F.col("data")).mapInArrow(run, FEATURES)
+    rows = pictures.select("origin", "height", "width", "nChannels", "data")
+    if metadata is not None:
+        rows = rows.join(metadata.select(F.col("path").alias("origin"), "orientation"), "origin", "left").select(*rows.columns, "orientation")
+    return rows.mapInArrow(run, FEATURES)

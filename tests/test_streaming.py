@@ -51,3 +51,10 @@ def test_replayed_batches_change_nothing(spark, events, tmp_path):
         write(batch, number)
     got = live.current(spark, f"file://{tmp_path}/t", "user_id", ["event_id"]).select("user_id", "event_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, latest(e, "user_id", ["event_id"]).select("user_id", "event_id").collect()))
+
+
+def test_closed_chapters_equal_the_batch(spark, events):
+    got = {(r.event_type, r.starts, r.ends): (r.n, r.first_id) for r in catalog.queries()["q_stream_chapters"](spark, DATA).collect()}
+    rows = events.withColumn("at", F.col("ts").cast("timestamp")).groupBy(F.session_window("at", "45 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).collect()
+    want = {(r.event_type, r.w.start, r.w.end): (r.n, r.first_id) for r in rows}
+    assert got and got.items() <= want.items() and len(want) - len(got) < 20
