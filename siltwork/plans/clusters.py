@@ -128,11 +128,11 @@ def q_pairing(spark, d):
 # --- spreads, boxes, limits -----------------------------------------------------
 
 
-def spread_rows(spark, d, size: int):
+def spread_rows(spark, d, *sizes: int):
     m = st.macro_chapters(photos(spark, d))
     seq = F.row_number().over(Window.partitionBy("session_id", "chapter").orderBy("epoch", "photo_id"))
     rows = m.select("session_id", "chapter", seq.alias("seq"), "photo_id", "shell", "core", "aspect")
-    return folds.spread_chunks(rows, ["session_id", "chapter"], size)
+    return folds.spread_chunks(rows, ["session_id", "chapter"], *sizes)
 
 
 _AKIN = _AFFINITY.format(q="0.25::DOUBLE")
@@ -152,7 +152,7 @@ _AKIN = _AFFINITY.format(q="0.25::DOUBLE")
     SELECT session_id, chapter, CAST(spread AS INTEGER) AS spread, CAST(pos AS INTEGER) AS pos, photo_id FROM placed JOIN gg USING (session_id, chapter, i)"""
 )
 def q_spread_chunks(spark, d):
-    return spread_rows(spark, d, 3)
+    return spread_rows(spark, d, 3).drop("size")
 
 
 @query(

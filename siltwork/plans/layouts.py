@@ -159,44 +159,45 @@ def q_signature(spark, d):
     return s.groupBy("l_suppkey").agg(F.count_distinct("sig").alias("structures"))
 
 
-def book_spreads(spark, d, size: int, variation: int):
-    """Spreads of one variation: photos in order, a running number and its caption."""
-    s = spread_rows(spark, d, size)
+SIZES = (3, 2, 4)  # photos of a spread, by variation
+
+
+def book_spreads(spark, d, *variations: int):
+    """Spreads of the variations (numbered from 0): photos in order, a running number and its caption. Chapters are made once for all."""
+    s = spread_rows(spark, d, *(SIZES[k] for k in variations))
     p = photos(spark, d).select("photo_id", "aspect", "width", "height")
-    g = s.join(p, "photo_id").groupBy("session_id", "chapter", "spread").agg(F.array_sort(F.collect_list(F.struct("pos", "photo_id", "aspect", "width", "height"))).alias("ps"))
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy("chapter", "spread"))
-    chapters = F.max("chapter").over(Window.partitionBy("session_id"))
-    caps = F.array(*map(F.lit, dim.CAPTIONS[variation]))
-    g = g.withColumn("spread_idx", n).withColumn("chapters", chapters)
+    g = s.join(p, "photo_id").groupBy("session_id", "chapter", "size", "spread").agg(F.array_sort(F.collect_list(F.struct("pos", "photo_id", "aspect", "width", "height"))).alias("ps"))
+    book = Window.partitionBy("session_id", "size")
+    g = g.withColumn("spread_idx", F.row_number().over(book.orderBy("chapter", "spread"))).withColumn("chapters", F.max("chapter").over(book))
+    g = g.withColumn("variation", F.array_position(F.array(*map(F.lit, SIZES)), F.col("size")).cast("int"))
+    caps = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in dim.CAPTIONS)), F.col("variation"))
     last = F.col("chapter") == F.col("chapters")
     title = F.concat(F.lit("CHAPTER "), "chapter", F.when(last, ": HIGHLIGHTS").otherwise(": STORY SEQUENCE"))
     caption = F.when((F.col("spread") == 0) & (F.col("chapters") > 1), title).otherwise(F.element_at(caps, (F.pmod(F.col("spread_idx") - 1, F.lit(4)) + 1).cast("int")))
-    return g.select("session_id", "chapter", "spread_idx", caption.alias("caption"), F.lit(True).alias("has_text"), F.transform("ps", lambda x: F.struct(x["photo_id"].alias("photo_id"), x["aspect"].alias("aspect"), x["width"].alias("width"), x["height"].alias("height"))).alias("photos"))
+    return g.select("session_id", "chapter", "variation", "spread_idx", caption.alias("caption"), F.lit(True).alias("has_text"), F.transform("ps", lambda x: F.struct(x["photo_id"].alias("photo_id"), x["aspect"].alias("aspect"), x["width"].alias("width"), x["height"].alias("height"))).alias("photos"))
 
 
 @query()
 def q_spread(spark, d):
     """Every slot of the first variation's spreads, with page numbers and print quality."""
-    s = op.spread_pages(book_spreads(spark, d, 3, 0), "BALANCED")
-    return s.withColumn("page_number", F.col("spread_idx") * 2 + F.when(F.col("side") == "left", 0).otherwise(1))
+    s = op.spread_pages(book_spreads(spark, d, 0), "BALANCED")
+    return s.withColumn("page_number", F.col("spread_idx") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).drop("variation")
 
 
 @query()
 def q_variations(spark, d):
     """Three books of each session: their pacing and layout family differ, spreads are documents of pages and slots."""
-    out = None
-    for k, (size, family) in enumerate(zip((3, 2, 4), op.FAMILIES, strict=True)):
-        s = op.spread_pages(book_spreads(spark, d, size, k), family)
-        v = s.groupBy("session_id", "chapter", "spread_idx", "caption").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "photo_id", "x", "y", "w", "h", "dpi", "badge"))).alias("slots")).withColumn("variation", F.lit(k + 1))
-        out = v if out is None else out.unionByName(v)
-    return out
+    family = F.element_at(F.array(*map(F.lit, op.FAMILIES)), F.col("variation"))
+    s = op.spread_pages(book_spreads(spark, d, 0, 1, 2), family)
+    slots = F.array_sort(F.collect_list(F.struct("side", "pos", "photo_id", "x", "y", "w", "h", "dpi", "badge")))
+    return s.groupBy("session_id", "chapter", "spread_idx", "caption", "variation").agg(slots.alias("slots"))
 
 
 @query()
 def q_reshuffle(spark, d):
     """One spread of each session laid out anew by another family; photos keep their own pixels."""
-    s = book_spreads(spark, d, 3, 0).where("spread_idx = 5")
-    return op.spread_pages(s, op.FAMILIES[7 % 3], seed=7)
+    s = book_spreads(spark, d, 0).where("spread_idx = 5")
+    return op.spread_pages(s, op.FAMILIES[7 % 3], seed=7).drop("variation")
 
 
 @query(f"SELECT grp AS session_id, style, rank, photo_id FROM ({st_plan.covers_sql('session_id')})")

@@ -135,6 +135,7 @@ def test_spread_chunks_partition_a_chapter(spark, size):
     rows = [(f"c{c}", i, 100 * c + i, rng.getrandbits(20) & rng.getrandbits(20), rng.getrandbits(20) & rng.getrandbits(20), rng.uniform(0.4, 2.5)) for c in range(40) for i in range(rng.randint(1, 24))]
     df = spark.createDataFrame(rows, "chapter string, seq long, photo_id long, shell long, core long, aspect double")
     out = folds.spread_chunks(df, ["chapter"], size).collect()
+    assert {r.size for r in out} == {size}
     assert sorted(r.photo_id for r in out) == sorted(r[2] for r in rows)
     members = {}
     for r in sorted(out, key=lambda r: r.pos):
