@@ -22,6 +22,20 @@ def with_metadata(photos: DataFrame, metadata: DataFrame, key: str = "photo_id")
     return photos.join(last, key)
 
 
+def parsed_metadata(texts: DataFrame, text: str, fields: str, key: str = "photo_id") -> DataFrame:
+    """Records of JSON arrays (column ``text``, ordered by ``seq``): objects without a key are dropped, the last of a key holds."""
+    r = texts.select("seq", F.posexplode(F.from_json(text, f"array<struct<{key}: string, {fields}>>")).alias("at", "r")).select("seq", "at", "r.*")
+    r = r.where(F.coalesce(F.col(key), F.lit("")) != "")
+    rest = [c for c in r.columns if c not in ("seq", "at", key)]
+    return r.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("seq", "at")).alias("r")).select(key, "r.*")
+
+
+def file_key(name: Column) -> Column:
+    """A photo's key from its file's name: the stem without a thumbnail's mark."""
+    stem = F.regexp_replace(F.regexp_replace(name, "^.*/", ""), "[.][^.]*$", "")
+    return F.regexp_replace(stem, "_thumb$", "")
+
+
 def unmatched(photos: DataFrame, metadata: DataFrame, key: str = "photo_id") -> DataFrame:
     return photos.join(metadata.select(key), key, "left_anti")
 

@@ -30,14 +30,16 @@ def upsert_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return j.select(key, *(pick(c).alias(c) for c in old.columns if c != key))
 
 
-def evict(files: DataFrame, by: str, now: Column, ttl: float, budget: int) -> DataFrame:
-    """What stays in a cache: unexpired files, the newest that together fit the budget.
+def evict(files: DataFrame, by: str, now: Column, ttl: float, budget: int, free: Column | None = None, floor: int = 0) -> DataFrame:
+    """What stays in a cache: unexpired files, the newest that together fit the budget and leave ``floor`` bytes of the disk free.
 
-    Dropping the oldest until under budget keeps the longest suffix that fits, which is a running sum.
+    Dropping the oldest until under a limit keeps the longest suffix that fits, which is a
+    running sum. ``free``: the disk's free bytes before anything goes.
     """
-    live = files.where(now - F.col("mtime") <= ttl)
     w = Window.partitionBy(by).orderBy(F.desc("mtime"), F.desc("file"))
-    return live.withColumn("newer", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("newer") <= budget).drop("newer")
+    room = F.lit(budget) if free is None else F.least(F.lit(budget), F.sum("bytes").over(Window.partitionBy(by)) + free - floor)
+    live = files.withColumn("room", room).where(now - F.col("mtime") <= ttl)
+    return live.withColumn("newer", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("newer") <= F.col("room")).drop("newer", "room")
 
 
 def islands(rows: DataFrame, by: str, order: list[str], flag: Column) -> DataFrame:

@@ -51,6 +51,13 @@ def q_capture_time(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(exif, client, mtime, F.lit(0)).alias("at"), source.alias("date_source"))
 
 
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS at FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 7 = 0")
+def q_iso_time(spark, d):
+    """Seconds of ISO texts as clients send them, null where a text is none."""
+    text = F.when(F.col("event_id") % 7 == 0, "yesterday").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return table(spark, d, "events").select("event_id", F.unix_seconds(F.try_to_timestamp(text)).alias("at"))
+
+
 @query("SELECT event_id, strftime(ts, '%b %d, %Y %I:%M %p') AS label FROM events")
 def q_date_fmt(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "MMM dd, yyyy hh:mm a").alias("label"))

@@ -182,6 +182,23 @@ def q_parse_metadata(spark, d):
     return r.where("j IS NOT NULL").groupBy("photo_id").agg(F.max_by("j.k", "pos").alias("k"))
 
 
+@query(
+    f"""{WITH} SELECT 'thumb/' || session_id || '/px_' || photo_id || '_thumb.jpg' AS file, 'px_' || photo_id AS photo_id, CAST((photo_id * 7) % 100 AS DOUBLE) / 100 AS score, CAST(CASE WHEN photo_id % 4 = 0 THEN 0 ELSE photo_id % 4 END AS INTEGER) AS faces, photo_id % 3 = 0 AS blinks FROM photos WHERE photo_id % 5 <> 0"""
+)
+def q_upload_metadata(spark, d):
+    """Thumbnails with what their chunk's JSON array says of them: keyed by file name, the last record of a photo holds, defaults where it says nothing."""
+    p = photos(spark, d).select("session_id", "photo_id", (F.col("photo_id") / 40).cast("long").alias("chunk"))
+    key = F.when(F.col("photo_id") % 5 != 0, F.concat(F.lit("px_"), "photo_id"))
+    hero = F.when(F.col("photo_id") % 2 == 0, F.col("photo_id") * 7 % 100)
+    first = F.struct(key.alias("photo_id"), F.lit(1).cast("double").alias("hero"), F.lit(9).alias("faces"), F.lit(True).alias("blinks"))
+    last = F.struct(key.alias("photo_id"), F.coalesce(hero, F.col("photo_id") * 7 % 100).cast("double").alias("hero"), F.nullif(F.col("photo_id") % 4, F.lit(0)).cast("int").alias("faces"), F.when(F.col("photo_id") % 3 == 0, True).alias("blinks"))
+    sent = p.groupBy("session_id", F.col("chunk").alias("seq")).agg(F.to_json(F.concat(F.collect_list(first), F.collect_list(last))).alias("metadata"))
+    said = op.parsed_metadata(sent, "metadata", "hero: double, faces: int, blinks: boolean")
+    files = p.select(F.concat(F.lit("thumb/"), "session_id", F.lit("/px_"), "photo_id", F.lit("_thumb.jpg")).alias("file"))
+    j = files.withColumn("photo_id", op.file_key(F.col("file"))).join(said, "photo_id")
+    return j.select("file", "photo_id", (F.coalesce("hero", F.lit(0.0)) / 100).alias("score"), F.coalesce("faces", F.lit(0)).alias("faces"), F.coalesce("blinks", F.lit(False)).alias("blinks"))
+
+
 @query(
     f"""SELECT page_id, regexp_replace(url, '^https?://[^/]*/', '') AS key, {_STEM.replace("'[?#].*$', '')", "'[?#].*$', '')").replace("'^.*/', '')", "'^.*/', '')")} AS stem FROM pages"""
 )

@@ -87,6 +87,24 @@ def q_lru_evict(spark, d):
     return op.evict(files, "session_id", F.lit(now), 500000.0, 20_000_000).select("session_id", F.col("file").alias("photo_id"))
 
 
+@query(
+    f"""{WITH}, r AS (SELECT session_id, photo_id, bytes, taken_at, (SELECT max(taken_at) FROM photos) AS now, least(40000000, sum(bytes) OVER (PARTITION BY session_id) + 30000000 - 200000000) AS room FROM photos),
+    l AS (SELECT *, sum(bytes) OVER (PARTITION BY session_id ORDER BY taken_at DESC, photo_id DESC ROWS UNBOUNDED PRECEDING) AS newer FROM r WHERE now - taken_at <= 2000000) SELECT session_id, photo_id FROM l WHERE newer <= room"""
+)
+def q_lru_floor(spark, d):
+    """Eviction that also keeps 200 MB of the disk free, of which 30 MB are."""
+    p = photos(spark, d)
+    now = p.agg(F.max("taken_at")).first()[0]
+    files = p.select("session_id", F.col("photo_id").alias("file"), F.col("taken_at").alias("mtime"), "bytes")
+    return op.evict(files, "session_id", F.lit(now), 2000000.0, 40_000_000, F.lit(30_000_000), 200_000_000).select("session_id", F.col("file").alias("photo_id"))
+
+
+@query("SELECT 1 AS alive")
+def q_alive(spark, d):
+    """Whether the session answers."""
+    return spark.sql("SELECT 1 AS alive")
+
+
 @query("SELECT e.event_id FROM events e WHERE e.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY AND e.user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 DAY)")
 def q_retention(spark, d):
     """Rows young enough, of sessions that are not expired."""

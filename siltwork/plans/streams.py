@@ -30,6 +30,14 @@ def q_stream_metrics(spark, d):
     return _run(spark, d, live.rolling_metrics)
 
 
+@query("""WITH s AS (SELECT event_type AS step, event_id, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events)
+    SELECT step, max(event_id) AS upto, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, min(cents) AS least, max(cents) AS most FROM s WHERE r <= 100 GROUP BY step""")
+def q_stream_rolling(spark, d):
+    """The newest summary of each step over its last 100 samples, as a stream keeps it."""
+    rows = _run(spark, d, live.rolling_last)
+    return rows.groupBy("step").agg(F.max_by(F.struct("upto", "n", "total", "least", "most"), "upto").alias("s")).select("step", "s.*")
+
+
 @query()
 def q_stream_rate_limit(spark, d):
     return _run(spark, d, live.limited)

@@ -30,6 +30,21 @@ def rolling_metrics(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return e.groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")).select("event_type", F.col("w.start").alias("starts"), "n", "cents")
 
 
+def rolling_last(events: DataFrame, last: int = 100) -> DataFrame:
+    """After each batch every touched step's n, total, least and most of its ``last`` newest samples; the state is those samples."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        ids, cents = (list(x) for x in state.get) if state.exists else ([], [])
+        held = sorted(zip([*ids, *map(int, rows["event_id"])], [*cents, *map(int, rows["cents"])], strict=True))[-last:]
+        state.update(([i for i, _ in held], [c for _, c in held]))
+        own = [c for _, c in held]
+        yield pd.DataFrame([(key[0], held[-1][0], len(own), sum(own), min(own), max(own))], columns=["step", "upto", "n", "total", "least", "most"])
+
+    e = events.select(F.col("event_type").alias("step"), "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return e.groupBy("step").applyInPandasWithState(step, "step string, upto long, n long, total long, least long, most long", "ids array<long>, cents array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def limited(events: DataFrame, limit: int = 3, seconds: float = 7200.0, late: str = "2 hours") -> DataFrame:
     """Admitted hits per key; the state holds a key's last admitted times and goes when the watermark is past their window."""
     start, admit = rate_limited(limit, seconds)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltwork.operators import quality
 from siltwork.plans import pictures as plan
-from siltwork.sources import exif, images
+from siltwork.sources import exif, images, objects
 
 
 def block(order: str, main: list, details: list = (), place: list = ()) -> bytes:
@@ -131,3 +131,16 @@ def test_outcomes_by_kind_of_the_album(spark):
 def test_histogram_counts_every_pixel(spark):
     for r in images.features(images.scan(spark, plan.album(spark))).where("ok").select("hsv_hist").collect():
         assert len(r.hsv_hist) == 32 and min(r.hsv_hist) == 0 and max(r.hsv_hist) in (0.0, 1.0)
+
+
+def test_objects(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    for k in range(3):
+        images.put(spark, f"{base}/original/s1/p{k}.jpg", b"x" * (k + 1))
+    assert objects.head(spark, base, "original/s1/p2.jpg")["bytes"] == 3
+    assert objects.head(spark, base, "original/s1") is None and objects.head(spark, base, "original/s1/none.jpg") is None
+    assert objects.delete(spark, base, "original/s1/p0.jpg") and not objects.delete(spark, base, "original/s1/p0.jpg") and not objects.delete(spark, base, "original/s1")
+    assert objects.delete_prefix(spark, base, "original/s1/") == 2 and objects.delete_prefix(spark, base, "original/s1") == 0
+    for key in ("../x", "a/../b", "/abs", "", "C:/x"):
+        with pytest.raises(ValueError, match="storage key"):
+            objects.delete_prefix(spark, base, key)

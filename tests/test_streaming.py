@@ -58,3 +58,11 @@ def test_closed_chapters_equal_the_batch(spark, events):
     rows = events.withColumn("at", F.col("ts").cast("timestamp")).groupBy(F.session_window("at", "45 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).collect()
     want = {(r.event_type, r.w.start, r.w.end): (r.n, r.first_id) for r in rows}
     assert got and got.items() <= want.items() and len(want) - len(got) < 20
+
+
+def test_rolling_summaries_over_many_batches(spark, events, tmp_path):
+    events.orderBy("event_id").coalesce(1).write.option("maxRecordsPerFile", 200).parquet(f"file://{tmp_path}/in")
+    out = live.drained(live.rolling_last(live.source(spark, f"file://{tmp_path}/in", events.schema, 1)), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
+    newest = {r.step: tuple(r) for r in sorted(out.collect(), key=lambda r: r.upto)}
+    want = {r.step: (r.step, r.upto, r.n, r.total, r.least, r.most) for r in catalog.queries()["q_stream_rolling"](spark, DATA).collect()}
+    assert newest == want and out.count() > len(want)
