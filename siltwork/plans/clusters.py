@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, graph, quality
 from ..operators import stories as st
+from ..sources.scratch import written
 from .aggregates import _CHUNK, chunked
 from .joins import _AFFINITY, _BOXES, EDGES, boxes, event_edges
 from .registry import query
@@ -208,3 +209,18 @@ def q_phase1(spark, d):
     kept = folds.burst_groups(p.where("status = 'PASSED'"), CHUNK)
     done = p.select("session_id", "photo_id", "status").join(kept.select("photo_id", "survives"), "photo_id", "left")
     return done.select("session_id", "photo_id", F.when(~F.col("survives"), "REJECTED_BURST").otherwise(F.col("status")).alias("status"))
+
+
+@query(
+    f"""{RECURSIVE}, {_SAVED}, {bursts_sql('live')}, alive AS (SELECT * FROM live WHERE photo_id NOT IN (SELECT photo_id FROM bursts WHERE NOT survives)), {EDGES.replace('FROM photos a JOIN photos b', 'FROM alive a JOIN alive b')},
+    both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a),
+    named AS (SELECT x AS photo_id, min(y) AS event FROM reach GROUP BY x), e AS (SELECT a.photo_id, coalesce(n.event, a.photo_id) AS event, hero FROM alive a LEFT JOIN named n USING (photo_id))
+    SELECT event, count(*) AS photos, arg_max(photo_id, struct_pack(h := hero, p := -photo_id)) AS hero_id FROM e GROUP BY event"""
+)
+def q_phase1_events(spark, d):
+    """Events of the photos that phase 1 keeps: how many photos, and the best of them."""
+    p = photos(spark, d).join(q_phase1(spark, d).where("status = 'PASSED'").select("photo_id"), "photo_id", "left_semi")
+    p = written(quality.with_hero(p), "alive")
+    roots = graph.components(event_edges(p)).select(F.col("node").alias("photo_id"), "root")
+    e = p.select("photo_id", "hero").join(roots, "photo_id", "left").withColumn("event", F.coalesce("root", "photo_id"))
+    return e.groupBy("event").agg(F.count("*").alias("photos"), F.max_by("photo_id", F.struct(F.col("hero"), -F.col("photo_id"))).alias("hero_id"))
