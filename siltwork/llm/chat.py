@@ -180,7 +180,8 @@ def repaired(conversations: DataFrame) -> DataFrame:
     Ordered by (seg, pos, sub) within conv_id; joining ``rendered`` in that order with
     nothing between gives the conversation's text. ``cost`` is the conversation's
     least cost, ``step_cost`` the row's part of it. Turns are taken in order of turn
-    (null first), then role and text; rows with equal turns are turns of their own.
+    (null first), equal ones by a hash of role and text; rows with equal turns are turns
+    of their own. Other columns are not looked at.
     Roles are trimmed and lower-cased; a null or unknown role may become any at a low
     cost; a null text is empty; a null conv_id is one conversation.
     """
