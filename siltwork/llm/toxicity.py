@@ -234,14 +234,15 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: float = 0.004) -> Lexicon:
     """Word beginnings that toxic texts have at least ``least_ratio`` times as often as clean ones.
 
-    A stem must be in ``least_share`` of the sample's toxic texts, so there are at most
-    1 / least_share times as many as a text has on average.
+    Copies of a text count once. A stem must be in ``least_share`` of the sample's toxic
+    texts, so there are at most 1 / least_share times as many as a text has on average.
     """
-    n = sampled.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
+    texts = sampled.groupBy("text").agg(F.max("label").alias("label"))
+    n = texts.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
     if not n.p or not n.n:
         return Lexicon({})
     ratio = ((F.col("pos") + 0.5) / (n.p + 1)) / ((F.col("neg") + 0.5) / (n.n + 1))
-    counted = sampled.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = texts.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = counted.where((F.col("pos") >= max(4, least_share * n.p)) & (ratio >= least_ratio)).select("stem", "pos", ratio.alias("ratio")).orderBy(F.desc("pos"), "stem").collect()
     count = {r.stem: r.pos for r in found}
     weight = {r.stem: float(np.log(r.ratio)) for r in found}
