@@ -139,19 +139,21 @@ def spread_rows(spark, d, *sizes: int):
 _AKIN = _AFFINITY.format(q="0.25::DOUBLE")
 
 
-@query(
-    f"""{RECURSIVE}, {MACRO}, gg AS (SELECT *, row_number() OVER (PARTITION BY session_id, chapter ORDER BY epoch, photo_id) AS i FROM macro),
-    near AS (SELECT session_id, chapter, i, list(j ORDER BY affinity DESC, j) AS js FROM (SELECT session_id, chapter, i, j, {_AKIN} AS affinity FROM
-      (SELECT x.session_id, x.chapter, x.i, y.i AS j, x.aspect AS a_aspect, y.aspect AS b_aspect, bit_count(xor(x.shell, y.shell)) AS sh, bit_count(xor(x.core, y.core)) AS co FROM gg x JOIN gg y ON x.session_id = y.session_id AND x.chapter = y.chapter AND y.i BETWEEN x.i + 1 AND x.i + 8)) GROUP BY ALL),
-    sizes AS (SELECT session_id, chapter, count(*) AS cnt, CASE WHEN count(*) <= 4 THEN 2 ELSE 3 END AS room FROM gg GROUP BY ALL),
-    rr AS (SELECT gg.session_id, gg.chapter, gg.i, cnt, room, CASE WHEN cnt <= room THEN range(2, cnt + 1) ELSE coalesce(js, []) END AS js FROM gg JOIN sizes USING (session_id, chapter) LEFT JOIN near USING (session_id, chapter, i)),
-    steps AS (SELECT session_id, chapter, 0::BIGINT AS i, []::BIGINT[] AS used, []::BIGINT[] AS own, -1::BIGINT AS spread FROM sizes UNION ALL
-      SELECT r.session_id, r.chapter, r.i, CASE WHEN list_contains(used, r.i) THEN used ELSE list_concat(used, list_concat([r.i], list_filter(js, lambda j: NOT list_contains(used, j))[1:room - 1])) END,
+def spreads_sql(*sizes: int) -> str:
+    """CTEs up to ``placed``: session_id, chapter, size, spread, pos and i, a photo's place in its chapter (``gg``)."""
+    pairs = "SELECT x.session_id, x.chapter, x.i, y.i AS j, x.aspect AS a_aspect, y.aspect AS b_aspect, bit_count(xor(x.shell, y.shell)) AS sh, bit_count(xor(x.core, y.core)) AS co FROM gg x JOIN gg y ON x.session_id = y.session_id AND x.chapter = y.chapter AND y.i BETWEEN x.i + 1 AND x.i + 8"
+    return f"""{MACRO}, gg AS (SELECT *, row_number() OVER (PARTITION BY session_id, chapter ORDER BY epoch, photo_id) AS i FROM macro),
+    near AS (SELECT session_id, chapter, i, list(j ORDER BY affinity DESC, j) AS js FROM (SELECT session_id, chapter, i, j, {_AKIN} AS affinity FROM ({pairs})) GROUP BY ALL),
+    sizes AS (SELECT session_id, chapter, size, cnt, CASE WHEN cnt <= 4 THEN greatest(2, size - 1) ELSE size END AS room FROM (SELECT session_id, chapter, count(*) AS cnt FROM gg GROUP BY ALL), (SELECT unnest({list(sizes)}) AS size)),
+    rr AS (SELECT gg.session_id, gg.chapter, size, gg.i, cnt, room, CASE WHEN cnt <= room THEN range(2, cnt + 1) ELSE coalesce(js, []) END AS js FROM gg JOIN sizes USING (session_id, chapter) LEFT JOIN near USING (session_id, chapter, i)),
+    steps AS (SELECT session_id, chapter, size, 0::BIGINT AS i, []::BIGINT[] AS used, []::BIGINT[] AS own, -1::BIGINT AS spread FROM sizes UNION ALL
+      SELECT r.session_id, r.chapter, r.size, r.i, CASE WHEN list_contains(used, r.i) THEN used ELSE list_concat(used, list_concat([r.i], list_filter(js, lambda j: NOT list_contains(used, j))[1:room - 1])) END,
         CASE WHEN list_contains(used, r.i) THEN [] ELSE list_concat([r.i], list_filter(js, lambda j: NOT list_contains(used, j))[1:room - 1]) END, CASE WHEN list_contains(used, r.i) THEN spread ELSE spread + 1 END
-      FROM steps w JOIN rr r ON r.session_id = w.session_id AND r.chapter = w.chapter AND r.i = w.i + 1),
-    placed AS (SELECT session_id, chapter, spread, unnest(own) AS i, unnest(range(len(own))) AS pos FROM steps)
-    SELECT session_id, chapter, CAST(spread AS INTEGER) AS spread, CAST(pos AS INTEGER) AS pos, photo_id FROM placed JOIN gg USING (session_id, chapter, i)"""
-)
+      FROM steps w JOIN rr r ON r.session_id = w.session_id AND r.chapter = w.chapter AND r.size = w.size AND r.i = w.i + 1),
+    placed AS (SELECT session_id, chapter, size, spread, unnest(own) AS i, unnest(range(len(own))) AS pos FROM steps)"""
+
+
+@query(f"{RECURSIVE}, {spreads_sql(3)} SELECT session_id, chapter, CAST(spread AS INTEGER) AS spread, CAST(pos AS INTEGER) AS pos, photo_id FROM placed JOIN gg USING (session_id, chapter, i)")
 def q_spread_chunks(spark, d):
     return spread_rows(spark, d, 3).drop("size")
 

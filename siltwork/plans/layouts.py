@@ -11,7 +11,7 @@ from ..operators import layouts as op
 from ..operators import stories as st
 from . import dimensions as dim
 from . import stories as st_plan
-from .clusters import spread_rows
+from .clusters import RECURSIVE, spread_rows, spreads_sql
 from .functions import fit_sql
 from .registry import query
 from .views import WITH, photos, table
@@ -177,11 +177,57 @@ def book_spreads(spark, d, *variations: int):
     return g.select("session_id", "chapter", "variation", "spread_idx", caption.alias("caption"), F.lit(True).alias("has_text"), F.transform("ps", lambda x: F.struct(x["photo_id"].alias("photo_id"), x["aspect"].alias("aspect"), x["width"].alias("width"), x["height"].alias("height"))).alias("photos"))
 
 
-@query()
+def _texts(rows) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in rows) + "]"
+
+
+def slots_sql(*variations: int, seed: int = 0) -> str:
+    """CTEs up to ``slots``: every slot of the variations' spreads, by trying all splits and both ways of two photos on a page."""
+    ways = ", ".join(f"({n}, {k}, {list(a)}::BIGINT[], {list(b)}::BIGINT[])" for n in range(1, op.MOST_PHOTOS + 1) for k, (a, b) in enumerate(op.splits(n)))
+    x, y, w, gap, net = ("0.025::DOUBLE", "0.539::DOUBLE"), "0.05::DOUBLE", "0.436::DOUBLE", "0.018::DOUBLE", f"{0.436 - 0.018!r}::DOUBLE"
+    tall = [f"{fn.safe_bounds(True, t)[3]!r}::DOUBLE" for t in (True, False)]
+    area = lambda b: f"{b}.w * {b}.h"
+    variation = "CASE size " + " ".join(f"WHEN {n} THEN {k + 1}" for k, n in enumerate(SIZES)) + " END"
+    caps = "[" + ", ".join(_texts(c) for c in dim.CAPTIONS) + "]"
+    box = lambda x, y, b: f"struct_pack(x := {x}, y := {y}, w := {b}.w, h := {b}.h)"
+    return f"""{RECURSIVE}, {spreads_sql(*(SIZES[k] for k in variations))},
+    book AS (SELECT session_id, chapter, size, spread, list(struct_pack(id := photo_id, a := aspect, pw := width, ph := height) ORDER BY pos) AS ps FROM placed JOIN gg USING (session_id, chapter, i) GROUP BY ALL),
+    numbered AS (SELECT *, {variation} AS variation, row_number() OVER (PARTITION BY session_id, size ORDER BY chapter, spread) AS spread_idx, max(chapter) OVER (PARTITION BY session_id, size) AS chapters FROM book),
+    flagged AS (SELECT *, CASE WHEN spread = 0 AND chapters > 1 THEN concat('CHAPTER ', chapter, CASE WHEN chapter = chapters THEN ': HIGHLIGHTS' ELSE ': STORY SEQUENCE' END) ELSE {caps}[variation][CAST((spread_idx - 1) % 4 AS INTEGER) + 1] END AS caption,
+      CASE variation WHEN 1 THEN false WHEN 2 THEN true ELSE (spread_idx + {seed}) % 2 <> 0 END AS left_big, CASE variation WHEN 3 THEN (spread_idx + {seed}) % 2 = 0 ELSE false END AS right_big FROM numbered),
+    pages AS (SELECT session_id, chapter, variation, spread_idx, caption, ps, k, unnest([0, 1]) AS sd, unnest([lefts, rights]) AS own, unnest([left_big, right_big]) AS big FROM flagged JOIN (VALUES {ways}) t(n, k, lefts, rights) ON n = len(ps)),
+    geo AS (SELECT *, ps[own[1] + 1].a AS a, ps[own[2] + 1].a AS b, CASE sd WHEN 0 THEN {x[0]} ELSE {x[1]} END AS px, CASE sd WHEN 0 THEN {tall[0]} ELSE {tall[1]} END AS ph FROM pages),
+    halves AS (SELECT *, CASE WHEN big THEN (ph - {gap}) * 0.60::DOUBLE ELSE (ph - {gap}) / 2.0::DOUBLE END AS h1, CASE WHEN big THEN (ph - {gap}) - (ph - {gap}) * 0.60::DOUBLE ELSE (ph - {gap}) / 2.0::DOUBLE END AS h2,
+      greatest({net} * 0.25::DOUBLE, least({net} * 0.75::DOUBLE, {net} * (a / greatest(0.1::DOUBLE, a + b)))) AS w1 FROM geo),
+    fits AS (SELECT *, {fit_sql('a', 'px', y, w, 'ph')} AS one, {fit_sql('a', 'px', y, w, 'h1')} AS a1, {fit_sql('b', 'px', f'({y} + h1 + {gap})', w, 'h2')} AS a2, {fit_sql('a', 'px', y, 'w1', 'ph')} AS b1, {fit_sql('b', f'(px + w1 + {gap})', y, f'({net} - w1)', 'ph')} AS b2 FROM halves),
+    laid AS (SELECT *, CASE len(own) WHEN 0 THEN [] WHEN 1 THEN [{box('one.x', 'one.y', 'one')}] ELSE CASE WHEN least(a, b) < 1.1::DOUBLE OR {area('b1')} + {area('b2')} > ({area('a1')} + {area('a2')}) * 0.95::DOUBLE
+      THEN [{box('b1.x', 'least(b1.y, b2.y)', 'b1')}, {box('b2.x', 'least(b1.y, b2.y)', 'b2')}]
+      ELSE [{box('a1.x', f'{y} + (ph - (a1.h + {gap} + a2.h)) / 2.0::DOUBLE', 'a1')}, {box('a2.x', f'{y} + (ph - (a1.h + {gap} + a2.h)) / 2.0::DOUBLE + a1.h + {gap}', 'a2')}] END END AS boxes FROM fits),
+    scored AS (SELECT session_id, variation, spread_idx, k, sum(coalesce(list_sum([z.w * z.h FOR z IN boxes]), 0)) + CASE WHEN min(len(own)) = 1 AND max(len(own)) = 1 AND min(a) <= 0.95::DOUBLE AND max(a) >= 1.1::DOUBLE THEN 0.25::DOUBLE ELSE 0 END AS score FROM laid GROUP BY ALL),
+    best AS (SELECT session_id, variation, spread_idx, arg_max(k, struct_pack(s := score, k := -k)) AS k FROM scored GROUP BY ALL),
+    spots AS (SELECT session_id, chapter, variation, spread_idx, caption, sd, ps, unnest(own) AS photo, unnest(range(len(own))) AS pos, unnest(boxes) AS z FROM laid JOIN best USING (session_id, variation, spread_idx, k)),
+    sharp AS (SELECT *, least(ps[photo + 1].pw / greatest(0.1::DOUBLE, z.w * 420.0::DOUBLE / 25.4::DOUBLE), ps[photo + 1].ph / greatest(0.1::DOUBLE, z.h * 210.0::DOUBLE / 25.4::DOUBLE)) AS dpi FROM spots),
+    slots AS (SELECT session_id, chapter, CAST(variation AS INTEGER) AS variation, spread_idx, caption, true AS has_text, CASE sd WHEN 0 THEN 'left' ELSE 'right' END AS side, CAST(pos AS INTEGER) AS pos, ps[photo + 1].id AS photo_id,
+      round(z.x, 9) AS x, round(z.y, 9) AS y, round(z.w, 9) AS w, round(z.h, 9) AS h, round(dpi, 6) AS dpi, CASE WHEN dpi >= 250 THEN 'excellent' WHEN dpi >= 150 THEN 'warning' ELSE 'alert' END AS badge, spread_idx * 2 + sd AS page_number FROM sharp)"""
+
+
+def _rounded(slots):
+    """As both engines must show them."""
+    return slots.withColumns({**{c: F.round(c, 9) for c in "xywh"}, "dpi": F.round("dpi", 6)})
+
+
+@query(f"{slots_sql(0)} SELECT * EXCLUDE (variation) FROM slots")
 def q_spread(spark, d):
     """Every slot of the first variation's spreads, with page numbers and print quality."""
     s = op.spread_pages(book_spreads(spark, d, 0), "BALANCED")
-    return s.withColumn("page_number", F.col("spread_idx") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).drop("variation")
+    return _rounded(s.withColumn("page_number", F.col("spread_idx") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).drop("variation"))
+
+
+@query(f"{slots_sql(0, 1, 2)} SELECT * EXCLUDE (page_number) FROM slots")
+def q_variation_slots(spark, d):
+    """The slots of three books of each session."""
+    family = F.element_at(F.array(*map(F.lit, op.FAMILIES)), F.col("variation"))
+    return _rounded(op.spread_pages(book_spreads(spark, d, 0, 1, 2), family))
 
 
 @query()
@@ -193,11 +239,11 @@ def q_variations(spark, d):
     return s.groupBy("session_id", "chapter", "spread_idx", "caption", "variation").agg(slots.alias("slots"))
 
 
-@query()
+@query(f"{slots_sql(0, seed=7).replace('CASE variation WHEN 1 THEN false WHEN 2 THEN true', 'CASE WHEN variation > 0 THEN true').replace('CASE variation WHEN 3', 'CASE WHEN variation = 0')} SELECT * EXCLUDE (variation, page_number) FROM slots WHERE spread_idx = 5")
 def q_reshuffle(spark, d):
     """One spread of each session laid out anew by another family; photos keep their own pixels."""
     s = book_spreads(spark, d, 0).where("spread_idx = 5")
-    return op.spread_pages(s, op.FAMILIES[7 % 3], seed=7).drop("variation")
+    return _rounded(op.spread_pages(s, op.FAMILIES[7 % 3], seed=7).drop("variation"))
 
 
 @query(f"SELECT grp AS session_id, style, rank, photo_id FROM ({st_plan.covers_sql('session_id')})")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, temporary
 from ..streaming import live
-from .registry import query
+from . import clusters  # noqa: F401  the batch twins
+from .registry import ORACLES, query
 from .views import table
 
 
@@ -38,7 +39,7 @@ def q_stream_rolling(spark, d):
     return rows.groupBy("step").agg(F.max_by(F.struct("upto", "n", "total", "least", "most"), "upto").alias("s")).select("step", "s.*")
 
 
-@query()
+@query(ORACLES["q_rate_limit"])
 def q_stream_rate_limit(spark, d):
     return _run(spark, d, live.limited)
 
