@@ -1,4 +1,4 @@
-"""A bounded sample of labelled rows for classifiers, and how rows are held out."""
+"""A bounded sample of labelled rows for classifiers, how rows are held out, and names that no column has."""
 
 from __future__ import annotations
 
@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    while wanted.lower() in {c.lower() for c in columns}:
+        wanted += "_"
+    return wanted
+
+
 def remainder(of: int) -> Column:
     """crc32 of doc_id's text modulo ``of``; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of

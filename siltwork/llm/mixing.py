@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from ..sources.scratch import written
+from .labelled import free_name
 
 BLOCK = 64
 MOST = 3  # a document is taken at most so often
@@ -125,6 +126,9 @@ def _draws(want: np.ndarray, seed: int) -> pd.DataFrame:
 class Mix:
     """A mix of documents (doc_id, source, text); null texts are empty, a null source is a source of its own, last in order.
 
+    Texts of any length are read whole, rows with one doc_id or none are documents of
+    their own, other columns are not looked at; no rows give an empty mix.
+
     ``sized``: uid, doc_id, source, size of every row. ``want``: source, source_size,
     target. ``pieces``: uid, block, begin, words, takes; the parts of documents that
     the mix takes ``takes`` times, ``begin`` counted in words of the document.
@@ -203,22 +207,27 @@ def _texts(columns: list[str]):
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], ["__uid", *batch.schema.names])
-        uid += batch.num_rows
+def _numbered(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], [name, *batch.schema.names])
+            uid += batch.num_rows
+
+    return run
 
 
 def mixed_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     """The mix as documents: a row for each pass over a document's taken blocks, its text those words, n_chars its length.
 
     ``documents`` must read the same rows in the same order each time, as written tables do.
+    Other columns stay as they are. A text without words is not taken.
     """
     columns = documents.columns
+    uid, taken = free_name(columns, "uid"), free_name([*columns, "uid"], "parts")
     mix = Mix(documents, seed)
-    fields = ", ".join(["__uid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
-    rows = documents.mapInArrow(_numbered, fields)
-    parts = mix.pieces.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("begin", "words", "takes")).alias("__parts"))
-    out = rows.join(parts.hint("merge"), "__uid").select(*columns, "__parts").mapInArrow(_texts(columns), documents.schema)
+    fields = ", ".join([f"`{uid}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
+    rows = documents.mapInArrow(_numbered(uid), fields)
+    parts = mix.pieces.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("begin", "words", "takes")).alias(taken))
+    out = rows.join(parts.hint("merge"), uid).select(*columns, taken).mapInArrow(_texts(columns), documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out

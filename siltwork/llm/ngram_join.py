@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import textscan
 from ..operators.graph import components
 from ..sources.scratch import plan_bytes, released, written
+from .labelled import free_name
 
 LOW_BITS = 40
 FLUSH_SHINGLES = 1 << 20
@@ -267,6 +268,7 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     text has an empty set and links with nothing; fewer than ``width`` words make
     one n-gram. Equal sets always link. Rows with equal doc_ids stay apart rows.
     A null doc_id links like any other but never names a component (null if alone).
+    Texts of any length are read whole, other columns are not looked at; no rows give none.
     """
     every = shared_sets(documents, width, percent)
     copies = every.where("keys IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min(_first()).alias("first"), F.min("uid").alias("id"))
@@ -312,18 +314,23 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     return alone.unionByName(linked)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], ["__uid", *batch.schema.names])
-        uid += batch.num_rows
+def _numbered(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], [name, *batch.schema.names])
+            uid += batch.num_rows
+
+    return run
 
 
 def one_of_each(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """The rows of documents of which each class of near copies keeps one, that of the smallest doc_id.
 
     ``documents`` must read the same rows in the same order each time, as written tables do.
+    Its columns stay as they are; classes are as ``jaccard_classes`` has them.
     """
-    fields = ", ".join(["__uid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
-    gone = jaccard_classes(documents, width, percent).where("NOT keep").select(F.col("uid").alias("__uid"))
-    return documents.mapInArrow(_numbered, fields).join(gone, "__uid", "left_anti").select(*documents.columns)
+    uid = free_name(documents.columns, "uid")
+    fields = ", ".join([f"`{uid}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
+    gone = jaccard_classes(documents, width, percent).where("NOT keep").select(F.col("uid").alias(uid))
+    return documents.mapInArrow(_numbered(uid), fields).join(gone, uid, "left_anti").select(*documents.columns)

@@ -134,7 +134,8 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, window
 
     An added token's string in a text becomes its one id, as ``tokenizers`` encodes it
     with ``add_special_tokens=False``; a null or empty text has its one boundary id. Rows with equal (or null) doc_ids are packed as documents of their
-    own. ``sequence_id`` is unique over tasks. ``vocabulary``: path of a rank file.
+    own; texts of any length are read whole, other columns are not looked at.
+    ``sequence_id`` is unique over tasks. ``vocabulary``: path of a rank file.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_packed(vocabulary, capacity, window, with_ids), _PIECES + ", ids array<int>" * with_ids)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .labelled import remainder, sample
+from .labelled import free_name, remainder, sample
 
 PASSAGE = 600
 _OWN = b"\n.,!?|&%#*$:;-'\"()"
@@ -154,7 +154,7 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 5, fold: int =
 def score(documents: DataFrame, net: Net | None, columns: list[str]) -> DataFrame:
     """The named columns, the text's score between 0 and 1, and its most attended passage; without a net all score 0.5. A null text is empty."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
-    rows = documents.select(*columns, F.col("text").cast("string").alias("__text"))
+    rows = documents.select(*columns, F.col("text").cast("string").alias(free_name(columns, "text")))
     schema = rows.select(*columns).schema.add("score", "double").add("passage", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

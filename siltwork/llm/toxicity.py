@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import remainder, sample
+from .labelled import free_name, remainder, sample
 
 # Word lists of the grammar's closed classes, in the languages of the data.
 TARGETS = "you your yours he she they them him her his their this that these those it people everyone du dich dir ihr euch er sie tu toi te vous il elle ils elles tú te ti usted ustedes él ella ellos".split()
@@ -351,7 +351,7 @@ def kept(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataFr
 def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The named columns of documents, and the text's score between 0 and 1; null and empty texts score as texts without a hit."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(*columns, F.col("text").cast("string").alias("__text"))
+    rows = documents.select(*columns, F.col("text").cast("string").alias(free_name(columns, "text")))
     schema = rows.select(*columns).schema.add("score", "double")
 
     def run(frames):

@@ -118,7 +118,7 @@ def tree_scores(tok):
     for _, t in tok:
         full = ["<start>", *t]
         scores.append(sum(math.log10(p(tuple(full[max(0, i - 3) : i]), full[i])) for i in range(1, len(full))))
-    for context in [x for x, kept in state.items() if kept][:20]:
+    for context in [x for x, kept in state.items() if kept]:
         assert math.isclose(sum(p(context, w) for w in c) + p(context, "<unknown>"), 1)
     return scores, Counter(len(x) for x, kept in state.items() if kept)
 
@@ -341,8 +341,10 @@ def test_digest_is_of_the_base_spans():
 # --- op4 --------------------------------------------------------------------------
 
 
-def test_bm25_top_k(documents, corpus, words, monkeypatch):
-    monkeypatch.setattr(search, "SHARD", 40)
+@pytest.mark.parametrize(("block", "dense", "query_terms", "waves"), [(64, 16, 1 << 22, (0, 1, 4, 32)), (4, 3, 400, (0, 1, 4, 8)), (2, 12, 1 << 22, (0, 1))])
+def test_bm25_top_k(documents, corpus, words, monkeypatch, block, dense, query_terms, waves):
+    for name, value in (("SHARD", 40), ("BLOCK", block), ("DENSE", dense), ("QUERY_TERMS", query_terms), ("WAVES", waves)):
+        monkeypatch.setattr(search, name, value)
     got = defaultdict(list)
     for r in search.top_k(documents, F.col("doc_id") % 25 == 0, 7).collect():
         got[r.query_id].append((r["rank"], r.doc_id, r.score))
@@ -360,6 +362,31 @@ def test_bm25_top_k(documents, corpus, words, monkeypatch):
         assert [(a, b) for a, b, _ in sorted(got[q])] == [(a, b) for a, b, _ in want] and np.allclose([c for *_, c in sorted(got[q])], [c for *_, c in want])
 
 
+def test_pivot_and_bounds_lose_nothing(monkeypatch):
+    """A shard's answers with and without a threshold, lists below the pivot among them."""
+    monkeypatch.setattr(search, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    n, terms, below = 400, 60, 0
+    held = rng.random((n, terms)) < np.linspace(0.9, 0.02, terms)
+    row, term = np.nonzero(held)
+    weight = rng.random(len(row)) * np.linspace(0.2, 6, terms)[term]
+    shard = search.Shard(np.arange(n) * 7 % 401, row, term.astype(np.int32), weight, rng.integers(1, 50, n), terms)
+    full = np.zeros((n, terms))
+    full[row, term] = weight
+    for _ in range(60):
+        asks = np.sort(rng.choice(terms, rng.integers(1, terms), replace=False)).astype(np.int32)
+        score = np.round(full[:, asks].sum(axis=1), 6)
+        order = np.lexsort((shard.ids, -score))[:10]
+        order = order[score[order] > 0]
+        for least in (0.0, *(score[order][[-1, len(order) // 2]] if len(order) else ())):
+            lists = shard.list[asks]
+            below += int((np.cumsum(np.sort(shard.most[lists[shard.dense[lists] >= 0]])) < search.PIVOT * least).sum())
+            ids, got = shard.top(asks, least, 10)
+            reach = score[order] >= least
+            assert ids[got >= least].tolist() == shard.ids[order][reach].tolist() and np.allclose(got[got >= least], score[order][reach])
+    assert below > 100  # the pivot was at work
+
+
 # --- op5 --------------------------------------------------------------------------
 
 
@@ -761,6 +788,29 @@ def test_components_chain(spark):
     assert got == {i: 0 for i in range(41)}
 
 
+# --- clashing columns -------------------------------------------------------------
+
+
+def test_columns_of_clashing_names(spark, corpus, tmp_path):
+    names = ["uid", "parts", "__text", "keep", "component_id", "size", "h1", "key", "held", "base", "ids", "spans", "text_"]
+    rows = [(r[0], r[1], r[3], *([k] * len(names))) for k, r in enumerate(corpus) if r[0] is None or r[0] < 40 or r[0] >= 300]
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names)).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    plain = docs.select("doc_id", "text", "source")
+    assert ngram_join.one_of_each(docs).columns == mixing.mixed_documents(docs).columns == pii.redact(docs, pii.train(docs)).columns == docs.columns
+    assert ngram_join.one_of_each(docs).count() == ngram_join.one_of_each(plain).count()
+    assert mixing.mixed_documents(docs).select("doc_id", "uid").join(docs.select("doc_id", "uid"), ["uid"]).count() == mixing.mixed_documents(plain).count()
+    key = lambda rows: sorted(map(str, rows))
+    assert key(packing.pack(docs, VOCABULARY, with_ids=False).collect()) == key(packing.pack(plain, VOCABULARY, with_ids=False).collect())
+    assert key(suffix_tree.score_texts(docs).select("doc_id", "score").collect()) == key(suffix_tree.score_texts(plain).select("doc_id", "score").collect())
+    assert key(search.top_k(docs, F.col("doc_id") % 25 == 0).collect()) == key(search.top_k(plain, F.col("doc_id") % 25 == 0).collect())
+    model = toxicity.Model(toxicity.Lexicon({"idiot$": 5.0}), np.zeros(toxicity.FEATURES), -3.0)
+    for scored in (toxicity.score(docs, model, ["doc_id", "text", "__text"]), quality.score(docs, None, ["doc_id", "text", "__text"])):
+        assert scored.columns[:4] == ["doc_id", "text", "__text", "score"] and scored.count() == len(rows)
+    assert toxicity.kept(docs, model).columns == docs.columns
+
+
 # --- empty tables -----------------------------------------------------------------
 
 
