@@ -41,9 +41,10 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there; shuffle files that made them go at once."""
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """The same rows, written to the shared folder (by at most so many tasks) and read from there; shuffle files that made them go at once."""
     spark = df.sparkSession
+    df = df if tasks is None else df.coalesce(tasks)
     path = f"{shared_dir(spark)}/siltwork-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     with setting(spark, SHUFFLE_CLEANUP, "true"):
@@ -67,6 +68,11 @@ def released(*tables: DataFrame | None) -> None:
             _written.remove((t.sparkSession, path))
 
 
+def tasks_for(df: DataFrame, file_bytes: int = 128 << 20) -> int:
+    """How many tasks write what is about as large as ``df``: files of some size, but two tasks a core at least."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, plan_bytes(df, counted=False) // file_bytes)
+
+
 def temporary(spark: SparkSession, path: str) -> str:
     """Has the path removed when the driver ends."""
     _written.append((spark, path))
