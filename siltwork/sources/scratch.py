@@ -70,7 +70,7 @@ def released(*tables: DataFrame | None) -> None:
 
 def tasks_for(df: DataFrame, file_bytes: int = 128 << 20) -> int:
     """How many tasks write what is about as large as ``df``: files of some size, but two tasks a core at least."""
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, plan_bytes(df, counted=False) // file_bytes)
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(plan_bytes(df, counted=False) // file_bytes, 1 << 24))
 
 
 def temporary(spark: SparkSession, path: str) -> str:
