@@ -21,12 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
-from ..sources.scratch import written
+from ..sources.scratch import tasks_for, written
 from .labelled import free_name
 
 BLOCK = 64
@@ -39,10 +38,9 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, source, text: the number of words of each row, and a number for the row."""
-    uid = TaskContext.get().partitionId() << 40
+    """Columns uid, doc_id, source, text: the number of words of each row."""
     for batch in batches:
-        offsets, data = textscan.string_bytes(batch.column(2))
+        offsets, data = textscan.string_bytes(batch.column(3))
         size = np.zeros(batch.num_rows, dtype=np.int64)
         for i, j in textscan.slices(offsets):
             base = offsets[i]
@@ -53,9 +51,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads = edge[:-1][edge[:-1] < edge[1:]]
             begins[heads] = inside[heads]
             size[i:j] = np.diff(np.concatenate(([0], np.cumsum(begins)))[edge])
-        ids = pa.array(uid + np.arange(batch.num_rows))
-        uid += batch.num_rows
-        yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(1), pa.array(size)], ["uid", "doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size)], ["uid", "doc_id", "source", "size"])
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -137,7 +133,7 @@ class Mix:
 
     def __init__(self, documents: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS):
         spark = documents.sparkSession
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+        docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
         self.sized = written(docs.mapInArrow(_sizes, "uid long, doc_id long, source string, size long"), "sized")
         # one row a source: a configuration-sized list, as its weights are
         sums = {r.source: (r.total, r.rows) for r in self.sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("rows")).collect()}
@@ -207,16 +203,6 @@ def _texts(columns: list[str]):
     return run
 
 
-def _numbered(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], [name, *batch.schema.names])
-            uid += batch.num_rows
-
-    return run
-
-
 def mixed_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     """The mix as documents: a row for each pass over a document's taken blocks, its text those words, n_chars its length.
 
@@ -226,8 +212,7 @@ def mixed_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     columns = documents.columns
     uid, taken = free_name(columns, "uid"), free_name([*columns, "uid"], "parts")
     mix = Mix(documents, seed)
-    fields = ", ".join([f"`{uid}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
-    rows = documents.mapInArrow(_numbered(uid), fields)
+    rows = documents.withColumn(uid, F.monotonically_increasing_id())
     parts = mix.pieces.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("begin", "words", "takes")).alias(taken))
-    out = rows.join(parts.hint("merge"), uid).select(*columns, taken).mapInArrow(_texts(columns), documents.schema)
+    out = rows.join(parts.hint("merge"), uid).select(*columns, taken).mapInArrow(_texts(columns), documents.schema).coalesce(tasks_for(documents))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out

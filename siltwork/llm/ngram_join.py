@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
 from ..operators.graph import components
-from ..sources.scratch import plan_bytes, released, written
+from ..sources.scratch import plan_bytes, released, tasks_for, written
 from .labelled import free_name
 
 LOW_BITS = 40
@@ -63,8 +62,7 @@ def _split(bits: int, width: int):
     """Packed, sorted n-gram hashes by range, and one row with each flush's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        done = 0
+        base = 0
         ids: list[np.ndarray] = []
         nulls: list[np.ndarray] = []
         rows: list[np.ndarray] = []
@@ -72,8 +70,7 @@ def _split(bits: int, width: int):
         n_docs = n_hashes = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal done, n_docs, n_hashes
-            base = task << 40 | done
+            nonlocal n_docs, n_hashes
             row, h = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
             order = np.argsort(h, kind="stable")
             hs, rs = h[order], row[order]
@@ -98,20 +95,23 @@ def _split(bits: int, width: int):
             edge = np.append(edge, len(part))
             out = [{"part": base % 1000003 % (1 << bits), "base": base, "ids": np.concatenate(ids).tobytes(), "nulls": np.concatenate(nulls).tobytes(), "sizes": sizes.tobytes(), "h1": sums[0].tobytes(), "h2": sums[1].tobytes()}]
             out += [{"part": p, "base": base, "keys": low[i:j].tobytes(), "docs": docs[i:j].tobytes()} for p, i, j in zip(parts.tolist(), edge[:-1], edge[1:], strict=True)]
-            done += n_docs
             n_docs = n_hashes = 0
             for x in (ids, nulls, rows, hashes):
                 x.clear()
             return _table(out)
 
         for batch in batches:
-            offsets, data = textscan.string_bytes(batch.column(1))
-            doc = batch.column(0)
+            uid = np.asarray(batch.column(0))
+            offsets, data = textscan.string_bytes(batch.column(2))
+            doc = batch.column(1)
             known = np.asarray(doc.is_valid())
             value = np.asarray(doc.fill_null(0)).astype(np.int64)
             for i, j in textscan.slices(offsets):
                 j0 = i
                 while j0 < j:
+                    if n_docs and uid[j0] != base + n_docs:  # a flush's numbers are consecutive
+                        yield flush()
+                    base = base if n_docs else int(uid[j0])
                     j1 = min(j, j0 + FLUSH_ROWS - n_docs)
                     row, h = textscan.shingles(textscan.words(offsets, data, j0, j1), width)
                     ids.append(value[j0:j1])
@@ -217,11 +217,11 @@ def _gathered(percent: int):
 
 def shared_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row: its set's size and sum hashes, and, where it can link at all, its shared n-grams rare-first."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = min(24, max(4, (max(1, plan_bytes(docs)) >> 20).bit_length()))
     blocks = docs.mapInArrow(_split(bits, width), _BLOCKS).repartition("part").sortWithinPartitions("part")
     back = blocks.mapInArrow(_counted, _BLOCKS).repartition("base").sortWithinPartitions("base")
-    return written(back.mapInArrow(_gathered(percent), _SETS), "sets")
+    return written(back.mapInArrow(_gathered(percent), _SETS), "sets", tasks_for(docs))
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -261,7 +261,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of documents (doc_id, text): doc_id, n_shingles, component_id, uid (the row's number in its partition), keep (one row of a class).
+    """Per row of documents (doc_id, text): doc_id, n_shingles, component_id, uid (the row's ``monotonically_increasing_id``), keep (one row of a class).
 
     Two rows link when ``100 * |A and B| >= percent * |A or B|`` for their sets of
     word n-grams; component_id is the smallest doc_id reachable. A null or empty
@@ -270,10 +270,10 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     A null doc_id links like any other but never names a component (null if alone).
     Texts of any length are read whole, other columns are not looked at; no rows give none.
     """
-    every = shared_sets(documents, width, percent)
+    every, tasks = shared_sets(documents, width, percent), tasks_for(documents)
     copies = every.where("keys IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min(_first()).alias("first"), F.min("uid").alias("id"))
-    copies = written(copies, "copies")
-    sets = written(copies.select("id").join(every.select(F.col("uid").alias("id"), F.col("n_shingles").alias("n"), "keys", "sig"), "id"), "reps")
+    copies = written(copies, "copies", tasks)
+    sets = written(copies.select("id").join(every.select(F.col("uid").alias("id"), F.col("n_shingles").alias("n"), "keys", "sig"), "id"), "reps", tasks)
 
     own = F.col("n") - F.size("keys")
     need = F.ceil(F.col("n") * percent / 100).cast("long")
@@ -281,16 +281,16 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     pref = sets.select("id", "n", "sig", own.alias("own"), F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("at", "key"))
     # the member with the fewest n-grams of its own is the likeliest original of a group of copies
     centres = pref.groupBy("key").agg(F.min(F.struct("own", "n", "id", "at")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("centre"), *(F.col(f"c.{k}").alias(f"c_{k}") for k in ("n", "own", "at")))
-    pref = star = written(pref.join(centres, "key"), "prefix")
+    pref = star = written(pref.join(centres, "key"), "prefix", tasks)
 
     tries = pref.where((F.col("id") != F.col("centre")) & _possible("", "c_", percent)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    tries = written(tries, "tries")
-    first = written(_verified(tries, sets, percent), "stars")
+    tries = written(tries, "tries", tasks)
+    first = written(_verified(tries, sets, percent), "stars", tasks)
     roots = components(first)
     known = roots.select(F.col("node").alias("id"), F.col("root").alias("comp"))
     centre_of = roots.select(F.col("node").alias("centre"), F.col("root").alias("ccomp"))
     pref = pref.join(known, "id", "left").join(centre_of, "centre", "left").select("key", "id", "n", "own", "at", "sig", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("ccomp", "centre")).alias("apart"))
-    pref = written(pref, "labelled")
+    pref = written(pref, "labelled", tasks)
     released(star)
     x = pref.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "own", "at", "sig", "comp")))
     y = pref.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "own", "at", "sig", "comp", "apart")))
@@ -298,7 +298,7 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     near = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_", "y_", percent) & _alike("x_sig", "y_sig", F.col("x_n") + F.col("y_n"), percent))
     swap = F.col("x_id") > F.col("y_id")
     pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(tries, ["a", "b"], "left_anti")
-    second = written(_verified(pairs, sets, percent), "rest")
+    second = written(_verified(pairs, sets, percent), "rest", tasks)
     if not second.isEmpty():
         roots = components(first.unionByName(second))
     released(pref, tries, sets)
@@ -308,22 +308,12 @@ def jaccard_classes(documents: DataFrame, width: int = 4, percent: int = 85) ->
     linked = classes.where("root IS NOT NULL").withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
     names = linked.groupBy("root").agg(F.min("first").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = linked.join(names, ["root", "salt"]).select("n_shingles", "h1", "h2", "component")
-    named = written(named.unionByName(classes.where("root IS NULL").select("n_shingles", "h1", "h2", F.col("first").alias("component"))), "classes")
+    named = written(named.unionByName(classes.where("root IS NULL").select("n_shingles", "h1", "h2", F.col("first").alias("component"))), "classes", tasks)
     alone = every.where("keys IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "uid", F.lit(True).alias("keep"))
     linked = every.where("keys IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2", "uid").join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", F.col("component.doc_id").alias("component_id"), "uid", (F.col("component.uid") == F.col("uid")).alias("keep"))
     return alone.unionByName(linked)
 
 
-def _numbered(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(batch.num_rows)), *batch.columns], [name, *batch.schema.names])
-            uid += batch.num_rows
-
-    return run
-
-
 def one_of_each(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """The rows of documents of which each class of near copies keeps one, that of the smallest doc_id.
 
@@ -331,6 +321,6 @@ def one_of_each(documents: DataFrame, width: int = 4, percent: int = 85) -> Data
     Its columns stay as they are; classes are as ``jaccard_classes`` has them.
     """
     uid = free_name(documents.columns, "uid")
-    fields = ", ".join([f"`{uid}` long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)])
     gone = jaccard_classes(documents, width, percent).where("NOT keep").select(F.col("uid").alias(uid))
-    return documents.mapInArrow(_numbered(uid), fields).join(gone, uid, "left_anti").select(*documents.columns)
+    rows = documents.withColumn(uid, F.monotonically_increasing_id())
+    return rows.join(gone, uid, "left_anti").select(*documents.columns).coalesce(tasks_for(documents))

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tasks_for
+
 CAPACITY = 1024
 WINDOW, MOST_DOCS = 1 << 22, 1 << 16
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048  # cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n
@@ -138,4 +140,4 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, window
     ``sequence_id`` is unique over tasks. ``vocabulary``: path of a rank file.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_packed(vocabulary, capacity, window, with_ids), _PIECES + ", ids array<int>" * with_ids)
+    return docs.coalesce(tasks_for(docs)).mapInArrow(_packed(vocabulary, capacity, window, with_ids), _PIECES + ", ids array<int>" * with_ids)

@@ -35,6 +35,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tasks_for
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -314,7 +316,7 @@ def redact(documents: DataFrame, model: Booster) -> DataFrame:
     """The documents with every span's text replaced by its kind in angle brackets; overlapping spans give one mark, of the first."""
     name = _free(documents)
     sp, far, ch = (f"{name}_{k}" for k in ("spans", "far", "cuts"))
-    out = _marked(documents, model, name)
+    out = _marked(documents, model, name).coalesce(tasks_for(documents))
     out = out.withColumn(sp, F.expr(f"array_sort(transform(concat({name}.base, {name}.added), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"))
     out = out.withColumn(far, F.expr(_running(f"transform({sp}, x -> x.e)", _most, False))).withColumn(ch, F.expr(f"IF(size({sp}) = 0, array(), regexp_extract_all(text, '(?s).{{1,{CUT}}}', 0))"))
     names = ", ".join(f"'<{k}>'" for k in KINDS)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tasks_for
 from .labelled import free_name, remainder, sample
 
 # Word lists of the grammar's closed classes, in the languages of the data.
@@ -345,7 +346,7 @@ def kept(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataFr
             x = np.array([m.features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema).coalesce(tasks_for(documents))
 
 
 def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
