@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .labelled import remainder
-from ..sources.scratch import plan_bytes, released, written
+from ..sources.scratch import plan_bytes, released, tasks_for, written
 
 DEPTH = 3
 ROUNDS = 2
@@ -527,7 +527,8 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
     sc = spark.sparkContext
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(held_out_of) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     words = docs.select("held_out", "text").mapInArrow(_counted_words, "h long, train long, every long").groupBy("h").agg(F.sum("train").alias("train"), F.sum("every").alias("every"))
-    vocabulary = written(words, "vocabulary")
+    tasks = tasks_for(docs)
+    vocabulary = written(words, "vocabulary", tasks)
     sums = vocabulary.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train", "every")), F.count_if(F.col("train") > 0).alias("kinds")).first()
     texts = docs.agg(F.count_if(~F.col("held_out")).alias("ends"), F.count("*").alias("every")).first()
     ends = texts.ends
@@ -537,7 +538,7 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, train = h[order], top["train"].to_numpy(np.int64)[order]
-    tokens = written(docs.mapInArrow(_tokenised(sc.broadcast(h)), _TOKENS), "tokens")  # the broadcast: at most head_words numbers
+    tokens = written(docs.coalesce(tasks).mapInArrow(_tokenised(sc.broadcast(h)), _TOKENS), "tokens")  # the broadcast: at most head_words numbers
 
     floor, scale = 0.1, total + 0.1 * (kinds + 1)
     lower = vocabulary.select(F.lit(0).cast("long").alias("ctx"), F.col("h").alias("s"), ((F.col("train") + floor) / scale).alias("low"))
@@ -578,14 +579,14 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
 
     missing = tokens.mapInArrow(_missing(shared), "base long, ctx long, s long").join(lower, ["ctx", "s"]).select("base", "ctx", "s", "low")
     found = missing.repartition("base").sortWithinPartitions("base").mapInArrow(_looked_up, "base long, keys binary, lows binary")
-    numbers = written(tokens.join(found, "base", "left"), "numbers")
+    numbers = written(tokens.join(found, "base", "left"), "numbers", tasks)
     released(tokens, *tables)
 
     bits = min(20, max(6, (max(1, plan_bytes(docs)) >> 20).bit_length()))
     sums = None
     for turn in range(ROUNDS):
         blocks = numbers.mapInArrow(_occurrences(shared, bits, turn), _BLOCKS).repartition("part").sortWithinPartitions("part")
-        part = written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}")
+        part = written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}", tasks)
         sums = part if sums is None else sums.unionByName(part)
     released(numbers)
     return sums.repartition("base").sortWithinPartitions("base").mapInArrow(_added(total), _SCORES)
