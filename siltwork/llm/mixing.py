@@ -134,7 +134,7 @@ class Mix:
     def __init__(self, documents: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS):
         spark = documents.sparkSession
         docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-        self.sized = written(docs.mapInArrow(_sizes, "uid long, doc_id long, source string, size long"), "sized")
+        self.sized = written(docs.mapInArrow(_sizes, "uid long, doc_id long, source string, size long"), "sized", tasks_for(docs))
         # one row a source: a configuration-sized list, as its weights are
         sums = {r.source: (r.total, r.rows) for r in self.sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("rows")).collect()}
         order = sorted(sums, key=lambda s: (s is None, s or ""))
