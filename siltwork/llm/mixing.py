@@ -214,5 +214,5 @@ def mixed_documents(documents: DataFrame, seed: int = 17) -> DataFrame:
     mix = Mix(documents, seed)
     rows = documents.withColumn(uid, F.monotonically_increasing_id())
     parts = mix.pieces.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("begin", "words", "takes")).alias(taken))
-    out = rows.join(parts.hint("merge"), uid).select(*columns, taken).mapInArrow(_texts(columns), documents.schema).coalesce(tasks_for(documents))
+    out = written(rows.join(parts.hint("merge"), uid).select(*columns, taken).mapInArrow(_texts(columns), documents.schema), "mixed", tasks_for(documents))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from ..sources.scratch import small_batches
 from .labelled import free_name, remainder, sample
 
 PASSAGE = 600
@@ -144,7 +145,8 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 5, fold: int =
                 out = [x[first[k] : first[k + 1]].astype(np.float32).tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(y[i:j])], ["x", "label"])
 
-    got = sampled.mapInArrow(encode, "x binary, label int").toPandas()
+    with small_batches(documents.sparkSession):
+        got = sampled.mapInArrow(encode, "x binary, label int").toPandas()
     if not len(got) or got["label"].nunique() < 2:
         return None
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, INPUTS) for b in got["x"]]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import tasks_for
+from ..sources.scratch import small_batches, tasks_for, written
 from .labelled import free_name, remainder, sample
 
 # Word lists of the grammar's closed classes, in the languages of the data.
@@ -244,7 +244,8 @@ def learn_lexicon(sampled: DataFrame, least_ratio: float = 30.0, least_share: fl
         return Lexicon({})
     ratio = ((F.col("pos") + 0.5) / (n.p + 1)) / ((F.col("neg") + 0.5) / (n.n + 1))
     counted = texts.mapInArrow(_count_stems, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counted.where((F.col("pos") >= max(4, least_share * n.p)) & (ratio >= least_ratio)).select("stem", "pos", ratio.alias("ratio")).orderBy(F.desc("pos"), "stem").collect()
+    with small_batches(sampled.sparkSession):
+        found = counted.where((F.col("pos") >= max(4, least_share * n.p)) & (ratio >= least_ratio)).select("stem", "pos", ratio.alias("ratio")).orderBy(F.desc("pos"), "stem").collect()
     count = {r.stem: r.pos for r in found}
     weight = {r.stem: float(np.log(r.ratio)) for r in found}
     longer: dict[str, list[str]] = {}
@@ -309,7 +310,8 @@ def train(documents: DataFrame, labels: DataFrame, fold_of: int = 4, fold: int =
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([m.features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
-        rows = sampled.mapInArrow(features, "x array<double>, label int").toPandas()
+        with small_batches(documents.sparkSession):
+            rows = sampled.mapInArrow(features, "x array<double>, label int").toPandas()
         return np.array(rows["x"].tolist()).reshape(len(rows), FEATURES), rows["label"].to_numpy(float)
 
     x, y = seen(lexicon)
@@ -346,7 +348,7 @@ def kept(documents: DataFrame, model: Model, threshold: float = TOXIC) -> DataFr
             x = np.array([m.features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) < threshold))
 
-    return documents.mapInArrow(run, documents.schema).coalesce(tasks_for(documents))
+    return written(documents.mapInArrow(run, documents.schema), "kept", tasks_for(documents))
 
 
 def score(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
