@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_FALLBACK = "/tmp/checkpoints"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-# no checksum files beside tables in a local folder, which nothing but this job reads
-_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "compression": "zstd"}
+# neither checksum files nor a success mark beside tables that nothing but this job reads
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "compression": "zstd"}
 _written: list[tuple[SparkSession, str]] = []
 
 
