@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltwork.llm import mixing, ngram_join, packing, pii, toxicity
-from siltwork.sources.scratch import written
+from siltwork.sources.scratch import released, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,11 @@ ORACLE_SQL = None  # tokenising and the trained models have no SQL; tests hold e
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of documents; every stage's result but the last is written and read again."""
+    """The packed sequences of documents; every stage's result but the last is written and read again, and goes when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if not hasattr(docs, "scratch_path"):  # some stages' results are written already
+            docs = written(docs, name.replace(" ", "-"))
+        released(before)
     return STAGES[-1][1](spark, docs, sf_dir)
