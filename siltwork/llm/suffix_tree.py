@@ -42,7 +42,7 @@ from ..sources.scratch import plan_bytes, released, tasks_for, written
 DEPTH = 3
 ROUNDS = 2
 MERGE_WORDS = 1 << 19
-FLUSH_TOKENS, FLUSH_ROWS = 1 << 19, 30_000
+FLUSH_TOKENS, FLUSH_ROWS = 1 << 18, 30_000
 START, END = np.uint64(0x7A3D5F1C9B24E861), np.uint64(0x2C9E7B5A41D8F36D)
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 NONE = 0xFFFFFF  # of three bytes: a number that names nothing
@@ -579,14 +579,14 @@ def score_texts(documents: DataFrame, held_out_of: int = 10, head_words: int = 1
 
     missing = tokens.mapInArrow(_missing(shared), "base long, ctx long, s long").join(lower, ["ctx", "s"]).select("base", "ctx", "s", "low")
     found = missing.repartition("base").sortWithinPartitions("base").mapInArrow(_looked_up, "base long, keys binary, lows binary")
-    numbers = written(tokens.join(found, "base", "left"), "numbers", tasks)
+    numbers = written(tokens.join(found, "base", "left"), "numbers")
     released(tokens, *tables)
 
-    bits = min(20, max(6, (max(1, plan_bytes(docs)) >> 20).bit_length()))
+    bits = min(20, max(6, (max(1, plan_bytes(docs)) >> 19).bit_length()))  # about half a megabyte of input a range
     sums = None
     for turn in range(ROUNDS):
         blocks = numbers.mapInArrow(_occurrences(shared, bits, turn), _BLOCKS).repartition("part").sortWithinPartitions("part")
-        part = written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}", tasks)
+        part = written(blocks.mapInArrow(_judged(shared), _SUMS), f"sums{turn}")
         sums = part if sums is None else sums.unionByName(part)
     released(numbers)
     return sums.repartition("base").sortWithinPartitions("base").mapInArrow(_added(total), _SCORES)
