@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cover_tree, mixing, ngram_join, packing, pii, quality, search, suffix_tree, toxicity
+from . import chat, cover_tree, divergence, matrix_search, mixing, ngram_join, packing, pii, quality, search, sharding, suffix_tree, toxicity
 from .labelled import remainder
-from .oracles import OP2, OP4, OP10
+from .oracles import OP2, OP4, OP10, OP11, OP12, OP13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), most_terms=200)
+
+
+def op12_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_search.top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES = {
         op8_chat_role_repair,
         op9_attention_quality,
         op10_cover_tree_links,
+        op11_source_divergence,
+        op12_matrix_search,
+        op13_hash_tree_shards,
     )
 }
-ORACLES = {"op2_ngram_jaccard_join": OP2, "op4_block_max_search": OP4, "op10_cover_tree_links": OP10}
+ORACLES = {"op2_ngram_jaccard_join": OP2, "op4_block_max_search": OP4, "op10_cover_tree_links": OP10, "op11_source_divergence": OP11, "op12_matrix_search": OP12, "op13_hash_tree_shards": OP13}
