@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import plan_bytes
+from .hashes import near_pairs
 from .quality import hamming
 
 
@@ -70,6 +71,18 @@ def duplicate(dt: Column, at: Callable[[str], Column] = F.col) -> Column:
     return alike & ((dt <= 5) | group) & ~moving
 
 
+DUPLICATE_SECONDS, DUPLICATE_CORE = 180, 5
+
+
+def duplicate_pairs(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """a_*, b_* of seq, photo_id, ``at``, shell, core, faces of all pairs that the burst rule finds alike; a's seq is the smaller.
+
+    Every such pair's core hashes differ in few bits, so pairs are looked for by their bands.
+    """
+    pairs = near_pairs(rows, rows, by, at, DUPLICATE_SECONDS, "core", DUPLICATE_CORE, ["seq", "photo_id", at, "shell", "core", "faces"])
+    return pairs.where((F.col("a_seq") < F.col("b_seq")) & duplicate(F.abs(F.col(f"a_{at}") - F.col(f"b_{at}"))))
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Kilometres on a sphere of 6371 km; 0 where a coordinate is unknown."""
     p1, p2 = F.radians(lat1), F.radians(lat2)

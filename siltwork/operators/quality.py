@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashes import near_pairs
+
 # The thresholds of the gates.
 BAD_EXPOSURE = "black_share > 0.92 AND std_light < 12 AND mean_light < 10 OR white_share > 0.92 AND std_light < 12 AND mean_light > 248"
 BLURRY = "laplacian < CASE WHEN mean_light < 65 AND std_light >= 25 THEN 18 ELSE 30 END AND tenengrad < 120"
@@ -64,11 +66,9 @@ def entropy(histogram: Column) -> Column:
 def solo_anchors(photos: DataFrame, seconds: int = 30, bits: int = 10, blur: float = 18.0) -> DataFrame:
     """Blurry photos that are the only record of their moment: no other row within ``seconds`` looks alike.
 
-    A range join on time buckets and their neighbours, so it is an equi-join to Spark.
+    Rows meet by bands of their hashes, so a crowded moment does not compare all with all.
     """
-    p = photos.withColumn("bucket", F.floor(F.col("moment") / seconds))
-    x = p.where(f"status = 'REJECTED_BLURRY' AND blur >= {blur}").select("photo_id", "session_id", "moment", "shell", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    y = p.select(F.col("photo_id").alias("other"), F.col("session_id"), F.col("moment").alias("other_moment"), F.col("shell").alias("other_shell"), "bucket")
-    near = (F.abs(F.col("moment") - F.col("other_moment")) <= seconds) & (hamming("shell", "other_shell") <= bits) & (F.col("photo_id") != F.col("other"))
-    seen = x.join(y, ["session_id", "bucket"]).where(near).select("photo_id").distinct()
+    x = photos.where(f"status = 'REJECTED_BLURRY' AND blur >= {blur}")
+    alike = (hamming("a_shell", "b_shell") <= bits) & (F.col("a_photo_id") != F.col("b_photo_id"))
+    seen = near_pairs(x, photos, ["session_id"], "moment", seconds, "shell", bits, ["photo_id", "moment", "shell"], flips=2).where(alike).select(F.col("a_photo_id").alias("photo_id")).distinct()
     return x.select("photo_id").distinct().join(seen, "photo_id", "left_anti")

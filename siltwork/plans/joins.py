@@ -73,8 +73,7 @@ _DUP = """WITH {photos}, r AS (SELECT photo_id, session_id, burst_epoch, shell,
 
 @query(_DUP.replace("WITH {photos}", WITH.strip()))
 def q_dup_pairs(spark, d):
-    r = photos(spark, d).withColumn("seq", F.col("photo_id"))
-    pairs = op.range_pairs(r, "burst_epoch", 180, ["session_id"], op.duplicate(F.abs(F.col("a_burst_epoch") - F.col("b_burst_epoch"))), ["seq", "photo_id", "burst_epoch", "shell", "core", "faces"])
+    pairs = op.duplicate_pairs(photos(spark, d).withColumn("seq", F.col("photo_id")), ["session_id"], "burst_epoch")
     return pairs.select(F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"))
 
 
