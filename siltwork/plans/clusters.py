@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, graph, quality
+from ..operators import folds, quality
 from ..operators import joins as jn
 from ..operators import stories as st
+from ..operators.events import events
 from ..sources.scratch import written
 from .aggregates import _CHUNK, chunked
-from .joins import _AFFINITY, _BOXES, EDGES, boxes, event_edges
+from .joins import _AFFINITY, _BOXES, EDGES, boxes
 from .registry import query
 from .stories import HERO, MACRO
 from .views import WITH, photos, table
@@ -26,19 +27,7 @@ RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ")
 )
 def q_event_clusters(spark, d):
     """Events: components of the space-time distance graph, named by their first photo."""
-    return events_of(photos(spark, d))
-
-
-def events_of(p):
-    """photo_id and event. Runs of photos each near the one before it are one node, so the graph that is left is small."""
-    w = Window.partitionBy("session_id").orderBy("taken_at", "photo_id")
-    before = {f"b_{c}": F.lag(c).over(w) for c in ("taken_at", "latitude", "longitude")}
-    pair = p.select("photo_id", "session_id", "taken_at", "latitude", "longitude").withColumns(before).withColumns({f"a_{c}": F.col(c) for c in ("taken_at", "latitude", "longitude")})
-    runs = pair.withColumn("run", F.sum(F.when(jn.space_time("taken_at") <= 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = written(runs.withColumn("head", F.min("photo_id").over(Window.partitionBy("session_id", "run"))).select("photo_id", "session_id", "taken_at", "latitude", "longitude", "head"), "runs")
-    links = event_edges(runs, "head").where("a_head <> b_head").select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).distinct()
-    roots = graph.components(links).select(F.col("node").alias("head"), "root")
-    return runs.join(roots, "head", "left").select("photo_id", F.coalesce("root", "head").alias("event"))
+    return events(photos(spark, d))
 
 
 # --- bursts ---------------------------------------------------------------------
@@ -234,5 +223,5 @@ def q_phase1_events(spark, d):
     """Events of the photos that phase 1 keeps: how many photos, and the best of them."""
     p = photos(spark, d).join(q_phase1(spark, d).where("status = 'PASSED'").select("photo_id"), "photo_id", "left_semi")
     p = written(quality.with_hero(p), "alive")
-    e = events_of(p).join(p.select("photo_id", "hero"), "photo_id")
+    e = events(p).join(p.select("photo_id", "hero"), "photo_id")
     return e.groupBy("event").agg(F.count("*").alias("photos"), F.max_by("photo_id", F.struct(F.col("hero"), -F.col("photo_id"))).alias("hero_id"))

@@ -83,16 +83,12 @@ EDGES = f"""edges AS (SELECT a.photo_id AS a, b.photo_id AS b FROM photos a JOIN
   WHERE sqrt(pow((a.taken_at - b.taken_at) / 2700, 2) + pow({HAVERSINE.format(a='a', b='b')} / 5, 2)) <= 1)"""
 
 
-def event_edges(p, *more: str):
-    """Pairs of near photos, a and b, and a_*, b_* of the columns ``more``."""
-    r = p.withColumn("seq", F.col("photo_id"))
-    e = op.range_pairs(r, "taken_at", 2700, ["session_id"], op.space_time("taken_at") <= 1, ["seq", "photo_id", "taken_at", "latitude", "longitude", *more])
-    return e.select(F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"), *(f"{side}_{c}" for c in more for side in "ab"))
-
-
 @query(f"{WITH}, {EDGES} SELECT a, b FROM edges")
 def q_event_edges(spark, d):
-    return event_edges(photos(spark, d))
+    """All near pairs; what is dense has many, so clusters are found without them."""
+    r = photos(spark, d).withColumn("seq", F.col("photo_id"))
+    e = op.range_pairs(r, "taken_at", 2700, ["session_id"], op.space_time("taken_at") <= 1, ["seq", "photo_id", "taken_at", "latitude", "longitude"])
+    return e.select(F.col("a_photo_id").alias("a"), F.col("b_photo_id").alias("b"))
 
 
 @query(f"{WITH} SELECT a.photo_id AS a, b.photo_id AS b, round({HAVERSINE.format(a='a', b='b')}, 4) AS km FROM photos a JOIN photos b ON b.photo_id = a.photo_id + 1")
