@@ -20,13 +20,16 @@ def nearest_ranks(rows: DataFrame, by: str, value: str, **percents: float) -> Da
     return ranked.groupBy(by).agg(*(at(p).alias(name) for name, p in percents.items()))
 
 
-def recent_summary(samples: DataFrame, by: str, value: str, at: list[str], last: int = 100) -> DataFrame:
-    """count, sum, min, max and last value over each group's ``last`` newest samples.
-
-    The limit is on the window's rank, which Spark turns into a group limit before the exchange.
-    """
+def recent(samples: DataFrame, by: str, at: list[str], last: int) -> DataFrame:
+    """Each group's ``last`` newest rows; the limit is on the window's rank, which Spark turns into a group limit before the exchange."""
     newest = Window.partitionBy(by).orderBy(*(F.desc(c) for c in at))
-    rows = samples.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= last)
+    rank = "__rank"
+    return samples.withColumn(rank, F.row_number().over(newest)).where(F.col(rank) <= last).drop(rank)
+
+
+def recent_summary(samples: DataFrame, by: str, value: str, at: list[str], last: int = 100) -> DataFrame:
+    """count, sum, min, max and last value over each group's ``last`` newest samples."""
+    rows = recent(samples, by, at, last)
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.max_by(value, F.struct(*at)).alias("last"))
 
 

@@ -46,21 +46,53 @@ def leaders(ps: Column, rule: Callable[[Callable[[str], Column], Column], Column
     return F.aggregate(before, F.expr(NO_POSITIONS), lambda got, own: F.concat(got, F.array(first(got, own))))
 
 
+BURST = ["photo_id", "moment", "shell", "core", "faces", "face_quality", "hero", "blur", "contrast"]
+
+
 def burst_groups(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, photo_id, leader (a photo_id) and survives: of a burst all stay if it has a good face, else its best photo.
 
     ``rows`` has by, seq, photo_id, moment, shell, core, faces, face_quality, hero, blur, contrast.
     """
-    wanted = ["photo_id", "moment", "shell", "core", "faces", "face_quality", "hero", "blur", "contrast"]
-    g = members(rows, by, ["seq"], wanted).withColumn("lead", leaders(F.col("ps"), lambda at, dt: duplicate(dt, at)))
+    return bursts_of(members(rows, by, ["seq"], BURST), by)
+
+
+def _led(groups: DataFrame) -> DataFrame:
+    """Groups with, by position in ``ps``, each member's leader, and of each leader its burst's best seq and whether all stay."""
+    g = groups.withColumn("lead", leaders(F.col("ps"), lambda at, dt: duplicate(dt, at)))
     value = lambda p: p["hero"] * 2 + p["blur"] + p["contrast"] * 1.5
     of = lambda k: F.filter("ps", lambda _, i: F.get(F.col("lead"), i) == k)
     best = F.transform("ps", lambda _, k: F.array_max(F.transform(of(k), lambda p: F.struct(value(p).alias("v"), (-p["seq"]).alias("s"))))["s"])
     kept = F.transform("ps", lambda _, k: F.exists(of(k), lambda p: (p["faces"] >= 1) & (p["face_quality"] >= 0.75)))
-    g = g.withColumn("best", best).withColumn("kept", kept)
-    out = g.select(*by, "ps", "lead", "best", "kept", F.posexplode("ps").alias("i", "p"))
-    lead = F.get("lead", F.col("i"))
-    return out.select(*by, "p.photo_id", F.get("ps", lead)["photo_id"].alias("leader"), (F.get("kept", lead) | (F.get("best", lead) == -F.col("p.seq"))).alias("survives"))
+    return g.withColumn("best", best).withColumn("kept", kept)
+
+
+def _survives(i: Column, seq: Column) -> Column:
+    lead = F.get("lead", i)
+    return F.get("kept", lead) | (F.get("best", lead) == -seq)
+
+
+def bursts_of(groups: DataFrame, by: list[str]) -> DataFrame:
+    """What ``burst_groups`` gives, of groups that are arrays ``ps`` already."""
+    out = _led(groups).select(*by, "ps", "lead", "best", "kept", F.posexplode("ps").alias("i", "p"))
+    return out.select(*by, "p.photo_id", F.get("ps", F.get("lead", F.col("i")))["photo_id"].alias("leader"), _survives(F.col("i"), F.col("p.seq")).alias("survives"))
+
+
+def chunk_status(chunks: DataFrame, by: list[str], seconds: int = 30, bits: int = 10, blur: float = 18.0) -> DataFrame:
+    """by, photo_id and status of every photo of chunks ``ps``: blurry ones that alone record their moment in the chunk pass, then bursts are cleared.
+
+    Members have ``status``, seq and what ``BURST`` names. One row at a time, so it follows
+    a stateful operator in a stream.
+    """
+    ps = F.col("ps")
+    near = lambda p, o: (o["photo_id"] != p["photo_id"]) & (F.abs(o["moment"] - p["moment"]) <= seconds) & (hamming(p["shell"], o["shell"]) <= bits)
+    alone = lambda p: (p["status"] == "REJECTED_BLURRY") & (p["blur"] >= blur) & ~F.exists(ps, lambda o: near(p, o))
+    every = chunks.withColumn("every", F.transform(ps, lambda p: p.withField("status", F.when(alone(p), "PASSED").otherwise(p["status"]))))
+    led = _led(every.withColumn("ps", F.filter("every", lambda p: p["status"] == "PASSED")))
+    out = led.select(*by, "lead", "best", "kept", F.transform("ps", lambda p: p["photo_id"]).alias("ids"), F.explode("every").alias("p"))
+    at = (F.array_position("ids", F.col("p.photo_id")) - 1).cast("int")
+    status = F.when(F.col("p.status") != "PASSED", F.col("p.status")).when(_survives(at, F.col("p.seq")), "PASSED").otherwise("REJECTED_BURST")
+    return out.select(*by, "p.photo_id", status.alias("status"))
 
 
 # --- layout groups --------------------------------------------------------------

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folds import rate_limited
+from ..operators.aggregates import recent
 from ..operators.state import latest
+from ..sources.scratch import setting
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, folder: str, schema, files_a_trigger: int = 8) -> DataFrame:
@@ -19,9 +19,9 @@ def source(spark: SparkSession, folder: str, schema, files_a_trigger: int = 8) -
 
 
 def session_windows(events: DataFrame, gap: str = "45 minutes", late: str = "2 hours") -> DataFrame:
-    """Chapters as they come: a session window closes when the watermark passes its gap."""
+    """Each user's spells of activity: a session window closes when the watermark passes its gap."""
     e = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return e.groupBy(F.session_window("at", gap).alias("w"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).select("event_type", F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), "n", "first_id")
+    return e.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).select("user_id", F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), "n", "first_id")
 
 
 def rolling_metrics(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -30,39 +30,49 @@ def rolling_metrics(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     return e.groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")).select("event_type", F.col("w.start").alias("starts"), "n", "cents")
 
 
-def rolling_last(events: DataFrame, last: int = 100) -> DataFrame:
-    """After each batch every touched step's n, total, least and most of its ``last`` newest samples; the state is those samples."""
+STEP_LAST, LOG_LAST = 100, 50
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        ids, cents = (list(x) for x in state.get) if state.exists else ([], [])
-        held = sorted(zip([*ids, *map(int, rows["event_id"])], [*cents, *map(int, rows["cents"])], strict=True))[-last:]
-        state.update(([i for i, _ in held], [c for _, c in held]))
-        own = [c for _, c in held]
-        yield pd.DataFrame([(key[0], held[-1][0], len(own), sum(own), min(own), max(own))], columns=["step", "upto", "n", "total", "least", "most"])
+def rolling_log(path: str, by: str = "step", value: str = "cents", at: tuple[str, ...] = ("arrives", "event_id")):
+    """A foreachBatch sink: after every batch the newest ``STEP_LAST`` samples of each step and the newest ``LOG_LAST`` of all.
 
-    e = events.select(F.col("event_type").alias("step"), "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    return e.groupBy("step").applyInPandasWithState(step, "step string, upto long, n long, total long, least long, most long", "ids array<long>, cents array<long>", "append", GroupStateTimeout.NoTimeout)
+    A batch's own newest are found in every partition before they meet (Spark limits a
+    ranked window, and sorts with a limit, in each task), then merged with the rings
+    of the batch before, so neither a step's nor the whole log's rows meet in one task.
+    Rings are written whole under the batch's number: a batch that runs twice writes the
+    same again.
+    """
+    order = [F.desc(c) for c in at]
 
+    def write(batch: DataFrame, number: int) -> None:
+        columns = [by, value, *at]
+        rows = batch.select(*columns)
+        for ring, cut in (("steps", lambda r: recent(r, by, list(at), STEP_LAST)), ("log", lambda r: r.orderBy(*order).limit(LOG_LAST))):
+            held = cut(rows)
+            before = [n for n in range(number - 1, -1, -1) if exists(batch.sparkSession, f"{path}/{ring}/batch={n}/_SUCCESS")][:1]
+            if before:
+                held = cut(held.unionByName(batch.sparkSession.read.schema(held.schema).parquet(f"{path}/{ring}/batch={before[0]}")))
+            held.coalesce(1).write.mode("overwrite").parquet(f"{path}/{ring}/batch={number}")
+
+    return write
 
-def limited(events: DataFrame, limit: int = 3, seconds: float = 7200.0, late: str = "2 hours") -> DataFrame:
-    """Admitted hits per key; the state holds a key's last admitted times and goes when the watermark is past their window."""
-    start, admit = rate_limited(limit, seconds)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "hit"])
-        times = list(state.get[0]) if state.exists else start()
-        out = [admit(times, {"key": key[0], "seq": int(h), "at": float(t)}) for h, t in zip(rows["hit"], rows["at"], strict=True)]
-        state.update((times,))
-        state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["key", "hit", "allowed"])
+def last_rings(spark: SparkSession, path: str, schema, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rings of the steps and of the log after a batch, by default the last one."""
+    n = max(children(spark, f"{path}/steps")) if number is None else number
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{ring}/batch={n}") for ring in ("steps", "log"))
 
-    e = events.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", late)
-    e = e.selectExpr("concat(event_type, '-', user_id % 20) AS key", "event_id AS hit", "unix_micros(time) / 1000000D AS at", "time")
-    return e.groupBy("key").applyInPandasWithState(step, "key string, hit long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a folder's batches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return [int(f.getPath().getName().removeprefix("batch=")) for f in found]
 
 
 def upsert_into(path: str, key: str, at: list[str]):
@@ -80,6 +90,12 @@ def current(spark: SparkSession, path: str, key: str, at: list[str]) -> DataFram
 
 
 def drained(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
-    """Runs what is there through a stream into a table and reads the table."""
+    """Runs what is there through a stream into a table and reads the table. Keyed state is kept by RocksDB, in a partition a core."""
+    spark = stream.sparkSession
+    with setting(spark, STATE_STORE, ROCKS_DB), setting(spark, "spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism)):
+        _drain(stream, sink, checkpoint)
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+def _drain(stream: DataFrame, sink: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(sink)

@@ -1,19 +1,21 @@
-"""Streams give what their batch twins give, once flushed."""
+"""Streams give what their batch twins give, once flushed; tests/test_queries.py holds each against its SQL."""
 
 from __future__ import annotations
 
-import shutil
+import json
+import random
 from pathlib import Path
 
+import duckdb
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from siltwork.operators.state import latest
 from siltwork.plans import catalog
-from siltwork.streaming import live
+from siltwork.streaming import live, sessions
 
 DATA = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
+needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
 
 
 @pytest.fixture
@@ -21,29 +23,13 @@ def events(spark):
     return spark.read.parquet(f"{DATA}/events.parquet")
 
 
+@needs_data
 def test_rate_limit(spark):
     q = catalog.queries()
     assert sorted(map(tuple, q["q_stream_rate_limit"](spark, DATA).collect())) == sorted(map(tuple, q["q_rate_limit"](spark, DATA).collect()))
 
 
-def test_rate_limit_over_many_batches(spark, events, tmp_path):
-    events.orderBy("event_id").coalesce(1).write.option("maxRecordsPerFile", 100).parquet(f"file://{tmp_path}/all")
-    (tmp_path / "in").mkdir()
-    for k, p in enumerate(sorted((tmp_path / "all").glob("*.parquet"))):
-        shutil.copy(p, tmp_path / "in" / f"{k:03}.parquet")
-        out = live.drained(live.limited(live.source(spark, f"file://{tmp_path}/in", events.schema, 1)), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
-    want = catalog.queries()["q_rate_limit"](spark, DATA)
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_closed_windows_equal_the_batch(spark, events):
-    got = {(r.event_type, r.starts): (r.n, r.cents) for r in catalog.queries()["q_stream_metrics"](spark, DATA).collect()}
-    at = F.col("ts").cast("timestamp")
-    batch = events.groupBy(F.window(at, "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    want = {(r.event_type, r.w.start): (r.n, r.cents) for r in batch.collect()}
-    assert got and got.items() <= want.items() and len(want) - len(got) < 20
-
-
+@needs_data
 def test_replayed_batches_change_nothing(spark, events, tmp_path):
     e = events.select("user_id", "event_id", "event_type")
     write = live.upsert_into(f"file://{tmp_path}/t", "user_id", ["event_id"])
@@ -53,16 +39,147 @@ def test_replayed_batches_change_nothing(spark, events, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, latest(e, "user_id", ["event_id"]).select("user_id", "event_id").collect()))
 
 
-def test_closed_chapters_equal_the_batch(spark, events):
-    got = {(r.event_type, r.starts, r.ends): (r.n, r.first_id) for r in catalog.queries()["q_stream_chapters"](spark, DATA).collect()}
-    rows = events.withColumn("at", F.col("ts").cast("timestamp")).groupBy(F.session_window("at", "45 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).collect()
-    want = {(r.event_type, r.w.start, r.w.end): (r.n, r.first_id) for r in rows}
-    assert got and got.items() <= want.items() and len(want) - len(got) < 20
+@needs_data
+def test_rings_after_every_batch(spark, events, tmp_path):
+    """The rings of steps and log equal SQL over all rows so far after each batch, also when a batch runs twice or is empty."""
+    rows = events.selectExpr("event_type AS step", "event_id", "CAST(event_id * 31 % 4 AS INT) AS arrives", "CAST(round(value * 100) AS BIGINT) AS cents")
+    write = live.rolling_log(f"file://{tmp_path}/out")
+    schema = rows.select("step", "cents", "arrives", "event_id").schema
+    for number in (0, 1, 1, 2, 3, 4):
+        write(rows.where(rows["arrives"] == number), number)
+        steps, log = (sorted(map(tuple, t.collect())) for t in live.last_rings(spark, f"file://{tmp_path}/out", schema))
+        s = f"(SELECT event_type AS step, CAST(round(value * 100) AS BIGINT) AS cents, CAST(event_id * 31 % 4 AS INTEGER) AS arrives, event_id FROM '{DATA}/events.parquet' WHERE event_id * 31 % 4 <= {number})"
+        assert steps == sorted(duckdb.sql(f"SELECT * FROM {s} QUALIFY row_number() OVER (PARTITION BY step ORDER BY arrives DESC, event_id DESC) <= 100").fetchall())
+        assert log == sorted(duckdb.sql(f"SELECT * FROM {s} ORDER BY arrives DESC, event_id DESC LIMIT 50").fetchall())
+
+
+# --- ordered machines, against replay in order -----------------------------------
+
+
+class Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class Map(dict):
+    def containsKey(self, k):
+        return k in self
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+
+class Handle:
+    """State variables and timers of one key."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return Value()
+
+    def getMapState(self, name, key, value):
+        return Map()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def run(machine, batches, late):
+    """What a key's machine says over batches of (at, id, row): Spark drops rows behind the watermark and fires timers that it has passed."""
+    handle, out, newest, mark = Handle(), [], 0, 0
+    machine.init(handle)
+    for batch in batches:
+        batch = [x for x in batch if x[0] > mark * 1000]
+        if batch:
+            frame = pd.DataFrame([(a, i, json.dumps(r)) for a, i, r in batch], columns=["at", "id", "row"])
+            out += [x for f in machine.handleInputRows(("k",), iter([frame]), Clock(mark)) for x in f.itertuples(index=False, name=None)]
+            newest = max(newest, *(x[0] for x in batch))
+        mark = max(mark, newest // 1000 - late)
+        while due := sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(due[0])
+            out += [x for f in machine.handleExpiredTimer(("k",), Clock(mark), None) for x in f.itertuples(index=False, name=None)]
+    return out
+
+
+CLOCK = (10**15, -1, {})
+MACHINES = {
+    "chapters": (sessions.Chapters, lambda rng: {"latitude": rng.choice([None, 10.0, 10.01, 10.2]), "longitude": rng.choice([20.0, 20.02]), "expected": 80}),
+    "ledger": (lambda: sessions.Ledger(40, 900), lambda rng: {"kind": rng.choice(["presign", "confirm"]), "photo": rng.randrange(6), "bytes": rng.randrange(4) * 50}),
+    "cache": (lambda: sessions.Cache(3, 4000.0), lambda rng: {"item": rng.randrange(6), "put": rng.random() < 0.4}),
+    "jobs": (sessions.Jobs, lambda rng: {"code": rng.choice([200, 404, 429, 500, 503])}),
+    "limit": (lambda: sessions.Limit(3, 3000.0), lambda rng: {"event_id": 0}),
+}
+
+
+@pytest.mark.parametrize("name", MACHINES)
+def test_arrival_does_not_matter(name):
+    """Out of order, in batches, in part twice: the same as in order at once."""
+    make, row = MACHINES[name]
+    rng = random.Random(name)
+    at, rows = 0, []
+    for i in range(200):
+        at += rng.choice([0, 10**5, 10**6, 3 * 10**6, 400 * 10**6, 2700 * 10**6, 2700 * 10**6 + 1])
+        rows.append((at, i, row(rng)))
+    want = run(make(), [rows, [CLOCK], []], 0)
+    late = 6 * 3600 * 1000
+    for _ in range(3):
+        arrives = sorted((a + rng.uniform(0, 0.9 * late * 1000), a, i, k) for k, (a, i, _) in enumerate(rows) for _ in range(1 + (rng.random() < 0.2)))
+        shuffled = [rows[k] for *_, k in arrives]
+        cuts = [0, *sorted(rng.sample(range(len(shuffled)), 12)), len(shuffled)]
+        got = run(make(), [*(shuffled[x:y] for x, y in zip(cuts, cuts[1:], strict=False)), [CLOCK], []], late)
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len(want) > 20
 
 
-def test_rolling_summaries_over_many_batches(spark, events, tmp_path):
-    events.orderBy("event_id").coalesce(1).write.option("maxRecordsPerFile", 200).parquet(f"file://{tmp_path}/in")
-    out = live.drained(live.rolling_last(live.source(spark, f"file://{tmp_path}/in", events.schema, 1)), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
-    newest = {r.step: tuple(r) for r in sorted(out.collect(), key=lambda r: r.upto)}
-    want = {r.step: (r.step, r.upto, r.n, r.total, r.least, r.most) for r in catalog.queries()["q_stream_rolling"](spark, DATA).collect()}
-    assert newest == want and out.count() > len(want)
+def test_job_wakes_after_its_delays_and_fails_in_the_end():
+    s = 10**6
+    rows = [(10 * s, 1, {"code": 503}), (20 * s, 2, {"code": 429}), (30 * s, 3, {"code": 500}), (40 * s, 4, {"code": 500}), (50 * s, 5, {"code": 200}), (60 * s, 6, {"code": 404}), (70 * s, 7, {"code": 503}), (70 * s + s // 2, 8, {"code": 200})]
+    got = [(x[1:4], x[4] / s) for x in run(sessions.Jobs(), [rows, [CLOCK], []], 0)]
+    assert got == [((1, "waiting", 2), 10), ((1, "processing", 2), 11), ((1, "waiting", 3), 20), ((1, "processing", 3), 22), ((1, "waiting", 4), 30), ((1, "processing", 4), 34), ((1, "failed", 4), 40), ((2, "completed", 1), 50), ((3, "failed", 1), 60), ((4, "waiting", 2), 70), ((4, "completed", 2), 70.5)]
+
+
+def test_ledger_counts_differences_and_promises():
+    ask, have = (lambda p, n: {"kind": "presign", "photo": p, "bytes": n}), (lambda p, n: {"kind": "confirm", "photo": p, "bytes": n})
+    steps = [(ask(1, 60), 200, 0, 60), (ask(2, 50), 413, 0, 60), (ask(1, 0), 200, 0, 60), (have(1, 40), 200, 40, 0), (have(1, 40), 200, 40, 0), (have(1, 45), 200, 45, 0), (ask(1, 20), 200, 45, 0), (ask(2, 50), 200, 45, 50), (ask(3, 1), 429, 45, 50), (have(3, 7), 200, 52, 50)]
+    got = run(sessions.Ledger(5, 100), [[(i + 1, i, r) for i, (r, *_) in enumerate(steps)], [CLOCK], []], 0)
+    assert [x[2:5] for x in got] == [tuple(s[1:]) for s in steps]
+
+
+def test_cache_drops_the_expired_then_the_unused():
+    put, get = (lambda k: {"item": k, "put": True}), (lambda k: {"item": k, "put": False})
+    steps = [(0, put(1)), (1, put(2)), (2, get(1)), (3, put(3)), (4, get(2)), (5, get(1)), (11, get(1)), (12, get(3)), (13, get(3))]
+    got = run(sessions.Cache(2, 10.0), [[(1 + t * 10**6, i, r) for i, (t, r) in enumerate(steps)], [CLOCK], []], 0)
+    assert [x[2] for x in got] == [False, False, True, False, False, True, False, True, False]
+
+
+def test_chunks_pass_once():
+    machine, handle = sessions.Chunks(), Handle()
+    machine.init(handle)
+    row = lambda chunk, photo: (chunk, 2, 2, photo, f"r{photo}")
+    batches = [[row(0, 1), row(1, 3), row(0, 1)], [row(0, 1), row(1, 4)], [row(1, 3), row(1, 4)], [row(0, 2), row(0, 1)], [row(0, 1), row(0, 2)]]
+    out = []
+    for b in batches:
+        frame = pd.DataFrame(b, columns=["chunk", "chunk_size", "chunk_count", "photo_id", "row"])
+        out += [x for f in machine.handleInputRows(("s",), iter([frame]), None) for x in f.itertuples(index=False, name=None)]
+    assert out == [("s", 1, ["r3", "r4"], False), ("s", 0, ["r1", "r2"], True)]
