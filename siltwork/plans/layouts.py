@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
+from ..operators import books as bk
 from ..operators import quality
 from ..operators import layouts as op
 from ..operators import stories as st
@@ -230,13 +231,35 @@ def q_variation_slots(spark, d):
     return _rounded(op.spread_pages(book_spreads(spark, d, 0, 1, 2), family))
 
 
-@query()
-def q_variations(spark, d):
-    """Three books of each session: their pacing and layout family differ, spreads are documents of pages and slots."""
+def _books(spark, d):
+    """The documents of three books of each session: their pacing and layout family differ."""
     family = F.element_at(F.array(*map(F.lit, op.FAMILIES)), F.col("variation"))
-    s = op.spread_pages(book_spreads(spark, d, 0, 1, 2), family)
-    slots = F.array_sort(F.collect_list(F.struct("side", "pos", "photo_id", "x", "y", "w", "h", "dpi", "badge")))
-    return s.groupBy("session_id", "chapter", "spread_idx", "caption", "variation").agg(slots.alias("slots"))
+    return bk.documents(op.spread_pages(book_spreads(spark, d, 0, 1, 2), family))
+
+
+_SIDE = "coalesce(string_agg(concat_ws(':', photo_id, CAST(round(x * 1000000) AS BIGINT), CAST(round(y * 1000000) AS BIGINT), CAST(round(w * 1000000) AS BIGINT), CAST(round(h * 1000000) AS BIGINT), badge), ',' ORDER BY pos) FILTER (WHERE side = '{side}'), '')"
+
+
+@query(f"{slots_sql(0, 1, 2)} SELECT session_id, chapter, spread_idx, caption, variation, {_SIDE.format(side='left')} AS left_page, {_SIDE.format(side='right')} AS right_page FROM slots GROUP BY ALL")
+def q_variations(spark, d):
+    """The spreads of three books of each session, written as documents and read back; places in millionths."""
+    pages = [bk.page_text(side).alias(f"{side}_page") for side in ("left", "right")]
+    return bk.spreads(_books(spark, d)).select("session_id", "chapter", "spread_idx", "caption", "variation", *pages)
+
+
+_PLACED = f"{slots_sql(0, 1, 2)}, shown AS (SELECT session_id, variation, photo_id, min(struct_pack(s := spread_idx, d := side, p := pos)) AS f FROM slots GROUP BY ALL)"
+
+
+@query(f"{_PLACED} SELECT session_id, variation, photo_id, row_number() OVER (PARTITION BY session_id, variation ORDER BY f) - 1 AS pos FROM shown")
+def q_book_placed(spark, d):
+    """The photos of each book by first appearance."""
+    return bk.placed_ids(_books(spark, d))
+
+
+@query(f"{_PLACED} SELECT session_id, variation, count(*) AS total, count(*) FILTER (WHERE NOT synced) AS pending, CASE WHEN count(*) FILTER (WHERE NOT synced) > 0 THEN 409 ELSE 200 END AS code FROM shown JOIN photos USING (session_id, photo_id) GROUP BY session_id, variation")
+def q_book_gate(spark, d):
+    """Whether each book may be printed: all originals of its photos must have come."""
+    return bk.export_gate(_books(spark, d), photos(spark, d))
 
 
 @query(f"{slots_sql(0, seed=7).replace('CASE variation WHEN 1 THEN false WHEN 2 THEN true', 'CASE WHEN variation > 0 THEN true').replace('CASE variation WHEN 3', 'CASE WHEN variation = 0')} SELECT * EXCLUDE (variation, page_number) FROM slots WHERE spread_idx = 5")
