@@ -6,20 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_ranks(rows: DataFrame, by: str, value: str, **percents: float) -> DataFrame:
-    """By group the values at ranks round(p/100 * (n-1)), half to even.
-
-    Equal values are counted before the exchange that brings a group together, and
-    running counts are streamed in order, so no group is ever held.
-    """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(by).orderBy(value))
-    total = counted.groupBy(by).agg(F.sum("__n").alias("__total"))
-    ranked = counted.withColumn("__upto", upto).join(total, by)
-    at = lambda p: F.min(F.when(F.col("__upto") > F.rint(F.lit(p / 100.0) * (F.col("__total") - 1)), F.col(value)))
-    return ranked.groupBy(by).agg(*(at(p).alias(name) for name, p in percents.items()))
-
-
 def recent(samples: DataFrame, by: str, at: list[str], last: int) -> DataFrame:
     """Each group's ``last`` newest rows; the limit is on the window's rank, which Spark turns into a group limit before the exchange."""
     newest = Window.partitionBy(by).orderBy(*(F.desc(c) for c in at))

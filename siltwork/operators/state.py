@@ -16,6 +16,12 @@ def latest(log: DataFrame, key: str, at: list[str]) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("r")).select(key, "r.*")
 
 
+def with_newest(rows: DataFrame, at: str) -> tuple[DataFrame, str]:
+    """Rows with the largest ``at`` of all, and that column's name: a one-row aggregate is joined in, no job runs first."""
+    name = f"__newest_{at}"
+    return rows.crossJoin(F.broadcast(rows.agg(F.max(at).alias(name)))), name  # one row
+
+
 def upsert_replace(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows take the place of old ones; what they do not list becomes null. One row a key in each."""
     full = new.select(*new.columns, *(F.lit(None).cast(t).alias(c) for c, t in old.dtypes if c not in new.columns)).select(*old.columns)
@@ -42,14 +48,6 @@ def evict(files: DataFrame, by: str, now: Column, ttl: float, budget: int, free:
     return live.withColumn("newer", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("newer") <= F.col("room")).drop("newer", "room")
 
 
-def islands(rows: DataFrame, by: str, order: list[str], flag: Column) -> DataFrame:
-    """``streak``: how many rows up to this one the flag has held without a break."""
-    w = Window.partitionBy(by).orderBy(*order)
-    r = rows.withColumn("__f", flag.cast("int")).withColumn("__n", F.row_number().over(w))
-    r = r.withColumn("__since", F.max(F.when(F.col("__f") == 0, F.col("__n")).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.withColumn("streak", (F.col("__n") - F.col("__since")).cast("long")).drop("__f", "__n", "__since")
-
-
 def evolve(df: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
     """The wanted columns with (type, default) in order: missing ones added, nulls defaulted."""
     return df.select(*((F.coalesce(F.col(c).cast(t), F.lit(v).cast(t)) if c in df.columns else F.lit(v).cast(t)).alias(c) for c, (t, v) in columns.items()))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as op
-from ..operators import quality
+from ..operators import quality, scans, selection
 from .registry import query
 from .views import WITH, photos, table
 
@@ -48,7 +48,7 @@ def q_reserved_bytes(spark, d):
 
 @query(f"{WITH} SELECT photo_id, CAST(sum(bytes) OVER (PARTITION BY session_id ORDER BY photo_id) AS BIGINT) AS used FROM photos")
 def q_running_bytes(spark, d):
-    return photos(spark, d).select("photo_id", F.sum("bytes").over(Window.partitionBy("session_id").orderBy("photo_id")).alias("used"))
+    return scans.running(photos(spark, d).select("session_id", "photo_id", "bytes"), "session_id", ["photo_id"], used=("sum", F.col("bytes"))).select("photo_id", "used")
 
 
 @query(
@@ -75,13 +75,15 @@ def q_data_contract(spark, d):
 
 @query("SELECT event_type, s[CAST(round_even(0.95::DOUBLE * (len(s) - 1), 0) AS INTEGER) + 1] AS p95, s[CAST(round_even(0.5::DOUBLE * (len(s) - 1), 0) AS INTEGER) + 1] AS p50 FROM (SELECT event_type, list_sort(list(value)) AS s FROM events GROUP BY event_type)")
 def q_percentile(spark, d):
-    return op.nearest_ranks(table(spark, d, "events").select("event_type", "value"), "event_type", "value", p95=95.0, p50=50.0)
+    return selection.nearest_ranks(table(spark, d, "events").select("event_type", "value"), "event_type", "value", p95=95.0, p50=50.0)
 
 
 @query("SELECT event_type, median(value) AS middle, count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) AS per_us FROM events GROUP BY event_type")
 def q_throughput(spark, d):
     us = lambda c: F.unix_micros(c.cast("timestamp"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("middle"), (F.count("*") / (us(F.max("ts")) - us(F.min("ts")))).alias("per_us"))
+    e = table(spark, d, "events").select("event_type", "value", "ts")
+    rate = e.groupBy("event_type").agg((F.count("*") / (us(F.max("ts")) - us(F.min("ts")))).alias("per_us"))
+    return selection.medians(e, "event_type", "value", "middle").join(rate, "event_type")
 
 
 @query("SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total, max(p_size) AS most, sum(p_size) / count(*) AS mean FROM part GROUP BY p_brand")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import state as op
 from .registry import query
 from .views import WITH, photos, table
@@ -81,10 +82,9 @@ def q_schema_evolve(spark, d):
     WHERE (SELECT max(taken_at) FROM photos) - taken_at <= 500000) SELECT session_id, photo_id FROM l WHERE newer <= 20000000"""
 )
 def q_lru_evict(spark, d):
-    p = photos(spark, d)
-    now = p.agg(F.max("taken_at")).first()[0]
-    files = p.select("session_id", F.col("photo_id").alias("file"), F.col("taken_at").alias("mtime"), "bytes")
-    return op.evict(files, "session_id", F.lit(now), 500000.0, 20_000_000).select("session_id", F.col("file").alias("photo_id"))
+    files, now = op.with_newest(photos(spark, d), "taken_at")
+    files = files.select("session_id", F.col("photo_id").alias("file"), F.col("taken_at").alias("mtime"), "bytes", now)
+    return op.evict(files, "session_id", F.col(now), 500000.0, 20_000_000).select("session_id", F.col("file").alias("photo_id"))
 
 
 @query(
@@ -93,10 +93,9 @@ def q_lru_evict(spark, d):
 )
 def q_lru_floor(spark, d):
     """Eviction that also keeps 200 MB of the disk free, of which 30 MB are."""
-    p = photos(spark, d)
-    now = p.agg(F.max("taken_at")).first()[0]
-    files = p.select("session_id", F.col("photo_id").alias("file"), F.col("taken_at").alias("mtime"), "bytes")
-    return op.evict(files, "session_id", F.lit(now), 2000000.0, 40_000_000, F.lit(30_000_000), 200_000_000).select("session_id", F.col("file").alias("photo_id"))
+    files, now = op.with_newest(photos(spark, d), "taken_at")
+    files = files.select("session_id", F.col("photo_id").alias("file"), F.col("taken_at").alias("mtime"), "bytes", now)
+    return op.evict(files, "session_id", F.col(now), 2000000.0, 40_000_000, F.lit(30_000_000), 200_000_000).select("session_id", F.col("file").alias("photo_id"))
 
 
 @query("SELECT 1 AS alive")
@@ -108,10 +107,9 @@ def q_alive(spark, d):
 @query("SELECT e.event_id FROM events e WHERE e.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY AND e.user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 DAY)")
 def q_retention(spark, d):
     """Rows young enough, of sessions that are not expired."""
-    e = table(spark, d, "events").select("event_id", "user_id", "ts")
-    now = e.agg(F.max("ts")).first()[0]
-    gone = e.groupBy("user_id").agg(F.max("ts").alias("last")).where(F.col("last") < F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 2 DAYS")).select("user_id")
-    return e.where(F.col("ts") >= F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS")).join(gone, "user_id", "left_anti").select("event_id")
+    e, now = op.with_newest(table(spark, d, "events").select("event_id", "user_id", "ts"), "ts")
+    gone = e.groupBy("user_id").agg(F.max("ts").alias("last"), F.max(now).alias(now)).where(F.col("last") < F.col(now) - F.expr("INTERVAL 2 DAYS")).select("user_id")
+    return e.where(F.col("ts") >= F.col(now) - F.expr("INTERVAL 30 DAYS")).join(gone, "user_id", "left_anti").select("event_id")
 
 
 @query("SELECT event_id, CASE WHEN code BETWEEN 400 AND 499 AND code <> 429 THEN 'permanent' WHEN code >= 400 THEN 'retry' ELSE 'ok' END AS kind, CASE WHEN code >= 500 OR code = 429 THEN CAST(pow(2, event_id % 3) AS INTEGER) END AS delay FROM (SELECT event_id, [200, 404, 429, 500, 503][CAST(event_id % 5 AS INTEGER) + 1] AS code FROM events)")
@@ -127,7 +125,7 @@ def q_retry_class(spark, d):
     s AS (SELECT *, max(CASE WHEN bad THEN 0 ELSE n END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS since FROM n) SELECT event_id, n - since AS streak, n - since >= 2 AS open FROM s"""
 )
 def q_circuit_breaker(spark, d):
-    s = op.islands(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"], F.col("event_type") == "error")
+    s = scans.islands(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"], F.col("event_type") == "error")
     return s.select("event_id", "streak", (F.col("streak") >= 2).alias("open"))
 
 
@@ -145,16 +143,13 @@ def q_job_progress(spark, d):
 @query("SELECT event_type, user_id, max(event_id) AS event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY event_type, user_id")
 def q_ttl_cache(spark, d):
     """What a cache still holds: the newest entry of each key within its time to live."""
-    e = table(spark, d, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    fresh = e.where(F.col("ts") > F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"))
+    e, now = op.with_newest(table(spark, d, "events"), "ts")
+    fresh = e.where(F.col("ts") > F.col(now) - F.expr("INTERVAL 1 HOUR"))
     return fresh.groupBy("event_type", "user_id").agg(F.max("event_id").alias("event_id"))
 
 
 @query("SELECT user_id, count(DISTINCT event_id // 40) AS chunks, max(event_id // 40) = (SELECT max(event_id // 40) FROM events) AS final FROM events GROUP BY user_id")
 def q_chunk_status(spark, d):
     """A session is complete when the last chunk of all has come; replays of a chunk change nothing."""
-    chunk = F.floor(F.col("event_id") / 40)
-    e = table(spark, d, "events")
-    last = e.agg(F.max(chunk)).first()[0]
-    return e.groupBy("user_id").agg(F.count_distinct(chunk).alias("chunks"), (F.max(chunk) == F.lit(last)).alias("final"))
+    e, last = op.with_newest(table(spark, d, "events").withColumn("chunk", F.floor(F.col("event_id") / 40)), "chunk")
+    return e.groupBy("user_id").agg(F.count_distinct("chunk").alias("chunks"), (F.max("chunk") == F.max(last)).alias("final"))

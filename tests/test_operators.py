@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltwork.functions import scalar as fn
-from siltwork.operators import aggregates, folds, graph, layouts, quality, state, stories
+from siltwork.operators import aggregates, folds, graph, layouts, quality, selection, state, stories
 from siltwork.operators import joins as jn
 
 
@@ -322,7 +322,7 @@ def test_upserts(spark):
 
 def test_nearest_rank_rounds_half_to_even(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(6)] + [("b", 1.0)] * 9 + [("b", 5.0), ("b", None)], "g string, v double")
-    got = {r.g: (r.half, r.top) for r in aggregates.nearest_ranks(df, "g", "v", half=50.0, top=100.0).collect()}
+    got = {r.g: (r.half, r.top) for r in selection.nearest_ranks(df, "g", "v", half=50.0, top=100.0).collect()}
     assert got == {"a": (2.0, 5.0), "b": (1.0, 5.0)}
 
 
