@@ -103,6 +103,7 @@ KINDS = {2: "COMPANION_PAIR", 3: "THEME_TRIPTYCH_GROUP", 4: "THEME_QUAD_GROUP"}
 
 def _moving(a: Column, b: Column) -> Column:
     """The same place, another pose."""
+    # Bits of place and pose.
     at = _pair(a, b)
     return (hamming(at("a_shell"), at("b_shell")) <= 8) & (hamming(at("a_core"), at("b_core")) >= 4)
 
@@ -110,6 +111,7 @@ def _moving(a: Column, b: Column) -> Column:
 def triptych_starts(ps: Column) -> Column:
     """Positions at which three consecutive portraits of a moving subject within 45 s begin, left to right, no photo in two."""
     p = lambda i: F.get(ps, i)
+    # 45 seconds, an aspect of 0.85.
     hit = lambda i: (p(i + 2)["moment"] - p(i)["moment"] <= 45) & (F.greatest(*(p(i + k)["aspect"] for k in range(3))) < 0.85) & _moving(p(i), p(i + 1)) & _moving(p(i + 1), p(i + 2))
     hits = F.filter(_positions(F.lit(0), F.size(ps) - 2), hit)
     return F.aggregate(hits, F.expr(NO_POSITIONS), lambda got, i: F.when(F.coalesce(F.element_at(F.concat(F.array(F.lit(-3)), got), -1), F.lit(-3)) + 3 <= i, F.concat(got, F.array(i))).otherwise(got))
@@ -117,6 +119,7 @@ def triptych_starts(ps: Column) -> Column:
 
 def _scene(ps: Column, first: Column, last: Column, j: Column) -> Column:
     """Whether a photo goes on with a chain: near its last and first photo's place, or the first's with its colours."""
+    # Bits to the first and last photo, and the colours' correlation.
     near = hamming(F.get(ps, first)["shell"], F.get(ps, j)["shell"])
     step = hamming(F.get(ps, last)["shell"], F.get(ps, j)["shell"])
     alike = (near <= 14) & (pearson(F.get(ps, first)["hist"], F.get(ps, j)["hist"]) >= 0.65)
@@ -164,6 +167,7 @@ def layout_groups(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def affinity(at: Callable[[str], Column]) -> Column:
     """How well two photos of a chapter go on one spread."""
+    # Limits and weights of the score.
     shell, core = hamming(at("a_shell"), at("b_shell")), hamming(at("a_core"), at("b_core"))
     return F.when(shell <= 8, (10 - shell) * 2).otherwise(0) + F.when(core >= 4, 5).otherwise(0) + F.when(F.abs(at("a_aspect") - at("b_aspect")) < 0.25, 6).otherwise(0)
 

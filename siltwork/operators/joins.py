@@ -65,13 +65,14 @@ def duplicate(dt: Column, at: Callable[[str], Column] = F.col) -> Column:
     ``at`` gives the pair's values by name.
     """
     shell, core = hamming(at("a_shell"), at("b_shell")), hamming(at("a_core"), at("b_core"))
+    # Bits, seconds and faces of the rule.
     alike = (shell <= 7) & (core <= 5)
     group = (at("a_faces") >= 2) & (at("b_faces") >= 2) & (dt <= 180)
     moving = (shell <= 8) & (core >= 5) & (dt <= 45)
     return alike & ((dt <= 5) | group) & ~moving
 
 
-DUPLICATE_SECONDS, DUPLICATE_CORE = 180, 5
+DUPLICATE_SECONDS, DUPLICATE_CORE = 180, 5  # the widest that the rule above allows
 
 
 def duplicate_pairs(rows: DataFrame, by: list[str], at: str) -> DataFrame:

@@ -35,9 +35,9 @@ def q_event_clusters(spark, d):
 CHUNK = ["session_id", "chunk"]
 
 
-def passed(spark, d):
+def passed(p):
     """Photos that pass the gate, in the upload chunks that all photos were numbered into."""
-    p = quality.with_hero(quality.with_status(chunked(photos(spark, d)))).where("status = 'PASSED'")
+    p = quality.with_hero(quality.with_status(chunked(p))).where("status = 'PASSED'")
     return p.withColumn("moment", F.col("burst_epoch").cast("double")).withColumn("seq", F.col("photo_id"))
 
 
@@ -62,15 +62,15 @@ _BURSTS = f"{RECURSIVE}, {_PASSED}, {bursts_sql('passed')}"
 
 @query(f"{_BURSTS} SELECT session_id, photo_id, leader, survives FROM bursts")
 def q_burst_dedup(spark, d):
-    return folds.burst_groups(passed(spark, d), CHUNK).select("session_id", "photo_id", "leader", "survives")
+    return folds.burst_groups(passed(photos(spark, d)), CHUNK).select("session_id", "photo_id", "leader", "survives")
 
 
 # --- layout groups --------------------------------------------------------------
 
 
-def survivors(spark, d):
-    """Photos that stay after burst dedup, with 32 colour counts where the library has them."""
-    p = passed(spark, d)
+def survivors(spark, d, p=None):
+    """Photos (of the library, or ``p``) that stay after burst dedup, with 32 colour counts where the library has them."""
+    p = passed(photos(spark, d) if p is None else p)
     stay = folds.burst_groups(p, CHUNK).where("survives").select("photo_id")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("photo_id"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("hist"))
     return p.join(stay, "photo_id", "left_semi").join(e, "photo_id", "left")
@@ -107,9 +107,19 @@ _GROUPS = f"""{_TRIPTYCHS}, colours AS (SELECT vec_id AS photo_id, list_transfor
       UNION ALL SELECT session_id, group_id, 'BURST_TRIPTYCH_GROUP', photo_id, pos FROM triptychs)"""
 
 
-@query(f"{_TRIPTYCHS} SELECT session_id, group_id, photo_id, pos FROM triptychs")
+# portraits of one place whose subjects move, so that triptychs occur: (column, Spark expression, DuckDB expression)
+_POSED = [
+    ("shell", "((burst_epoch div 512) * 2654435761 % 2147483648) ^ (photo_id % 4)", "xor(burst_epoch // 512 * 2654435761 % 2147483648, photo_id % 4)"),
+    ("core", "((burst_epoch div 512) * 2246822519 % 2147483648) ^ (63 * (photo_id % 3) * (1 + 31 * (photo_id % 3)))", "xor(burst_epoch // 512 * 2246822519 % 2147483648, 63 * (photo_id % 3) * (1 + 31 * (photo_id % 3)))"),
+    ("aspect", "CASE WHEN photo_id % 7 = 0 THEN 1.5D ELSE 0.7D END", "CASE WHEN photo_id % 7 = 0 THEN 1.5::DOUBLE ELSE 0.7::DOUBLE END"),
+]
+_POSED_TRIPTYCHS = _TRIPTYCHS.replace("AS status FROM photos)", f"AS status FROM (SELECT * REPLACE ({', '.join(f'{sql} AS {name}' for name, _, sql in _POSED)}) FROM photos))")
+
+
+@query(f"{_POSED_TRIPTYCHS} SELECT session_id, group_id, photo_id, pos FROM triptychs")
 def q_triptych(spark, d):
-    groups = folds.layout_groups(survivors(spark, d), CHUNK).where(F.col("kind") == folds.TRIPTYCH)
+    posed = photos(spark, d).withColumns({name: F.expr(e) for name, e, _ in _POSED})
+    groups = folds.layout_groups(survivors(spark, d, posed), CHUNK).where(F.col("kind") == folds.TRIPTYCH)
     return groups.select("session_id", "group_id", "photo_id", "pos")
 
 

@@ -98,10 +98,10 @@ def q_lru_floor(spark, d):
     return op.evict(files, "session_id", F.col(now), 2000000.0, 40_000_000, F.lit(30_000_000), 200_000_000).select("session_id", F.col("file").alias("photo_id"))
 
 
-@query("SELECT 1 AS alive")
+@query("SELECT count(*) AS rows, count(*) > 0 AS alive FROM events")
 def q_alive(spark, d):
-    """Whether the session answers."""
-    return spark.sql("SELECT 1 AS alive")
+    """Whether the session answers and the store can be read: the row counts of the files' footers."""
+    return table(spark, d, "events").agg(F.count("*").alias("rows")).withColumn("alive", F.col("rows") > 0)
 
 
 @query("SELECT e.event_id FROM events e WHERE e.ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY AND e.user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 DAY)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import quality, scans
 from ..operators import stories as op
 from .joins import HAVERSINE
 from .registry import query
@@ -98,8 +98,9 @@ def q_split_reasons(spark, d):
 
 @query(f"{WITH} SELECT photo_id, session_id, CAST((row_number() OVER (PARTITION BY session_id ORDER BY photo_id) - 1) // 40 AS BIGINT) AS chunk, CAST((row_number() OVER (PARTITION BY session_id ORDER BY photo_id) - 1) % 40 AS BIGINT) AS pos FROM photos")
 def q_chunking(spark, d):
-    rn = F.row_number().over(Window.partitionBy("session_id").orderBy("photo_id")) - 1
-    return photos(spark, d).select("photo_id", "session_id", F.floor(rn / 40).alias("chunk"), (rn % 40).cast("long").alias("pos"))
+    """Upload chunks of 40, numbered by a prefix scan: a session may be any size."""
+    p = scans.running(photos(spark, d).select("photo_id", "session_id"), "session_id", ["photo_id"], n=("count", F.lit(1)))
+    return p.select("photo_id", "session_id", F.floor((F.col("n") - 1) / 40).alias("chunk"), ((F.col("n") - 1) % 40).cast("long").alias("pos"))
 
 
 @query(f"{WITH} SELECT photo_id, pos FROM (SELECT photo_id, row_number() OVER (PARTITION BY session_id ORDER BY photo_id) - 1 AS pos FROM photos WHERE session_id = 'view-0') WHERE pos BETWEEN 18 AND 33")
@@ -133,26 +134,9 @@ def covers_sql(grp: str) -> str:
     UNION ALL SELECT s.grp, style, had + slot + 1, photo_id FROM slots s JOIN overall o ON o.grp = s.grp AND o.o = slot % s.pool + 1"""
 
 
-@query(
-    f"""{WITH}, h AS (SELECT session_id, photo_id, faces, aspect, {HERO} AS hero, photo_id // 200 AS book FROM photos), b AS (SELECT *, session_id || book AS grp FROM h),
-    s1 AS (SELECT grp, photo_id, row_number() OVER (PARTITION BY grp ORDER BY hero + {D('CASE WHEN aspect >= 1.35 THEN 15.0 WHEN aspect >= 1.0 THEN 5.0 ELSE 0.0 END')} DESC, faces DESC, photo_id) AS rank FROM b),
-    c1 AS (SELECT * FROM s1 WHERE rank <= 2),
-    s2 AS (SELECT b.grp, photo_id, row_number() OVER (PARTITION BY b.grp ORDER BY hero + {D('CASE WHEN aspect >= 1.35 THEN 15.0 WHEN aspect >= 1.0 THEN 5.0 ELSE 0.0 END')} DESC, faces DESC, photo_id) AS rank FROM b WHERE photo_id NOT IN (SELECT photo_id FROM c1)),
-    c2 AS (SELECT * FROM s2 WHERE rank <= 1),
-    s3 AS (SELECT b.grp, photo_id, row_number() OVER (PARTITION BY b.grp ORDER BY hero DESC, faces DESC, photo_id) AS rank FROM b WHERE photo_id NOT IN (SELECT photo_id FROM c1) AND photo_id NOT IN (SELECT photo_id FROM c2)),
-    c3 AS (SELECT * FROM s3 WHERE rank <= 4), n AS (SELECT grp, count(*) AS n FROM b GROUP BY grp HAVING count(*) >= 7)
-    SELECT grp, 'SPLIT_BANNER' AS style, rank, photo_id FROM c1 WHERE grp IN (SELECT grp FROM n) UNION ALL SELECT grp, 'HERO_BAND', rank, photo_id FROM c2 WHERE grp IN (SELECT grp FROM n) UNION ALL SELECT grp, 'COLLAGE_2X2', rank, photo_id FROM c3 WHERE grp IN (SELECT grp FROM n)"""
-)
-def q_cover_select(spark, d):
-    """Covers of books that have enough photos for three different ones (tests hold the padded cases)."""
-    p = quality.with_hero(photos(spark, d)).withColumn("grp", F.concat("session_id", F.expr("CAST(photo_id div 200 AS STRING)")))
-    full = p.withColumn("n", F.count("*").over(Window.partitionBy("grp"))).where("n >= 7")
-    return op.select_covers(full, "grp")
-
-
 @query(covers_sql("session_id || (photo_id // 200)"))
 def q_cover_select_all(spark, d):
-    """Covers of all books; those of fewer than 7 photos are padded, which the SQL of q_cover_select leaves out."""
+    """Covers of all books; those of fewer than 7 photos are padded."""
     p = quality.with_hero(photos(spark, d)).withColumn("grp", F.concat("session_id", F.expr("CAST(photo_id div 200 AS STRING)")))
     return op.select_covers(p, "grp")
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltwork.operators import quality
-from siltwork.plans import pictures as plan
 from siltwork.sources import exif, images, objects
 
 
@@ -116,8 +116,25 @@ def test_hue_and_saturation():
         assert (h, s) == pytest.approx(colorsys.rgb_to_hsv(r, g, b)[:2])
 
 
-def test_outcomes_by_kind_of_the_album(spark):
-    f = images.features(images.scan(spark, plan.album(spark)))
+@pytest.fixture(scope="module")
+def album(spark, tmp_path_factory):
+    """Sharp, blurred, dark, blown, two-coloured and broken pictures as files."""
+    folder = f"file://{tmp_path_factory.mktemp('album')}"
+    rng = np.random.default_rng(42)
+    y, x = np.mgrid[0:96, 0:128]
+    for k in range(4):
+        noise = rng.integers(60, 200, (96, 128, 3))
+        images.put(spark, f"{folder}/sharp_{k}.png", images.png(np.where(((x % 24 == k) | (y % 24 == 0))[..., None], 255, noise)))
+        images.put(spark, f"{folder}/soft_{k}.png", images.png(np.stack([(x + y * k) // 4 + 50] * 3, axis=-1)))
+        images.put(spark, f"{folder}/dark_{k}.png", images.png(np.full((96, 128, 3), k)))
+        images.put(spark, f"{folder}/blown_{k}.png", images.png(np.full((96, 128, 3), 255 - k // 2)))
+        images.put(spark, f"{folder}/flag_{k}.png", images.png(np.where((x < 80)[..., None], np.array([200, 30 * k, 20]), np.array([20, 40, 220]))))
+    images.put(spark, f"{folder}/broken.png", b"not a picture")
+    return folder
+
+
+def test_outcomes_by_kind_of_the_album(spark, album):
+    f = images.features(images.scan(spark, album))
     rules = [F.expr(quality.BLURRY).alias("blurry"), F.expr(quality.double_literals(quality.BAD_EXPOSURE)).alias("exposure"), F.expr(quality.MONOCHROME).alias("mono")]
     by = {}
     for r in f.select(F.regexp_extract("path", "([a-z]+)(_[0-9]+)?[.]png$", 1).alias("kind"), "ok", *rules).collect():
@@ -128,11 +145,43 @@ def test_outcomes_by_kind_of_the_album(spark):
     assert all(exposure for _, _, exposure, _ in by["dark"] + by["blown"]) and not by["broken"][0][0]
 
 
-def test_histogram_counts_every_pixel(spark):
-    for r in images.features(images.scan(spark, plan.album(spark))).where("ok").select("hsv_hist").collect():
+def test_histogram_counts_every_pixel(spark, album):
+    for r in images.features(images.scan(spark, album)).where("ok").select("hsv_hist").collect():
         assert len(r.hsv_hist) == 32 and min(r.hsv_hist) == 0 and max(r.hsv_hist) in (0.0, 1.0)
 
 
+def test_rows_decode_as_files_do(spark, album):
+    """Pictures kept in a column against Spark's own decoder over the same files."""
+    files = spark.read.format("binaryFile").load(album).select(F.col("path").alias("name"), F.col("content").alias("picture"))
+    key = lambda df: {r.origin[-12:]: (r.height, r.width, r.nChannels if r.height > 0 else -1, bytes(r.data)) for r in df.collect()}
+    assert key(images.decoded(files)) == key(images.scan(spark, album))
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_filtered_lines_of_a_png(channels):
+    """Lines stored by all five filters give the pixels that were put in."""
+    rng = np.random.default_rng(channels)
+    h, w = 10, 7
+    x = rng.integers(0, 256, (h, w, channels))
+    at = lambda i, j: x[i, j] if i >= 0 and j >= 0 else np.zeros(channels, dtype=int)
+
+    def guess(kind, i, j):
+        a, b, c = at(i, j - 1), at(i - 1, j), at(i - 1, j - 1)
+        if kind < 4:
+            return [0 * a, a, b, (a + b) // 2][kind]
+        p = a + b - c
+        return np.array([min((abs(p[k] - v[k]), n, v[k]) for n, v in enumerate((a, b, c)))[2] for k in range(channels)])
+
+    raw = b"".join(bytes([i % 5]) + b"".join(((x[i, j] - guess(i % 5, i, j)) % 256).astype(np.uint8).tobytes() for j in range(w)) for i in range(h))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    body = zlib.compress(raw)
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body[:9]) + chunk(b"IDAT", body[9:]) + chunk(b"IEND", b"")
+    assert (images.unpng(data) == x).all()
+    assert images.unpng(data[:-20]) is None or (images.unpng(data[:-20]) == x).all()
+    assert images.unpng(data.replace(head, head[:-1] + b"\1")) is None and images.unpng(None) is images.unpng(b"") is None
+
+
 def test_objects(spark, tmp_path):
     base = f"file://{tmp_path}"
     for k in range(3):
