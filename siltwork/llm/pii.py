@@ -16,8 +16,8 @@ so what reaches the driver is bounded by the number of vectors, not by the data.
 A threshold by loose generator is calibrated on the proposals of held-out texts (half
 of them, by hash); a generator that cannot reach the wanted precision adds nothing.
 Base spans always stay. Loose proposals above their threshold that overlap no base span
-are scored against each other: of overlapping ones only the one furthest above its
-threshold is added.
+compete: they are added from the one furthest above its threshold down, each unless it
+overlaps one that was.
 
 A null text is empty and has no spans. Texts of any length are read whole: positions
 come from the pieces between matches (``split`` and ``regexp_extract_all`` see the same
@@ -257,6 +257,21 @@ def train(documents: DataFrame, precision: float = 0.99, least: int = 20) -> Boo
     return model
 
 
+def _best(spans: str) -> str:
+    """SQL: of ``spans`` (structs with s, e, kind, m, sorted by s) those that no kept better one overlaps.
+
+    Spans are taken from the largest m down, equal ones from the left, longer ones first; one
+    is kept if it overlaps none kept before, so a dropped span always touches a kept one.
+    Only spans of one unbroken run of overlaps are compared.
+    """
+    ends = _running(f"transform({spans}, z -> z.e)", _most, False)
+    firsts = _let(ends, "far", f"filter(sequence(0, size({spans}) - 1), p -> p = 0 OR get(far, p) <= get({spans}, p).s)")
+    runs = _let(firsts, "at", f"transform(at, (p, i) -> slice({spans}, p + 1, coalesce(get(at, i + 1), size({spans})) - p))")
+    order = "array_sort(transform(run, z -> named_struct('less', -z.m, 's', z.s, 'back', -z.e, 'kind', z.kind, 'x', z)))"
+    kept = f"aggregate(transform({order}, z -> z.x), slice(run, 1, 0), (got, x) -> IF(exists(got, y -> y.s < x.e AND x.s < y.e), got, concat(got, array(x))))"
+    return f"IF(size({spans}) < 2, {spans}, flatten(transform({runs}, run -> IF(size(run) = 1, run, {kept}))))"
+
+
 _SPOTS = "ARRAY<STRUCT<kind: INT, s: BIGINT, e: BIGINT>>"
 
 
@@ -276,8 +291,7 @@ def _marked(documents: DataFrame, model: Booster, name: str) -> DataFrame:
     out = out.withColumn(cand, F.expr(f"filter({_all(open_, t)}, x -> coalesce(x.ok, true))"))
     out = out.withColumn(cand, F.expr(f"filter(transform({cand}, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'm', {margin})), x -> x.m >= 0)"))
     out = out.withColumn(free, F.expr(f"IF(size({cand}) = 0, {cand}, transform(filter({_touched(cand, base)}, x -> NOT x.hit), x -> x.x))"))
-    better = "y.s < x.e AND x.s < y.e AND (y.m > x.m OR y.m = x.m AND (y.s < x.s OR y.s = x.s AND (y.e > x.e OR y.e = x.e AND y.kind < x.kind)))"
-    best = f"filter({free}, (x, i) -> NOT exists(slice({free}, greatest(1, i - 15), 32), y -> {better}))"
+    best = _best(free)
     return out.withColumn(name, F.expr(f"named_struct('base', {base}, 'added', CAST(array_sort({bare.format(best)}) AS {_SPOTS}))")).drop(t, base, cand, free)
 
 

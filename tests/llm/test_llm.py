@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from siltwork.llm import chat, cover_tree, mixing, ngram_join, packing, pii, quality, search, suffix_tree, textscan, toxicity
+from siltwork.llm import chat, cover_tree, mixing, ngram_join, packing, pii, quality, queries, search, suffix_tree, textscan, toxicity
 from siltwork.operators import graph
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -334,8 +334,46 @@ def test_personal_data_beside_clashing_columns(spark):
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, [r if r.text is None else type(r)(**(r.asDict() | {"text": "x <email>"})) for r in docs.collect()]))
 
 
-def test_digest_is_of_the_base_spans():
-    assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+def test_digest_is_of_the_base_spans(spark, personal, tmp_path):
+    """The query's digest column over written documents, by kind and then start."""
+    personal.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_pii_boosted_spans(spark, f"file://{tmp_path}").collect()}
+    kinds = ["email", "ip", "card", "phone"]
+    for i, t in enumerate(PERSONAL):
+        spots = [x.split(":") for x in base_spans(t or "")]
+        spots.sort(key=lambda x: (kinds.index(x[0]), int(x[1])))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(":".join(x) for x in spots).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in kinds] == [sum(x[0] == k for x in spots) for k in kinds]
+    assert len({r.base_sha256 for r in got.values()}) > 3
+
+
+def greedy(spans):
+    kept = []
+    for s, e, kind, m in sorted(spans, key=lambda x: (-x[3], x[0], -x[1], x[2])):
+        if all(e <= a or b <= s for a, b, *_ in kept):
+            kept.append((s, e, kind, m))
+    return sorted(kept)
+
+
+def test_overlapping_proposals_compete(spark):
+    """Any number of spans over one place; chains; one long span over hundreds; ties; equal spans; none."""
+    rng = random.Random(8)
+    cases = [[], [(0, 5, 1, 1.0)], [(0, 10, 4, 3.0), (8, 20, 4, 2.0), (18, 30, 4, 1.0)], [(0, 900, 4, 9.0)] + [(k * 2, k * 2 + 1, 3, 1.0) for k in range(400)], [(0, 900, 4, 0.5)] + [(k * 2, k * 2 + 2, 3, 1.0) for k in range(400)], [(3, 9, 1, 1.0)] * 4 + [(3, 9, 0, 1.0), (3, 12, 2, 1.0)]]
+    for n in (5, 40, 150, 300):
+        cases += [[(s := rng.randrange(n), s + rng.randint(1, 30), rng.randrange(5), rng.choice([0.0, 1.0, rng.random()])) for _ in range(n)] for _ in range(6)]
+        cases.append([(rng.randrange(20), 50 + rng.randrange(20), rng.randrange(5), rng.random()) for _ in range(n)])  # all over one another
+    rows = spark.createDataFrame([(i, sorted(c)) for i, c in enumerate(cases)], "i int, free array<struct<s: long, e: long, kind: int, m: double>>")
+    got = {r.i: sorted(map(tuple, r.best)) for r in rows.select("i", F.expr(pii._best("free")).alias("best")).collect()}
+    assert got == {i: greedy(c) for i, c in enumerate(cases)}
+
+
+def test_one_secret_over_many_phones(spark):
+    """A secret of hundreds of characters with forty phones in it is one span, if it is furthest above its threshold."""
+    value = "a1" + "".join(f"{200 + k}.555-{1000 + k}x" for k in range(40))
+    model = pii.Booster([("gen", list(pii.GENERATORS).index("bare_phone"), -1.0, 1.0)], 2.0, [float("inf")] * 4, {"named_secret": 0.0, "bare_phone": 0.0})
+    docs = spark.createDataFrame([(0, f"token={value} end")], "doc_id long, text string")
+    (row,) = pii.spans(docs, model).select(F.expr(pii.text_of("__added")).alias("a")).collect()
+    assert row.a == f"secret:6:{6 + len(value)}"
 
 
 # --- op4 --------------------------------------------------------------------------
