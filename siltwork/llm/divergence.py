@@ -234,7 +234,9 @@ def _seated(df: DataFrame, parts: int) -> DataFrame:
     path = temporary(spark, f"{shared_dir(spark)}/{name}")
     with setting(spark, SHUFFLE_CLEANUP, "true"), small_batches(spark):
         df.repartition(parts, "lang", "range", "seat").write.options(**_PLAIN).bucketBy(parts, "lang", "range", "seat").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    seated = spark.table(name)
+    seated.scratch_path, seated.table_name = path, name
+    return seated
 
 
 def audit(documents: DataFrame, most_terms: int = 200, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -300,4 +302,7 @@ def audit(documents: DataFrame, most_terms: int = 200, least_docs: int = LEAST_D
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(best).alias("rank"))
-    return ranked(between, "pair").unionByName(ranked(terms, "term").where(F.col("rank") <= most_terms))
+    leading = written(ranked(terms, "term").where(F.col("rank") <= most_terms), "terms")
+    spark.sql(f"DROP TABLE {residents.table_name}")
+    released(residents, vectors, groups)
+    return ranked(between, "pair").unionByName(leading)

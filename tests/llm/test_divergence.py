@@ -68,8 +68,9 @@ def test_many_sources_and_ranges(spark, monkeypatch):
     assert got(divergence.audit(docs, most_terms=5)) == brute(rows, 5)
 
 
-def test_empty_table(nothing):
+def test_empty_table(spark, nothing):
     assert divergence.audit(nothing).collect() == []
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("siltwork")]  # nothing is left in the catalog
 
 
 def test_rounds_meet_once():
