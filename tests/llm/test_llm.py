@@ -379,9 +379,9 @@ def test_one_secret_over_many_phones(spark):
 # --- op4 --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("block", "dense", "query_terms", "waves"), [(64, 16, 1 << 22, (0, 1, 4, 32)), (4, 3, 400, (0, 1, 4, 8)), (2, 12, 1 << 22, (0, 1))])
-def test_bm25_top_k(documents, corpus, words, monkeypatch, block, dense, query_terms, waves):
-    for name, value in (("SHARD", 40), ("BLOCK", block), ("DENSE", dense), ("QUERY_TERMS", query_terms), ("WAVES", waves)):
+@pytest.mark.parametrize(("block", "window", "query_terms", "waves"), [(8, 1024, 1 << 22, (1 / 32, 1 / 8)), (4, 1, 400, (0.1, 0.4)), (2, 3, 1 << 22, ())])
+def test_bm25_top_k(documents, corpus, words, monkeypatch, block, window, query_terms, waves):
+    for name, value in (("SHARD", 40), ("BLOCK", block), ("WINDOW", window), ("QUERY_TERMS", query_terms), ("WAVES", waves)):
         monkeypatch.setattr(search, name, value)
     got = defaultdict(list)
     for r in search.top_k(documents, F.col("doc_id") % 25 == 0, 7).collect():
@@ -400,29 +400,66 @@ def test_bm25_top_k(documents, corpus, words, monkeypatch, block, dense, query_t
         assert [(a, b) for a, b, _ in sorted(got[q])] == [(a, b) for a, b, _ in want] and np.allclose([c for *_, c in sorted(got[q])], [c for *_, c in want])
 
 
-def test_pivot_and_bounds_lose_nothing(monkeypatch):
-    """A shard's answers with and without a threshold, lists below the pivot among them."""
-    monkeypatch.setattr(search, "BLOCK", 8)
-    rng = np.random.default_rng(5)
-    n, terms, below = 400, 60, 0
-    held = rng.random((n, terms)) < np.linspace(0.9, 0.02, terms)
+def _shard(held, idf, rng, **blocks):
+    """A shard over a matrix of counts, and the scores of its documents by term."""
     row, term = np.nonzero(held)
-    weight = rng.random(len(row)) * np.linspace(0.2, 6, terms)[term]
-    shard = search.Shard(np.arange(n) * 7 % 401, row, term.astype(np.int32), weight, rng.integers(1, 50, n), terms)
-    full = np.zeros((n, terms))
-    full[row, term] = weight
+    tf, lengths = held[row, term], held.sum(axis=1)
+    ids = rng.permutation(len(held)) * 7
+    made = search.shard_row(ids, np.zeros(len(held), bool), lengths, row, (term + 1).astype(np.int64), tf)
+    average = lengths.mean()
+    full = np.where(held > 0, idf * held * 2.2 / (held + 1.2 * (0.25 + 0.75 * lengths[:, None] / average)), 0.0)
+    return search.Shard(made, suffix_tree.Head(np.arange(1, held.shape[1] + 1, dtype=np.uint64)), idf, average, **blocks), ids, full
+
+
+def test_pivots_and_block_maxima_lose_nothing():
+    """A shard's answers with and without a threshold equal a sort of all scores."""
+    rng = np.random.default_rng(5)
+    n, terms = 400, 60
+    held = (rng.random((n, terms)) < np.linspace(0.9, 0.02, terms)) * rng.integers(1, 5, (n, terms))
+    shard, ids, full = _shard(held, np.linspace(0.2, 6, terms), rng, block=8, window=3)
     for _ in range(60):
         asks = np.sort(rng.choice(terms, rng.integers(1, terms), replace=False)).astype(np.int32)
         score = np.round(full[:, asks].sum(axis=1), 6)
-        order = np.lexsort((shard.ids, -score))[:10]
+        order = np.lexsort((ids, -score))[:10]
         order = order[score[order] > 0]
         for least in (0.0, *(score[order][[-1, len(order) // 2]] if len(order) else ())):
-            lists = shard.list[asks]
-            below += int((np.cumsum(np.sort(shard.most[lists[shard.dense[lists] >= 0]])) < search.PIVOT * least).sum())
-            ids, got = shard.top(asks, least, 10)
+            found, got = shard.top(asks, least, 10)
             reach = score[order] >= least
-            assert ids[got >= least].tolist() == shard.ids[order][reach].tolist() and np.allclose(got[got >= least], score[order][reach])
-    assert below > 100  # the pivot was at work
+            assert found[got >= least].tolist() == ids[order][reach].tolist() and np.allclose(got[got >= least], score[order][reach])
+
+
+def test_fewer_postings_are_scored_than_lists_hold():
+    """With the k-th best score known, fewer postings are scored than MaxScore walks in its essential lists and finds by looking candidates up in the others."""
+    rng = np.random.default_rng(11)
+    n, terms = 4000, 80
+    topic = rng.integers(0, 8, n)
+    chance = np.where(np.arange(terms)[None] % 8 == topic[:, None], 0.5, 0.05)
+    held = (rng.random((n, terms)) < chance) * rng.integers(1, 4, (n, terms))
+    df = (held > 0).sum(axis=0)
+    shard, _, full = _shard(held, np.log((n - df + 0.5) / (df + 0.5) + 1), rng)
+    maxscore = 0
+    for q in range(40):
+        asks = np.flatnonzero(held[q]).astype(np.int32)
+        least = np.sort(np.round(full[:, asks].sum(axis=1), 6))[-10]
+        most = full[:, asks].max(axis=0)
+        by = np.argsort(most)
+        others = np.cumsum(most[by]) < least
+        walked, others = asks[by[~others]], asks[by[others]]
+        part = full[:, walked].sum(axis=1)
+        candidates = (part > 0) & (part + full[:, others].max(axis=0).sum() >= least)
+        maxscore += int(df[walked].sum() + (held[candidates][:, others] > 0).sum())
+        shard.top(asks, least, 10)
+    assert 0 < shard.touched < maxscore
+
+
+def test_rows_of_an_index(spark):
+    """Every row is in one shard, with its length; shards stay within their limits; ids may be missing."""
+    texts = [(None if x % 7 == 3 else x, None if x % 11 == 5 else "a b " * (x % 4) + f"w{x}") for x in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(search._indexed(5), search._INDEX).collect()
+    assert all(0 < r.rows <= 5 for r in rows) and sum(r.rows for r in rows) == 60
+    assert sum(r.words for r in rows) == sum(len((t or "").split()) for _, t in texts)
+    got = sorted(int(d) for r in rows for d, null in zip(np.frombuffer(r.ids, "<i8"), np.frombuffer(r.nulls, bool), strict=True) if not null)
+    assert got == [d for d, _ in texts if d is not None]
 
 
 # --- op5 --------------------------------------------------------------------------
