@@ -376,12 +376,6 @@ def _occurrences(shared, bits: int, turn: int):
     return run
 
 
-def judge(key: np.ndarray, said: np.ndarray, learn: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """What each occurrence of the contexts ``key`` adds to its text's log10 score, given the symbols' probabilities in the suffix's state."""
-    low = root[said]
-    return np.log10(_in_state(np.unique(key, return_inverse=True)[1], said.astype(np.uint64), learn, low)) - np.log10(low)
-
-
 def _in_state(ctx: np.ndarray, said: np.ndarray, learn: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The probability of each occurrence in the state of its context (numbered) where that is retained, else ``low``, that of its suffix's state."""
     key = ctx.astype(np.uint64) << np.uint64(32) | said

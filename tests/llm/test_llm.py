@@ -64,22 +64,6 @@ def test_lm_same_for_any_head(documents):
     assert np.allclose([r.base_score for r in a], [r.base_score for r in b]) and [r.n_known for r in a] == [r.n_known for r in b]
 
 
-def test_judge_equals_a_loop():
-    rng = np.random.default_rng(1)
-    key, said, learn = rng.integers(0, 9, 600).astype(np.uint64), rng.integers(0, 5, 600), rng.random(600) < 0.8
-    said[key < 3] = key[key < 3].astype(int)
-    root = np.full(6, 0.1)
-    add = suffix_tree.judge(key, said, learn, root)
-    for k in set(key.tolist()):
-        own = [(s, t) for kk, s, t in zip(key, said, learn, strict=True) if kk == k]
-        c = Counter(s for s, t in own if t)
-        n, kinds = sum(c.values()), max(1, len(c))
-        gain = sum(v * (math.log((v - 1 + kinds * 0.1) / (n - 1 + kinds)) - math.log(0.1)) for v in c.values())
-        for s in {s for s, _ in own}:
-            want = math.log10((c[s] + kinds * 0.1) / (n + kinds)) - math.log10(0.1) if gain > math.log(n + 1) else 0.0
-            assert np.allclose(add[(key == k) & (said == s)], want)
-
-
 def test_lm_score_is_the_same_for_any_head(documents):
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens)
     a = sorted(suffix_tree.score_texts(documents).collect(), key=key)
