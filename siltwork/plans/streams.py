@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import folds, quality
 from ..sources.scratch import shared_dir, temporary
@@ -22,11 +23,11 @@ from .views import WITH, photos, table
 
 
 def _run(spark, d, make):
-    """A stream over the events as they lie there."""
+    """A stream over the events as they lie there, all files in one batch: their times may overlap in any way."""
     path = f"{d}/events.parquet"
     base = temporary(spark, f"{shared_dir(spark)}/siltwork-stream-{uuid.uuid4().hex}")
     # a table may be one file; as a stream's path only a pattern may name one
-    return live.drained(make(live.source(spark, f"{d}/events.[p]arquet", spark.read.parquet(path).schema)), f"{base}/out", f"{base}/checkpoint")
+    return live.drained(make(live.source(spark, f"{d}/events.[p]arquet", spark.read.parquet(path).schema, None)), f"{base}/out", f"{base}/checkpoint")
 
 
 @query(
@@ -73,20 +74,19 @@ BATCHES = 4
 DISORDER, LATE = 6 * 3600, "12 hours"  # how far rows arrive out of order, in seconds; how long the streams wait
 
 
-def deal(rows: DataFrame, arrives: Column, id: str, folder: str, clock: str | None = None, batches: int = BATCHES) -> None:
-    """Writes rows as files that a stream reads one after another: by ``arrives`` (0 to ``batches`` - 1), one row in ten again in the next file.
+def deal(rows: DataFrame, arrives: Column, id: str, folder: str, clock: str | None = None, batches: int = BATCHES) -> int:
+    """Writes rows once, in a folder for each arrival (``arrives``, 0 to ``batches`` - 1), one row in ten again in the next; how many arrivals there are.
 
-    ``clock`` names the time column; then a last file has a row without an id that comes
+    ``clock`` names the time column; then a last arrival is a row without an id that comes
     ten days after all others, so that the stream's clock passes them.
     """
-    rows = rows.withColumn("arrives", arrives.cast("int"))
-    again = rows.where(F.col(id) % 10 == 3).withColumn("arrives", F.col("arrives") + 1)
-    rows = rows.unionByName(again)
-    for k in range(batches + 1):
-        rows.where(F.col("arrives") == k).write.mode("append").parquet(folder)
+    k = arrives.cast("int")
+    dealt = rows.withColumn("arrives", F.explode(F.when(F.col(id) % 10 == 3, F.array(k, k + 1)).otherwise(F.array(k))))
+    dealt.write.partitionBy("arrives").parquet(folder)
     if clock:
-        end = rows.agg((F.max(clock) + F.expr("INTERVAL 10 DAYS")).alias(clock))
-        end.select(*(F.col(clock) if c == clock else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes)).write.mode("append").parquet(folder)
+        end = rows.sparkSession.read.schema(rows.schema).parquet(folder).agg((F.max(clock) + F.expr("INTERVAL 10 DAYS")).alias(clock))
+        end.select(*(F.col(clock) if c == clock else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes)).write.parquet(f"{folder}/arrives={batches + 1}")
+    return batches + 2
 
 
 def by_time(rows: DataFrame, at: str, id: str, batches: int = BATCHES) -> Column:
@@ -100,9 +100,13 @@ def by_time(rows: DataFrame, at: str, id: str, batches: int = BATCHES) -> Column
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, arrives: Column, id: str, make: Callable[[DataFrame], DataFrame], clock: str | None = None) -> DataFrame:
+    """The stream over rows as ``deal`` writes them. An arrival may be many files, so the stream takes it as one batch: a clock that its first files moved would make the rest late."""
     base = temporary(spark, f"{shared_dir(spark)}/siltwork-stream-{uuid.uuid4().hex}")
-    deal(rows, arrives, id, f"{base}/in", clock)
-    return live.drained(make(live.source(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 1)), f"{base}/out", f"{base}/checkpoint")
+    schema = StructType([*rows.schema.fields, StructField("arrives", IntegerType())])
+    arrivals = [f"arrives={k}" for k in range(deal(rows, arrives, id, f"{base}/dealt", clock))]
+    live.make_folder(spark, f"{base}/in")
+    come = (live.moved(spark, f"{base}/dealt/{a}", f"{base}/in/{a}") for a in arrivals)
+    return live.drained(make(live.source(spark, f"{base}/in", schema, None)), f"{base}/out", f"{base}/checkpoint", come)
 
 
 def _machine(spark: SparkSession, rows: DataFrame, key: str, processor) -> DataFrame:

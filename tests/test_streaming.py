@@ -183,3 +183,18 @@ def test_chunks_pass_once():
         frame = pd.DataFrame(b, columns=["chunk", "chunk_size", "chunk_count", "photo_id", "row"])
         out += [x for f in machine.handleInputRows(("s",), iter([frame]), None) for x in f.itertuples(index=False, name=None)]
     assert out == [("s", 1, ["r3", "r4"], False), ("s", 0, ["r1", "r2"], True)]
+
+
+@needs_data
+def test_arrivals_of_many_files_lose_no_row(spark):
+    """Each arrival written as several files, each over all of its times: every event has its answer, in its place."""
+    from siltwork.plans import streams
+    from siltwork.plans.registry import ORACLES
+
+    rows = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("concat(event_type, '-', user_id % 20) AS key", "event_id", "ts").repartition(5, "event_id")
+    got = streams._machine(spark, rows, "key", sessions.Limit(3, 7200.0))
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    cursor = sql.execute(ORACLES["q_stream_rate_limit"])
+    names = [c[0] for c in cursor.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cursor.fetchall())
