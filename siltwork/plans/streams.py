@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ def _streamed(spark: SparkSession, rows: DataFrame, arrives: Column, id: str, ma
     schema = StructType([*rows.schema.fields, StructField("arrives", IntegerType())])
     arrivals = [f"arrives={k}" for k in range(deal(rows, arrives, id, f"{base}/dealt", clock))]
     live.make_folder(spark, f"{base}/in")
-    come = (live.moved(spark, f"{base}/dealt/{a}", f"{base}/in/{a}") for a in arrivals)
+    come = [partial(live.moved, spark, f"{base}/dealt/{a}", f"{base}/in/{a}") for a in arrivals]
     return live.drained(make(live.source(spark, f"{base}/in", schema, None)), f"{base}/out", f"{base}/checkpoint", come)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-WAITING = "at array<long>, id array<long>, row array<string>"
+WAITING = "at array<long>, id array<long>, row array<string>, wake long"  # the time of the timer in milliseconds, -1 without one
 
 
 class InOrder(StatefulProcessor):
@@ -55,40 +55,50 @@ class InOrder(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
+        held, wake = self._held()
         for frame in rows:
             for at, id, row in zip(frame["at"].tolist(), frame["id"].tolist(), frame["row"].tolist(), strict=True):
                 if id >= 0:
                     held.setdefault(id, (at, row))
-        yield from self._advance(key, held, timerValues)
+        yield from self._advance(key, held, wake, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, self._held(), timerValues)
+        held, wake = self._held()
+        if 0 <= wake <= timerValues.getCurrentWatermarkInMs():
+            yield from self._advance(key, held, wake, timerValues)
 
     def close(self) -> None:
         pass
 
-    def _held(self) -> dict[int, tuple[int, str]]:
-        if not self.waiting.exists():
-            return {}
-        at, ids, rows = (list(x) for x in self.waiting.get())
-        return {int(i): (int(a), r) for a, i, r in zip(at, ids, rows, strict=True)}
-
-    def _advance(self, key, held, timers) -> Iterator[pd.DataFrame]:
-        now = timers.getCurrentWatermarkInMs() * 1000
-        ready = sorted((at, id) for id, (at, _) in held.items() if at <= now)
-        self.load()
-        out = []
-        for at, id in ready:
-            out += self.tick(key, at - 1)
-            out += self.apply(key, at, id, json.loads(held.pop(id)[1]))
-        out += self.tick(key, now)
-        self.save()
+    def _held(self) -> tuple[dict[int, tuple[int, str]], int]:
+        waiting = self.waiting.get()
+        if not waiting:
+            return {}, -1
+        at, ids, rows, wake = waiting
+        return {int(i): (int(a), r) for a, i, r in zip(at, ids, rows, strict=True)}, int(wake)
+
+    def _advance(self, key, held, wake, timers) -> Iterator[pd.DataFrame]:
+        """Each access to state is a call to the JVM, so the machine's own is left alone until a row or its timer is due."""
+        mark, out = timers.getCurrentWatermarkInMs(), []
+        ready = sorted((at, id) for id, (at, _) in held.items() if at <= mark * 1000)
+        expired = 0 <= wake <= mark
+        following = [-(-at // 1000) for at, _ in held.values() if at > mark * 1000]
+        if ready or expired:
+            self.load()
+            for at, id in ready:
+                out += self.tick(key, at - 1)
+                out += self.apply(key, at, id, json.loads(held.pop(id)[1]))
+            out += self.tick(key, mark * 1000)
+            self.save()
+            own = self.due()
+            following += [] if own is None else [-(-own // 1000)]
+        elif wake >= 0:
+            following.append(wake)
+        first = min(following, default=-1)
+        if first >= 0 and (expired or first != wake):
+            self.handle.registerTimer(first)
         ids = list(held)
-        self.waiting.update(([held[i][0] for i in ids], ids, [held[i][1] for i in ids]))
-        wake = [x for x in (min((at for at, _ in held.values()), default=None), self.due()) if x is not None]
-        if wake:
-            self.handle.registerTimer(-(-min(wake) // 1000))
+        self.waiting.update(([held[i][0] for i in ids], ids, [held[i][1] for i in ids], first))
         if out:
             yield pd.DataFrame(out, columns=[x.strip().split()[0] for x in self.schema.split(",")])
 

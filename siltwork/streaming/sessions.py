@@ -45,7 +45,8 @@ class Chapters(InOrder):
         self.open = handle.getValueState("open", "chapter long, first_id long, n long, starts long, ends long, latitude double, longitude double, capacity long, closed boolean")
 
     def load(self) -> None:
-        self.now = tuple(self.open.get()) if self.open.exists() else None
+        held = self.open.get()
+        self.now = tuple(held) if held else None
 
     def save(self) -> None:
         if self.now is not None:
@@ -155,19 +156,21 @@ class Ledger(InOrder):
         self.ceiling, self.room = ceiling, room
 
     def begin(self, handle) -> None:
-        self.photos = handle.getMapState("photos", "photo long", "declared long, presigned boolean, synced boolean, bytes long")
-        self.sums = handle.getValueState("sums", "total long, reserved long, presigns long")
+        self.sums = handle.getValueState("sums", "total long, reserved long, presigns long, photo array<long>, declared array<long>, presigned array<boolean>, synced array<boolean>, bytes array<long>")
 
     def load(self) -> None:
-        self.total, self.reserved, self.presigns = (int(x) for x in self.sums.get()) if self.sums.exists() else (0, 0, 0)
+        """The session's photos come and go with its sums: each access to state is a call to the JVM, so one a photo would be one a row."""
+        held = self.sums.get()
+        self.total, self.reserved, self.presigns = (int(x) for x in held[:3]) if held else (0, 0, 0)
+        self.photos = {int(p): (int(d), bool(a), bool(s), int(b)) for p, d, a, s, b in zip(*held[3:], strict=True)} if held else {}
 
     def save(self) -> None:
-        self.sums.update((self.total, self.reserved, self.presigns))
+        photos = [list(x) for x in zip(*((p, *x) for p, x in self.photos.items()), strict=True)] or [[]] * 5
+        self.sums.update((self.total, self.reserved, self.presigns, *photos))
 
     def apply(self, key, at, id, row):
         photo, n, code = int(row["photo"]), int(row["bytes"]), 200
-        declared, presigned, synced, counted = self.photos.getValue((photo,)) if self.photos.containsKey((photo,)) else (0, False, False, 0)
-        declared, counted = int(declared), int(counted)
+        declared, presigned, synced, counted = self.photos.get(photo, (0, False, False, 0))
         if row["kind"] == "presign":
             self.presigns += 1
             if self.presigns > self.ceiling:
@@ -178,12 +181,12 @@ class Ledger(InOrder):
                 now = n if n > 0 else declared
                 if not synced:
                     self.reserved += now - (declared if presigned else 0)
-                self.photos.updateValue((photo,), (now, True, bool(synced), counted))
+                self.photos[photo] = (now, True, synced, counted)
         elif not synced or counted != n:
             self.total += n - counted
             if presigned and not synced:
                 self.reserved -= declared
-            self.photos.updateValue((photo,), (declared, bool(presigned), True, n))
+            self.photos[photo] = (declared, presigned, True, n)
         return [(key[0], id, code, self.total, self.reserved, self.presigns)]
 
 
@@ -207,7 +210,8 @@ class Cache(InOrder):
         self.entries = handle.getValueState("entries", "items array<long>, ends array<long>")
 
     def load(self) -> None:
-        self.live = {int(k): int(e) for k, e in zip(*self.entries.get(), strict=True)} if self.entries.exists() else {}
+        held = self.entries.get()
+        self.live = {int(k): int(e) for k, e in zip(*held, strict=True)} if held else {}
 
     def save(self) -> None:
         self.entries.update((list(self.live), list(self.live.values())))
@@ -247,7 +251,7 @@ class Jobs(InOrder):
         self.job = handle.getValueState("job", "version long, status string, attempt int, wake long")
 
     def load(self) -> None:
-        self.version, self.status, self.attempt, self.wake = self.job.get() if self.job.exists() else (1, "processing", 1, 0)
+        self.version, self.status, self.attempt, self.wake = self.job.get() or (1, "processing", 1, 0)
         self.version, self.attempt, self.wake = int(self.version), int(self.attempt), int(self.wake)
 
     def save(self) -> None:
@@ -295,7 +299,8 @@ class Limit(InOrder):
         self.admitted = handle.getValueState("admitted", "times array<long>")
 
     def load(self) -> None:
-        self.times = [int(t) for t in self.admitted.get()[0]] if self.admitted.exists() else []
+        held = self.admitted.get()
+        self.times = [int(t) for t in held[0]] if held else []
 
     def save(self) -> None:
         self.admitted.update((self.times,))

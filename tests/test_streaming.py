@@ -198,3 +198,31 @@ def test_arrivals_of_many_files_lose_no_row(spark):
     cursor = sql.execute(ORACLES["q_stream_rate_limit"])
     names = [c[0] for c in cursor.description]
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(cursor.fetchall())
+
+
+def test_state_is_left_alone_until_a_row_is_due():
+    """Rows that only wait cost the machine no access to its state; the photos of a ledger come and go at once."""
+    made = []
+
+    class Counted(Value):
+        n = 0
+
+        def get(self):
+            self.n += 1
+            return super().get()
+
+    class Watched(Handle):
+        def getValueState(self, name, schema):
+            made.append((name, Counted()))
+            return made[-1][1]
+
+        def getMapState(self, name, key, value):
+            raise AssertionError("a call to the JVM for every photo")
+
+    machine = sessions.Ledger(40, 900)
+    machine.init(Watched())
+    sums = dict(made)["sums"]
+    rows = lambda ids: iter([pd.DataFrame([(i * 10**6, i, json.dumps({"kind": "confirm", "photo": i, "bytes": 1})) for i in ids], columns=["at", "id", "row"])])
+    assert not list(machine.handleInputRows(("k",), rows(range(1, 6)), Clock(0))) and sums.n == 0
+    (frame,) = machine.handleInputRows(("k",), rows(range(6, 9)), Clock(5000))
+    assert frame["total"].tolist() == [1, 2, 3, 4, 5] and sums.n == 1
