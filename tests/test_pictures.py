@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,13 @@ def test_objects(spark, tmp_path):
     for key in ("../x", "a/../b", "/abs", "", "C:/x"):
         with pytest.raises(ValueError, match="storage key"):
             objects.delete_prefix(spark, base, key)
+
+
+def test_a_task_holds_few_decoded_pictures(spark):
+    """A batch of any number of encoded pictures is decoded, and its features made, in parts of at most 64."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["x"])
+    parts = list(images.slices(iter([batch, batch.slice(0, 0), batch.slice(3, 1)])))
+    assert max(p.num_rows for p in parts) == images.HELD and [v for p in parts for v in p.column(0).to_pylist()] == [*range(1000), 3]
+    pictures = spark.createDataFrame([(str(k), images.png(np.full((4, 4, 3), k % 256))) for k in range(300)], "name string, picture binary").coalesce(1)
+    seen = images.decoded(pictures).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in images.slices(batches)), "n long").collect()
+    assert sum(r.n for r in seen) == 300 and max(r.n for r in seen) <= images.HELD
