@@ -49,9 +49,13 @@ def export_gate(books: DataFrame, photos: DataFrame, preview: bool = False) -> D
 
     ``photos``: photo_id, synced. A book without photos may be exported.
     """
-    known = placed_ids(books).join(photos.select("photo_id", "synced"), "photo_id", "left")
-    found = known.groupBy(*BOOK).agg(F.count("*").alias("total"), F.count_if(~F.coalesce("synced", F.lit(False))).alias("pending"))
-    every = books.select(*BOOK).join(found, BOOK, "left").fillna(0, ["total", "pending"])
+    read = F.from_json("book", SCHEMA)["spreads"]
+    ids = F.array_distinct(F.flatten(F.transform(read, lambda s: F.transform(F.concat(F.coalesce(s["left"], F.array()), F.coalesce(s["right"], F.array())), lambda x: x["photo_id"]))))
+    # each text is made and read once; a book without photos keeps a row
+    placed = books.select(*BOOK, ids.alias("ids")).select(*BOOK, F.explode_outer(F.filter("ids", lambda x: x.isNotNull())).alias("photo_id"))
+    known = placed.join(photos.select("photo_id", "synced"), "photo_id", "left")
+    pending = F.count_if(F.col("photo_id").isNotNull() & ~F.coalesce("synced", F.lit(False)))
+    every = known.groupBy(*BOOK).agg(F.count("photo_id").alias("total"), pending.alias("pending"))
     return every.withColumn("code", F.when((F.col("pending") > 0) & ~F.lit(preview), 409).otherwise(200))
 
 

@@ -172,14 +172,15 @@ def affinity(at: Callable[[str], Column]) -> Column:
     return F.when(shell <= 8, (10 - shell) * 2).otherwise(0) + F.when(core >= 4, 5).otherwise(0) + F.when(F.abs(at("a_aspect") - at("b_aspect")) < 0.25, 6).otherwise(0)
 
 
-def spread_chunks(rows: DataFrame, by: list[str], *sizes: int) -> DataFrame:
-    """by, size, spread, pos, photo_id, for each of the sizes: each photo not yet placed takes the most akin of the next eight, until its spread is full.
+def spread_groups(rows: DataFrame, by: list[str], sizes: tuple[int, ...], carried: list[str]) -> DataFrame:
+    """by, size, spread, photos, for each of the sizes: each photo not yet placed takes the most akin of the next eight, until its spread is full.
 
     A chapter that fits one spread is one; one of at most four photos has smaller
-    spreads. ``rows`` has by, seq, photo_id, shell, core, aspect.
+    spreads. ``rows`` has by, seq, photo_id, shell, core, aspect; a spread's photos, structs of
+    ``carried`` in order, stay with their chapter, so nothing need be joined to them.
     """
     ps = F.col("ps")
-    g = members(rows, by, ["seq"], ["photo_id", "shell", "core", "aspect"])
+    g = members(rows, by, ["seq"], list(dict.fromkeys(["photo_id", "shell", "core", "aspect", *carried])))
     ranked = F.transform(ps, lambda a, i: F.transform(F.array_sort(F.transform(_positions(i + 1, F.least(F.size(ps), i + 9)), lambda j: F.struct((-affinity(_pair(a, F.get(ps, j)))).alias("less"), j.alias("j")))), lambda x: x["j"]))
     rooms = F.transform(F.array(*map(F.lit, sizes)), lambda n: F.struct(n.alias("size"), F.when(F.size(ps) <= 4, F.greatest(F.lit(2), n - 1)).otherwise(n).alias("room")))
     g = g.withColumn("akin", ranked).withColumn("r", F.explode(rooms)).select(*by, "ps", "akin", "r.size", "r.room")
@@ -192,8 +193,15 @@ def spread_chunks(rows: DataFrame, by: list[str], *sizes: int) -> DataFrame:
     none = F.expr("CAST(array() AS ARRAY<ARRAY<INT>>)")
     every = _positions(F.lit(0), F.size(ps))
     spreads = F.when(F.size(ps) <= F.col("room"), F.array(every)).otherwise(F.aggregate(every, none, step))
-    out = g.withColumn("s", spreads).select(*by, "size", "ps", F.posexplode("s").alias("spread", "c")).select(*by, "size", "ps", "spread", F.posexplode("c").alias("pos", "i"))
-    return out.select(*by, "size", "spread", "pos", F.get("ps", F.col("i"))["photo_id"].alias("photo_id"))
+    out = g.withColumn("s", spreads).select(*by, "size", "ps", F.posexplode("s").alias("spread", "c"))
+    photo = lambda i: F.struct(*(F.get("ps", i)[c].alias(c) for c in carried))
+    return out.select(*by, "size", "spread", F.transform("c", photo).alias("photos"))
+
+
+def spread_chunks(rows: DataFrame, by: list[str], *sizes: int) -> DataFrame:
+    """by, size, spread, pos, photo_id: a row a photo of ``spread_groups``."""
+    out = spread_groups(rows, by, sizes, ["photo_id"])
+    return out.select(*by, "size", "spread", F.posexplode("photos").alias("pos", "p")).select(*by, "size", "spread", "pos", F.col("p.photo_id").alias("photo_id"))
 
 
 def without_overlaps(boxes: DataFrame, by: list[str], most: float = 0.35) -> DataFrame:

@@ -139,11 +139,15 @@ def q_pairing(spark, d):
 # --- spreads, boxes, limits -----------------------------------------------------
 
 
-def spread_rows(spark, d, *sizes: int):
+def chapter_rows(spark, d, *more: str):
+    """The photos of each chapter, numbered in order."""
     m = st.macro_chapters(photos(spark, d))
     seq = F.row_number().over(Window.partitionBy("session_id", "chapter").orderBy("epoch", "photo_id"))
-    rows = m.select("session_id", "chapter", seq.alias("seq"), "photo_id", "shell", "core", "aspect")
-    return folds.spread_chunks(rows, ["session_id", "chapter"], *sizes)
+    return m.select("session_id", "chapter", seq.alias("seq"), "photo_id", "shell", "core", "aspect", *more)
+
+
+def spread_rows(spark, d, *sizes: int):
+    return folds.spread_chunks(chapter_rows(spark, d), ["session_id", "chapter"], *sizes)
 
 
 _AKIN = _AFFINITY.format(q="0.25::DOUBLE")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import books as bk
-from ..operators import quality
+from ..operators import folds, quality
 from ..operators import layouts as op
 from ..operators import stories as st
 from . import dimensions as dim
 from . import stories as st_plan
-from .clusters import RECURSIVE, spread_rows, spreads_sql
+from .clusters import RECURSIVE, chapter_rows, spreads_sql
 from .functions import fit_sql
 from .registry import query
 from .views import WITH, photos, table
@@ -164,10 +164,9 @@ SIZES = (3, 2, 4)  # photos of a spread, by variation
 
 
 def book_spreads(spark, d, *variations: int):
-    """Spreads of the variations (numbered from 0): photos in order, a running number and its caption. Chapters are made once for all."""
-    s = spread_rows(spark, d, *(SIZES[k] for k in variations))
-    p = photos(spark, d).select("photo_id", "aspect", "width", "height")
-    g = s.join(p, "photo_id").groupBy("session_id", "chapter", "size", "spread").agg(F.array_sort(F.collect_list(F.struct("pos", "photo_id", "aspect", "width", "height"))).alias("ps"))
+    """Spreads of the variations (numbered from 0): photos in order, a running number and its caption. Chapters are made once for all; from there on a session's rows stay in one task."""
+    rows = chapter_rows(spark, d, "width", "height")
+    g = folds.spread_groups(rows, ["session_id", "chapter"], tuple(SIZES[k] for k in variations), ["photo_id", "aspect", "width", "height"])
     book = Window.partitionBy("session_id", "size")
     g = g.withColumn("spread_idx", F.row_number().over(book.orderBy("chapter", "spread"))).withColumn("chapters", F.max("chapter").over(book))
     g = g.withColumn("variation", F.array_position(F.array(*map(F.lit, SIZES)), F.col("size")).cast("int"))
@@ -175,7 +174,7 @@ def book_spreads(spark, d, *variations: int):
     last = F.col("chapter") == F.col("chapters")
     title = F.concat(F.lit("CHAPTER "), "chapter", F.when(last, ": HIGHLIGHTS").otherwise(": STORY SEQUENCE"))
     caption = F.when((F.col("spread") == 0) & (F.col("chapters") > 1), title).otherwise(F.element_at(caps, (F.pmod(F.col("spread_idx") - 1, F.lit(4)) + 1).cast("int")))
-    return g.select("session_id", "chapter", "variation", "spread_idx", caption.alias("caption"), F.lit(True).alias("has_text"), F.transform("ps", lambda x: F.struct(x["photo_id"].alias("photo_id"), x["aspect"].alias("aspect"), x["width"].alias("width"), x["height"].alias("height"))).alias("photos"))
+    return g.select("session_id", "chapter", "variation", "spread_idx", caption.alias("caption"), F.lit(True).alias("has_text"), "photos")
 
 
 def _texts(rows) -> str:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pytest
+
 from siltwork.operators import books
+from siltwork.plans import catalog
+from siltwork.sources.scratch import setting
 
 SLOT = "session_id string, variation int, chapter long, spread_idx long, caption string, side string, pos int, photo_id long, x double, y double, w double, h double, dpi double, badge string"
 ROWS = [
@@ -43,3 +49,13 @@ def test_texts_that_are_no_books(spark):
     docs = spark.createDataFrame([("s", 1, None), ("s", 2, "not json"), ("s", 3, "{}"), ("s", 4, '{"spreads": []}')], "session_id string, variation int, book string")
     assert books.slots(docs).count() == 0 and books.placed_ids(docs).count() == 0
     assert [r.code for r in books.export_gate(docs, spark.createDataFrame([], "photo_id long, synced boolean")).collect()] == [200] * 4
+
+
+def test_books_travel_once(spark):
+    """From photos to books a session's rows stay together: one exchange by session, then the gate's join by photo."""
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the test tables")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, "spark.sql.adaptive.enabled", "false"):
+        plan = lambda q: catalog.queries()[q](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert [plan(q).count("Exchange hashpartitioning") for q in ("q_book_placed", "q_variations", "q_book_gate")] == [1, 1, 4]
