@@ -436,6 +436,24 @@ def test_fewer_postings_are_scored_than_lists_hold():
     assert 0 < shard.touched < maxscore
 
 
+def test_only_documents_that_reach_the_threshold_are_scored():
+    """With the k-th best score known, what is scored in full are the best documents' postings, however many blocks, and answers do not change with the company a query has."""
+    rng = np.random.default_rng(23)
+    n, terms = 3001, 90
+    held = (rng.random((n, terms)) < np.linspace(0.6, 0.004, terms)) * rng.integers(1, 4, (n, terms))
+    shard, _, full = _shard(held, np.linspace(0.3, 7, terms), rng)
+    asks = [np.flatnonzero(held[q]).astype(np.int32) for q in range(50)]
+    score = [np.round(full[:, a].sum(axis=1), 6) for a in asks]
+    least = np.array([np.sort(s)[-10] for s in score])
+    best = sum(int((held[np.ix_(s >= x - 0.01, a)] > 0).sum()) for a, s, x in zip(asks, score, least, strict=True))
+    together = shard.reached(asks, least)
+    answers = [shard.top(a, x, 10, r) for a, x, r in zip(asks, least, together, strict=True)]
+    assert 0 < shard.touched <= best < 0.1 * sum(int((held[:, a] > 0).sum()) for a in asks)
+    for a, x, (ids, scores) in zip(asks, least, answers, strict=True):
+        alone = shard.top(a, x, 10)
+        assert len(ids) == 10 and ids.tolist() == alone[0].tolist() and scores.tolist() == alone[1].tolist()
+
+
 def test_rows_of_an_index(spark):
     """Every row is in one shard, with its length; shards stay within their limits; ids may be missing."""
     texts = [(None if x % 7 == 3 else x, None if x % 11 == 5 else "a b " * (x % 4) + f"w{x}") for x in range(60)]
