@@ -9,8 +9,9 @@ sent to another block only if the triangle inequality lets it link in one of its
 (covering radius and hyperplane bounds). Labels beyond that number, and small ones, are
 split by hash alone. Both blocks' cover trees (nested levels, halving radii) are then
 traversed together, node pairs are dropped when their covering radii keep them apart
-and taken whole when they keep them together; only the rest is compared, in double
-precision. A task gives link counts and a spanning forest of its links, never the pairs.
+and taken whole when they keep them together; only the rest is compared, leaves with
+leaves as products of matrices in single precision, rounded up, and what these find
+likely in double precision. A task gives link counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from ..operators.graph import components
 from ..sources.scratch import released, written
 
 BLOCK = 8192
-CHUNK, STRIP = 512, 1 << 16  # rows of a distance matrix, and pairs of leaf members, that are held at once
-LEAF = 24
+CHUNK, STRIP, PAIRS = 512, 1 << 21, 1 << 16  # rows of a distance matrix, products of leaf members, and pairs that they find likely, that are held at once
+LEAF = 64
 MOST_SPACES, MOST_PIVOTS = 256, 8192  # labels that have pivots, the largest ones, and pivots of all together: what is broadcast is at most so many vectors
 CELL = 64  # vectors of a cell, where pivots last
 SAMPLE_A_PIVOT = 4
@@ -139,7 +140,7 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
     a, b = build(x), build(y) if not same else None
     if a is None or (b is None and not same):
         return nx, ny, forest
-    stack: list[tuple[Node, Node]] = [(a, a if same else b)]
+    stack: list[tuple[list[Node], list[Node], bool]] = []  # all nodes of one list meet all of the other, or one another
 
     def whole(p: Node, q: Node) -> None:
         nx[p.members] += wy[q.members].sum()
@@ -163,54 +164,78 @@ def links(x: np.ndarray, wx: np.ndarray, y: np.ndarray | None, wy: np.ndarray |
         i, j = np.nonzero(hit)
         forest.join(p.members[i], q.members[j] + shift)
 
-    def compare_leaves(ps: list[Node], i: np.ndarray, qs: list[Node], j: np.ndarray) -> None:
-        """Many pairs of different leaves at once."""
-        if not len(i):
-            return
-        mp, mq = (np.concatenate([c.members for c in side]) for side in (ps, qs))
-        np_, nq = (np.array([len(c.members) for c in side]) for side in (ps, qs))
-        op, oq = np.cumsum(np_) - np_, np.cumsum(nq) - nq
-        ends = np.cumsum(np_[i] * nq[j])
-        for part in np.split(np.arange(len(i)), np.unique(np.searchsorted(ends, np.arange(STRIP, ends[-1], STRIP)))):
-            u, v = i[part], j[part]
-            n = np_[u] * nq[v]
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            wide = np.repeat(nq[v], n)
-            a, b = mp[np.repeat(op[u], n) + k // wide], mq[np.repeat(oq[v], n) + k % wide]
-            hit = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
-            a, b = a[hit], b[hit]
-            np.add.at(nx, a, wy[b])
-            np.add.at(ny, b, wx[a])
-            forest.join(a, b + shift)
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    likely = np.float32(cosine - (x.shape[1] + 8) * 2.0**-22)  # a product in single precision, rounded, is below it for no link
 
-    while stack:
-        p, q = stack.pop()
+    def compare_leaves(ps: list[Node], qs: list[Node], ask: np.ndarray) -> None:
+        """Many pairs of different leaves at once, those that ``ask`` marks: as products of matrices, a strip at a time; what they find likely is decided in double precision."""
+        rows, columns = np.flatnonzero(ask.any(axis=1)), np.flatnonzero(ask.any(axis=0))
+        if not len(rows):
+            return
+        mp, mq = (np.concatenate([side[c].members for c in some]) for side, some in ((ps, rows), (qs, columns)))
+        op, oq = (np.repeat(some, [len(side[c].members) for c in some]) for side, some in ((ps, rows), (qs, columns)))
+        wide = y32[mq].T
+        high = max(1, STRIP // len(mq))
+        for at in range(0, len(mp), high):
+            i, j = np.nonzero(x32[mp[at : at + high]] @ wide >= likely)
+            i += at
+            asked = ask[op[i], oq[j]]
+            a, b = mp[i[asked]], mq[j[asked]]
+            for k in range(0, len(a), PAIRS):
+                u, v = a[k : k + PAIRS], b[k : k + PAIRS]
+                hit = np.einsum("ij,ij->i", x[u], y[v]) >= cosine
+                u, v = u[hit], v[hit]
+                np.add.at(nx, u, wy[v])
+                np.add.at(ny, v, wx[u])
+                forest.join(u, v + shift)
+
+    def meet(p: Node, q: Node) -> None:
         twin = same and p is q
         if twin and 2 * p.cover <= reach - SLACK:
             whole(p, q)
         elif not p.children and not q.children or len(p.members) * len(q.members) <= LEAF * LEAF:
             compare(p, q)
+        elif twin:
+            stack.append((p.children, p.children, True))
         else:
-            ps = p.children if twin or p.children and (p.cover >= q.cover or not q.children) else [p]
-            qs = ps if twin else q.children if q.children and (q.cover >= p.cover or not p.children) else [q]
-            pp, pc = np.array([c.point for c in ps]), np.array([c.cover for c in ps])
-            qp, qc = np.array([c.point for c in qs]), np.array([c.cover for c in qs])
-            leaves = np.array([not c.children for c in ps]), np.array([not c.children for c in qs])
-            for at in range(0, len(ps), CHUNK):
-                d = _distances(x, pp[at : at + CHUNK], y, qp)
-                i, j = np.nonzero(d - pc[at : at + CHUNK, None] - qc[None, :] <= reach + SLACK)
-                if twin:
-                    i, j = i[i + at <= j], j[i + at <= j]
-                together = d[i, j] + pc[at + i] + qc[j] <= reach - SLACK
-                i += at
-                apart = ~(twin & (i == j))
-                small = leaves[0][i] & leaves[1][j] & apart & ~together
-                compare_leaves(ps, i[small], qs, j[small])
-                for u, v, t in zip(i[~small].tolist(), j[~small].tolist(), (together & apart)[~small].tolist(), strict=True):
-                    if t:
-                        whole(ps[u], qs[v])
-                    else:
-                        stack.append((ps[u], qs[v]))
+            # nodes of about one size are opened together
+            ps = p.children if p.children and (2 * p.cover >= q.cover or not q.children) else [p]
+            qs = q.children if q.children and (2 * q.cover >= p.cover or not p.children) else [q]
+            stack.append((ps, qs, False))
+
+    meet(a, a if same else b)
+    while stack:
+        ps, qs, twin = stack.pop()
+        pp, pc, leaf_p = np.array([c.point for c in ps]), np.array([c.cover for c in ps]), np.array([not c.children for c in ps])
+        qp, qc, leaf_q = np.array([c.point for c in qs]), np.array([c.cover for c in qs]), np.array([not c.children for c in qs])
+        for at in range(0, len(ps), CHUNK):
+            d = _distances(x, pp[at : at + CHUNK], y, qp)
+            cover, leaf = pc[at : at + CHUNK, None], leaf_p[at : at + CHUNK]
+            near = d - cover - qc[None, :] <= reach + SLACK
+            together = d + cover + qc[None, :] <= reach - SLACK
+            own = np.zeros(1, dtype=bool)
+            if twin:
+                before = np.arange(at, at + len(leaf))[:, None] - np.arange(len(qs))[None, :]
+                own = before == 0
+                near &= before <= 0
+                together &= before < 0
+            small = near & ~together & ~own & leaf[:, None] & leaf_q[None, :]
+            compare_leaves(ps[at : at + CHUNK], qs, small)
+            for i, j in zip(*(k.tolist() for k in np.nonzero(together)), strict=True):
+                whole(ps[at + i], qs[j])
+            rest = near & ~small & ~together
+            # leaves meet what is below a node all at once
+            for j in np.flatnonzero(~leaf_q).tolist():
+                some = np.flatnonzero(rest[:, j] & leaf).tolist()
+                if some:
+                    stack.append(([ps[at + i] for i in some], qs[j].children, False))
+            for i in np.flatnonzero(~leaf).tolist():
+                some = np.flatnonzero(rest[i] & leaf_q).tolist()
+                if some:
+                    stack.append((ps[at + i].children, [qs[j] for j in some], False))
+            for i, j in zip(*(k.tolist() for k in np.nonzero(rest & (own | ~leaf[:, None] & ~leaf_q[None, :]))), strict=True):
+                if len(ps[at + i].members) > 1 or ps[at + i] is not qs[j]:
+                    meet(ps[at + i], qs[j])
     if same:
         nx, ny = nx + ny, nx
     return nx, ny, forest

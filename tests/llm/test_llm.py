@@ -856,6 +856,37 @@ def test_vectors_are_sent_where_they_can_link(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
 
 
+def test_far_vectors_meet_in_few_products(monkeypatch):
+    """Among vectors without structure nodes meet by the list, not one by one; links, counts and classes are those of all pairs."""
+    rng = np.random.default_rng(9)
+    x, y = (rng.normal(size=(n, 48)) for n in (1500, 1300))
+    x[:120] = x[0] + rng.normal(size=(120, 48)) * 0.15
+    y[:200] = x[0] + rng.normal(size=(200, 48)) * np.linspace(0.01, 0.4, 200)[:, None]
+    y[300:900] = x[300:900] + rng.normal(size=(600, 48)) * 0.25
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    wx, wy = rng.integers(1, 4, len(x)).astype(float), rng.integers(1, 4, len(y)).astype(float)
+    calls, plain = [], cover_tree._distances
+    trees = {id(v): cover_tree.build(v) for v in (x, y)}
+    monkeypatch.setattr(cover_tree, "build", lambda v: trees[id(v)])
+    monkeypatch.setattr(cover_tree, "_distances", lambda *a: calls.append(1) or plain(*a))
+    for other, weights in ((y, wy), (None, None)):
+        calls.clear()
+        na, nb, forest = cover_tree.links(x, wx, other, weights, 0.93)
+        assert len(calls) < 100
+        hit = x @ (x if other is None else y).T >= 0.93
+        if other is None:
+            np.fill_diagonal(hit, False)
+            assert np.array_equal(na, hit @ wx)
+            n, i, j = len(x), *np.nonzero(hit)
+        else:
+            assert np.array_equal(na, hit @ wy) and np.array_equal(nb, hit.T @ wx)
+            n, i, j = len(x) + len(y), *np.nonzero(hit)
+            j = j + len(x)
+        want = cover_tree.Forest(n)
+        want.join(i, j)
+        assert hit.sum() > 1000 and np.array_equal(forest.roots(), want.roots())
+
+
 def test_no_vectors(spark):
     assert cover_tree.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
