@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 WAITING = "at array<long>, id array<long>, row array<string>, wake long"  # the time of the timer in milliseconds, -1 without one
 
@@ -110,5 +111,77 @@ def machine(rows: DataFrame, key: Column, at: Column, id: str, columns: list[str
     rows without a time are never applied.
     """
     rows = rows.where(at.isNotNull()).select(key.alias("key"), at.cast("timestamp").alias("time"), F.coalesce(F.col(id).cast("long"), F.lit(-1)).alias("id"), F.to_json(F.struct(*columns)).alias("row"))
-    rows = rows.withWatermark("time", late).withColumn("at", F.unix_micros("time"))
-    return rows.groupBy("key").transformWithStateInPandas(processor, processor.schema, "Append", "EventTime")
+    rows = rows.withWatermark("time", late).withColumn("at", F.unix_micros("time")).select("key", "time", "at", "id", "row")
+    return rows.groupBy("key").applyInPandasWithState(_advanced(processor), processor.schema, _state_schema(processor), "append", "EventTimeTimeout")
+
+
+class Held:
+    """A state variable of one key, at hand while the key is."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+
+class Variables:
+    """A processor's handle: its variables, in the order in which it names them, and the timer of the key at hand."""
+
+    def __init__(self):
+        self.held: list[Held] = []
+        self.schemas: list[str] = []
+
+    def getValueState(self, name: str, schema: str) -> Held:
+        self.held.append(Held())
+        self.schemas.append(f"{name}: struct<{', '.join(': '.join(c.split(None, 1)) for c in schema.split(', '))}>")
+        return self.held[-1]
+
+    def registerTimer(self, at: int) -> None:
+        """The processor keeps its timer among its variables."""
+
+
+class Clock:
+    def __init__(self, at: int):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self) -> int:
+        return self.at
+
+
+def _state_schema(processor: InOrder) -> str:
+    seen = Variables()
+    processor.init(seen)
+    processor.handle = processor.waiting = None
+    return ", ".join(seen.schemas)
+
+
+def _advanced(processor: InOrder):
+    """All variables of a key come and go with its rows: no call to the JVM for any of them."""
+    made: list[Variables] = []
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if not made:
+            made.append(Variables())
+            processor.init(made[0])
+        held, clock = made[0].held, Clock(state.getCurrentWatermarkMs())
+        values = state.get if state.exists else [None] * len(held)
+        for variable, value in zip(held, values, strict=True):
+            variable.value = None if value is None else tuple(value)
+        if state.hasTimedOut:
+            yield from processor.handleExpiredTimer(key, clock, None)
+        else:
+            yield from processor.handleInputRows(key, frames, clock)
+        state.update(tuple(variable.value for variable in held))
+        wake = int(processor.waiting.get()[3])
+        if wake >= 0:
+            # Spark wakes a key when the watermark is past its time; it must lie ahead
+            state.setTimeoutTimestamp(max(wake - 1, clock.at + 1))
+
+    return run

@@ -226,3 +226,36 @@ def test_state_is_left_alone_until_a_row_is_due():
     assert not list(machine.handleInputRows(("k",), rows(range(1, 6)), Clock(0))) and sums.n == 0
     (frame,) = machine.handleInputRows(("k",), rows(range(6, 9)), Clock(5000))
     assert frame["total"].tolist() == [1, 2, 3, 4, 5] and sums.n == 1
+
+
+def test_a_key_comes_and_goes_with_all_of_its_state():
+    """One value in and one out for every key at hand, whatever the machine keeps; its timer lies ahead of the watermark; keys do not mix."""
+    from siltwork.streaming import ordered
+
+    class State:
+        def __init__(self):
+            self.value, self.mark, self.hasTimedOut, self.wake, self.updates = None, 0, False, None, 0
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def update(self, value):
+            self.value, self.updates = value, self.updates + 1
+
+        def setTimeoutTimestamp(self, at):
+            assert at > self.mark
+            self.wake = at
+
+    run, states, out = ordered._advanced(sessions.Jobs()), {k: State() for k in "ab"}, []
+    frame = lambda *rows: iter([pd.DataFrame([(a, i, json.dumps({"code": c})) for a, i, c in rows], columns=["at", "id", "row"])])
+    s = 10**6
+    for k, rows in (("a", [(10 * s, 1, 503), (11 * s + 1000, 2, 200)]), ("b", [(10 * s, 1, 404)])):
+        assert not list(run((k,), frame(*rows), states[k])) and states[k].updates == 1 and states[k].wake == 9_999
+    for mark in (10_000, 11_000, 20_000):
+        for k, state in states.items():
+            state.mark, state.hasTimedOut = mark, True
+            out += [tuple(x) for f in run((k,), iter([]), state) for x in f.itertuples(index=False, name=None)]
+    assert out == [("a", 1, "waiting", 2, 10 * s), ("b", 1, "failed", 1, 10 * s), ("a", 1, "processing", 2, 11 * s), ("a", 1, "completed", 2, 11 * s + 1000)]
