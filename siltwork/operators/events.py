@@ -30,6 +30,7 @@ from .joins import haversine
 RADIUS = 6371.0
 SIDE = 0.45  # of a cell in units of km: sqrt(3) * 0.45 = 0.78
 SPAN = 0.6  # of a cell in units of seconds: 0.78^2 + 0.6^2 < 1
+STEPS = 2  # cells of times further apart are not near
 FEW = 64  # photo pairs of two cells that are compared at once
 DEEPEST = 40  # halvings of a cell: far below what coordinates resolve
 SAFE = 1e-7  # bounds that are closer to 1 decide nothing
@@ -78,14 +79,16 @@ def _apart(seconds: float, km: float) -> Column:
 
 
 def _judged(pairs: DataFrame, seconds: float, km: float) -> DataFrame:
-    """Pairs with structs a and b of cells whose boxes are not too far apart: ``near`` is null where they leave it open.
+    """Pairs with structs a and b of cells whose boxes are not too far apart: ``near`` is null where they leave it open, only there cells stay.
 
     Written before it is filtered by, so that it is evaluated once.
     """
     least, most = _bounds(km)
     gaps = [F.col(f"{x}.lo_{c}") - F.col(f"{y}.hi_{c}") <= 1 + SAFE for c in AXES for x, y in ("ab", "ba")]
     pairs = pairs.where(reduce(and_, gaps)).where(least <= 1 + SAFE)
-    return written(pairs.withColumn("near", F.when(F.col("a.same") & F.col("b.same"), _apart(seconds, km) <= 1).when(most < 1 - SAFE, True)), "judged")
+    judged = pairs.withColumn("near", F.when(F.col("a.same") & F.col("b.same"), _apart(seconds, km) <= 1).when(most < 1 - SAFE, True))
+    left = [F.when(F.col("near").isNull(), F.struct(f"{x}.cell", f"{x}.n")).alias(x) for x in "ab"]
+    return written(judged.select("session_id", "first", "near", *left), "judged")
 
 
 def _placed_links(points: DataFrame, seconds: float, km: float) -> DataFrame:
@@ -143,10 +146,16 @@ def _timed_links(points: DataFrame, seconds: float) -> DataFrame:
     step = F.floor(F.col("t") / SPAN)
     cells = points.groupBy("session_id", F.when(placed, _cell(0)).alias("cell"), step.alias("step")).agg(F.min("photo_id").alias("head"), F.min("taken_at").alias("lo"), F.max("taken_at").alias("hi"))
     lost = cells.where("cell IS NULL").select("session_id", F.col("step").alias("near"), F.col("head").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    visits = cells.select("session_id", "head", "lo", "hi", F.explode(F.sequence(F.col("step") - 2, F.col("step") + 2)).alias("near"))
+    visits = cells.select("session_id", "head", "lo", "hi", F.col("cell").isNull().alias("is_lost"), F.explode(F.sequence(F.lit(-STEPS), F.lit(STEPS))).alias("k"), "step").withColumn("near", F.col("step") + F.col("k")).drop("step")
     # cells of one step span less than the limit; of two steps the nearest ends are the nearest photos
     apart = F.greatest(F.lit(0.0), F.col("lo") - F.col("b_hi"), F.col("b_lo") - F.col("hi")) / seconds
-    return visits.join(lost, ["session_id", "near"]).where((F.col("head") != F.col("b")) & (apart <= 1)).select(F.col("head").alias("a"), "b")
+    near = lambda rows, others: rows.join(others, ["session_id", "near"]).where((F.col("head") != F.col("b")) & (apart <= 1))
+    # a cell is near all of its step that are lost: what those are linked with needs no link of its own
+    chain = written(near(visits.where("is_lost"), lost).select("session_id", "near", "k", "head", "b"), "lost")
+    known = chain.groupBy("session_id", "near").agg(F.collect_set("k").alias("known"))
+    others = lost.join(known, ["session_id", "near"], "left")
+    rest = near(visits.where("NOT is_lost"), others).where("known IS NULL OR NOT array_contains(known, k)").select(F.col("head").alias("a"), "b")
+    return rest.unionByName(chain.where("k > 0").select(F.col("head").alias("a"), "b"))
 
 
 def events(photos: DataFrame, seconds: float = 2700.0, km: float = 5.0) -> DataFrame:

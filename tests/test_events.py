@@ -84,3 +84,14 @@ def test_a_dense_evening_has_few_links(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert ev.events(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_cells_are_linked_with_unknown_places_once(spark):
+    """Where photos of unknown place follow one another, a cell has one link with them, not one for each step in reach."""
+    rows = [(i, "s", 300.0 * i, None, None) for i in range(60)]
+    rows += [(1000 + 100 * k + i, "s", 300.0 * i + 7.0, 10.0 + k, 20.0) for k in range(8) for i in range(60)]
+    points = ev._points(spark.createDataFrame(rows, SCHEMA), 2700.0, 5.0)
+    cells = points.groupBy("session_id", ev.F.col("x").isNull(), ev._cell(0)).count().count()
+    links = ev._timed_links(points, 2700.0)
+    assert links.count() < 1.5 * cells
+    assert got(spark, rows) == brute(rows)
