@@ -58,12 +58,15 @@ def burst_groups(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _led(groups: DataFrame) -> DataFrame:
-    """Groups with, by position in ``ps``, each member's leader, and of each leader its burst's best seq and whether all stay."""
+    """Groups with, by position in ``ps``, each member's leader, and of each leader its burst's best seq and whether all stay; most lead nobody but themselves."""
     g = groups.withColumn("lead", leaders(F.col("ps"), lambda at, dt: duplicate(dt, at)))
+    g = g.withColumn("followed", F.filter("lead", lambda k, i: k != i))
     value = lambda p: p["hero"] * 2 + p["blur"] + p["contrast"] * 1.5
+    good = lambda p: (p["faces"] >= 1) & (p["face_quality"] >= 0.75)
     of = lambda k: F.filter("ps", lambda _, i: F.get(F.col("lead"), i) == k)
-    best = F.transform("ps", lambda _, k: F.array_max(F.transform(of(k), lambda p: F.struct(value(p).alias("v"), (-p["seq"]).alias("s"))))["s"])
-    kept = F.transform("ps", lambda _, k: F.exists(of(k), lambda p: (p["faces"] >= 1) & (p["face_quality"] >= 0.75)))
+    one = lambda k: ~F.array_contains("followed", k)
+    best = F.transform("ps", lambda p, k: F.when(one(k), -p["seq"]).otherwise(F.array_max(F.transform(of(k), lambda p: F.struct(value(p).alias("v"), (-p["seq"]).alias("s"))))["s"]))
+    kept = F.transform("ps", lambda p, k: F.when(one(k), good(p)).otherwise(F.exists(of(k), good)))
     return g.withColumn("best", best).withColumn("kept", kept)
 
 
@@ -89,7 +92,9 @@ def chunk_status(chunks: DataFrame, by: list[str], seconds: int = 30, bits: int
     alone = lambda p: (p["status"] == "REJECTED_BLURRY") & (p["blur"] >= blur) & ~F.exists(ps, lambda o: near(p, o))
     every = chunks.withColumn("every", F.transform(ps, lambda p: p.withField("status", F.when(alone(p), "PASSED").otherwise(p["status"]))))
     led = _led(every.withColumn("ps", F.filter("every", lambda p: p["status"] == "PASSED")))
-    out = led.select(*by, "lead", "best", "kept", F.transform("ps", lambda p: p["photo_id"]).alias("ids"), F.explode("every").alias("p"))
+    held = led.select(*by, "lead", "best", "kept", F.transform("ps", lambda p: p["photo_id"]).alias("ids"), "every")
+    # an inner explode would first look for empty chunks, and for that work out ``every`` once more
+    out = held.select(*by, "lead", "best", "kept", "ids", F.explode_outer("every").alias("p")).where(F.col("p").isNotNull())
     at = (F.array_position("ids", F.col("p.photo_id")) - 1).cast("int")
     status = F.when(F.col("p.status") != "PASSED", F.col("p.status")).when(_survives(at, F.col("p.seq")), "PASSED").otherwise("REJECTED_BURST")
     return out.select(*by, "p.photo_id", status.alias("status"))

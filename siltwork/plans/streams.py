@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -136,9 +136,9 @@ _MEMBERS = ["seq", *folds.BURST, "status"]
 
 def _chunks(spark, d, make):
     p = quality.with_hero(quality.with_status(chunked(photos(spark, d)))).withColumn("moment", F.col("burst_epoch").cast("double")).withColumn("seq", F.col("photo_id"))
-    sizes = p.groupBy("session_id", "chunk").agg(F.count("*").alias("chunk_size"))
-    counts = sizes.groupBy("session_id").agg(F.count("*").alias("chunk_count"))
-    rows = p.join(sizes, ["session_id", "chunk"]).join(counts, "session_id").select("session_id", "chunk", "chunk_size", "chunk_count", *_MEMBERS)
+    size = F.count("*").over(Window.partitionBy("session_id", "chunk"))
+    count = F.max("chunk").over(Window.partitionBy("session_id")) + 1  # numbered from 0
+    rows = p.select("session_id", "chunk", size.alias("chunk_size"), count.alias("chunk_count"), *_MEMBERS)
     return _streamed(spark, rows, F.pmod(F.col("photo_id") * 7919, F.lit(BATCHES)), "photo_id", lambda s: make(sessions.complete_chunks(s, _MEMBERS)))
 
 

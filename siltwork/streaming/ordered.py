@@ -155,25 +155,31 @@ class Clock:
         return self.at
 
 
-def _state_schema(processor: InOrder) -> str:
+def _state_schema(processor: StatefulProcessor) -> str:
     seen = Variables()
     processor.init(seen)
     processor.handle = processor.waiting = None
     return ", ".join(seen.schemas)
 
 
+def _at_hand(processor: StatefulProcessor, made: list[Variables], state: GroupState) -> list[Held]:
+    """The processor's variables with the values of the key at hand."""
+    if not made:
+        made.append(Variables())
+        processor.init(made[0])
+    held = made[0].held
+    values = state.get if state.exists else [None] * len(held)
+    for variable, value in zip(held, values, strict=True):
+        variable.value = None if value is None else tuple(value)
+    return held
+
+
 def _advanced(processor: InOrder):
     """All variables of a key come and go with its rows: no call to the JVM for any of them."""
     made: list[Variables] = []
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not made:
-            made.append(Variables())
-            processor.init(made[0])
-        held, clock = made[0].held, Clock(state.getCurrentWatermarkMs())
-        values = state.get if state.exists else [None] * len(held)
-        for variable, value in zip(held, values, strict=True):
-            variable.value = None if value is None else tuple(value)
+        held, clock = _at_hand(processor, made, state), Clock(state.getCurrentWatermarkMs())
         if state.hasTimedOut:
             yield from processor.handleExpiredTimer(key, clock, None)
         else:
@@ -185,3 +191,16 @@ def _advanced(processor: InOrder):
             state.setTimeoutTimestamp(max(wake - 1, clock.at + 1))
 
     return run
+
+
+def untimed(rows: DataFrame, key: str, processor: StatefulProcessor) -> DataFrame:
+    """The rows of a processor without a clock; as in ``machine``, a key's state comes and goes with its rows."""
+    made: list[Variables] = []
+    schema = _state_schema(processor)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _at_hand(processor, made, state)
+        yield from processor.handleInputRows(key, frames, None)
+        state.update(tuple(variable.value for variable in held))
+
+    return rows.groupBy(key).applyInPandasWithState(run, processor.schema, schema, "append", "NoTimeout")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .ordered import InOrder
+from .ordered import InOrder, untimed
 
 # --- chapters -------------------------------------------------------------------
 
@@ -88,36 +88,30 @@ class Chapters(InOrder):
 class Chunks(StatefulProcessor):
     """Upload chunks, each passed on once when all its photos are there; the last of a session's also makes it ready.
 
-    The state holds a chunk's rows while it is incomplete, then a mark; so replayed
-    photos and replayed chunks change nothing, in whichever order they come.
+    The state holds the rows of a session's incomplete chunks, and the numbers of those
+    passed on; so replayed photos and replayed chunks change nothing, in whichever order
+    they come. It is one value, read and written once a call, not once a chunk.
     """
 
     schema = "session_id string, chunk long, rows array<string>, ready boolean"
 
     def init(self, handle) -> None:
-        self.held = handle.getMapState("held", "chunk long", "ids array<long>, rows array<string>, done boolean")
-        self.count = handle.getValueState("count", "done long")
+        self.held = handle.getValueState("held", "chunk array<long>, ids array<array<long>>, rows array<array<string>>, done array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done, chunks, sizes, total = (int(self.count.get()[0]) if self.count.exists() else 0), {}, {}, 0
+        *open_, done = self.held.get() or ((), (), (), ())
+        chunks, done = {int(c): dict(zip(ids, texts, strict=True)) for c, ids, texts in zip(*open_, strict=True)}, {int(c): None for c in done}
+        sizes, total = {}, 0
         for frame in rows:
             for chunk, size, of, id, row in zip(*(frame[c].tolist() for c in ("chunk", "chunk_size", "chunk_count", "photo_id", "row")), strict=True):
-                chunks.setdefault(chunk, {}).setdefault(id, row)
-                sizes[chunk], total = size, of
+                if chunk not in done:
+                    chunks.setdefault(chunk, {})[id] = row
+                    sizes[chunk], total = size, of
         out = []
-        for chunk, got in sorted(chunks.items()):
-            if self.held.containsKey((chunk,)):
-                ids, texts, closed = self.held.getValue((chunk,))
-                if closed:
-                    continue
-                got = dict(zip(map(int, ids), texts, strict=True)) | got
-            if len(got) < sizes[chunk]:
-                self.held.updateValue((chunk,), (list(got), list(got.values()), False))
-                continue
-            self.held.updateValue((chunk,), ([], [], True))
-            done += 1
-            out.append((key[0], chunk, list(got.values()), done == total))
-        self.count.update((done,))
+        for chunk in sorted(c for c, size in sizes.items() if len(chunks[c]) >= size):
+            done[chunk] = None
+            out.append((key[0], chunk, list(chunks.pop(chunk).values()), len(done) == total))
+        self.held.update((list(chunks), [list(x) for x in chunks.values()], [list(x.values()) for x in chunks.values()], list(done)))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "chunk", "rows", "ready"])
 
@@ -132,7 +126,7 @@ def complete_chunks(rows: DataFrame, columns: list[str]) -> DataFrame:
     """
     fields = ", ".join(f"{c}: {t}" for c, t in rows.select(*columns).dtypes)
     r = rows.select("session_id", "chunk", "chunk_size", "chunk_count", "photo_id", F.to_json(F.struct(*columns)).alias("row"))
-    out = r.groupBy("session_id").transformWithStateInPandas(Chunks(), Chunks.schema, "Append", "None")
+    out = untimed(r, "session_id", Chunks())
     ps = F.array_sort(F.transform("rows", lambda x: F.from_json(x, f"struct<{fields}>")))
     return out.select("session_id", "chunk", ps.alias("ps"), "ready")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -185,6 +186,41 @@ def test_chunks_pass_once():
     assert out == [("s", 1, ["r3", "r4"], False), ("s", 0, ["r1", "r2"], True)]
 
 
+def test_chunks_are_one_value_of_their_session():
+    """One value in and one out for every call, however many chunks it brings; a session is ready once, with its last chunk."""
+
+    class Counted(Value):
+        gets = updates = 0
+
+        def get(self):
+            self.gets += 1
+            return super().get()
+
+        def update(self, value):
+            self.updates += 1
+            super().update(value)
+
+    made = []
+
+    class Watched(Handle):
+        def getValueState(self, name, schema):
+            made.append(Counted())
+            return made[-1]
+
+        def getMapState(self, name, key, value):
+            raise AssertionError("calls to the JVM for every chunk")
+
+    machine, out, of = sessions.Chunks(), [], 50
+    machine.init(Watched())
+    photos = [(chunk, 4, of, 4 * chunk + i, f"r{4 * chunk + i}") for chunk in range(of) for i in range(4)]
+    for k in (2, 0, 3, 0, 1, 1, 2):
+        frame = pd.DataFrame([x for x in photos if x[3] % 4 == k], columns=["chunk", "chunk_size", "chunk_count", "photo_id", "row"])
+        out += [x for f in machine.handleInputRows(("s",), iter([frame[:70], frame[70:]]), None) for x in f.itertuples(index=False, name=None)]
+    assert [(c, r, ready) for _, c, r, ready in out] == [(c, [f"r{4 * c + i}" for i in (2, 0, 3, 1)], c == of - 1) for c in range(of)]
+    assert [(v.gets, v.updates) for v in made] == [(7, 7)]
+    assert made[0].held[:3] == ([], [], []) and sorted(made[0].held[3]) == list(range(of))
+
+
 @needs_data
 def test_arrivals_of_many_files_lose_no_row(spark):
     """Each arrival written as several files, each over all of its times: every event has its answer, in its place."""
@@ -259,3 +295,19 @@ def test_a_key_comes_and_goes_with_all_of_its_state():
             state.mark, state.hasTimedOut = mark, True
             out += [tuple(x) for f in run((k,), iter([]), state) for x in f.itertuples(index=False, name=None)]
     assert out == [("a", 1, "waiting", 2, 10 * s), ("b", 1, "failed", 1, 10 * s), ("a", 1, "processing", 2, 11 * s), ("a", 1, "completed", 2, 11 * s + 1000)]
+
+
+def test_status_of_a_chunk_works_its_photos_out_once(spark):
+    """No filter goes through a chunk's photos before its status does; chunks without photos give no row; of a burst the best stays, the first of equals."""
+    from siltwork.operators import folds
+
+    photo = lambda i, shell, blur, status="PASSED", face=0.0: (i, i, 10.0, shell, 0, 1, face, 50.0, blur, 1.0, status)
+    far = 0x0F0F0F0F
+    rows = [("s", 0, [photo(1, 0, 20.0), photo(2, 1, 30.0), photo(3, 0, 30.0), photo(4, far, 5.0), photo(5, 0, 40.0, "REJECTED_JUNK"), photo(6, far << 4, 18.0, "REJECTED_BLURRY")])]
+    rows += [("s", 1, []), ("s", 2, [photo(7, 0, 20.0, face=0.75), photo(8, 1, 30.0)]), ("s", 3, [photo(9, 0, 1.0)])]
+    kinds = "seq: long, photo_id: long, moment: double, shell: long, core: long, faces: long, face_quality: double, hero: double, blur: double, contrast: double, status: string"
+    got = folds.chunk_status(spark.createDataFrame(rows, f"session_id string, chunk long, ps array<struct<{kinds}>>"), ["session_id", "chunk"])
+    burst = {1, 3}
+    want = [(("s", c, p[1]), "REJECTED_BURST" if p[1] in burst else "PASSED" if p[1] == 6 else p[-1]) for _, c, ps in rows for p in ps]
+    assert sorted((tuple(r[:3]), r[3]) for r in got.collect()) == sorted(want)
+    assert not re.search(r"Filter \(+size\(", got._jdf.queryExecution().optimizedPlan().toString())
