@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import folds, quality
-from ..sources.scratch import shared_dir, temporary
+from ..sources.scratch import setting, shared_dir, temporary
 from ..streaming import live, sessions
 from ..streaming.ordered import machine
 from . import clusters  # noqa: F401  the batch twins
@@ -139,7 +139,9 @@ def _chunks(spark, d, make):
     size = F.count("*").over(Window.partitionBy("session_id", "chunk"))
     count = F.max("chunk").over(Window.partitionBy("session_id")) + 1  # numbered from 0
     rows = p.select("session_id", "chunk", size.alias("chunk_size"), count.alias("chunk_count"), *_MEMBERS)
-    return _streamed(spark, rows, F.pmod(F.col("photo_id") * 7919, F.lit(BATCHES)), "photo_id", lambda s: make(sessions.complete_chunks(s, _MEMBERS)))
+    # a Python worker keeps the states of as many keys, and gives as many chunks, as a batch has rows before it sends them on
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "500"):
+        return _streamed(spark, rows, F.pmod(F.col("photo_id") * 7919, F.lit(BATCHES)), "photo_id", lambda s: make(sessions.complete_chunks(s, _MEMBERS)))
 
 
 @query(f"{RECURSIVE}, {_CHUNK_SAVED}, {bursts_sql('live')} SELECT c.session_id, c.chunk, c.photo_id, CASE WHEN NOT coalesce(b.survives, true) THEN 'REJECTED_BURST' ELSE c.status END AS status FROM c LEFT JOIN bursts b USING (photo_id)")
